@@ -13,13 +13,12 @@ runs. Keys are 128 bits of xxHash64 under two seeds.
 
 Defined cases: a null or empty text is one empty line; a null doc_id holds no keys against others
 and loses none; rows that repeat a doc_id are one document for the rule and each is rewritten; keys
-shorter than the limit stay; an empty table gives an empty result; other columns pass through.
+shorter than the limit stay; an empty table gives an empty result; other
+columns pass through, but for n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +36,10 @@ def line_key(line: Column) -> Column:
 
 
 def key_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, pos, h1, h2) of each line whose key is long enough."""
-    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    keys = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return keys.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(0x5EED), "key").alias("h2"))
+    """(doc_id, text_hash, pos, h1, h2) of each line whose key is long enough."""
+    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    keys = lines.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    return keys.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(0x5EED), "key").alias("h2"))
 
 
 class LineIndex:
@@ -82,15 +81,14 @@ class LineIndex:
             self.levels[level].append(merged)
 
 
-def _drop_lines(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, drops in batches:
-        out = []
-        for text, drop in zip(texts, drops, strict=True):
-            if drop is not None and text is not None:
-                gone = set(drop.tolist())
-                text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
-            out.append(text)
-        yield pd.Series(out, dtype=object)
+def _drop_lines(texts: pd.Series, drops: pd.Series) -> pd.Series:
+    out = []
+    for text, drop in zip(texts, drops, strict=True):
+        if drop is not None and text is not None:
+            gone = set(drop.tolist())
+            text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
+        out.append(text)
+    return pd.Series(out, dtype=object)
 
 
 def dedup_lines(docs: DataFrame, n_batches: int = 3, fanout: int = 2, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -104,20 +102,24 @@ def dedup_lines(docs: DataFrame, n_batches: int = 3, fanout: int = 2, min_chars:
     batch = sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     path = shared_dir(spark, "line-keys")
     key_rows(docs, min_chars).withColumn("batch", batch).write.partitionBy("batch").parquet(path)
-    keys = spark.read.schema("doc_id long, pos int, h1 long, h2 long, batch int").parquet(path)
+    keys = spark.read.schema("doc_id long, text_hash long, pos int, h1 long, h2 long, batch int").parquet(path)
     index = LineIndex(spark, fanout)
     for b in range(len(cuts) + 1):
         index.add(keys.where(F.col("batch") == b))
     # Both sides are exchanged by key, so that a line that very many documents hold is split by
     # adaptive execution; a row leaves this join only where it is dropped.
-    gone = keys.join(index.runs().hint("merge"), ["h1", "h2"]).where("doc_id > first_doc").select("doc_id", "pos")
-    drops, _ = written(gone.groupBy("doc_id").agg(F.collect_list("pos").alias("__drop")), "line-drops")
+    gone = keys.join(index.runs().hint("merge"), ["h1", "h2"]).where("doc_id > first_doc").select("doc_id", "text_hash", "pos")
+    # A document's own lines only; the text's hash tells rows apart that share a doc_id.
+    drops, _ = written(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("__drop")), "line-drops")
     drop_dir(spark, path, *index.paths())
     drop_udf = F.pandas_udf(_drop_lines, "string")
-    joined = docs.withColumn("__id", F.col("doc_id")).join(drops.withColumnRenamed("doc_id", "__id"), "__id", "left")
-    size = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    # As a struct, the input's columns can't clash with those added here.
+    joined = docs.select(F.struct(*docs.columns).alias("row")).join(
+        drops.toDF("id", "hash", "gone").hint("merge"), (F.col("row.doc_id") == F.col("id")) & (F.xxhash64("row.text") == F.col("hash")), "left"
+    )
+    size = F.size(F.split(F.coalesce("row.text", F.lit("")), "\n", -1))
     return joined.select(
-        *[drop_udf("text", "__drop").alias(c) if c == "text" else F.col(c) for c in docs.columns],
+        *[drop_udf("row.text", "gone").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
         size.cast("long").alias("n_lines"),
-        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
