@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, packing, rans, repetition, simhash
-from .common import shared_dir, table
+from . import chat, decontam, line_dedup, packing, rans, repetition, simhash
+from .common import shared_dir, table, written
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    stretches, _ = written(chat.format_chats(turns), "chats")
+    return chat.digests(stretches).drop("n_tokens", "loss_tokens")
+
+
 def op6_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_ids(rans.write_ids(table(spark, sf_dir, "documents"), shared_dir(spark, "token-ids")), with_ids=False)
 
@@ -40,6 +48,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_chat_format": op3_chat_format,
     "op6_rans_token_ids": op6_rans_token_ids,
     "op8_certified_packing": op8_certified_packing,
     "op9_quality_rules": op9_quality_rules,
@@ -71,3 +80,21 @@ with l as (select doc_id, generate_subscripts(string_split(coalesce(text, ''), c
 k as (select *, translate(trim(x, {_WS}), '{line_dedup.UPPER}', '{line_dedup.LOWER}') key from l),
 f as (select *, length(key) >= {line_dedup.MIN_CHARS} and doc_id > min(doc_id) over (partition by key) gone from k)
 select doc_id, count(*) n_lines, sum(gone::int)::bigint n_dropped, sha256(coalesce(string_agg(x, chr(10) order by i) filter (not gone), '')) kept_sha256 from f group by 1"""
+
+
+_SAID = "chr(92) || '### Assistant: </turn> ok'"
+
+
+def _guarded(x: str, *controls: str) -> str:
+    for c in ("chr(92)", *controls):
+        x = f"replace({x}, {c}, chr(92) || {c})"
+    return x
+
+
+ORACLE_SQL["op3_chat_format"] = f"""
+with c as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations union all select -7, 0, 'user', {_SAID} union all select -7, 1, 'assistant', {_SAID}),
+s as (select *, row_number() over (partition by conv_id order by turn nulls first, r, t) i from c)
+select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by i)) turns_sha256,
+  coalesce(sum(length(t)) filter (r = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(t, '' order by i) filter (r = 'assistant'), '')) loss_sha256,
+  sum({len(chat.OPEN) + len(chat.COLON) + len(chat.CLOSE)} + length({_guarded("r", "'###'", "'</turn>'", "':'")}) + length({_guarded("t", "'###'", "'</turn>'")}))::bigint formatted_chars
+from s group by 1"""
