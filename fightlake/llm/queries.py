@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, packing, rans, repetition, simhash
+from . import chat, decontam, line_dedup, packing, rans, repetition, simhash, warc
 from .common import shared_dir, table, written
 
 
@@ -32,6 +32,12 @@ def op6_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_ids(rans.write_ids(table(spark, sf_dir, "documents"), shared_dir(spark, "token-ids")), with_ids=False)
 
 
+def op7_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(warc.with_revisits(table(spark, sf_dir, "pages")), shared_dir(spark, "warc"))
+    found = warc.read_records(warc.normalise(archives, shared_dir(spark, "warc-members")), with_html=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -50,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_chat_format": op3_chat_format,
     "op6_rans_token_ids": op6_rans_token_ids,
+    "op7_warc_normaliser": op7_warc_normaliser,
     "op8_certified_packing": op8_certified_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
@@ -98,3 +105,9 @@ select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10)
   coalesce(sum(length(t)) filter (r = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(t, '' order by i) filter (r = 'assistant'), '')) loss_sha256,
   sum({len(chat.OPEN) + len(chat.COLON) + len(chat.CLOSE)} + length({_guarded("r", "'###'", "'</turn>'", "':'")}) + length({_guarded("t", "'###'", "'</turn>'")}))::bigint formatted_chars
 from s group by 1"""
+
+ORACLE_SQL["op7_warc_normaliser"] = f"""
+with p as (select page_id, strlen(coalesce(html, '')) payload_bytes, sha1(coalesce(html, '')) payload_digest from pages),
+b as (select *, max(page_id) over (partition by payload_digest) best from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= {warc.MIN_REVISIT} and page_id < best then 'revisit' else 'response' end record_type,
+  case when payload_bytes >= {warc.MIN_REVISIT} and page_id < best then best end refers_to from b"""
