@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, packing, rans, repetition, simhash, warc
+from . import chat, decontam, line_dedup, packing, pii, rans, repetition, simhash, warc
 from .common import shared_dir, table, written
 
 
@@ -28,6 +28,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(stretches).drop("n_tokens", "loss_tokens")
 
 
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_ids(rans.write_ids(table(spark, sf_dir, "documents"), shared_dir(spark, "token-ids")), with_ids=False)
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_chat_format": op3_chat_format,
+    "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op6_rans_token_ids": op6_rans_token_ids,
     "op7_warc_normaliser": op7_warc_normaliser,
     "op8_certified_packing": op8_certified_packing,
