@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import batched, rows_of
 from .tokens import default_path, text_encoder
 
-LANES = 512
+LANES = 4096
 #: Bits of the frequencies' sum, ids of a block and of a segment (at least, as documents stay whole).
-BITS, BLOCK, SEGMENT = 18, 1 << 18, 1 << 22
+BITS, BLOCK, SEGMENT = 18, 1 << 19, 1 << 22
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _BITS = np.uint64(BITS)
@@ -74,6 +74,7 @@ class Table:
         self.low = (np.cumsum(freq) - freq).astype(np.uint64)
         self.limit = self.freq << np.uint64(63 - BITS)  # a state at or over this gives a word away first
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+        self.rows = np.stack([self.freq, self.limit, self.low], axis=1)
 
     def encode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(states, words) of one block."""
@@ -81,13 +82,14 @@ class Table:
         words: list[np.ndarray] = []
         for step in range(-(-len(ids) // LANES) - 1, -1, -1):
             part = ids[step * LANES : (step + 1) * LANES]
-            x, f = state[: len(part)], self.freq[part]
-            full = x >= self.limit[part]
-            if full.any():
+            x = state[: len(part)]
+            f, limit, low = self.rows[part].T
+            full = np.flatnonzero(x >= limit)
+            if len(full):
                 words.append((x[full] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
                 x[full] >>= _WORD
             q = x // f
-            state[: len(part)] = (q << _BITS) + (x - q * f) + self.low[part]
+            x += q * ((np.uint64(1) << _BITS) - f) + low  # (q << BITS) + x % f + low
         return state, np.concatenate(words[::-1]) if words else np.empty(0, np.uint32)
 
     def decode(self, n: int, state: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -98,12 +100,12 @@ class Table:
             slot = x & _MASK
             got = self.symbol[slot]
             ids[i : i + len(x)] = got
-            x = self.freq[got] * (x >> _BITS) + slot - self.low[got]
-            thin = x < _LOW
-            k = int(np.count_nonzero(thin))
-            if k:
-                x[thin] = (x[thin] << _WORD) | words[at : at + k]
-                at += k
+            f, _, low = self.rows[got].T
+            x = f * (x >> _BITS) + slot - low
+            thin = np.flatnonzero(x < _LOW)
+            if len(thin):
+                x[thin] = (x[thin] << _WORD) | words[at : at + len(thin)]
+                at += len(thin)
             state[: len(x)] = x
         if at != len(words) or (state != _LOW).any():
             raise ValueError("the block is damaged: states or words left over")

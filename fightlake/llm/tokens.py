@@ -1,7 +1,7 @@
 """Token ids of whole texts with a byte-level BPE vocabulary file, exactly and with little repeated work.
 
 The pre-tokeniser never joins text across a place where white space follows something else, nor a
-letter and a full stop or comma after it. So a text is cut before single spaces and line ends, each
+letter and the marks after it. So a text is cut before single spaces and line ends, each
 piece is encoded once by the tokenizers library, and later ones come from a bounded memory. Texts with
 white space in a row, or other than ASCII's, or with a special token's string, are encoded in one go.
 """
@@ -9,6 +9,7 @@ white space in a row, or other than ASCII's, or with a special token's string, a
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +19,8 @@ MEMORY, LONGEST = 1 << 18, 48
 END_ID = 0
 #: Code points outside ASCII's white space that some definition counts as white space.
 _RARE = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
+#: Fixed value: ASCII's marks, none of which is a letter, a digit or white space.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _RARE_SPACE = re.compile("[\t\r\x0b\x0c" + "".join(map(chr, _RARE)) + "]")
 
 
@@ -60,8 +63,9 @@ class TextEncoder:
         self._words, self._pieces = _Memory(self._word), _Memory(self._piece)
 
     def _word(self, text: str) -> bytes:
-        if text[0] == " " and text[1:].isalpha() and ord(max(text)) < 0x250:  # one pre-token: the model alone suffices
-            return np.array([t.id for t in self._model.tokenize("".join(map(self._letters.__getitem__, text.encode())))], "<u4").tobytes()
+        letters = text[1:] if text[0] == " " else text
+        if letters.isalpha() and ord(max(letters)) < 0x250:  # one pre-token: the model alone suffices
+            return array("I", [t.id for t in self._model.tokenize("".join(map(self._letters.__getitem__, text.encode())))]).tobytes()
         return self._plain(text)
 
     def _whole(self, text: str) -> bool:
@@ -71,9 +75,14 @@ class TextEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece that follows a space, or that begins with a line end."""
-        text = piece if piece[:1] == "\n" else " " + piece
-        if len(text) > 2 and text[-1] in ".," and text[-2].isalpha():
-            return self._words[text[:-1]] + self._words[text[-1]]
+        if piece[:1] == "\n":
+            return self._words["\n"] + (self._parted(piece[1:]) if len(piece) > 1 else b"")
+        return self._parted(f" {piece}")
+
+    def _parted(self, text: str) -> bytes:
+        core = text.rstrip(_MARKS)
+        if len(core) < len(text) and core[-1:].isalpha():  # marks after a letter are pre-tokens of their own
+            return self._words[core] + self._words[text[len(core) :]]
         return self._words[text]
 
     def encode(self, text: str | None) -> np.ndarray:
