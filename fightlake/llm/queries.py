@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, packing, pii, rans, repetition, simhash, warc
+from . import chat, decontam, line_dedup, ordinal, packing, pii, rans, repetition, simhash, warc
 from .common import shared_dir, table, written
 
 
@@ -32,6 +32,12 @@ def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal.fit(ordinal.bounded_sample(docs, ordinal.grade_of(table(spark, sf_dir, "labels"))))
+    return ordinal.score(docs, model)
+
+
 def op6_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_ids(rans.write_ids(table(spark, sf_dir, "documents"), shared_dir(spark, "token-ids")), with_ids=False)
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
+    "op5_ordinal_quality": op5_ordinal_quality,
     "op6_rans_token_ids": op6_rans_token_ids,
     "op7_warc_normaliser": op7_warc_normaliser,
     "op8_certified_packing": op8_certified_packing,
