@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -193,12 +194,11 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label[:] = root[label]
 
 
-def shard_links(shard: np.ndarray, code: np.ndarray, radius: int, radii: tuple[int, ...] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spanning forest (a, b, distance; a and b are row numbers) of the links inside shards, and closer links first by ``radii``."""
+def shard_links(shard: np.ndarray, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spanning forest (a, b, distance; a and b are row numbers) of the links inside shards of two rows or more; closer links first."""
     n = len(code)
     levels = [(np.arange(n + 1), code, code)]  # bounds among the nodes below, AND, OR
-    bounds = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-    roots = bounds
+    roots = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
     rows = [np.arange(n + 1)]  # bounds among the rows
     while (np.diff(roots) > 1).any():
         width = np.diff(roots)
@@ -209,55 +209,75 @@ def shard_links(shard: np.ndarray, code: np.ndarray, radius: int, radii: tuple[i
         rows.append(rows[-1][levels[-1][0]])
         roots = np.concatenate([[0], np.cumsum(groups)])
     masks = [~(low ^ high) for _, low, high in levels]
+    leaves, ends = levels[1][0][:-1], levels[1][0][1:]
+    member = np.minimum(leaves[:, None] + np.arange(FAN), ends[:, None] - 1)  # short leaves repeat their last row
+    codes = code[member]
     label = np.arange(n)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for r in radii or (radius,):
-        stack = [(len(levels) - 1, np.arange(len(roots) - 1), np.arange(len(roots) - 1))]
-        while stack:
-            level, a, b = stack.pop()
-            if level:
-                first, last = np.minimum.reduceat(label, rows[level][:-1]), np.maximum.reduceat(label, rows[level][:-1])
-                todo = ~((first[a] == last[a]) & (first[b] == last[b]) & (first[a] == first[b]))
-                a, b = a[todo], b[todo]
-                below = levels[level][0]
-                na, nb = below[a + 1] - below[a], below[b + 1] - below[b]
-                count = na * nb
-                ends = np.cumsum(count)
-                if len(a) > 1 and ends[-1] > STEP:
-                    parts = np.unique(np.searchsorted(ends, np.arange(STEP, ends[-1], STEP)) + 1)
-                    stack += [(level, x, y) for x, y in zip(np.split(a, parts), np.split(b, parts), strict=True) if len(x)][::-1]
-                    continue
-                if not len(a):
-                    continue
-                k = np.arange(ends[-1]) - np.repeat(ends - count, count)
-                nb = np.repeat(nb, count)
-                a, b = np.repeat(below[a], count) + k // nb, np.repeat(below[b], count) + k % nb
-                level -= 1
-                _, low, _ = levels[level]
-                ok = (a <= b) if level else (a < b)
-                a, b = a[ok], b[ok]
-                d = np.bitwise_count((low[a] ^ low[b]) & masks[level][a] & masks[level][b])
-                ok = d <= r
-                a, b, d = a[ok], b[ok], d[ok]
-                if level and len(a):
-                    stack.append((level, a, b))
-                elif len(a):
-                    open_ = label[a] != label[b]
-                    a, b, d = a[open_], b[open_], d[open_]
-                    order = np.lexsort((np.maximum(code[a], code[b]), np.minimum(code[a], code[b]), d))
-                    a, b, d = a[order], b[order], d[order]
-                    pick = _forest(label, a, b)
-                    out.append((a[pick], b[pick], d[pick]))
+    holds = 0
+
+    def join_held() -> None:
+        nonlocal holds
+        a, b, d = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((np.maximum(code[a], code[b]), np.minimum(code[a], code[b]), d))
+        a, b, d = a[order], b[order], d[order]
+        pick = _forest(label, a, b)
+        out.append((a[pick], b[pick], d[pick]))
+        held.clear()
+        holds = 0
+
+    def children(level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        below = levels[level][0]
+        na, nb = below[a + 1] - below[a], below[b + 1] - below[b]
+        count = na * nb
+        k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        nb = np.repeat(nb, count)
+        a, b = np.repeat(below[a], count) + k // nb, np.repeat(below[b], count) + k % nb
+        return a[a <= b], b[a <= b]
+
+    stack = [(len(levels) - 1, np.arange(len(roots) - 1), np.arange(len(roots) - 1))]
+    while stack:
+        level, a, b = stack.pop()
+        if len(a) > STEP // FAN**2:
+            parts = np.arange(STEP // FAN**2, len(a), STEP // FAN**2)
+            stack += [(level, x, y) for x, y in zip(np.split(a, parts), np.split(b, parts), strict=True)][::-1]
+            continue
+        if out:  # pairs of nodes whose members are in one component by now
+            first, last = np.minimum.reduceat(label, rows[level][:-1]), np.maximum.reduceat(label, rows[level][:-1])
+            todo = ~((first[a] == last[a]) & (first[b] == last[b]) & (first[a] == first[b]))
+            a, b = a[todo], b[todo]
+        if not len(a):
+            continue
+        if level > 1:
+            a, b = children(level, a, b)
+            _, low, _ = levels[level - 1]
+            ok = np.bitwise_count((low[a] ^ low[b]) & masks[level - 1][a] & masks[level - 1][b]) <= radius
+            stack.append((level - 1, a[ok], b[ok]))
+            continue
+        differ = np.bitwise_count(codes[a][:, :, None] ^ codes[b][:, None, :])
+        pair, i, j = np.nonzero(differ <= radius)
+        d, a, b, i, j = differ[pair, i, j], a[pair], b[pair], i, j
+        x, y = leaves[a] + i, leaves[b] + j
+        ok = (x < ends[a]) & (y < ends[b]) & (x < y)
+        x, y, d = x[ok], y[ok], d[ok]
+        ok = label[x] != label[y]
+        held.append((x[ok], y[ok], d[ok]))
+        holds += int(ok.sum())
+        if holds > STEP:
+            join_held()
+    if holds:
+        join_held()
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _join(radius: int, free: int, radii: tuple[int, ...] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _join(radius: int, free: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables = block_tables(radius, free)
     for shard, place in _shards(batches):
         code = gray_code(place.view(np.uint64) ^ _SIGN)
-        a, b, _ = shard_links(shard, code, radius, radii)
+        a, b, _ = shard_links(shard, code, radius)
         which = shard[a] >> 40
         for t in np.unique(which):
             at = which == t
@@ -265,11 +285,18 @@ def _join(radius: int, free: int, radii: tuple[int, ...] | None, batches: Iterat
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
 
-def hamming_links(fps: DataFrame, radius: int, free: int = 2, radii: tuple[int, ...] | None = None) -> DataFrame:
+def best_free(n: int, radius: int) -> int:
+    """How many blocks a table's key should have for ``n`` fingerprints; any number finds all links."""
+    rows, pair = 3.0, 0.015  # microseconds to deal out and sort a row, and to compare a pair
+    cost = {f: comb(radius + f, f) * (rows + pair * n / 2 ** (64 * f / (radius + f)) / 2) for f in range(2, 6)}
+    return min(cost, key=cost.get)
+
+
+def hamming_links(fps: DataFrame, radius: int, free: int) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of ``fps`` (fp) that connect all within ``radius`` bits of each other."""
     dealt = fps.select("fp").mapInArrow(partial(_deal, radius, free), "shard long, place long")
     sorted_ = dealt.repartition("shard").sortWithinPartitions("shard", "place")
-    return sorted_.mapInArrow(partial(_join, radius, free, radii), "a long, b long").distinct()
+    return sorted_.mapInArrow(partial(_join, radius, free), "a long, b long").distinct()
 
 
 def _similar(floor: float):
@@ -303,15 +330,15 @@ def _verified(links: DataFrame, reps: DataFrame, docs: DataFrame, size: int, sim
     return pairs.where(_similar(similarity)("x", "y")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, free: int = 2, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of each row; component_id is the smallest doc_id reachable over links.
 
     With ``similarity``, a link between different fingerprints also needs that Jaccard similarity
-    of the two texts' shingle sets; links are then tried from the closest fingerprints on.
+    of the two texts' shingle sets; each shard offers its links from the closest fingerprints on.
     """
     prints, _ = written(fingerprints(docs, size), "fingerprints")
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    links = hamming_links(reps, radius, free, tuple(range(4, radius, 4)) + (radius,) if similarity else None)
+    links = hamming_links(reps, radius, best_free(reps.count(), radius))
     if similarity:
         links = _verified(links, reps, docs, size, similarity)
     roots = connected_components(links)
@@ -323,11 +350,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, free: int =
     return prints.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, radius: int = 10, similarity: float = 0.8) -> DataFrame:
     """``docs`` without those that are near-duplicates of a smaller doc_id; all columns stay.
 
     A row without a doc_id stays, as do all rows that repeat a kept doc_id.
     """
-    found = near_duplicates(docs, size, radius, 2, similarity)
+    found = near_duplicates(docs, size, radius, similarity)
     gone, _ = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

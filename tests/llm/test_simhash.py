@@ -60,11 +60,11 @@ def brute_links(values, radius):
 
 
 def test_join_finds_the_components_of_all_links(spark):
-    for seed, radius, radii in ((1, 4, None), (2, 12, (4, 8, 12))):
+    for seed, radius, free in ((1, 4, 2), (2, 10, 2), (3, 4, 3)):
         values = planted(seed)
         fps = spark.createDataFrame([(S._signed(v),) for v in values], "fp long")
         number = {S._signed(v): i for i, v in enumerate(values)}
-        got = [(number[r.a], number[r.b]) for r in S.hamming_links(fps, radius, 2, radii).collect()]
+        got = [(number[r.a], number[r.b]) for r in S.hamming_links(fps, radius, free).collect()]
         assert all((values[a] ^ values[b]).bit_count() <= radius for a, b in got)
         assert roots(len(values), got) == roots(len(values), brute_links(values, radius))
 
@@ -120,3 +120,15 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(1, 61)) and got[2001] == 2000
     assert {v for k, v in got.items() if 1000 < k < 2000} == {1000} and 5 in got and 0 not in got
+
+
+def test_many_pairs_of_nodes_are_split_and_end():
+    rng = np.random.default_rng(4)
+    values = np.sort(rng.integers(0, 2**30, 6000, np.uint64))
+    a, b, d = S.shard_links(np.repeat(np.arange(3), 2000), values, 3)
+    assert sorted(zip(a.tolist(), b.tolist())) and len(a) > 10
+    assert roots(6000, list(zip(a.tolist(), b.tolist()))) == roots(6000, [(i + 2000 * k, j + 2000 * k) for k in range(3) for i, j in brute_links(values[2000 * k : 2000 * k + 2000].tolist(), 3)])
+
+
+def test_number_of_key_blocks_grows_with_the_corpus():
+    assert [S.best_free(n, 4) for n in (10**5, 10**8, 10**11)] == sorted(S.best_free(n, 4) for n in (10**5, 10**8, 10**11))
