@@ -14,7 +14,7 @@ def first_match(events: DataFrame, bosses: DataFrame) -> DataFrame:
     ``bosses``: boss_id, boss_name, def_rank, npc_ids, names. They are a small, curated table; Spark sends
     them whole only below its broadcast limit and joins by hash else.
     """
-    seen = events.select(*PULL, "line_number", F.explode(F.array(F.struct(F.col("source").alias("name"), F.col("source_npc_id").alias("npc")), F.struct(F.col("target").alias("name"), F.col("target_npc_id").alias("npc")))).alias("e")).select(*PULL, "line_number", "e.*")
+    seen = events.select(*PULL, "line_number", F.explode(F.array(F.struct(F.col("source").alias("name"), F.col("source_npc_id").alias("npc")), F.struct(F.col("target").alias("name"), F.col("target_npc_id").alias("npc")))).alias("side")).select(*PULL, "line_number", "side.name", "side.npc")
     least = seen.groupBy(*PULL, "name", "npc").agg(F.min("line_number").alias("line_number"))
     by_id = bosses.where("size(npc_ids) > 0").select("boss_id", "boss_name", "def_rank", F.explode("npc_ids").alias("npc"))
     by_name = bosses.where("size(npc_ids) = 0").select("boss_id", "boss_name", "def_rank", F.explode("names").alias("name"))

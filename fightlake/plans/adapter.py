@@ -23,8 +23,8 @@ ev as (select 'combat_' || cast(cast(ts as date) as {S}) log_path, event_id line
     else case when k % 10 = 0 then 'ExitCombat' when k % 9 = 0 then 'ModifyThreat' when k % 7 = 0 then 'AbilityInterrupt' when k % 50 = 1 then 'AreaEntered' else 'AbilityActivate' end end effect_name,
   case when event_type in ('purchase', 'click') then cast(cast(value as decimal(18,2)) as double) else 0e0 end amount,
   event_type in ('purchase', 'click') and k % 4 = 0 is_critical,
-  case when event_type = 'click' and k % 3 = 0 then cast(cast(value / 4 as decimal(18,2)) as double) else 0e0 end overheal,
-  case when event_type = 'purchase' and k % 5 = 0 then cast(cast(value / 2 as decimal(18,2)) as double) else 0e0 end shield_absorbed,
+  case when event_type = 'click' and k % 3 = 0 then cast(floor(value * 25) as double) / 100 else 0e0 end overheal,
+  case when event_type = 'purchase' and k % 5 = 0 then cast(floor(value * 50) as double) / 100 else 0e0 end shield_absorbed,
   case when event_type = 'purchase' and k % 11 = 0 then 'dodge' end avoidance,
   k, event_type from b0),
 e as (select *, effect_name = 'Damage' is_damage, effect_name = 'Heal' is_heal, effect_name = 'Death' is_death, effect_name = 'EnterCombat' is_combat_start,

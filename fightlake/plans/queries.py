@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus, pulls, stats
+from ..functions import parse
+from ..operators import clock, corpus, forensics, maintenance, pulls, rules, stats, timeline
 from . import adapter
 from .adapter import DUCK_EV, TIMING
 
@@ -69,10 +70,6 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def six(sql: str) -> str:
-    return sql
-
-
 @query(f"{PULLS} select log_path, line_number, pull_index, area_line from p")
 def pull_splitting(spark, sf_dir):
     return split(spark, sf_dir).select("log_path", "line_number", "pull_index", "area_line")
@@ -99,3 +96,202 @@ _RATES = ["dps", "hps", "ehps", "dtps", "tps", "apm", "mitigation_pct", "accurac
 @query(f"{PULLS} select log_path, pull_index, name, is_player, {', '.join(f'round({r}, 6) {r}' for r in _RATES)} from ra")
 def pull_entity_rates(spark, sf_dir):
     return rounded(rated(spark, sf_dir).select("log_path", "pull_index", "name", "is_player", *_RATES))
+
+
+# ---- Parsing and the clock -------------------------------------------------------------------------------------------
+
+_LINE = """'[' || lpad(cast((t_ms // 3600000) % 24 as {S}), 2, '0') || ':' || lpad(cast((t_ms // 60000) % 60 as {S}), 2, '0') || ':' || lpad(cast((t_ms // 1000) % 60 as {S}), 2, '0') || '.' || lpad(cast(t_ms % 1000 as {S}), 3, '0') || '] [@' || source || '#' || cast(100 + k as {S}) || '|(1,2,3,4)|(5/9)] ['
+  || case k % 4 when 0 then 'Mob ' || cast(k as {S}) || ' {{99' || cast(k as {S}) || '}}:12|(0,0,0,0)|(' || cast(k as {S}) || '/100)' when 1 then '=' when 2 then '@' || source || '#7/Pet ' || cast(k as {S}) || ' {{55}}:3|(0,0,0,0)|(1/2)' else '@Ally' || cast(k as {S}) || '#8|(0,0,0,0)|(' || cast(k as {S}) || '/100)' end
+  || '] [' || case when k % 6 = 0 then '' else 'Skill ' || cast(k as {S}) || ' {{81' || cast(k as {S}) || '}}' end || '] ['
+  || case k % 8 when 0 then 'ApplyEffect {{1}}: Damage {{2}}] (' || cast(k * 10 as {S}) || case when k % 3 = 0 then '*' else '' end || ' energy {{3}} -shield {{4}} (' || cast(k as {S}) || ' absorbed {{5}}))'
+    when 1 then 'ApplyEffect {{1}}: Heal {{2}}] (' || cast(k as {S}) || '.5* ~' || cast(k as {S}) || ')' when 2 then 'Event {{1}}: Death {{2}}]' when 3 then 'ApplyEffect {{1}}: Deathmark {{2}}]'
+    when 4 then 'Event {{1}}: ModifyThreat {{2}}] <-' || cast(k as {S}) || '.25>' when 5 then 'ModifyCharges {{1}}: Shell {{2}}] (' || cast(k as {S}) || ' charges {{3}})'
+    when 6 then 'ApplyEffect {{1}}: Damage {{2}}] (0 -dodge {{3}})' else 'AreaEntered {{1}}: Place {{2}} ' || cast(k as {S}) || ' Player Master {{3}}]' end"""
+_LOG = "select 'combat_log' log_path, event_id line_number, k, source, t_ms, {line} line from (select event_id, cast(regexp_extract(props, '[0-9]+', 0) as int) k, 'U' || cast(user_id as {S}) source, {MS} t_ms from events)"
+_DUCK_LINES = _LOG.format(line=_LINE.format(S="varchar"), S="varchar", MS="epoch_us(ts)//1000")
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in the log's grammar, one an event, over several days in one file."""
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = raw.selectExpr("event_id line_number", "cast(regexp_extract(props, '[0-9]+', 0) as int) k", "'U' || cast(user_id as string) source", "unix_millis(cast(ts as timestamp)) t_ms")
+    return rows.selectExpr("'combat_log' log_path", "line_number", "k", "source", "t_ms", _LINE.format(S="string").replace("//", " div ") + " line")
+
+
+@query(f"""select line_number, regexp_extract(line, '[0-9][0-9]?:[0-9][0-9]:[0-9][0-9][.][0-9]+', 0) as "timestamp", source, true source_is_player,
+  case k % 4 when 0 then 'Mob ' || k when 1 then source when 2 then 'Pet ' || k else 'Ally' || k end target, k % 4 in (1, 3) target_is_player, case k % 4 when 0 then '99' || k when 2 then '55' end target_npc_id,
+  case k % 4 when 0 then k::double when 2 then 1::double when 3 then k::double end hp_current, case when k % 6 <> 0 then 'Skill ' || k end ability, case when k % 6 <> 0 then '81' || k end ability_id from ({_DUCK_LINES})""")
+def parse_entities(spark, sf_dir):
+    rows = parse.parse_events(log_lines(spark, sf_dir))
+    return rows.select("line_number", "timestamp", "source", "source_is_player", "target", "target_is_player", "target_npc_id", "hp_current", "ability", "ability_id")
+
+
+@query(f"""select line_number, k % 8 in (0, 6) is_damage, k % 8 = 1 is_heal, k % 8 = 2 is_death, k % 8 = 7 is_area_entered, k % 8 = 4 is_threat_modified, k % 8 = 5 is_charges_modified,
+  case k % 8 when 0 then k * 10.0::double when 1 then k + 0.5::double else 0 end amount, (k % 8 = 0 and k % 3 = 0) or k % 8 = 1 is_critical, case when k % 8 = 1 then k::double else 0 end overheal,
+  case when k % 8 = 0 then k::double else 0 end shield_absorbed, case when k % 8 = 6 then 'dodge' end avoidance, case when k % 8 = 4 then -k - 0.25::double else 0 end threat_delta,
+  case when k % 8 = 7 then k end group_size, case when k % 8 = 7 then 'master' end difficulty, case when k % 8 = 5 then k end charges from ({_DUCK_LINES})""")
+def parse_kinds_and_amounts(spark, sf_dir):
+    rows = parse.parse_events(log_lines(spark, sf_dir)).withColumn("charges", F.when(F.col("is_charges_modified"), parse.remaining_charges(F.col("values"))))
+    return rows.select("line_number", "is_damage", "is_heal", "is_death", "is_area_entered", "is_threat_modified", "is_charges_modified", "amount", "is_critical", "overheal", "shield_absorbed", "avoidance", "threat_delta", "group_size", "difficulty", "charges")
+
+
+@query("select event_id line_number, epoch_us(ts)//1000 - (select min(epoch_us(ts)//1000) from events) // 86400000 * 86400000 t_ms from events")
+def log_clock(spark, sf_dir):
+    rows = parse.parse_events(log_lines(spark, sf_dir)).withColumn("raw_ms", clock.day_ms(F.col("timestamp")))
+    return clock.with_clock(rows).select("line_number", "t_ms")
+
+
+@query(f"with {DUCK_EV} select log_path, line_number, cast(substr(log_path, 8) as date) session_date, (cast(substr(log_path, 8) as timestamp) + t_ms % 86400000 * interval 1 millisecond) event_time from e")
+def session_dates(spark, sf_dir):
+    rows = clock.with_event_time(adapter.events(spark, sf_dir).withColumn("t_ms", F.col("t_ms") % 86400000))
+    return rows.select("log_path", "line_number", "session_date", F.col("event_time").cast("timestamp_ntz").alias("event_time"))
+
+
+@query("""with b as (select user_id, event_id, case when epoch_us(ts)//1000 - lag(epoch_us(ts)//1000) over (partition by user_id order by ts) > 7200000 then 1 else 0 end late, ts from events)
+select user_id, event_id, sum(late) over (partition by user_id order by ts)::bigint session_index from b""")
+def gap_sessions(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    return pulls.gap_sessions(rows, "user_id", "ms", 7_200_000).select("user_id", "event_id", "session_index")
+
+
+# ---- Of each pull ----------------------------------------------------------------------------------------------------
+
+
+@query(f"{PULLS} select log_path, pull_index, source as name, coalesce(ability, effect_name) as key, sum(amount::decimal(18,2))::double total, count(*) hits from q where attack and amount <> 0 group by all")
+def damage_by_ability(spark, sf_dir):
+    return stats.breakdown(split(spark, sf_dir))
+
+
+@query(f"{PULLS} select log_path, pull_index, source as name, target as key, sum(amount::decimal(18,2))::double total, count(*) hits from q where heals and amount <> 0 group by all")
+def healing_by_target(spark, sf_dir):
+    return stats.breakdown(split(spark, sf_dir), "healing", "target")
+
+
+@query(f"""{PULLS}, t as (select log_path, pull_index, source as name, coalesce(ability, effect_name) as key, sum(amount::decimal(18,2))::double total, count(*) hits from q where attack and amount <> 0 group by all)
+select *, row_number() over (partition by log_path, pull_index, name order by total desc, key)::int rank from t qualify rank <= 8""")
+def top_abilities(spark, sf_dir):
+    return stats.top(stats.breakdown(split(spark, sf_dir)), 8, "log_path", "pull_index", "name")
+
+
+@query(f"{PULLS} select log_path, pull_index, name, damage_done, row_number() over (partition by log_path, pull_index order by damage_done desc, name)::int rank from st where is_player qualify rank <= 3")
+def top_players(spark, sf_dir):
+    rows = stats.players_only(stats.entity_stats(split(spark, sf_dir)))
+    return stats.top(rows.select("log_path", "pull_index", "name", "damage_done"), 3, "log_path", "pull_index", by="damage_done", tie="name")
+
+
+@query(f"{PULLS} select log_path, pull_index, name, damage_taken as value, sum(damage_taken::decimal(28,6)) over (partition by log_path, pull_index)::double total, row_number() over (partition by log_path, pull_index order by damage_taken desc, name)::int rank from st where damage_taken > 0")
+def leaderboard_taken(spark, sf_dir):
+    return stats.leaderboard(stats.entity_stats(split(spark, sf_dir)), "damage_taken")
+
+
+@query(f"""{PULLS}, b as (select log_path, pull_index, source as name, t_ms // 1000 s, sum(amount::decimal(18,2)) v from q where attack and amount <> 0 group by all),
+w as (select *, sum(v) over (partition by log_path, pull_index, name order by s range between 3600 preceding and current row) run from b) select log_path, pull_index, name, round(max(run)::double / 3600, 6) burst from w group by 1, 2, 3""")
+def burst_damage(spark, sf_dir):
+    return rounded(stats.burst(split(spark, sf_dir), "damage", 3600))
+
+
+@query(f"{PULLS} select log_path, pull_index, source as name, sum(amount::decimal(18,2))::double boss_damage from q where attack and target in ('B2', 'B5') group by all")
+def boss_damage(spark, sf_dir):
+    return stats.target_filtered(split(spark, sf_dir), spark.createDataFrame([("B2",), ("B5",)], "name string"))
+
+
+@query(f"""{PULLS}, g as (select log_path, pull_index, start_ms, duration, least(greatest(duration / 90, 75.0::double), 1500.0::double) width from pd),
+pn as (select distinct log_path, pull_index, name from (select log_path, pull_index, source as name from p union all select log_path, pull_index, target from p where target_is_player)),
+cells as (select log_path, pull_index, name, unnest(range(0, floor(duration / width)::bigint + 1))::int bucket from pn join g using (log_path, pull_index)),
+su as (select log_path, pull_index, source as name, least(floor((t_ms - start_ms) / 1000.0::double / width), floor(duration / width))::int bucket, sum(case when is_damage then amount else 0 end::decimal(18,2)) d, sum(case when is_heal then amount else 0 end::decimal(18,2)) h
+  from p join g using (log_path, pull_index) where amount > 0 and ((is_damage and ability is not null) or is_heal) group by all)
+select log_path, pull_index, name, bucket, coalesce(d, 0)::double damage, coalesce(h, 0)::double healing from cells left join su using (log_path, pull_index, name, bucket)""")
+def pull_timeline(spark, sf_dir):
+    rows = split(spark, sf_dir)
+    return timeline.timeline(rows, pulls.pulls_of(rows), 75)
+
+
+# ---- Bosses and the archive --------------------------------------------------------------------------------------------
+
+_BOSSES = [("b1", "Alpha", 0, ["702"], ["B2", "U5"]), ("b2", "U1 the Great", 1, [], ["U1", "B5"])]
+_BOSS_SQL = """bt(boss_id, boss_name, def_rank, npc, name) as (values ('b1', 'Alpha', 0, '702', null), ('b2', 'U1 the Great', 1, null, 'U1'), ('b2', 'U1 the Great', 1, null, 'B5')),
+kn(boss_id, name) as (values ('b1', 'B2'), ('b1', 'U5'), ('b2', 'U1')),
+seen as (select log_path, pull_index, line_number, source as name, source_npc_id npc from p union all select log_path, pull_index, line_number, target, target_npc_id from p),
+ma as (select log_path, pull_index, bt.boss_id, bt.boss_name, line_number seen_line from seen join bt on bt.npc = seen.npc or (bt.npc is null and bt.name = seen.name) qualify row_number() over (partition by log_path, pull_index order by line_number, def_rank) = 1),
+dl as (select log_path, pull_index, target as name, max(line_number) died from p where is_death group by 1, 2, 3),
+lf as (select log_path, pull_index, max(coalesce(died < seen_line, true)::int) = 1 alive from ma join kn using (boss_id) left join dl using (log_path, pull_index, name) group by 1, 2),
+bd as (select log_path, pull_index, avg(case when is_player then (deaths > 0)::int end) dead, coalesce(sum(deaths) filter (is_player), 0)::bigint player_deaths, coalesce(sum(deaths) filter (not is_player), 0)::bigint npc_deaths, count(*) filter (not is_player) npc_count,
+  coalesce(sum(damage_done::decimal(18,2)) filter (not is_player), 0)::double npc_damage from st group by 1, 2),
+ix as (select pd.*, boss_id, boss_name, seen_line, player_deaths, npc_deaths, npc_count, npc_damage, case when boss_id is null then 'unknown' when not alive then 'kill' when dead >= 0.5 then 'wipe' else 'reset' end outcome
+  from pd left join ma using (log_path, pull_index) left join lf using (log_path, pull_index) left join bd using (log_path, pull_index))"""
+
+
+def bosses(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_BOSSES, "boss_id string, boss_name string, def_rank int, npc_ids array<string>, names array<string>")
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = split(spark, sf_dir)
+    table = bosses(spark)
+    return corpus.outcomes(pulls.pulls_of(rows), rows, corpus.first_match(rows, table), maintenance.kill_names(table), stats.entity_stats(rows))
+
+
+@query(f"{PULLS}, {_BOSS_SQL} select log_path, pull_index, boss_id, boss_name, seen_line from ma")
+def boss_recognition(spark, sf_dir):
+    return corpus.first_match(split(spark, sf_dir), bosses(spark))
+
+
+@query("select * from (values ('b1', 'B2'), ('b1', 'U5'), ('b2', 'U1')) t(boss_id, name)")
+def kill_names(spark, sf_dir):
+    return maintenance.kill_names(bosses(spark))
+
+
+QUERIES.pop("kill_names"), ORACLE_SQL.pop("kill_names")  # a rule table alone, not data: a unit test holds it
+
+
+@query(f"{PULLS}, {_BOSS_SQL} select log_path, pull_index, boss_id, outcome, player_deaths, npc_deaths, npc_count, npc_damage from ix")
+def pull_outcomes(spark, sf_dir):
+    return index(spark, sf_dir).select("log_path", "pull_index", "boss_id", "outcome", "player_deaths", "npc_deaths", "npc_count", "npc_damage")
+
+
+@query(f"""{PULLS}, {_BOSS_SQL} select boss_id, boss_name, count(*) pulls, count(*) filter (outcome = 'kill') kills, count(*) filter (outcome = 'wipe') wipes, count(*) filter (outcome = 'reset') resets,
+  sum(duration::decimal(18,3))::double total_seconds, sum(player_deaths)::bigint deaths, max(duration) longest, list_sort(list(duration))[len(list(duration)) // 2 + 1] median, min(duration) filter (outcome = 'kill') fastest_kill,
+  max(duration) filter (outcome = 'kill') slowest_kill, min(log_path) first_seen, max(log_path) last_seen, round(100.0::double * count(*) filter (outcome = 'kill') / count(*), 6) kill_pct from ix where boss_id is not null group by 1, 2""")
+def boss_summary(spark, sf_dir):
+    return rounded(corpus.boss_summary(index(spark, sf_dir)))
+
+
+@query(f"{PULLS} select name, count(*) encounters, sum(damage_done::decimal(18,2))::double damage, sum(healing_done::decimal(18,2))::double healing, sum(deaths)::bigint deaths, case when sum(healing_done::decimal(18,2)) > sum(damage_done::decimal(18,2)) then 'healer' else 'damage' end as role from st where is_player group by 1")
+def players_seen(spark, sf_dir):
+    return corpus.players_seen(stats.entity_stats(split(spark, sf_dir)))
+
+
+@query(f"{PULLS}, {_BOSS_SQL} select count(distinct log_path) sessions, count(*) encounters, count(boss_id) boss_encounters, count(distinct boss_id) bosses, min(log_path) first_log, max(log_path) last_log from ix")
+def corpus_overview(spark, sf_dir):
+    return index(spark, sf_dir).agg(F.countDistinct("log_path").alias("sessions"), F.count("*").alias("encounters"), F.count("boss_id").alias("boss_encounters"), F.countDistinct("boss_id").alias("bosses"), F.min("log_path").alias("first_log"), F.max("log_path").alias("last_log"))
+
+
+@query(f"{PULLS} select log_path, name, count(*) pulls, round(avg(dps), 6) mean, round(max(dps), 6) best, sum(deaths)::bigint deaths from ra where is_player group by 1, 2")
+def nightly_rollup(spark, sf_dir):
+    rows = rated(spark, sf_dir).where("is_player").groupBy("log_path", "name")
+    return rounded(rows.agg(F.count("*").alias("pulls"), F.avg("dps").alias("mean"), F.max("dps").alias("best"), F.sum("deaths").alias("deaths")))
+
+
+@query(f"""{PULLS}, o as (select *, (row_number() over (partition by name order by log_path, pull_index) - 1)::double i from ra where is_player), f as (select name, count(*) n, regr_slope(dps, i) slope, regr_intercept(dps, i) ic from o group by 1)
+select name, n, round(slope, 5) slope, round(ic, 5) intercept from f""")
+def player_trend_fit(spark, sf_dir):
+    fit = corpus.trend(rated(spark, sf_dir).where("is_player"), "dps")
+    return fit.select("name", "n", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"))
+
+
+@query(f"{PULLS} select name, log_path, pull_index, round(dps, 6) dps, round(avg(dps) over (partition by name order by log_path, pull_index rows between 2 preceding and 4 following), 6) rolling from ra where is_player")
+def rolling_trend(spark, sf_dir):
+    return rounded(corpus.rolling_mean(rated(spark, sf_dir).where("is_player"), "dps", "name", "log_path", "pull_index").select("name", "log_path", "pull_index", "dps", "rolling"))
+
+
+@query(f"""{PULLS}, a as (select name, dps, hps from ra where log_path = 'combat_2024-01-02' and pull_index = 1), b as (select name, dps, hps from ra where log_path = 'combat_2024-01-03' and pull_index = 1)
+select name, round(coalesce(a.dps, 0), 6) dps_a, round(coalesce(b.dps, 0), 6) dps_b, round(coalesce(a.hps, 0), 6) hps_a, round(coalesce(b.hps, 0), 6) hps_b, round(coalesce(b.dps, 0) - coalesce(a.dps, 0), 6) dps_delta, round(coalesce(b.hps, 0) - coalesce(a.hps, 0), 6) hps_delta from a full join b using (name)""")
+def compare_pulls(spark, sf_dir):
+    return rounded(corpus.compare(rated(spark, sf_dir), ("combat_2024-01-02", 1), ("combat_2024-01-03", 1)))
+
+
+@query(f"{PULLS} select log_path, pull_index, round(sum(damage_done::decimal(18,2))::double / any_value(duration), 6) raid_dps, round(sum(healing_done::decimal(18,2))::double / any_value(duration), 6) raid_hps from ra where is_player group by 1, 2")
+def raid_rates(spark, sf_dir):
+    rows = rated(spark, sf_dir).where("is_player").groupBy("log_path", "pull_index", "duration")
+    sums = rows.agg(stats.exact_sum(F.col("damage_done")).alias("d"), stats.exact_sum(F.col("healing_done")).alias("h"))
+    return rounded(sums.select("log_path", "pull_index", (F.col("d") / F.col("duration")).alias("raid_dps"), (F.col("h") / F.col("duration")).alias("raid_hps")))
