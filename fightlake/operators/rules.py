@@ -79,8 +79,8 @@ def composed(events: DataFrame, tree: DataFrame, depth: int = 4) -> DataFrame:
     rows = events.select(*PULL, "line_number")
     held = leaves
     for _ in range(depth):
-        up = held.join(edges.where("how <> 'not'"), "cond_id").groupBy(*PULL, "line_number", "parent_id").agg(F.countDistinct("cond_id").alias("true"))
-        met = up.join(sizes, "parent_id").where("how = 'any_of' or true = n").select(*PULL, "line_number", F.col("parent_id").alias("cond_id"))
+        up = held.join(edges.where("how <> 'not'"), "cond_id").groupBy(*PULL, "line_number", "parent_id").agg(F.countDistinct("cond_id").alias("n_true"))
+        met = up.join(sizes, "parent_id").where("how = 'any_of' or n_true = n").select(*PULL, "line_number", F.col("parent_id").alias("cond_id"))
         nots = rows.join(edges.where("how = 'not'")).join(held, [*PULL, "line_number", "cond_id"], "left_anti").select(*PULL, "line_number", F.col("parent_id").alias("cond_id"))
         held = leaves.unionByName(met).unionByName(nots)
     return held.distinct()

@@ -295,3 +295,301 @@ def raid_rates(spark, sf_dir):
     rows = rated(spark, sf_dir).where("is_player").groupBy("log_path", "pull_index", "duration")
     sums = rows.agg(stats.exact_sum(F.col("damage_done")).alias("d"), stats.exact_sum(F.col("healing_done")).alias("h"))
     return rounded(sums.select("log_path", "pull_index", (F.col("d") / F.col("duration")).alias("raid_dps"), (F.col("h") / F.col("duration")).alias("raid_hps")))
+
+
+# ---- Deaths, timelines and rotations -----------------------------------------------------------------------------------
+
+_SPAN = 21_600_000  # the adapter's events are minutes apart
+_DEATHS = f"""dw as (select h.*, d.line_number death_line, d.t_ms death_ms from p d join p h using (log_path, pull_index, target) where d.is_death and d.target_is_player and not h.is_death and h.t_ms between d.t_ms - {_SPAN} and d.t_ms and h.line_number < d.line_number)"""
+
+
+def _windows(spark: SparkSession, sf_dir: str, by_npc: bool = True) -> DataFrame:
+    """Death windows; the adapter's players hit NPCs, so damage on victims is that which their last target's kind dealt."""
+    return forensics.death_windows(turned(split(spark, sf_dir)), _SPAN)
+
+
+def turned(rows: DataFrame) -> DataFrame:
+    """The adapter's events with source and target of damage swapped: NPCs hit players."""
+    hit = F.col("is_damage")
+    swap = {"source": "target", "target": "source", "source_is_player": "target_is_player", "target_is_player": "source_is_player"}
+    return rows.withColumns({a: F.when(hit, F.col(b)).otherwise(F.col(a)) for a, b in swap.items()})
+
+
+_TURNED = PULLS.replace("\np as (select e.*, s.pull_index", "\np0 as (select e.*, s.pull_index").replace("\npl as (", """
+p as (select * replace (case when is_damage then target else source end as source, case when is_damage then source else target end as target, case when is_damage then target_is_player else source_is_player end as source_is_player, case when is_damage then source_is_player else target_is_player end as target_is_player) from p0),
+pl as (""")
+
+
+@query(f"{_TURNED}, {_DEATHS} select log_path, pull_index, target, death_line, line_number, t_ms, death_ms from dw")
+def death_windows(spark, sf_dir):
+    return _windows(spark, sf_dir).select("log_path", "pull_index", "target", "death_line", "line_number", "t_ms", "death_ms")
+
+
+_KEYED = "kd as (select *, coalesce(ability, effect_name) as key, source as by_ from dw where is_damage and amount > 0)"
+
+
+@query(f"""{_TURNED}, {_DEATHS}, {_KEYED} select log_path, pull_index, target, death_line, key, sum(amount::decimal(18,2))::double total, count(*) hits, max(amount) biggest, count(distinct source) sources,
+  row_number() over (partition by log_path, pull_index, target, death_line order by sum(amount::decimal(18,2)) desc, key)::int rank from kd group by 1, 2, 3, 4, 5 qualify rank <= 12""")
+def death_report_by_ability(spark, sf_dir):
+    return forensics.death_report(_windows(spark, sf_dir))
+
+
+@query(f"""{_TURNED}, {_DEATHS}, {_KEYED} select log_path, pull_index, target, death_line, by_ as key, sum(amount::decimal(18,2))::double total, count(*) hits, max(amount) biggest, count(distinct source) sources,
+  row_number() over (partition by log_path, pull_index, target, death_line order by sum(amount::decimal(18,2)) desc, by_)::int rank from kd group by 1, 2, 3, 4, 5 qualify rank <= 8""")
+def death_report_by_source(spark, sf_dir):
+    return forensics.death_report(_windows(spark, sf_dir), "by", 8)
+
+
+_BLOWS = "kb as (select log_path, pull_index, target, death_line, key ability, by_ killer, amount, sum(amount::decimal(18,2)) over (partition by log_path, pull_index, target, death_line)::double total from kd qualify row_number() over (partition by log_path, pull_index, target, death_line order by line_number desc) = 1)"
+
+
+@query(f"{_TURNED}, {_DEATHS}, {_KEYED}, {_BLOWS} select * from kb")
+def killing_blows(spark, sf_dir):
+    return forensics.killing_blows(_windows(spark, sf_dir))
+
+
+@query(f"{_TURNED}, {_DEATHS}, {_KEYED}, {_BLOWS} select ability, count(*) count from kb group by 1 order by 2 desc, 1 limit 15")
+def killing_abilities(spark, sf_dir):
+    return forensics.killing_abilities(forensics.killing_blows(_windows(spark, sf_dir)))
+
+
+@query(f"{_TURNED}, {_DEATHS}, {_KEYED} select log_path, pull_index, target, death_line, line_number, amount, row_number() over (partition by log_path, pull_index, target, death_line order by line_number desc)::int rank from kd qualify rank <= 40")
+def last_hits(spark, sf_dir):
+    return forensics.last_hits(_windows(spark, sf_dir)).select("log_path", "pull_index", "target", "death_line", "line_number", "amount", "rank")
+
+
+@query(f"{PULLS} select log_path, pull_index, count(*) deaths, max(t_ms) - min(t_ms) span_ms, count(*) >= 5 and max(t_ms) - min(t_ms) < 3600000 is_wipe from p where is_death and target_is_player group by 1, 2")
+def mass_deaths(spark, sf_dir):
+    return forensics.mass_deaths(split(spark, sf_dir), 5, 3_600_000)
+
+
+_COOLDOWNS = [("Shield", "A3", 1_200_000), ("Cloak", "A13", 7_200_000), ("Guard", "A7", 600_000)]
+
+
+@query(f"""{PULLS}, cd(label, keyword, cooldown_ms) as (values ('Shield', 'A3', 1200000), ('Cloak', 'A13', 7200000), ('Guard', 'A7', 600000)),
+us as (select log_path, pull_index, source target, label, cooldown_ms, t_ms from p join cd on ability = keyword where is_ability_activate),
+de as (select log_path, pull_index, target, line_number death_line, t_ms death_ms from p where is_death and target_is_player)
+select log_path, pull_index, target, death_line, death_ms, label, cooldown_ms, max(t_ms) used_ms, death_ms - max(t_ms) since_ms, death_ms - max(t_ms) >= cooldown_ms available, death_ms - max(t_ms) <= 12000 used_in_window
+from de join us using (log_path, pull_index, target) where t_ms <= death_ms group by 1, 2, 3, 4, 5, 6, 7""")
+def cooldown_availability(spark, sf_dir):
+    return forensics.cooldown_uses(split(spark, sf_dir), spark.createDataFrame(_COOLDOWNS, "label string, keyword string, cooldown_ms int"))
+
+
+_SEGMENTS = """bo as (select distinct log_path, pull_index, t_ms begin_ms from p where contains(lower(concat_ws(' ', ability, effect_name)), 'a4')),
+sg as (select *, lead(begin_ms) over (partition by log_path, pull_index order by begin_ms) end_ms, row_number() over (partition by log_path, pull_index order by begin_ms)::int segment from bo qualify end_ms is not null),
+ins as (select p.*, sg.begin_ms, sg.end_ms, sg.segment from p join sg on p.log_path = sg.log_path and p.pull_index = sg.pull_index and p.t_ms >= sg.begin_ms and p.t_ms < sg.end_ms)"""
+
+
+@query(f"""{PULLS}, {_SEGMENTS}, su as (select log_path, pull_index, segment, begin_ms, end_ms, source as name, sum(case when is_damage and ability is not null then amount else 0 end::decimal(18,2))::double damage, sum(case when is_heal then greatest(amount - overheal, 0) else 0 end::decimal(18,2))::double healing,
+  count(*) filter (is_damage and ability is not null) attacks, count(*) filter (is_damage and ability is not null and is_critical) crits, coalesce(string_agg(ability, ',' order by t_ms, line_number) filter (is_ability_activate), '') casts from ins group by all)
+select log_path, pull_index, segment, name, damage, healing, attacks, crits, casts, round(damage / ((end_ms - begin_ms) / 1000.0::double), 6) dps, round(healing / ((end_ms - begin_ms) / 1000.0::double), 6) ehps, round(case when attacks > 0 then 100.0::double * crits / attacks else 0 end, 6) crit_pct from su""")
+def rotation_segments(spark, sf_dir):
+    return rounded(timeline.rotation(split(spark, sf_dir), "A4").drop("begin_ms", "end_ms"))
+
+
+@query(f"""{PULLS}, {_SEGMENTS.replace("'a4'", "'entercombat'")}, ac as (select *, t_ms - lag(t_ms) over (partition by log_path, pull_index, segment, source order by t_ms, line_number) gap_ms from ins where is_ability_activate)
+select log_path, pull_index, segment, source as name, t_ms - 1 at_ms, gap_ms from ac where gap_ms >= 1500""")
+def idle_gaps(spark, sf_dir):
+    return timeline.idle_gaps(split(spark, sf_dir), "EnterCombat")
+
+
+@query(f"""{PULLS}, g as (select log_path, pull_index, start_ms, duration, least(greatest(duration / 90, 75.0::double), 1500.0::double) width from pd),
+su as (select log_path, pull_index, source as name, least(floor((t_ms - start_ms) / 1000.0::double / width), floor(duration / width))::int bucket, case when is_damage then amount else 0 end d, case when is_heal then amount else 0 end h from p join g using (log_path, pull_index) where amount > 0 and ((is_damage and ability is not null) or is_heal)),
+pn as (select distinct log_path, pull_index, name from (select log_path, pull_index, source as name from p union all select log_path, pull_index, target from p where target_is_player))
+select log_path, pull_index, name, coalesce(sum(d::decimal(18,2)), 0)::double damage, coalesce(sum(h::decimal(18,2)), 0)::double healing, coalesce(sum(d::decimal(18,2)), 0)::double / 600 dps, coalesce(sum(h::decimal(18,2)), 0)::double / 600 hps from pn left join (select * from su where bucket between 0 and 7) using (log_path, pull_index, name) group by 1, 2, 3""")
+def timeline_slice(spark, sf_dir):
+    rows = split(spark, sf_dir)
+    return timeline.slice_(timeline.timeline(rows, pulls.pulls_of(rows), 75), 0, 7, 600.0)
+
+
+# ---- Rules -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"{PULLS}, ru(cond_id, name, percent) as (values (1, 'B2', 75.0), (2, 'B2', 20.0), (3, 'B5', 50.0)) select log_path, pull_index, cond_id, min(line_number) line_number from p join ru on target = name where hp_max > 0 and 100 * hp_current / hp_max <= percent group by 1, 2, 3")
+def hp_thresholds(spark, sf_dir):
+    return rules.hp_below(split(spark, sf_dir), spark.createDataFrame([(1, "B2", 75.0), (2, "B2", 20.0), (3, "B5", 50.0)], "cond_id int, name string, percent double"))
+
+
+@query(f"{PULLS} select log_path, pull_index, target as name, min(line_number) first_line from p where not target_is_player group by 1, 2, 3")
+def npc_first_seen(spark, sf_dir):
+    return rules.npc_appears(split(spark, sf_dir))
+
+
+@query(f"""{PULLS} select log_path, pull_index, line_number, last_value(case when target = 'B2' then 100 * hp_current / hp_max end ignore nulls) over w boss_hp, last_value(case when source = 'U1' then target end ignore nulls) over w boss_target from p
+window w as (partition by log_path, pull_index order by line_number rows between unbounded preceding and current row)""")
+def boss_state_as_of(spark, sf_dir):
+    rows = split(spark, sf_dir)
+    hp = rules.latest_hp(rows, "B2").select("log_path", "pull_index", "line_number", "boss_hp")
+    return hp.join(rules.latest_hp(rows, "U1").select("log_path", "pull_index", "line_number", "boss_target"), ["log_path", "pull_index", "line_number"])
+
+
+@query(f"""{PULLS}, x as (select *, case when k % 13 = 0 then 0 when k % 3 = 0 then 1 when k % 7 = 0 then -1 else 0 end d, sum((k % 13 = 0)::int) over (partition by log_path, pull_index order by line_number) era from p),
+y as (select *, (2 + sum(d) over (partition by log_path, pull_index, era order by line_number))::bigint counter from x) select log_path, pull_index, line_number, counter, counter <> coalesce(lag(counter) over (partition by log_path, pull_index order by line_number), 2) changed from y""")
+def counters(spark, sf_dir):
+    k = F.col("k")
+    rows = rules.counters(split(spark, sf_dir), k % 3 == 0, (k % 7 == 0) & (k % 3 != 0), k % 13 == 0, 2)
+    return rows.select("log_path", "pull_index", "line_number", "counter", "changed")
+
+
+_TREE = [(1, None, "any_of", None), (2, 1, "ability_cast", "a1"), (3, 1, "all_of", None), (4, 3, "effect_applied", "a2"), (5, 3, "not", None), (6, 5, "effect_applied", "a12"), (7, None, "entity_death", "U7"), (8, None, "combat_start", None)]
+
+
+@query(f"""{PULLS}, lv as (select *, is_ability_activate and contains(lower(coalesce(ability, '')), 'a1') c2, effect_type = 'ApplyEffect' and contains(lower(coalesce(ability, '')), 'a2') c4, effect_type = 'ApplyEffect' and contains(lower(coalesce(ability, '')), 'a12') c6 from p)
+select log_path, pull_index, line_number, cond_id from (select log_path, pull_index, line_number, unnest([case when c2 or (c4 and not c6) then 1 end, case when c2 then 2 end, case when c4 and not c6 then 3 end, case when c4 then 4 end, case when not c6 then 5 end, case when c6 then 6 end, case when is_death and target = 'U7' then 7 end, case when is_combat_start then 8 end]) cond_id from lv) where cond_id is not null""")
+def condition_tree(spark, sf_dir):
+    return rules.composed(split(spark, sf_dir), spark.createDataFrame(_TREE, "cond_id int, parent_id int, type string, keyword string"), 3)
+
+
+@query(f"""{PULLS}, sc(rule_id, difficulties) as (values (1, []::varchar[]), (2, ['A3', 'A5']), (3, ['A9']))
+select rule_id, count(*) n from p join sc on len(difficulties) = 0 or ability is null or list_contains(difficulties, ability) group by 1""")
+def scope_gates(spark, sf_dir):
+    table = spark.createDataFrame([(1, []), (2, ["A3", "A5"]), (3, ["A9"])], "rule_id int, difficulties array<string>")
+    return split(spark, sf_dir).join(table, rules.in_scope(F.col("difficulties"), F.col("ability"))).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+_RULES = [(1, "Poison", "a3", True, 1_800_000, 300_000), (2, "Mend", "heal", True, 3_600_000, 600_000)]
+_RULE_SQL = """kr(rule_id, keyword, duration_ms, warn_ms) as (values (1, 'a3', 1800000, 300000), (2, 'heal', 3600000, 600000)),
+kh as (select p.*, kr.* from p join kr on contains(lower(concat_ws(' ', ability, effect_name)), keyword) where not is_ability_activate),
+dd as (select log_path, pull_index, target, t_ms died from p where is_death),
+ti as (select log_path, pull_index, rule_id, target, line_number, t_ms start_ms, duration_ms, warn_ms, lead(t_ms) over (partition by log_path, pull_index, rule_id, target order by t_ms, line_number) nx from kh),
+tj as (select ti.log_path, ti.pull_index, rule_id, ti.target, line_number, start_ms, least(start_ms + any_value(duration_ms), coalesce(any_value(nx), 9e18::bigint), coalesce(min(died), 9e18::bigint)) end_ms, start_ms + any_value(duration_ms) - any_value(warn_ms) wm
+  from ti left join dd on dd.log_path = ti.log_path and dd.pull_index = ti.pull_index and dd.target = ti.target and died >= start_ms group by 1, 2, 3, 4, 5, 6),
+tv as (select log_path, pull_index, rule_id, target, line_number, start_ms, end_ms, case when wm < end_ms then wm end warn_at_ms from tj)"""
+
+
+def _intervals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = split(spark, sf_dir)
+    table = spark.createDataFrame(_RULES, "rule_id int, label string, keyword string, when_applied boolean, duration_ms long, warn_ms long")
+    return rules.timer_intervals(rules.keyword_hits(rows, table), rows), rows
+
+
+@query(f"{PULLS}, {_RULE_SQL} select log_path, pull_index, rule_id, line_number from kh")
+def keyword_rule_hits(spark, sf_dir):
+    table = spark.createDataFrame(_RULES, "rule_id int, label string, keyword string, when_applied boolean, duration_ms long, warn_ms long")
+    return rules.keyword_hits(split(spark, sf_dir), table).select("log_path", "pull_index", "rule_id", "line_number")
+
+
+@query(f"{PULLS}, {_RULE_SQL} select * from tv")
+def countdown_intervals(spark, sf_dir):
+    return _intervals(spark, sf_dir)[0]
+
+
+@query(f"{PULLS}, {_RULE_SQL} select log_path, pull_index, rule_id, target, line_number, n nth, start_ms + n * 60000 fires_ms from tv, unnest(range(0, 3)) u(n)")
+def repeated_timers(spark, sf_dir):
+    rows = _intervals(spark, sf_dir)[0].withColumns({"times": F.lit(2), "every": F.lit(60_000)})
+    return rules.repeats(rows, "times", "every").select("log_path", "pull_index", "rule_id", "target", "line_number", "nth", "fires_ms")
+
+
+@query(f"""{PULLS}, {_RULE_SQL}, ol as (select *, max(end_ms) over (partition by log_path, pull_index, rule_id, target order by start_ms, end_ms rows between unbounded preceding and 1 preceding) reach from tv),
+cv as (select log_path, pull_index, rule_id, target, sum(greatest(end_ms - greatest(start_ms, coalesce(reach, start_ms)), 0))::bigint covered_ms from ol group by 1, 2, 3, 4)
+select log_path, pull_index, rule_id, target, covered_ms, round(least(100.0::double * covered_ms / 1000 / duration, 100), 6) uptime_pct from cv join pd using (log_path, pull_index)""")
+def buff_uptime(spark, sf_dir):
+    found, rows = _intervals(spark, sf_dir)
+    return rounded(rules.uptime(found, pulls.pulls_of(rows)).drop("duration"))
+
+
+@query(f"""{PULLS}, st0 as (select log_path, pull_index, 't1' timer_id, t_ms at_ms from p where is_combat_start), ch(timer_id, next_id, delay_ms) as (values ('t1', 't2', 5000), ('t2', 't3', 7000), ('t2', 't4', 9000))
+select * from st0 union all select log_path, pull_index, next_id, at_ms + delay_ms from st0 join ch using (timer_id)
+union all select log_path, pull_index, b.next_id, at_ms + a.delay_ms + b.delay_ms from st0 join ch a using (timer_id) join ch b on b.timer_id = a.next_id""")
+def chained_timers(spark, sf_dir):
+    starts = split(spark, sf_dir).where("is_combat_start").select("log_path", "pull_index", F.lit("t1").alias("timer_id"), F.col("t_ms").alias("at_ms"))
+    return rules.chained(starts, spark.createDataFrame([("t1", "t2", 5000), ("t2", "t3", 7000), ("t2", "t4", 9000)], "timer_id string, next_id string, delay_ms int"))
+
+
+def _taunt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adapter's casts of A1 as taunts on oneself and its healing as their effects."""
+    rows = split(spark, sf_dir)
+    cast = F.col("is_ability_activate") & (F.col("k") % 3 == 1)
+    return rows.withColumns({"ability": F.when(cast, F.lit("Taunt")).otherwise(F.col("ability")), "target": F.when(cast, F.col("source")).otherwise(F.col("target")), "effect_name": F.when(F.col("is_heal"), F.lit("Taunt")).otherwise(F.col("effect_name"))})
+
+
+@query(f"""{PULLS}, tr as (select log_path, pull_index, source, line_number, t_ms, target, is_ability_activate and k % 3 = 1 c from p where (is_ability_activate and k % 3 = 1) or is_heal),
+tn as (select *, sum(c::int) over w nc, last_value(case when c then t_ms end ignore nulls) over w ct from tr window w as (partition by log_path, pull_index, source order by line_number)),
+th as (select *, row_number() over (partition by log_path, pull_index, source, nc, not c and coalesce(t_ms - ct <= 7200000, false) order by line_number) = 1 and not c and coalesce(t_ms - ct <= 7200000, false) hit from tn),
+tg as (select *, sum(coalesce(t_ms - pt >= 3600000, true)::int) over (partition by log_path, pull_index, source order by line_number) g from (select *, lag(t_ms) over (partition by log_path, pull_index, source order by line_number) pt from th where not c and not hit))
+select a.log_path, a.pull_index, a.source, coalesce(h.t_ms, a.t_ms) at_ms, 'single' kind, h.target is not null hit, coalesce(h.target, '') targets from th a left join th h on h.log_path = a.log_path and h.pull_index = a.pull_index and h.source = a.source and h.nc = a.nc and h.hit where a.c
+union all select log_path, pull_index, source, max(t_ms), 'aoe', true, array_to_string(list_sort(list_distinct(list(target))), ',') from tg group by log_path, pull_index, source, g""")
+def taunt_results(spark, sf_dir):
+    return rules.taunts(_taunt_rows(spark, sf_dir), None, 7_200_000, 3_600_000)
+
+
+@query()
+def effect_intervals(spark, sf_dir):
+    c = F.col
+    rows = split(spark, sf_dir).where("target is not null")
+    what = F.when(c("is_heal"), F.when(c("k") % 3 == 0, "tick").otherwise("apply")).when(c("is_death"), "end")
+    sparse = rows.withColumn("what", what).where("what is not null").select("log_path", "pull_index", "target", F.lit("Mend").alias("effect"), "line_number", "t_ms", "what", F.lit(3_600_000).alias("duration_ms"))
+    return rules.effect_intervals(sparse)
+
+
+@query()
+def phase_changes(spark, sf_dir):
+    found = hp_thresholds(spark, sf_dir)
+    rows = split(spark, sf_dir).join(found, ["log_path", "pull_index", "line_number"])
+    triggers = rows.select("log_path", "pull_index", "line_number", "t_ms", F.col("cond_id").alias("ord"), F.concat(F.lit("p"), F.col("cond_id")).alias("phase"), F.when(F.col("cond_id") == 2, "p1").alias("after"))
+    return rules.phase_changes(triggers)
+
+
+# ---- Maintenance -------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {DUCK_EV} select line_number, source, target from e where log_path = 'combat_2024-01-05' and line_number between 1400 and 1500")
+def line_range_scan(spark, sf_dir):
+    return maintenance.line_slice(adapter.events(spark, sf_dir), "combat_2024-01-05", 1400, 1500).select("line_number", "source", "target")
+
+
+_STORED = "sp as (select log_path || '/' || pull_index stored_id, log_path, start_line + 1 start_line, end_line + 2 end_line, pull_index, is_fight, duration, case when pull_index % 3 = 0 then 1 else 2 end data_version from pd where pull_index % 2 = 0)"
+
+
+def _stored(spark: SparkSession, sf_dir: str, shift: int = 1) -> tuple[DataFrame, DataFrame]:
+    found = pulls.pulls_of(split(spark, sf_dir))
+    stored = found.where("pull_index % 2 = 0").selectExpr("log_path || '/' || pull_index stored_id", "log_path", f"start_line + {shift} start_line", f"end_line + {2 * shift} end_line", "pull_index", "duration", "case when pull_index % 3 = 0 then 1 else 2 end data_version")
+    return stored, found
+
+
+@query(f"{PULLS}, {_STORED} select stored_id, pointer.line_number from sp join e pointer on pointer.log_path = sp.log_path and pointer.line_number between sp.start_line and sp.end_line")
+def events_at_pointers(spark, sf_dir):
+    pointers = _stored(spark, sf_dir)[0].select("stored_id", "log_path", "start_line", "end_line")
+    return maintenance.at_pointers(adapter.events(spark, sf_dir), pointers).select("stored_id", "line_number")
+
+
+@query(f"{PULLS}, {_STORED} select stored_id, pd.pull_index derived_index, pd.start_ms derived_start_ms from sp join pd on pd.log_path = sp.log_path and sp.start_line <= pd.end_line and sp.end_line >= pd.start_line qualify row_number() over (partition by stored_id order by pd.start_line) = 1")
+def overlap_backfill(spark, sf_dir):
+    return maintenance.overlapping(*_stored(spark, sf_dir)).select("stored_id", "derived_index", "derived_start_ms")
+
+
+@query(f"{PULLS} select log_path, pull_index, case when pull_index % 2 = 0 then 'duplicate' when not is_fight then 'sliver' else 'imported' end status from pd")
+def import_dedup(spark, sf_dir):
+    stored, found = _stored(spark, sf_dir, 0)
+    return maintenance.import_status(found, stored).select("log_path", "pull_index", "status")
+
+
+@query(f"{PULLS} select log_path || '/' || pull_index stored_id, case when pull_index % 3 <> 0 then 'current' when pull_index % 5 = 0 then 'unverified' when is_fight then 'rebuilt' else 'dropped' end status from pd where pull_index % 2 = 0")
+def versioned_rebuild(spark, sf_dir):
+    stored, found = _stored(spark, sf_dir, 0)
+    return maintenance.rebuilt(stored.drop("pull_index"), found.where("pull_index % 5 <> 0"), 2).select("stored_id", "status")
+
+
+@query(f"with {DUCK_EV}, u as (select 0 file_rank, * from e union all select 1, * from e where k % 2 = 0), t as (select * from u qualify row_number() over (partition by t_ms // 60000, source, target, ability, effect_name, amount order by file_rank, line_number) = 1) select line_number, file_rank from t")
+def merged_logs(spark, sf_dir):
+    rows = adapter.events(spark, sf_dir).withColumn("timestamp", F.floor(F.col("t_ms") / 60000))
+    both = rows.withColumn("file_rank", F.lit(0)).unionByName(rows.where("k % 2 = 0").withColumn("file_rank", F.lit(1)))
+    return maintenance.merged(both).select("line_number", "file_rank")
+
+
+@query(f"with {DUCK_EV}, f as (select log_path, source, min(line_number) m from e group by 1, 2), n as (select log_path, source, row_number() over (partition by log_path order by m) r from f) select log_path, line_number, 'hit by @Player' || r || '#' || lpad(r::varchar, 8, '0') || ' at [B1]' line from e join n using (log_path, source)")
+def anonymised_lines(spark, sf_dir):
+    rows = adapter.events(spark, sf_dir).select("log_path", "line_number", F.concat(F.lit("hit by @"), "source", F.lit("#77 at [B1]")).alias("line"))
+    return maintenance.anonymised(rows)
+
+
+@query(f"with {DUCK_EV} select log_path, max(line_number) area_line, arg_max(source, line_number) local_player from e where is_area_entered group by 1")
+def local_players(spark, sf_dir):
+    rows = adapter.events(spark, sf_dir).where("is_area_entered").groupBy("log_path")
+    return rows.agg(F.max("line_number").alias("area_line"), F.max_by("source", "line_number").alias("local_player"))
+
+
+@query(f"with {DUCK_EV} select distinct name from (select source as name from e union all select target from e where target_is_player)")
+def player_names(spark, sf_dir):
+    rows = adapter.events(spark, sf_dir)
+    return rows.select(F.col("source").alias("name")).unionByName(rows.where("target_is_player").select(F.col("target").alias("name"))).distinct()
