@@ -240,5 +240,6 @@ def read_ids(index: DataFrame, with_ids: bool = True) -> DataFrame:
 
     schema = pa.schema(fields)
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    spread = index.repartition("path", "table_at").sortWithinPartitions("path", "table_at", "block_at")
+    # As many partitions as files: by size alone, adaptive execution would put this small table into one task.
+    spread = index.repartition(max(1, len(base)), "path", "table_at").sortWithinPartitions("path", "table_at", "block_at")
     return spread.mapInArrow(lambda batches: batched(rows(batches), schema, 8192), ddl)
