@@ -43,7 +43,7 @@ def _boundaries(rows: pd.DataFrame, timing: Timing) -> pd.DataFrame:
             begun, left = before, None
         if ended and left is None:
             left = t
-    return pd.DataFrame({"log_path": [rows["log_path"].iloc[0]] * len(out), "line_number": out})
+    return pd.DataFrame({"log_path": pd.Series([rows["log_path"].iloc[0]] * len(out), dtype=object), "line_number": pd.Series(out, dtype="int64")})
 
 
 def with_pulls(events: DataFrame, timing: Timing = Timing()) -> DataFrame:

@@ -53,37 +53,51 @@ def in_scope(allowed: Column, value: Column) -> Column:
     return (F.size(allowed) <= 0) | value.isNull() | F.array_contains(allowed, value)
 
 
-def leaf_hits(events: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(pull, line_number, cond_id) where a leaf condition (cond_id, type, keyword) holds."""
-    c = F.col
-    hay = F.lower(F.coalesce("ability", F.lit("")))
-    holds = (
-        F.when(c("type") == "combat_start", c("is_combat_start")).when(c("type") == "combat_end", c("is_combat_end"))
-        .when(c("type") == "ability_cast", c("is_ability_activate") & hay.contains(F.lower("keyword")))
-        .when(c("type") == "effect_applied", (c("effect_type") == "ApplyEffect") & hay.contains(F.lower("keyword")))
-        .when(c("type") == "entity_death", c("is_death") & (c("target") == c("keyword")))
-    )
-    return events.join(leaves, F.coalesce(holds, F.lit(False))).select(*PULL, "line_number", "cond_id")
+#: Conditions that one call compiles; they are written by hand, a table over this is not a rule table.
+MOST_CONDITIONS = 10_000
 
 
-def composed(events: DataFrame, tree: DataFrame, depth: int = 4) -> DataFrame:
+def _leaf(kind: str, keyword: str | None) -> Column:
+    c, key = F.col, (keyword or "").lower()
+    hay = F.lower(F.coalesce("ability", F.lit("")))
+    if kind == "combat_start":
+        return c("is_combat_start")
+    if kind == "combat_end":
+        return c("is_combat_end")
+    if kind == "ability_cast":
+        return c("is_ability_activate") & hay.contains(key)
+    if kind in ("effect_applied", "effect_removed"):
+        return (c("effect_type") == ("ApplyEffect" if kind == "effect_applied" else "RemoveEffect")) & hay.contains(key)
+    if kind == "entity_death":
+        return c("is_death") & (c("target") == keyword)
+    return F.lit(False)
+
+
+def composed(events: DataFrame, tree: DataFrame) -> DataFrame:
     """(pull, line_number, cond_id) of every condition that holds; ``tree``: cond_id, parent_id, type (leaf types, any_of, all_of, not), keyword.
 
-    Bottom up, a level at a time: an any_of holds where a child does, an all_of where all do, a ``not`` where
-    its child does not. An any_of or all_of without children never holds.
+    The rule table is compiled into one projection: no join, one pass. An any_of or all_of without children never holds.
     """
-    inner = tree.where("type in ('any_of', 'all_of', 'not')").select(F.col("cond_id").alias("parent_id"), F.col("type").alias("how"))
-    edges = tree.where("parent_id is not null").select("cond_id", "parent_id").join(inner, "parent_id")
-    sizes = edges.groupBy("parent_id", "how").agg(F.count("*").alias("n"))
-    leaves = leaf_hits(events, tree.where("type not in ('any_of', 'all_of', 'not')"))
-    rows = events.select(*PULL, "line_number")
-    held = leaves
-    for _ in range(depth):
-        up = held.join(edges.where("how <> 'not'"), "cond_id").groupBy(*PULL, "line_number", "parent_id").agg(F.countDistinct("cond_id").alias("n_true"))
-        met = up.join(sizes, "parent_id").where("how = 'any_of' or n_true = n").select(*PULL, "line_number", F.col("parent_id").alias("cond_id"))
-        nots = rows.join(edges.where("how = 'not'")).join(held, [*PULL, "line_number", "cond_id"], "left_anti").select(*PULL, "line_number", F.col("parent_id").alias("cond_id"))
-        held = leaves.unionByName(met).unionByName(nots)
-    return held.distinct()
+    rows = {r.cond_id: r for r in tree.limit(MOST_CONDITIONS + 1).collect()}
+    if len(rows) > MOST_CONDITIONS:
+        raise ValueError(f"more than {MOST_CONDITIONS} conditions")
+    below: dict = {}
+    for r in rows.values():
+        below.setdefault(r.parent_id, []).append(r.cond_id)
+
+    def holds(i) -> Column:
+        r, parts = rows[i], [holds(k) for k in below.get(i, [])]
+        if r.type not in ("any_of", "all_of", "not"):
+            return F.coalesce(_leaf(r.type, r.keyword), F.lit(False))
+        if not parts:
+            return F.lit(False)
+        out = parts[0]
+        for p in parts[1:]:
+            out = (out & p) if r.type == "all_of" else (out | p)
+        return ~out if r.type == "not" else out
+
+    met = F.array_compact(F.array(*[F.when(holds(i), F.lit(i)) for i in rows]))
+    return events.select(*PULL, "line_number", F.explode(met).alias("cond_id"))
 
 
 def keyword_hits(events: DataFrame, rules: DataFrame) -> DataFrame:
@@ -175,7 +189,7 @@ def _effect_fold(rows: pd.DataFrame) -> pd.DataFrame:
     if start is not None:
         out.append((start, end, again))
     first = rows.iloc[0]
-    return pd.DataFrame([(first["log_path"], first["pull_index"], first["target"], first["effect"], *x) for x in out], columns=[c.split()[0] for c in _EFFECTS.split(", ")])
+    return pd.DataFrame([(first["log_path"], first["pull_index"], first["target"], first["effect"], *x) for x in out], columns=[c.split()[0] for c in _EFFECTS.split(", ")], dtype=object)
 
 
 def effect_intervals(rows: DataFrame) -> DataFrame:
@@ -197,7 +211,7 @@ def _phase_fold(rows: pd.DataFrame) -> pd.DataFrame:
             now = phase
             out.append((line, t, phase))
     first = rows.iloc[0]
-    return pd.DataFrame([(first["log_path"], first["pull_index"], p, line, t) for line, t, p in out], columns=[c.split()[0] for c in _PHASES.split(", ")])
+    return pd.DataFrame([(first["log_path"], first["pull_index"], p, line, t) for line, t, p in out], columns=[c.split()[0] for c in _PHASES.split(", ")], dtype=object)
 
 
 def phase_changes(triggers: DataFrame) -> DataFrame:

@@ -437,7 +437,7 @@ _TREE = [(1, None, "any_of", None), (2, 1, "ability_cast", "a1"), (3, 1, "all_of
 @query(f"""{PULLS}, lv as (select *, is_ability_activate and contains(lower(coalesce(ability, '')), 'a1') c2, effect_type = 'ApplyEffect' and contains(lower(coalesce(ability, '')), 'a2') c4, effect_type = 'ApplyEffect' and contains(lower(coalesce(ability, '')), 'a12') c6 from p)
 select log_path, pull_index, line_number, cond_id from (select log_path, pull_index, line_number, unnest([case when c2 or (c4 and not c6) then 1 end, case when c2 then 2 end, case when c4 and not c6 then 3 end, case when c4 then 4 end, case when not c6 then 5 end, case when c6 then 6 end, case when is_death and target = 'U7' then 7 end, case when is_combat_start then 8 end]) cond_id from lv) where cond_id is not null""")
 def condition_tree(spark, sf_dir):
-    return rules.composed(split(spark, sf_dir), spark.createDataFrame(_TREE, "cond_id int, parent_id int, type string, keyword string"), 3)
+    return rules.composed(split(spark, sf_dir), spark.createDataFrame(_TREE, "cond_id int, parent_id int, type string, keyword string"))
 
 
 @query(f"""{PULLS}, sc(rule_id, difficulties) as (values (1, []::varchar[]), (2, ['A3', 'A5']), (3, ['A9']))
