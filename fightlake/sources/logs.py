@@ -29,8 +29,8 @@ def read_logs(spark: SparkSession, folder: str, min_bytes: int = MIN_FILE_BYTES,
     Files are the unit of parallel reading, as line numbers are counted from a file's first line.
     """
     chosen = file_list(spark, folder, min_bytes) if only is None else only
-    text = spark.read.option("wholetext", True).option("encoding", "ISO-8859-1").option("pathGlobFilter", "*.{txt,txt.gz}").text(folder)
-    whole = text.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("data"))
+    text = spark.read.option("pathGlobFilter", "*.{txt,txt.gz}").text(folder, wholetext=True)
+    whole = text.select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:///").alias("path"), F.col("value").cast("binary").alias("data"))
     kept = whole.join(chosen.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path")).distinct(), "path", "left_semi")
     lines = kept.select(F.regexp_extract("path", r"([^/]+?)(?:\.txt)?(?:\.gz)?$", 1).alias("log_path"), F.posexplode(F.split(decoded(F.col("data")), "\r\n|\n|\r", -1)).alias("n", "line"))
     return lines.where("line <> ''").select("log_path", (F.col("n") + 1).cast("long").alias("line_number"), "line")

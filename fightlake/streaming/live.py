@@ -19,7 +19,7 @@ from ..sources.logs import decoded
 
 def stream_logs(spark: SparkSession, folder: str) -> DataFrame:
     """(log_path, line_number, line) of files as they land; the log's name is the part before the first ``.``."""
-    text = spark.readStream.option("wholetext", True).option("encoding", "ISO-8859-1").text(folder)
+    text = spark.readStream.text(folder, wholetext=True)
     lines = text.select(F.regexp_extract("_metadata.file_name", r"^([^.]+)", 1).alias("log_path"), F.posexplode(F.split(decoded(F.col("value").cast("binary")), "\r\n|\n|\r", -1)).alias("n", "line"))
     return lines.where("line <> ''").select("log_path", (F.col("n") + 1).cast("long").alias("line_number"), "line")
 
