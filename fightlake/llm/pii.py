@@ -64,6 +64,11 @@ def _full(kind: str, m: Column) -> Column:
     return m.rlike(rf"\A(?:{KINDS[kind]})\z")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once (in a lambda, an expression is worked out wherever it stands)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _stream(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256)
 
@@ -79,7 +84,7 @@ def _mapped(text: Column, fn: Callable[[Column, Column], Column]) -> Column:
 
 
 def _added(half: Column, digest: Column, alphabets: tuple[str, ...]) -> Column:
-    def char(c: Column, i: Column) -> Column:
+    def char(c: Column, i: Column, digest: Column) -> Column:
         shift = _number(digest, 1 + 2 * (i % 32), 2)
         out = c
         for alphabet in reversed(alphabets):
@@ -87,30 +92,38 @@ def _added(half: Column, digest: Column, alphabets: tuple[str, ...]) -> Column:
             out = F.when(place > 0, F.substr(F.lit(alphabet), ((place - 1 + shift) % len(alphabet) + 1).cast("int"), F.lit(1))).otherwise(out)
         return out
 
-    return _mapped(half, char)
+    return _let(digest, lambda d: _let(half, lambda h: _mapped(h, lambda c, i: _let(c, lambda x: char(x, i, d)))))
 
 
 def permuted(text: Column, key: str, alphabets: tuple[str, ...] = ALPHABETS) -> Column:
     """The keyed permutation of ``text`` among the strings of its form."""
-    middle = (F.length(text) / 2).cast("int")
-    start = F.struct(F.substr(text, F.lit(1), middle).alias("l"), F.substr(text, middle + 1, F.length(text)).alias("r"))
+
+    def run(t: Column) -> Column:
+        middle = (F.length(t) / 2).cast("int")
+        start = F.struct(F.substr(t, F.lit(1), middle).alias("l"), F.substr(t, middle + 1, F.length(t)).alias("r"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
 
     def step(acc: Column, i: Column) -> Column:
         return F.struct(acc["r"].alias("l"), _added(acc["l"], _stream(key, i, F.length(acc["l"]), acc["r"]), alphabets).alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
+    return _let(text, run)
 
 
 def permuted_number(n: Column, sizes: tuple[int, int], key: str) -> Column:
     """The keyed permutation of a number below ``sizes[0] * sizes[1]``."""
     a, b = sizes
-    start = F.struct((n / b).cast("long").alias("l"), (n % b).cast("long").alias("r"))
 
     def step(acc: Column, i: Column) -> Column:
-        left = (acc["l"] + _number(_stream(key, i, F.lit("l"), acc["r"]))) % a
-        return F.struct(left.alias("l"), ((acc["r"] + _number(_stream(key, i, F.lit("r"), left))) % b).alias("r"))
+        def right(left: Column) -> Column:
+            return F.struct(left.alias("l"), ((acc["r"] + _number(_stream(key, i, F.lit("r"), left))) % b).alias("r"))
+
+        return _let((acc["l"] + _number(_stream(key, i, F.lit("l"), acc["r"]))) % a, right)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, step, lambda acc: acc["l"] * b + acc["r"])
+    def run(n: Column) -> Column:
+        start = F.struct((n / b).cast("long").alias("l"), (n % b).cast("long").alias("r"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, step, lambda acc: acc["l"] * b + acc["r"])
+
+    return _let(n, run)
 
 
 def _luhn(digits: Column) -> Column:
@@ -130,10 +143,14 @@ def _refilled(form: Column, digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    payload = permuted(F.substr(digits, F.lit(1), F.length(digits) - 1), f"{key}/card")
-    check = (F.lit(10) - _luhn(F.concat(payload, F.lit("0"))) % 10) % 10
-    return F.when(_luhn(digits) % 10 == 0, _refilled(m, F.concat(payload, check.cast("string"))))
+    def checked(payload: Column) -> Column:
+        return _let(F.concat(payload, F.lit("0")), lambda p: F.concat(payload, ((F.lit(10) - _luhn(p) % 10) % 10).cast("string")))
+
+    def run(digits: Column) -> Column:
+        new = _let(permuted(F.substr(digits, F.lit(1), F.length(digits) - 1), f"{key}/card"), checked)
+        return F.when(_luhn(digits) % 10 == 0, _let(new, lambda n: _refilled(m, n)))
+
+    return _let(F.regexp_replace(m, "[^0-9]", ""), run)
 
 
 def _mod97(text: Column) -> Column:
@@ -147,22 +164,31 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    plain = F.replace(m, F.lit(" "), F.lit(""))
-    country, rest = F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(5), F.length(m))
-    new = permuted(F.replace(rest, F.lit(" "), F.lit("")), f"{key}/iban")
-    check = F.lpad((F.lit(98) - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    spaced = _mapped(rest, lambda c, i: F.when(c == " ", c).otherwise(F.substr(new, F.length(F.replace(F.substr(rest, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1))))
-    valid = _mod97(F.concat(F.substr(plain, F.lit(5), F.length(plain)), F.substr(plain, F.lit(1), F.lit(4)))) == 1
-    return F.when(valid, F.concat(country, check, spaced))
+    country = F.substr(m, F.lit(1), F.lit(2))
+
+    def renewed(new: Column) -> Column:
+        number = _let(F.concat(new, country, F.lit("00")), _mod97)
+        spaced = _let(F.substr(m, F.lit(5), F.length(m)), lambda rest: _mapped(rest, lambda c, i: F.when(c == " ", c).otherwise(F.substr(new, F.length(F.replace(F.substr(rest, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))))
+        return F.concat(country, F.lpad((F.lit(98) - number).cast("string"), 2, "0"), spaced)
+
+    def run(plain: Column) -> Column:
+        rest = F.substr(plain, F.lit(5), F.length(plain))
+        valid = _let(F.concat(rest, F.substr(plain, F.lit(1), F.lit(4))), _mod97) == 1
+        return F.when(valid, _let(permuted(rest, f"{key}/iban"), renewed))
+
+    return _let(F.replace(m, F.lit(" "), F.lit("")), run)
 
 
 def _date(m: Column, key: str) -> Column:
     def day(form: str) -> Column:
         return F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
 
-    def new(n: Column, form: str) -> Column:
-        moved = permuted_number(n.cast("long"), DAYS, f"{key}/date").cast("int")
-        return F.when((n >= 0) & (n < DAYS[0] * DAYS[1]), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), moved), form))
+    def new(day: Column, form: str) -> Column:
+        def run(n: Column) -> Column:
+            moved = permuted_number(n.cast("long"), DAYS, f"{key}/date").cast("int")
+            return F.when((n >= 0) & (n < DAYS[0] * DAYS[1]), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), moved), form))
+
+        return _let(day, run)
 
     # A date with slashes is day first where that is a date, else month first.
     day_first, month_first = new(day("dd/MM/yyyy"), "dd/MM/yyyy"), new(day("MM/dd/yyyy"), "MM/dd/yyyy")
@@ -171,21 +197,23 @@ def _date(m: Column, key: str) -> Column:
 
 def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.split(m, "-")[i].cast("long") for i in range(3))
-    n = permuted_number(((area - 1 - (area > 666).cast("long")) * 99 + group - 1) * 9999 + serial - 1, SSNS, f"{key}/ssn")
-    area, group, serial = (n / (99 * 9999)).cast("long"), (n / 9999).cast("long") % 99, n % 9999
-    area = area + 1 + (area >= 665).cast("long")
-    return F.concat_ws("-", *[F.lpad(x.cast("string"), w, "0") for x, w in ((area, 3), (group + 1, 2), (serial + 1, 4))])
+
+    def written(n: Column) -> Column:
+        new = (n / (99 * 9999)).cast("long")
+        parts = ((new + 1 + (new >= 665).cast("long"), 3), ((n / 9999).cast("long") % 99 + 1, 2), (n % 9999 + 1, 4))
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), w, "0") for x, w in parts])
+
+    return _let(permuted_number(((area - 1 - (area > 666).cast("long")) * 99 + group - 1) * 9999 + serial - 1, SSNS, f"{key}/ssn"), written)
 
 
 def _ip(m: Column, key: str) -> Column:
     octets = [F.split(m, r"\.")[i].cast("long") for i in range(4)]
     new = permuted(F.concat(*[F.lpad(F.lower(F.hex(o)), 2, "0") for o in octets]), f"{key}/ip", HEX)
-    return F.concat_ws(".", *[_number(new, 1 + 2 * i, 2).cast("string") for i in range(4)])
+    return _let(new, lambda n: F.concat_ws(".", *[_number(n, 1 + 2 * i, 2).cast("string") for i in range(4)]))
 
 
 def _hex(m: Column, key: str) -> Column:
-    new = permuted(F.lower(m), f"{key}/hex", HEX)
-    return F.when(m == F.lower(m), new).otherwise(F.upper(new))
+    return _let(permuted(F.lower(m), f"{key}/hex", HEX), lambda new: F.when(m == F.lower(m), new).otherwise(F.upper(new)))
 
 
 def _email(m: Column, key: str) -> Column:
