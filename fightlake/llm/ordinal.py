@@ -129,7 +129,8 @@ def grade_of(labels: DataFrame) -> DataFrame:
 def bounded_sample(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, text, grade) of at most ``sample`` labelled rows, those with the least hash of doc_id."""
     some = grades.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
-    return docs.select("doc_id", "text").join(some.hint("merge"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "grade", F.xxhash64("text")).limit(sample)
+    # At most `sample` rows of two numbers, so sending them to every task has a proven bound and spares shuffling the texts.
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "grade", F.xxhash64("text")).limit(sample)
 
 
 def fit(examples: DataFrame, bits: int = BITS, passes: int = PASSES) -> Model:
