@@ -193,7 +193,8 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                     place += size
                     yield row
 
-    spread = archives.select("path").repartition("path")
+    # A task a file: by size alone, adaptive execution would put the few short rows into one task.
+    spread = archives.select("path").repartition(max(1, archives.count()), "path")
     return written(spread.mapInArrow(lambda batches: batched(rows(batches), _INDEX_ARROW, 8192), INDEX), "warc-index")[0]
 
 
@@ -225,5 +226,6 @@ def read_records(index: DataFrame, with_html: bool = True) -> DataFrame:
             f.close()
 
     schema, ddl = (_RECORDS_ARROW.append(pa.field("html", pa.string())), f"{RECORDS}, html string") if with_html else (_RECORDS_ARROW, RECORDS)
-    ordered = index.select("path", "at", "size").repartition("path").sortWithinPartitions("path", "at")
+    files = index.select("path").distinct().count()
+    ordered = index.select("path", "at", "size").repartition(max(1, files), "path").sortWithinPartitions("path", "at")
     return ordered.mapInArrow(lambda batches: batched(rows(batches), schema, 2048), ddl)
