@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import batched, rows_of, written
 
 MIN_REVISIT = 1000
-CHUNK = 1 << 20
+#: Bytes read, and inflated, at a time: what is held is copied for each record, so it is kept small.
+CHUNK = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _FIELD = re.compile(rb"(?im)^([\w-]+):[ \t]*(.*?)\r?$")
