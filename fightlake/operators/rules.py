@@ -124,7 +124,7 @@ def timer_intervals(hits: DataFrame, events: DataFrame) -> DataFrame:
 
 def repeats(rows: DataFrame, count: str, every_ms: str) -> DataFrame:
     """Rows re-armed ``count`` times ``every_ms`` apart: ``fires_ms`` and ``nth``."""
-    return rows.withColumn("nth", F.explode(F.sequence(F.lit(0), F.col(count)))).withColumn("fires_ms", F.col("start_ms") + F.col("nth") * F.col(every_ms))
+    return rows.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long")))).withColumn("fires_ms", F.col("start_ms") + F.col("nth") * F.col(every_ms))
 
 
 def chained(starts: DataFrame, chains: DataFrame, depth: int = 4) -> DataFrame:
