@@ -141,11 +141,11 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, Iterator[bytes]]]:
         return chunk is not None
 
     while True:
-        while held[:2] != b"WA" and more():
-            held = held.lstrip(b"\r\n")
         held = held.lstrip(b"\r\n")
-        if not held:
-            return
+        while not held:  # reads on only when nothing is held, so that no more than a chunk and a record's head ever is
+            if not more():
+                return
+            held = held.lstrip(b"\r\n")
         seen = 0
         while (end := held.find(b"\r\n\r\n", seen)) < 0:
             seen = max(0, len(held) - 3)
