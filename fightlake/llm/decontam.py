@@ -101,12 +101,12 @@ class Matcher:
         for n in sorted(around):
             item_id, item, k = self.items[n]
             best: tuple | None = None
+            begins = sorted({starts[char] - low for char, low in around[n]})  # a piece that repeats in the item isn't found in the order of these
             reach = -1
-            for char, low in sorted(around[n]):
-                first = max(0, starts[char] - low - k)
-                last = min(len(words), starts[char] - low + len(item) + k)
+            for begin in begins:
+                first, last = max(0, begin - k), min(len(words), begin + len(item) + k)
                 if last <= reach:
-                    continue  # within the stretch that was looked at last
+                    continue  # within the stretch that was looked at last, as that began no later
                 reach = last
                 distance, end = myers(item, words[first:last])
                 if distance <= k and (best is None or distance < best[0]):

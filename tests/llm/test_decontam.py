@@ -75,3 +75,23 @@ def test_hits_against_brute_force(spark):
         assert sorted(str(r.text) for r in clean.collect()) == sorted(str(t) for _, t, *_ in rows if t not in held)
     assert D.hits(docs.limit(0), benchmark).count() == 0 == D.hits(docs, benchmark.limit(0)).count()
     assert D.drop_contaminated(docs, benchmark.limit(0)).count() == len(rows)
+
+
+def test_item_that_repeats_a_piece():
+    item = "p q r s a1 a2 a3 a4 b1 b2 b3 b4 c1 c2 c3 c4 p q r s".split()
+    for at in ([1, 5, 9, 13], [5, 9, 13, 17]):
+        words = [f"z{i}" if i in at else w for i, w in enumerate(item)]
+        for before, after in ((0, 0), (30, 30), (30, 0)):
+            text = ["x"] * before + words + ["y"] * after
+            found = list(D.Matcher([(7, " ".join(item))]).find(" ".join(text)))
+            assert [(f[0], f[1], f[4]) for f in found] == [(7, 4, edit(item, text)[1] - 1)]
+
+
+def test_items_that_repeat_pieces_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        item = [rng.choice("abc") for _ in range(rng.choice([8, 20, 40]))]
+        words = [rng.choice("xyz") for _ in range(40)] + mutate(rng, item, rng.randint(0, len(item) // 4)) + [rng.choice("abx") for _ in range(40)]
+        distance, end = edit(item, words)
+        found = [(f[1], f[4]) for f in D.Matcher([(1, " ".join(item))]).find(" ".join(words))]
+        assert found == ([(distance, end - 1)] if distance <= int(len(item) * D.BUDGET) else [])
