@@ -42,6 +42,8 @@ from .components import connected_components
 SEED = 42
 #: Children of a node, and node pairs looked at in one step.
 FAN, STEP = 8, 1 << 20
+#: Independent fingerprints of a text where a similarity is asked for.
+PRINTS = 1
 #: Rows of shards that are worked on together.
 ROWS = 1 << 17
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -134,27 +136,27 @@ def _deal(radius: int, free: int, batches: Iterator[pa.RecordBatch]) -> Iterator
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array((rank ^ _SIGN).view(np.int64))], names=["shard", "place"])
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Whole shards, many at a time, from rows sorted by (shard, place); shards of one row are left out."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Whole shards, many at a time, from rows sorted by (shard, place, ...); shards of one row are left out."""
+    held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
-    def cut(last: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def cut(last: bool) -> Iterator[tuple[np.ndarray, ...]]:
         nonlocal held, size
-        shard, place = (np.concatenate(c) for c in zip(*held, strict=True))
-        end = len(shard) if last else int(np.searchsorted(shard, shard[-1]))
-        held, size = ([] if last else [(shard[end:], place[end:])]), len(shard) - end
-        shard, place = shard[:end], place[:end]
-        same = shard[1:] == shard[:-1]
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        end = len(cols[0]) if last else int(np.searchsorted(cols[0], cols[0][-1]))
+        held, size = ([] if last else [tuple(c[end:] for c in cols)]), len(cols[0]) - end
+        cols = [c[:end] for c in cols]
+        same = cols[0][1:] == cols[0][:-1]
         many = np.zeros(end, bool)
         many[1:] |= same
         many[:-1] |= same
         if many.any():
-            yield shard[many], place[many]
+            yield tuple(c[many] for c in cols)
 
     limit = ROWS
     for batch in batches:
-        held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
+        held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
         size += batch.num_rows
         if size >= limit:
             yield from cut(False)
@@ -194,9 +196,18 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label[:] = root[label]
 
 
-def shard_links(shard: np.ndarray, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spanning forest (a, b, distance; a and b are row numbers) of the links inside shards of two rows or more; closer links first."""
+def shard_links(
+    shard: np.ndarray, code: np.ndarray, radius: int, label: np.ndarray | None = None, banned: np.ndarray | None = None, name: np.ndarray | None = None, forests: int = 1
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spanning forest (a, b, distance; a and b are row numbers) of the links inside shards of two rows or more; closer links first.
+
+    ``label`` has the least row of the component that each row is in already, ``banned`` the links that are left out
+    (ascending, the lesser row times the number of rows plus the greater), ``name`` what equally close links are ordered by.
+    ``forests`` over 1 adds links that more forests of the rest would have, as far as these are at hand.
+    """
     n = len(code)
+    name = code if name is None else name
+    joined = label is not None
     levels = [(np.arange(n + 1), code, code)]  # bounds among the nodes below, AND, OR
     roots = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
     rows = [np.arange(n + 1)]  # bounds among the rows
@@ -212,7 +223,8 @@ def shard_links(shard: np.ndarray, code: np.ndarray, radius: int) -> tuple[np.nd
     leaves, ends = levels[1][0][:-1], levels[1][0][1:]
     member = np.minimum(leaves[:, None] + np.arange(FAN), ends[:, None] - 1)  # short leaves repeat their last row
     codes = code[member]
-    label = np.arange(n)
+    label = label.copy() if joined else np.arange(n)
+    spans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     holds = 0
@@ -220,11 +232,19 @@ def shard_links(shard: np.ndarray, code: np.ndarray, radius: int) -> tuple[np.nd
     def join_held() -> None:
         nonlocal holds
         a, b, d = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((np.maximum(code[a], code[b]), np.minimum(code[a], code[b]), d))
+        order = np.lexsort((np.maximum(name[a], name[b]), np.minimum(name[a], name[b]), d))
         a, b, d = a[order], b[order], d[order]
+        before = label.copy() if forests > 1 else label
         pick = _forest(label, a, b)
         out.append((a[pick], b[pick], d[pick]))
+        for _ in range(forests - 1):
+            a, b, d = (np.delete(c, pick) for c in (a, b, d))
+            if not len(a):
+                break
+            pick = _forest(before.copy(), a, b)
+            out.append((a[pick], b[pick], d[pick]))
         held.clear()
+        spans.clear()
         holds = 0
 
     def children(level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,8 +263,10 @@ def shard_links(shard: np.ndarray, code: np.ndarray, radius: int) -> tuple[np.nd
             parts = np.arange(STEP // FAN**2, len(a), STEP // FAN**2)
             stack += [(level, x, y) for x, y in zip(np.split(a, parts), np.split(b, parts), strict=True)][::-1]
             continue
-        if out:  # pairs of nodes whose members are in one component by now
-            first, last = np.minimum.reduceat(label, rows[level][:-1]), np.maximum.reduceat(label, rows[level][:-1])
+        if out or joined:  # pairs of nodes whose members are in one component by now
+            if level not in spans:
+                spans[level] = np.minimum.reduceat(label, rows[level][:-1]), np.maximum.reduceat(label, rows[level][:-1])
+            first, last = spans[level]
             todo = ~((first[a] == last[a]) & (first[b] == last[b]) & (first[a] == first[b]))
             a, b = a[todo], b[todo]
         if not len(a):
@@ -262,6 +284,9 @@ def shard_links(shard: np.ndarray, code: np.ndarray, radius: int) -> tuple[np.nd
         ok = (x < ends[a]) & (y < ends[b]) & (x < y)
         x, y, d = x[ok], y[ok], d[ok]
         ok = label[x] != label[y]
+        if banned is not None and len(banned):
+            key = x * n + y
+            ok &= banned[np.minimum(np.searchsorted(banned, key), len(banned) - 1)] != key
         held.append((x[ok], y[ok], d[ok]))
         holds += int(ok.sum())
         if holds > STEP:
@@ -313,34 +338,187 @@ def _similar(floor: float):
     return F.pandas_udf(run, "boolean")
 
 
-def _verified(links: DataFrame, reps: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links whose representatives' shingle sets have at least that Jaccard similarity."""
-    links, _ = written(links, "candidates")
-    ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
-    named = ends.join(reps.hint("merge"), "fp").select("fp", F.col("rep").alias("doc_id"))
+def _described(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, fp, digest, f0, f1, ...): the fingerprint, a digest of the set of shingles and the set's ``PRINTS`` fingerprints."""
+    names = ["doc_id", "fp", "digest", *(f"f{s}" for s in range(PRINTS))]
+    schema = pa.schema([(n, pa.int64()) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = ((d, h, np.unique(h)) for d, h in ((d, shingle_hashes(t, size)) for d, t in rows_of(batches, "doc_id", "text")))
+        rows = ((d, _signed(fingerprint(h)), _digest(u), *(_signed(fingerprint(_mixed(u, s))) for s in range(PRINTS))) for d, h, u in hashed)
+        return batched(rows, schema, 8192)
+
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _digest(unique: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(unique.tobytes(), SEED))
+
+
+def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes as of another seed (SplitMix64's last steps); seed 0 leaves them."""
+    if not seed:
+        return hashes
+    x = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _tables_of(fp: pa.Array, radius: int, free: int, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(shard, rank) of fingerprints in each table; tables are numbered from ``first``."""
+    x = fp.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    for t, (order, width) in enumerate(block_tables(radius, free), first):
+        rank = gray_rank(_permute(x, order))
+        yield (rank >> np.uint64(64 - width)).astype(np.int64) | (t << 40), (rank ^ _SIGN).view(np.int64)
+
+
+OFFERS = "shard long, place long, node long, label long"
+
+
+def _deal_points(radius: int, free: int, prints: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """OFFERS of (node, label, f...), where labels aren't negative."""
+    count = comb(radius + free, free)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            node, label, *fps = batch.slice(at, 4096).columns
+            for s, fp in zip(prints, fps, strict=True):
+                for shard, place in _tables_of(fp, radius, free, s * count):
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(place), node, label], names=["shard", "place", "node", "label"])
+
+
+def _deal_banned(radius: int, free: int, prints: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """OFFERS of links (a, b, f... of a, f... of b) for each shard that holds both ends: label is -1 - b."""
+    count = comb(radius + free, free)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            a, b, *fps = batch.slice(at, 4096).columns
+            a, other = a.to_numpy(), -1 - b.to_numpy()
+            for s, x, y in zip(prints, fps[: len(prints)], fps[len(prints) :], strict=True):
+                for (shard, place), (shard_b, _) in zip(_tables_of(x, radius, free, s * count), _tables_of(y, radius, free, s * count), strict=True):
+                    at_ = shard == shard_b
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at_]) for c in (shard, place, a, other)], names=["shard", "place", "node", "label"])
+
+
+def _offer(radius: int, forests: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b: nodes) that connect what isn't banned and has different labels, in each shard of OFFERS."""
+    for shard, place, node, label in _shards(batches):
+        point = label >= 0
+        links = ~point
+        _, part = np.unique(shard, return_inverse=True)
+        banned = None
+        if links.any():
+            _, number = np.unique(np.concatenate([node[point], node[links], -1 - label[links]]), return_inverse=True)
+            p, m = int(point.sum()), int(links.sum())
+            key = part[point] * len(number) + number[:p]
+            order = np.argsort(key, kind="stable")
+            ends = []
+            known = np.ones(m, bool)
+            for n in (number[p : p + m], number[p + m :]):
+                want = part[links] * len(number) + n
+                at = np.minimum(np.searchsorted(key[order], want), p - 1)
+                known &= key[order][at] == want
+                ends.append(order[at])
+            x, y = (e[known] for e in ends)
+            banned = np.unique(np.minimum(x, y) * p + np.maximum(x, y))
+            shard, place, node, label, part = (c[point] for c in (shard, place, node, label, part))
+        if not len(shard):
+            continue
+        _, group = np.unique(label, return_inverse=True)
+        _, least, back = np.unique(part * len(group) + group, return_index=True, return_inverse=True)
+        a, b, _ = shard_links(shard, gray_code(place.view(np.uint64) ^ _SIGN), radius, least[back], banned, node, forests)
+        a, b = node[a], node[b]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _offered(points: DataFrame, banned: DataFrame | None, prints: list[int], radius: int, free: int, forests: int = 1) -> DataFrame:
+    """Links (a, b) between ``points`` (node, label, f...) that, without those of ``banned`` (a, b), connect all labels within ``radius`` bits."""
+    f = [f"f{s}" for s in prints]
+    rows = points.select("node", "label", *f).mapInArrow(partial(_deal_points, radius, free, prints), OFFERS)
+    if banned is not None:
+        ends = [points.select(F.col("node").alias(e), *(F.col(c).alias(f"{c}{e}") for c in f)).hint("merge") for e in "ab"]
+        pairs = banned.select("a", "b").join(ends[0], "a").join(ends[1], "b")
+        rows = rows.unionByName(pairs.select("a", "b", *(f"{c}{e}" for e in "ab" for c in f)).mapInArrow(partial(_deal_banned, radius, free, prints), OFFERS))
+    return rows.repartition("shard").sortWithinPartitions("shard", "place", "node").mapInArrow(partial(_offer, radius, forests), "a long, b long").distinct()
+
+
+def _shingle_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of ``nodes`` (node, digest, rep)."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = ((f, shingle_hashes(t, size)) for f, t in rows_of(batches, "fp", "text"))
-        rows = ((f, np.unique(h).tobytes()) for f, h in hashed if _signed(fingerprint(h)) == f)  # the doc_id may repeat with another text
-        return batched(rows, pa.schema([("fp", pa.int64()), ("shingles", pa.binary())]))
+        hashed = ((n, d, np.unique(shingle_hashes(t, size))) for n, d, t in rows_of(batches, "node", "digest", "text"))
+        return batched(((n, u.tobytes()) for n, d, u in hashed if _digest(u) == d), schema)  # the doc_id may repeat with another text
+
+    texts = docs.select("doc_id", "text").join(nodes.select("node", "digest", F.col("rep").alias("doc_id")).hint("merge"), "doc_id")
+    return texts.select("node", "digest", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def _rooted(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """``links`` between nodes of different labels, with these as ra and rb."""
+    for e in "ab":
+        links = links.join(labels.select(F.col("node").alias(e), F.col("label").alias(f"r{e}")).hint("merge"), e)
+    return links.where("ra <> rb")
 
-    texts = docs.select("doc_id", "text").join(named.hint("merge"), "doc_id").select("fp", "text")
-    sets, _ = written(texts.mapInArrow(run, "fp long, shingles binary").dropDuplicates(["fp"]), "shingle-sets")
-    pairs = links.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b")
-    return pairs.where(_similar(similarity)("x", "y")).select("a", "b")
+
+def _verified_classes(nodes: DataFrame, docs: DataFrame, size: int, radius: int, similarity: float) -> DataFrame:
+    """(node, label) of each of ``nodes`` (node, digest, rep, f...) that links to another; label is the component.
+
+    Each link counts only if its shingle sets have that similarity, so what a shard offers depends on what was found similar:
+    links between components of verified links are offered until none is left that wasn't refused.
+    """
+    spark = docs.sparkSession
+    free = best_free(nodes.count(), radius)
+    prints = list(range(PRINTS))
+    waiting = None
+    for s in prints:  # one after the other, as each has all the tables
+        found, _ = written(_offered(nodes.withColumn("label", F.col("node")), None, [s], radius, free).withColumn("s", F.lit(s)), "candidates")
+        waiting = found if waiting is None else waiting.unionByName(found)
+    ends = waiting.select(F.col("a").alias("node")).unionByName(waiting.select(F.col("b").alias("node"))).distinct()
+    points, _ = written(nodes.join(ends.hint("merge"), "node"), "ends")
+    sets, _ = written(_shingle_sets(points, docs, size), "shingle-sets")
+    labels = points.select("node", F.col("node").alias("label"))
+    refused = None
+
+    def judge(links: DataFrame) -> DataFrame:
+        """Take the links (a, b) that are similar into the labels; gives those refused."""
+        nonlocal labels, refused
+        links, path = written(_rooted(links, labels), "offers")
+        pairs = links.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b")
+        judged, _ = written(pairs.select("a", "b", "ra", "rb", _similar(similarity)("x", "y").alias("similar")), "judged")
+        drop_dir(spark, path)
+        root = connected_components(judged.where("similar").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        labels, _ = written(labels.join(root.toDF("label", "root").hint("merge"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        bad = judged.where("not similar").select("a", "b")
+        refused = bad if refused is None else refused.unionByName(bad)
+        return bad
+
+    judge(waiting.where("s = 0").select("a", "b"))
+    judge(waiting.where("s > 0").select("a", "b").distinct().join(refused.hint("merge"), ["a", "b"], "left_anti"))
+    forests, last = 1, refused
+    while True:
+        apart = _rooted(last, labels)
+        open_, _ = written(apart.select(F.col("ra").alias("label")).unionByName(apart.select(F.col("rb").alias("label"))).distinct(), "open")
+        if open_.isEmpty():
+            return labels
+        forests *= 4
+        again, _ = written(points.join(labels.hint("merge"), "node").join(open_.hint("merge"), "label", "left_semi"), "again")
+        banned = _rooted(refused, labels)
+        offers, _ = written(_offered(again, banned, prints, radius, free, forests), "candidates")
+        last = judge(offers)
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of each row; component_id is the smallest doc_id reachable over links.
 
-    With ``similarity``, a link between different fingerprints also needs that Jaccard similarity
-    of the two texts' shingle sets; each shard offers its links from the closest fingerprints on.
+    With ``similarity``, texts link by that Jaccard similarity of their shingle sets instead; looked at are pairs of which
+    one of ``PRINTS`` independent fingerprints is within ``radius`` bits.
     """
+    if similarity:
+        return _similar_texts(docs, size, radius, similarity)
     prints, _ = written(fingerprints(docs, size), "fingerprints")
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     links = hamming_links(reps, radius, best_free(reps.count(), radius))
-    if similarity:
-        links = _verified(links, reps, docs, size, similarity)
     roots = connected_components(links)
     group = reps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     group, path = written(group, "groups")
@@ -350,6 +528,19 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, similarity:
     return prints.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _similar_texts(docs: DataFrame, size: int, radius: int, similarity: float) -> DataFrame:
+    prints, _ = written(_described(docs, size), "fingerprints")
+    reps = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.min(f"f{s}").alias(f"f{s}") for s in range(PRINTS)))
+    nodes, _ = written(reps.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    labels = _verified_classes(nodes, docs, size, radius, similarity)
+    group = nodes.join(labels.hint("merge"), "node", "left").select("digest", "rep", F.coalesce("label", "node").alias("label"))
+    group, path = written(group, "groups")
+    named = group.groupBy("label").agg(F.min("rep").alias("component_id"))
+    classes, _ = written(group.join(named.hint("merge"), "label").select("digest", "component_id"), "classes")
+    drop_dir(docs.sparkSession, path)
+    return prints.join(classes.hint("merge"), "digest").select("doc_id", "fp", "component_id")
+
+
 def keep_one(docs: DataFrame, size: int = 5, radius: int = 10, similarity: float = 0.8) -> DataFrame:
     """``docs`` without those that are near-duplicates of a smaller doc_id; all columns stay.
 

@@ -132,3 +132,52 @@ def test_many_pairs_of_nodes_are_split_and_end():
 
 def test_number_of_key_blocks_grows_with_the_corpus():
     assert [S.best_free(n, 4) for n in (10**5, 10**8, 10**11)] == sorted(S.best_free(n, 4) for n in (10**5, 10**8, 10**11))
+
+
+def edited(rng, words, k):
+    words = list(words)
+    for at in rng.sample(range(len(words)), k):
+        words[at] = f"e{rng.randrange(10**9)}"
+    return words
+
+
+def shingle_set(text):
+    return set(S.shingle_hashes(text, 5).tolist())
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y)
+
+
+def test_dense_group_of_partly_similar_texts_against_brute_force(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(3):  # groups whose fingerprints all link, of which some pairs only are similar
+        group = [[f"w{rng.randrange(10**6)}" for _ in range(200)]]
+        for _ in range(100):
+            group.append(edited(rng, rng.choice(group[-40:]), rng.randint(2, 6)))
+        texts += [" ".join(w) for w in group]
+    rng.shuffle(texts)
+    sets = [shingle_set(t) for t in texts]
+    prints = [[S.fingerprint(S._mixed(np.array(sorted(x), np.uint64), s)) for x in sets] for s in range(S.PRINTS)]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if any((p[i] ^ p[j]).bit_count() <= 10 for p in prints)]
+    links = [(i, j) for i, j in near if jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(links) < len(near) / 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs, 5, 10, 0.8).collect()}
+    assert [got[i] for i in range(len(texts))] == roots(len(texts), links)
+
+
+def test_offers_leave_out_refused_links_and_joined_rows():
+    rng = np.random.default_rng(7)
+    values = np.sort(rng.integers(0, 2**14, 400, np.uint64))
+    n, shard = len(values), np.zeros(400, np.int64)
+    every = brute_links(values.tolist(), 3)
+    banned = {p for p in every if rng.random() < 0.8}
+    joined = [p for p in every if rng.random() < 0.001]
+    label = np.array(roots(n, joined))
+    for forests in (1, 4):
+        a, b, _ = S.shard_links(shard, values, 3, label, np.array(sorted(i * n + j for i, j in banned)), np.arange(n), forests)
+        got = list(zip(a.tolist(), b.tolist()))
+        assert got and not banned & set(got) and all(label[i] != label[j] for i, j in got)
+        assert roots(n, joined + got) == roots(n, joined + [p for p in every if p not in banned])
