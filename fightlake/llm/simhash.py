@@ -43,7 +43,7 @@ SEED = 42
 #: Children of a node, and node pairs looked at in one step.
 FAN, STEP = 8, 1 << 20
 #: Independent fingerprints of a text where a similarity is asked for.
-PRINTS = 1
+PRINTS = 4
 #: Rows of shards that are worked on together.
 ROWS = 1 << 17
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)

@@ -181,3 +181,16 @@ def test_offers_leave_out_refused_links_and_joined_rows():
         got = list(zip(a.tolist(), b.tolist()))
         assert got and not banned & set(got) and all(label[i] != label[j] for i, j in got)
         assert roots(n, joined + got) == roots(n, joined + [p for p in every if p not in banned])
+
+
+def test_pairs_just_over_the_similarity_are_found(spark):
+    rng = random.Random(13)
+    texts, pairs = [], []
+    while len(pairs) < 150:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(edited(rng, words, 6))]
+        if 0.8 <= jaccard(shingle_set(texts[-1]), shingle_set(texts[-2])) <= 0.85:
+            pairs.append((len(texts) - 2, len(texts) - 1))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs, 5, 10, 0.8).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.92 * len(pairs)
