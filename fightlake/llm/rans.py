@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batched, rows_of
@@ -37,6 +37,8 @@ from .tokens import default_path, text_encoder
 LANES = 4096
 #: Bits of the frequencies' sum, ids of a block and of a segment (at least, as documents stay whole).
 BITS, BLOCK, SEGMENT = 18, 1 << 19, 1 << 22
+#: Files whose ids are summed in one task.
+GROUP = 1024
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _BITS = np.uint64(BITS)
@@ -204,35 +206,40 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, segment: in
 
         yield from batched(rows(), _INDEX_ARROW)
 
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    # A beginning of the text keeps the order of texts and lets rows that repeat a doc_id part.
+    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     index = f"{folder}/index"
     dealt.mapInArrow(run, INDEX).write.parquet(index)
     return docs.sparkSession.read.schema(INDEX).parquet(index)
 
 
+def _with_base(index: DataFrame) -> DataFrame:
+    """``index`` with ``base``, the number of ids in all files before, by running sums within groups of ``GROUP`` files and over these."""
+    group = F.floor(F.col("file_no") / GROUP)
+    files = index.groupBy("file_no").agg(F.sum("n_ids").alias("n")).withColumn("g", group)
+    inside = files.withColumn("inside", F.sum("n").over(Window.partitionBy("g").orderBy("file_no")) - F.col("n"))
+    # One row for each GROUP files, so the one task that sums these gets few.
+    groups = files.groupBy("g").agg(F.sum("n").alias("m")).withColumn("outside", F.sum("m").over(Window.orderBy("g")) - F.col("m"))
+    bases = inside.join(groups, "g").select("file_no", (F.col("inside") + F.col("outside")).alias("base"))
+    return index.join(bases, "file_no")
+
+
 def read_ids(index: DataFrame, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids: binary of u32]) decoded from the files that ``index`` names."""
-    spark = index.sparkSession
-    # One row a file, so its size is that of a folder listing; no document's data comes to the driver.
-    totals = index.groupBy("file_no").agg(F.sum("n_ids")).collect()
-    base, total = {}, 0
-    for file_no, n in sorted(totals):
-        base[file_no] = total
-        total += n
-    shared = spark.sparkContext.broadcast(base)
+    placed = _with_base(index.select("file_no", "path", "table_at", "table_bytes", "block_at", "block_bytes", "n_ids", "ids_before"))
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         from pyarrow import fs
 
         known: tuple = (None, None)
-        for file_no, name, table_at, table_bytes, block_at, block_bytes, before in rows_of(batches, "file_no", "path", "table_at", "table_bytes", "block_at", "block_bytes", "ids_before"):
+        for base, name, table_at, table_bytes, block_at, block_bytes, before in rows_of(batches, "base", "path", "table_at", "table_bytes", "block_at", "block_bytes", "ids_before"):
             store, at = fs.FileSystem.from_uri(name)
             with store.open_input_file(at) as f:
                 if known[0] != (name, table_at):
                     known = ((name, table_at), Table.unpacked(f.read_at(table_bytes, table_at)))
                 data = f.read_at(block_bytes, block_at)
-            start = shared.value[file_no] + before
+            start = base + before
             for doc_id, ids in unpacked_block(known[1], data):
                 raw = ids.astype("<u4").tobytes()
                 yield (doc_id, start, len(ids), zlib.crc32(raw), *[raw] * with_ids)
@@ -241,5 +248,6 @@ def read_ids(index: DataFrame, with_ids: bool = True) -> DataFrame:
     schema = pa.schema(fields)
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     # As many partitions as files: by size alone, adaptive execution would put this small table into one task.
-    spread = index.repartition(max(1, len(base)), "path", "table_at").sortWithinPartitions("path", "table_at", "block_at")
+    files = index.select("path").distinct().count()
+    spread = placed.repartition(max(1, files), "path", "table_at").sortWithinPartitions("path", "table_at", "block_at")
     return spread.mapInArrow(lambda batches: batched(rows(batches), schema, 8192), ddl)

@@ -1,39 +1,39 @@
 """Token ids of whole texts with a byte-level BPE vocabulary file, exactly and with little repeated work.
 
-The pre-tokeniser never joins text across a place where white space follows something else, nor a
-letter and the marks after it. So a text is cut before single spaces and line ends, each
-piece is encoded once by the tokenizers library, and later ones come from a bounded memory. Texts with
-white space in a row, or other than ASCII's, or with a special token's string, are encoded in one go.
+A text of ASCII, Latin letters and common marks is cut into the pre-tokeniser's own pieces by its pattern, written with
+plain ranges. Each piece is encoded once by the tokenizers library's model, and later ones come from a bounded
+memory. Texts with other characters, or with a special token's string, are encoded in one go.
 """
 
 from __future__ import annotations
 
-from array import array
+import re
 from functools import lru_cache
 
 import numpy as np
 
-#: Pieces and words kept in each of two generations of memory, and the longest that is kept.
-PIECES, WORDS, LONGEST = 1 << 19, 1 << 18, 48
+#: Pieces kept in each of two generations of memory, and the longest that is kept.
+PIECES, LONGEST = 1 << 19, 48
 END_ID = 0
-#: Code points outside ASCII's white space that some definition counts as white space.
-_RARE = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
-#: Fixed value: ASCII's marks, none of which is a letter, a digit or white space.
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_ODD = ["\t", "\r", "\x0b", "\x0c", *map(chr, _RARE)]
+#: All letters and numbers below U+0250, and marks beyond (dashes, quotes, signs of money and trade).
+_LETTER, _NUMBER, _MARK = "a-zA-ZªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "‐-‧‰-⁞€™"
+#: Fixed value: the byte-level pre-tokeniser's pattern, for texts that :data:`_ODD` isn't found in.
+_PIECE = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
+#: What isn't ASCII, Latin or a known mark, and what only some definitions count as white space.
+_ODD = re.compile(f"[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ{_MARK}]")
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: itself where printable, else the next from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = iter(range(0x100, 0x200))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
 
 class _Memory(dict):
     """Ids of pieces as bytes; what is asked for again outlives the clearing of older pieces."""
 
-    def __init__(self, make, most: int):
+    def __init__(self, make, most: int = PIECES):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
@@ -57,50 +57,30 @@ class TextEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         self._plain = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self._odd = _ODD + [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self._model, self._letters = tokenizer.model, _byte_letters()
-        self._space = self._letters[32]
-        self._words, self._pieces = _Memory(self._word, WORDS), _Memory(self._piece, PIECES)
-
-    def _word(self, text: str) -> bytes:
-        letters = text[1:] if text[0] == " " else text
-        if letters.isalpha() and ord(max(letters)) < 0x250:  # one pre-token: the model alone suffices
-            spelt = self._space + text[1:] if text[0] == " " and text.isascii() else "".join(map(self._letters.__getitem__, text.encode()))
-            return array("I", [t.id for t in self._model.tokenize(spelt)]).tobytes()
-        return self._plain(text)
-
-    def _whole(self, text: str) -> bool:
-        """Whether the text must be encoded in one go."""
-        pair = text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-        return pair or any(s in text for s in self._odd)
+        self._special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self._tokenize, self._letters = tokenizer.model.tokenize, _byte_letters()
+        self._spelt = {n: n.to_bytes(4, "little") for n in range(tokenizer.get_vocab_size())}.__getitem__
+        tokenizer.model._resize_cache(0)  # pieces are remembered here
+        self._memory = _Memory(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of a piece that follows a space, or that begins with a line end."""
-        last = piece[-1:]
-        if (last == "," or last == ".") and piece[-2:-1].isalpha() and piece[0] != "\n":  # by far the most frequent
-            return self._words[f" {piece[:-1]}"] + self._words[last]
-        if piece[:1] == "\n":
-            return self._words["\n"] + (self._parted(piece[1:]) if len(piece) > 1 else b"")
-        return self._parted(f" {piece}")
-
-    def _parted(self, text: str) -> bytes:
-        core = text.rstrip(_MARKS)
-        if len(core) < len(text) and core[-1:].isalpha():  # marks after a letter are pre-tokens of their own
-            return self._words[core] + self._words[text[len(core) :]]
-        return self._words[text]
+        spelt = piece.encode().decode("latin-1").translate(self._letters)
+        return b"".join([self._spelt(t.id) for t in self._tokenize(spelt)])
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids as unsigned 32-bit integers (a null text is empty)."""
+        return np.frombuffer(self._encoded(text), "<u4")
+
+    def _encoded(self, text: str | None) -> bytes:
         if not text:
-            return np.empty(0, "<u4")
-        if self._whole(text):
-            return np.frombuffer(self._plain(text), "<u4")
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return np.frombuffer((self._plain(first) if first else b"") + b"".join(map(self._pieces.__getitem__, rest)), "<u4")
+            return b""
+        if _ODD.search(text) or any(s in text for s in self._special):
+            return self._plain(text)
+        return b"".join(map(self._memory.__getitem__, _PIECE.findall(text)))
 
     def document(self, text: str | None) -> np.ndarray:
         """The ids with the end id."""
-        return np.append(self.encode(text), np.uint32(END_ID))
+        return np.frombuffer(self._encoded(text) + END_ID.to_bytes(4, "little"), "<u4")
 
 
 @lru_cache(maxsize=2)
