@@ -339,16 +339,16 @@ def _similar(floor: float):
 
 
 def _described(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, fp, digest, f0, f1, ...): the fingerprint, a digest of the set of shingles and the set's ``PRINTS`` fingerprints."""
-    names = ["doc_id", "fp", "digest", *(f"f{s}" for s in range(PRINTS))]
+    """(doc_id, th, fp, digest, f0, f1, ...): the text's hash, the fingerprint, a digest of the set of shingles and the set's ``PRINTS`` fingerprints."""
+    names = ["doc_id", "th", "fp", "digest", *(f"f{s}" for s in range(PRINTS))]
     schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = ((d, h, np.unique(h)) for d, h in ((d, shingle_hashes(t, size)) for d, t in rows_of(batches, "doc_id", "text")))
-        rows = ((d, _signed(fingerprint(h)), _digest(u), *(_signed(fingerprint(_mixed(u, s))) for s in range(PRINTS))) for d, h, u in hashed)
+        hashed = ((d, th, h, np.unique(h)) for d, th, h in ((d, th, shingle_hashes(t, size)) for d, th, t in rows_of(batches, "doc_id", "th", "text")))
+        rows = ((d, th, _signed(fingerprint(h)), _digest(u), *(_signed(fingerprint(_mixed(u, s))) for s in range(PRINTS))) for d, th, h, u in hashed)
         return batched(rows, schema, 8192)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _digest(unique: np.ndarray) -> int:
@@ -443,15 +443,17 @@ def _offered(points: DataFrame, banned: DataFrame | None, prints: list[int], rad
 
 
 def _shingle_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of ``nodes`` (node, digest, rep)."""
+    """(node, shingles) of ``nodes`` (node, rep, rep_th): from the row of that doc_id and text's hash, or of that hash without a doc_id."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = ((n, d, np.unique(shingle_hashes(t, size))) for n, d, t in rows_of(batches, "node", "digest", "text"))
-        return batched(((n, u.tobytes()) for n, d, u in hashed if _digest(u) == d), schema)  # the doc_id may repeat with another text
+        return batched(((n, np.unique(shingle_hashes(t, size)).tobytes()) for n, t in rows_of(batches, "node", "text")), schema)
 
-    texts = docs.select("doc_id", "text").join(nodes.select("node", "digest", F.col("rep").alias("doc_id")).hint("merge"), "doc_id")
-    return texts.select("node", "digest", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    ends = nodes.select("node", F.col("rep").alias("doc_id"), F.col("rep_th").alias("th"))
+    named = texts.join(ends.hint("merge"), ["doc_id", "th"]).select("node", "text")
+    nameless = texts.where("doc_id is null").dropDuplicates(["th"]).join(ends.where("doc_id is null").drop("doc_id").hint("merge"), "th").select("node", "text")
+    return named.unionByName(nameless).mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def _rooted(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -462,7 +464,7 @@ def _rooted(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _verified_classes(nodes: DataFrame, docs: DataFrame, size: int, radius: int, similarity: float) -> DataFrame:
-    """(node, label) of each of ``nodes`` (node, digest, rep, f...) that links to another; label is the component.
+    """(node, label) of each of ``nodes`` (node, rep, rep_th, f...) that links to another; label is the component.
 
     Each link counts only if its shingle sets have that similarity, so what a shard offers depends on what was found similar:
     links between components of verified links are offered until none is left that wasn't refused.
@@ -515,7 +517,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, similarity:
     one of ``PRINTS`` independent fingerprints is within ``radius`` bits.
     """
     if similarity:
-        return _similar_texts(docs, size, radius, similarity)
+        return _similar_texts(docs, size, radius, similarity).drop("th")
     prints, _ = written(fingerprints(docs, size), "fingerprints")
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     links = hamming_links(reps, radius, best_free(reps.count(), radius))
@@ -530,7 +532,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, similarity:
 
 def _similar_texts(docs: DataFrame, size: int, radius: int, similarity: float) -> DataFrame:
     prints, _ = written(_described(docs, size), "fingerprints")
-    reps = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.min(f"f{s}").alias(f"f{s}") for s in range(PRINTS)))
+    reps = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("rep_th"), *(F.min(f"f{s}").alias(f"f{s}") for s in range(PRINTS)))
     nodes, _ = written(reps.withColumn("node", F.monotonically_increasing_id()), "nodes")
     labels = _verified_classes(nodes, docs, size, radius, similarity)
     group = nodes.join(labels.hint("merge"), "node", "left").select("digest", "rep", F.coalesce("label", "node").alias("label"))
@@ -538,14 +540,16 @@ def _similar_texts(docs: DataFrame, size: int, radius: int, similarity: float) -
     named = group.groupBy("label").agg(F.min("rep").alias("component_id"))
     classes, _ = written(group.join(named.hint("merge"), "label").select("digest", "component_id"), "classes")
     drop_dir(docs.sparkSession, path)
-    return prints.join(classes.hint("merge"), "digest").select("doc_id", "fp", "component_id")
+    return prints.join(classes.hint("merge"), "digest").select("doc_id", "th", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 5, radius: int = 10, similarity: float = 0.8) -> DataFrame:
     """``docs`` without those that are near-duplicates of a smaller doc_id; all columns stay.
 
-    A row without a doc_id stays, as do all rows that repeat a kept doc_id.
+    A row without a doc_id stays. Rows that repeat a doc_id are judged each by its own text; those of the doc_id that stays stay together.
     """
-    found = near_duplicates(docs, size, radius, similarity)
-    gone, _ = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    found = _similar_texts(docs, size, radius, similarity)
+    gone, _ = written(found.where("doc_id <> component_id").select("doc_id", "th").distinct(), "gone")
+    # As a struct, the input's columns can't clash with those added here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("th"))
+    return rows.join(gone.hint("merge"), ["doc_id", "th"], "left_anti").select("row.*")

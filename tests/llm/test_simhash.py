@@ -114,6 +114,19 @@ def test_keep_one_keeps_one_of_each_group(spark):
     assert S.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_judges_rows_of_one_doc_id_by_their_texts(spark):
+    rng = random.Random(16)
+    text = lambda: [f"t{rng.randrange(9000)}" for _ in range(300)]
+    a, b, c = text(), text(), text()
+    near = lambda words: " ".join(w if i != 150 else "other" for i, w in enumerate(words))
+    rows = [(1, " ".join(a), "a"), (7, near(a), "near a"), (7, " ".join(b), "b"), (8, near(b), "near b"), (None, " ".join(c), "c"), (None, " ".join(c), "c again"), (9, near(c), "near c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th string")
+    kept = S.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.th for r in kept.collect()) == ["a", "b", "c", "c again", "near c"]
+    got = {(r.doc_id, r.component_id) for r in S.near_duplicates(docs, 5, 10, 0.8).collect()}
+    assert got == {(1, 1), (7, 1), (7, 7), (8, 7), (None, 9), (9, 9)}  # texts without a doc_id link others, too
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(8)
     links = [(i, i + 1) for i in range(0, 60)] + [(1000 + rng.randrange(1, 40), 1000) for _ in range(80)] + [(5, 5), (None, 3), (2000, 2001), (2001, 2000)]
