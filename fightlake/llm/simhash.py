@@ -41,7 +41,7 @@ from .components import connected_components
 
 SEED = 42
 #: Children of a node, and node pairs looked at in one step.
-FAN, STEP = 8, 1 << 20
+FAN, STEP = 8, 1 << 19
 #: Independent fingerprints of a text where a similarity is asked for.
 PRINTS = 4
 #: Rows of shards that are worked on together.

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces kept in each of two generations of memory, and the longest that is kept.
-PIECES, LONGEST = 1 << 19, 48
+PIECES, LONGEST = 1 << 18, 48
 END_ID = 0
 #: All letters and numbers below U+0250, and marks beyond (dashes, quotes, signs of money and trade).
 _LETTER, _NUMBER, _MARK = "a-zA-ZªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "‐-‧‰-⁞€™"
