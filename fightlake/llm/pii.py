@@ -8,6 +8,10 @@ ones different pseudonyms, and the result is valid again:
 * Characters: a Feistel network of ``ROUNDS`` rounds over the two halves of the string. A half is added to a
   keystream from SHA-256 of key, round and other half, position by position within its alphabet (digits, a-z, A-Z, accented
   letters of each case, or hexadecimal digits). Signs stay where they are.
+  E-mail addresses keep their domain; local parts that differ in case are different ones. Hexadecimal runs go through in
+  parts of 64 digits.
+* Telephone numbers: the digits after the country code are permuted and put back into the notation, so one number in several
+  notations stays linked, with or without its country code.
 * Cards and IBANs: the payload is permuted so, then the check digits are computed anew.
 * Dates and social security numbers: the value's number in its range, as a pair of residues, goes through a Feistel
   network with modular sums, so every result is a date (or number) of the range. A date keeps its notation, so one date
@@ -35,12 +39,14 @@ TRIAL_KEY = "trial-key"
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ")
 HEX = ("0123456789abcdef",)
 #: Dates 1800-01-01 to 2199-12-31 are 189 * 773 days; social security numbers 898 * 99 * 9999.
+#: Fixed value: country codes of the international numbering plan (those not named here have three digits).
+COUNTRY = r"\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 FIRST_DAY, DAYS, SSNS = "1800-01-01", (189, 773), (898 * 99, 9999)
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What a match of each kind looks like. A match is of the first kind whose pattern it is.
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
     "hex": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "date": r"(?<![\d.,/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])",
@@ -213,7 +219,9 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _hex(m: Column, key: str) -> Column:
-    return _let(permuted(F.lower(m), f"{key}/hex", HEX), lambda new: F.when(m == F.lower(m), new).otherwise(F.upper(new)))
+    parts = F.regexp_extract_all(F.lower(m), F.lit("[0-9a-f]{1,64}"), F.lit(0))  # each in time that doesn't grow with the run's length
+    new = F.array_join(F.transform(parts, lambda p: permuted(p, f"{key}/hex", HEX)), "")
+    return _let(new, lambda n: F.when(m == F.lower(m), n).otherwise(F.upper(n)))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -222,8 +230,12 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
-    return F.concat(code, permuted(F.substr(m, F.length(code) + 1, F.length(m)), f"{key}/phone"))
+    def renewed(code: Column) -> Column:
+        rest = F.substr(m, F.length(code) + 1, F.length(m))
+        new = permuted(F.regexp_replace(rest, "[^0-9]", ""), f"{key}/phone")
+        return F.concat(code, _let(rest, lambda form: _let(new, lambda n: _refilled(form, n))))
+
+    return _let(F.regexp_extract(m, rf"^(?:{COUNTRY}|\+\d{{1,3}})", 0), renewed)
 
 
 _MAKE = {"email": _email, "hex": _hex, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card}

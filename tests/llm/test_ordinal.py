@@ -52,3 +52,20 @@ def test_defined_cases(spark):
     assert len(got) == 5 and all(0 <= r.p_good <= r.p_clean <= 1 for r in got)
     nothing = O.fit(sample.limit(0))
     assert all(r.score == 0 for r in O.score(docs, nothing).collect()) and O.score(docs.limit(0), nothing).count() == 0
+
+
+def test_scores_against_a_plain_version(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"W{w}" for w in rng.zipf(1.3, rng.integers(1, 80)) % 500) + ("\n# <b>|" if k % 3 else ".\n\nend") for k in range(60)] + [None, "", "one"]
+    model = O.Model(rng.normal(size=(1 << 10) + O.FORM).astype(np.float32), np.array([-0.7, 0.9]), 10)
+    got = {r.doc_id: r for r in O.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, 2, 0.4).collect()}
+    for i, text in enumerate(texts):
+        dense = np.zeros(len(model.weights))
+        places, values = O.features(text, 10)
+        for place, value in zip(places.tolist(), values.tolist()):
+            dense[place] += value
+        s = sum(w * x for w, x in zip(model.weights.tolist(), dense.tolist()))
+        tails = [1 / (1 + np.exp(cut - s)) for cut in (-0.7, 0.9)]
+        chances = [1 - tails[0], tails[0] - tails[1], tails[1]]  # of each grade
+        r = got[i]
+        assert np.allclose([r.score, r.expected_grade, r.p_clean, r.p_good], [s, chances[1] + 2 * chances[2], tails[0], tails[1]], atol=1e-5) and r.selected == (tails[1] >= 0.4)

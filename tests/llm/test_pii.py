@@ -1,7 +1,7 @@
 import hashlib
 import random
 import re
-from datetime import date
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -99,3 +99,120 @@ def test_other_columns_long_texts_and_empty_tables(spark):
     assert P.pseudonymise(docs.limit(0)).count() == 0
     plan = P.pseudonymise(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def plain_number(n, sizes, key):
+    left, right = divmod(n, sizes[1])
+    for i in range(1, P.ROUNDS // 2 + 1):
+        left = (left + int(digest(key, i, "l", right)[:12], 16)) % sizes[0]
+        right = (right + int(digest(key, i, "r", left)[:12], 16)) % sizes[1]
+    return left * sizes[1] + right
+
+
+def refill(form, chars, old):
+    left = iter(chars)
+    return "".join(next(left) if c in old else c for c in form)
+
+
+def mod97(text):
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def plain(kind, m, key=P.TRIAL_KEY):
+    """The pseudonym of one value, or None where it isn't valid."""
+    digits = re.sub(r"\D", "", m)
+    if kind == "email":
+        local, _, domain = m.partition("@")
+        return f"{plain_permuted(local, f'{key}/email', P.ALPHABETS)}@{domain}"
+    if kind == "hex":
+        new = "".join(plain_permuted(m.lower()[i : i + 64], f"{key}/hex", P.HEX) for i in range(0, len(m), 64))
+        return new if m == m.lower() else new.upper()
+    if kind == "card":
+        if not luhn(digits):
+            return None
+        payload = plain_permuted(digits[:-1], f"{key}/card", P.ALPHABETS)
+        return refill(m, payload + next(c for c in "0123456789" if luhn(payload + c)), "0123456789")
+    if kind == "iban":
+        compact = m.replace(" ", "")
+        if mod97(compact[4:] + compact[:4]) != 1:
+            return None
+        rest = plain_permuted(compact[4:], f"{key}/iban", P.ALPHABETS)
+        return m[:2] + f"{98 - mod97(rest + m[:2] + '00'):02d}" + refill(m[4:], rest, set(m) - {" "})
+    if kind == "ssn":
+        a, g, n = map(int, m.split("-"))
+        new = plain_number(((a - 1 - (a > 666)) * 99 + g - 1) * 9999 + n - 1, P.SSNS, f"{key}/ssn")
+        a = new // (99 * 9999)
+        return f"{a + 1 + (a >= 665):03d}-{new // 9999 % 99 + 1:02d}-{new % 9999 + 1:04d}"
+    if kind == "ip":
+        new = plain_permuted("".join(f"{int(o):02x}" for o in m.split(".")), f"{key}/ip", P.HEX)
+        return ".".join(str(int(new[i : i + 2], 16)) for i in (0, 2, 4, 6))
+    if kind == "phone":
+        code = re.match(rf"(?:{P.COUNTRY}|\+\d{{1,3}})|", m)[0]
+        rest = m[len(code) :]
+        return code + refill(rest, plain_permuted(re.sub(r"\D", "", rest), f"{key}/phone", P.ALPHABETS), "0123456789")
+    for form in ("%Y-%m-%d",) if "-" in m else ("%d.%m.%Y",) if "." in m else ("%d/%m/%Y", "%m/%d/%Y"):
+        try:
+            n = (datetime.strptime(m, form).date() - date(1800, 1, 1)).days
+        except ValueError:
+            continue
+        if 0 <= n < P.DAYS[0] * P.DAYS[1]:
+            return (date(1800, 1, 1) + timedelta(plain_number(n, P.DAYS, f"{key}/date"))).strftime(form)
+    return None
+
+
+def values(rng):
+    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    payload = d(rng.choice([12, 15, 18]))
+    card = payload + rng.choice([d(1), next(c for c in "0123456789" if luhn(payload + c))])
+    if len(card) == 16 and rng.random() < 0.5:
+        card = rng.choice(" -").join(card[i : i + 4] for i in (0, 4, 8, 12))
+    rest = d(rng.choice([14, 18]))
+    iban = f"DE{98 - mod97(rest + 'DE00'):02d}{rest}"
+    if rng.random() < 0.5:
+        iban = " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+    y, m, a = rng.randint(1750, 2250), rng.randint(1, 13), rng.randint(1, 31)
+    return {
+        "card": card,
+        "iban": iban,
+        "date": rng.choice([f"{y}-{m:02d}-{a:02d}", f"{a:02d}/{m:02d}/{y}", f"{m:02d}/{a:02d}/{y}", f"{a:02d}.{m:02d}.{y}"]),
+        "ssn": f"{rng.choice([1, 99, 665, 667, 899])if rng.random() < 0.3 else rng.choice([7, 123, 665, 667, 899]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}",
+        "ip": ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "phone": rng.choice([f"+44 20 {d(4)} {d(4)}", f"+4420{d(8)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+353 21 {d(3)} {d(4)}"]),
+        "email": f"{rng.choice(['Bob', 'bób.x', 'a+9'])}{d(2)}@mail.example.org",
+        "hex": rng.choice([str.lower, str.upper])("".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 64, 65, 200])))),
+    }
+
+
+def test_whole_documents_against_a_plain_version(spark):
+    rng = random.Random(5)
+    texts, want = [], []
+    for _ in range(60):
+        text = new = "start "
+        for kind, value in sorted(values(rng).items(), key=lambda _: rng.random()):
+            text += f"the {kind} {value} , "
+            new += f"the {kind} {plain(kind, value) or value} , "
+        texts.append(text)
+        want.append(new)
+    got = run(spark, texts)
+    for i, text in enumerate(want):
+        assert got[i].text == text
+    assert sum(got[i].n_date for i in got) < 60 and sum(got[i].n_card for i in got) < 60
+
+
+def test_one_number_in_several_notations_stays_linked(spark):
+    notations = ["+44 20 7123 4567", "+442071234567", "+44-20-7123-4567"], ["(212) 555-0199", "212-555-0199", "212.555.0199", "+1 212 555 0199", "+1 (212) 555-0199"]
+    for same in notations:
+        got = run(spark, [f"call {n} now" for n in same])
+        assert len({re.sub(r"\D", "", re.sub(r"\+(44|1 )", "", got[i].text)) for i in got}) == 1
+        assert all(got[i].n_phone == 1 and got[i].text != f"call {n} now" for i, n in enumerate(same))
+        assert all(got[i].text[5:].startswith(n[:3]) for i, n in enumerate(same) if n.startswith("+44"))
+
+
+def test_long_runs_and_domains_end(spark):
+    stay = ["g" * 1_000_000, "1-" * 400_000, "me@" + "b" * 500_000, "Q" * 1_000_000 + "@", "+1" * 300_000, "1.2." * 200_000, "(" * 1_000_000]
+    texts = ["x@a" + ".a" * 400_000 + ".com z", "Q" * 1_000_000 + "@x.org", *(run * 100_000 for run in ("4", "0a")), *stay]
+    got = run(spark, texts)
+    assert got[0].n_email == 1 and got[0].text.endswith(".a.com z") and len(got[0].text) == len(texts[0])
+    for i in (2, 3):
+        assert got[i].n_hex == 1 and got[i].text == plain("hex", texts[i])
+    assert [got[4 + i].text for i in range(len(stay))] == stay
