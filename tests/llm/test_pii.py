@@ -210,9 +210,10 @@ def test_one_number_in_several_notations_stays_linked(spark):
 
 def test_long_runs_and_domains_end(spark):
     stay = ["g" * 1_000_000, "1-" * 400_000, "me@" + "b" * 500_000, "Q" * 1_000_000 + "@", "+1" * 300_000, "1.2." * 200_000, "(" * 1_000_000]
-    texts = ["x@a" + ".a" * 400_000 + ".com z", "Q" * 1_000_000 + "@x.org", *(run * 100_000 for run in ("4", "0a")), *stay]
+    stay += ["x@a" + ".a" * 400_000 + ".com z"]  # no domain has over 126 labels
+    texts = ["x@a" + ".a" * 100 + ".com z", *(run * 100_000 for run in ("4", "0a")), *stay]
     got = run(spark, texts)
     assert got[0].n_email == 1 and got[0].text.endswith(".a.com z") and len(got[0].text) == len(texts[0])
-    for i in (2, 3):
+    for i in (1, 2):
         assert got[i].n_hex == 1 and got[i].text == plain("hex", texts[i])
-    assert [got[4 + i].text for i in range(len(stay))] == stay
+    assert [got[3 + i].text for i in range(len(stay))] == stay
