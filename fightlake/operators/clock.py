@@ -11,18 +11,33 @@ FILE_DATE = r"combat_(\d{4}-\d{2}-\d{2})(?:_(\d{2})_(\d{2})_(\d{2}))?"
 
 def day_ms(timestamp: Column) -> Column:
     """``HH:MM:SS(.mmm)`` in milliseconds of the day, 0 if it is none."""
-    part = lambda i: F.regexp_extract(timestamp, r"^(\d{1,2}):(\d{2}):(\d{2})(?:\.(\d+))?$", i)
-    whole = part(1).try_cast("long") * 3_600_000 + part(2).try_cast("long") * 60_000 + part(3).try_cast("long") * 1000
-    return F.coalesce(whole + F.rpad(F.substr(part(4), F.lit(1), F.lit(3)), 3, "0").cast("long"), F.lit(0)).cast("long")
-
-
-def with_clock(events: DataFrame, raw: str = "raw_ms") -> DataFrame:
-    """``t_ms``, never falling within a log: a fall of over half a day in ``raw`` is midnight, a smaller one pins the clock."""
-    w = Window.partitionBy("log_path").orderBy("line_number")
-    before = F.lag(raw).over(w)
-    step = F.when(F.col(raw) >= before, 0).when(before - F.col(raw) > HALF_DAY, DAY).otherwise(before - F.col(raw))
-    steps = events.withColumn("step", F.coalesce(step, F.lit(0)))
-    return steps.withColumn("t_ms", F.col(raw) + F.sum("step").over(w)).drop("step")
+    part = F.split(timestamp, "[:.]")
+    whole = part[0].cast("long") * 3_600_000 + part[1].cast("long") * 60_000 + part[2].cast("long") * 1000
+    rest = F.coalesce(F.rpad(F.substr(F.try_element_at(part, F.lit(4)), F.lit(1), F.lit(3)), 3, "0").cast("long"), F.lit(0))
+    return F.coalesce(F.when(timestamp.rlike(r"^\d{1,2}:\d{2}:\d{2}(?:\.\d+)?$"), whole + rest), F.lit(0)).cast("long")
+
+
+def with_clock(events: DataFrame, raw: str = "raw_ms", chunk: int | None = None) -> DataFrame:
+    """``t_ms``, never falling within a log: a fall of over half a day in ``raw`` is midnight, a smaller one pins the clock.
+
+    With ``chunk``, logs are cut at every so many line numbers: each stretch is summed by itself, and only a row for each stretch
+    meets the others of its log, so one very long log isn't one task's work.
+    """
+    key = ["log_path"] if chunk is None else ["log_path", "chunk"]
+    rows = events if chunk is None else events.withColumn("chunk", F.floor(F.col("line_number") / chunk))
+    w = Window.partitionBy(*key).orderBy("line_number")
+
+    def step(now: Column, before: Column) -> Column:
+        return F.coalesce(F.when(now >= before, 0).when(before - now > HALF_DAY, DAY).otherwise(before - now), F.lit(0))
+
+    rows = rows.withColumn("step", step(F.col(raw), F.lag(raw).over(w))).withColumn("inside", F.sum("step").over(w)).drop("step")
+    if chunk is None:
+        return rows.withColumn("t_ms", F.col(raw) + F.col("inside")).drop("inside")
+    ends = rows.groupBy(*key).agg(F.min_by(raw, "line_number").alias("first"), F.max_by(raw, "line_number").alias("last"), F.max("inside").alias("total"))
+    across = Window.partitionBy("log_path").orderBy("chunk")
+    ends = ends.withColumn("edge", step(F.col("first"), F.lag("last").over(across)))
+    ends = ends.select(*key, (F.sum(F.col("edge") + F.col("total")).over(across) - F.col("total")).alias("before"))
+    return rows.join(ends, key).withColumn("t_ms", F.col(raw) + F.col("inside") + F.col("before")).drop("inside", "before", "chunk")
 
 
 def with_session_date(df: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r"@[^#\[\]|/@]+#\d+"
+#: A player's token: whatever stands between @ and the first # with digits, but for the signs that end a field.
+TOKEN = r"@[^\]|]*?#\d+"
 
 
 def line_slice(events: DataFrame, log_path: str, start: int | None = None, end: int | None = None) -> DataFrame:

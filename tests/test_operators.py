@@ -63,14 +63,19 @@ def test_clock(spark):
         rows = spark.createDataFrame([("l", i, x) for i, x in enumerate(texts)], "log_path string, line_number long, timestamp string")
         return [r.t_ms for r in clock.with_clock(rows.withColumn("raw_ms", clock.day_ms(F.col("timestamp")))).orderBy("line_number").collect()]
 
-    night = run("23:59:58.000", "23:59:59.500", "00:00:00.250", "00:00:01.000")
-    assert night == sorted(night) and night[-1] - night[0] == 3000
-    back = run("18:23:34.684", "16:23:35.036", "16:23:36.000")
+    night = run("23:59:57.100", "23:59:59.900", "00:00:01.000", "00:00:01.600")
+    assert night == sorted(night) and night[-1] - night[0] == 4500
+    back = run("15:40:11.500", "14:40:12.250", "14:40:13.000")
     assert back[1] == back[0] and back[2] > back[1]
     assert run("no time") == [0]
-    names = spark.createDataFrame([("combat_2026-03-05_14_00_00_1234567",), ("other",)], "log_path string")
+    rng = random.Random(2)
+    times = [f"{rng.randrange(24):02d}:{rng.randrange(60):02d}:00" for _ in range(300)]
+    rows = spark.createDataFrame([(f"l{i % 3}", i, x) for i, x in enumerate(times)], "log_path string, line_number long, timestamp string").withColumn("raw_ms", clock.day_ms(F.col("timestamp")))
+    whole = {r.line_number: r.t_ms for r in clock.with_clock(rows).collect()}
+    assert whole == {r.line_number: r.t_ms for r in clock.with_clock(rows, chunk=7).collect()} and len(whole) == 300
+    names = spark.createDataFrame([("combat_2021-11-09_06_30_15_42",), ("other",)], "log_path string")
     a, b = clock.with_session_date(names).collect()
-    assert (str(a.session_date), a.session_time, b.session_date) == ("2026-03-05", "14:00:00", None)
+    assert (str(a.session_date), a.session_time, b.session_date) == ("2021-11-09", "06:30:15", None)
 
 
 def test_stats_of_a_pull(table):
@@ -127,15 +132,19 @@ def test_effects_and_phases(spark):
 
 
 def test_kill_names_markers_lint_and_export(spark):
-    bosses = spark.createDataFrame([("a", "Dread Master Styrak", ["Kell Dragon", "Styrak"]), ("b", "Two", ["X", "Y"])], "boss_id string, boss_name string, names array<string>")
-    assert sorted((r.boss_id, r["name"]) for r in maintenance.kill_names(bosses).collect()) == [("a", "Styrak"), ("b", "X"), ("b", "Y")]
+    bosses = spark.createDataFrame([("a", "Warden Oru of the Mill", ["Mill Rat", "Oru"]), ("b", "Two", ["X", "Y"])], "boss_id string, boss_name string, names array<string>")
+    assert sorted((r.boss_id, r["name"]) for r in maintenance.kill_names(bosses).collect()) == [("a", "Oru"), ("b", "X"), ("b", "Y")]
     lines = spark.createDataFrame([("l", i, t, f"line {i}") for i, t in [(1, 0), (2, 5000), (3, 6000), (4, 7000), (5, 9000), (6, 8000), (7, 9500)]], "log_path string, line_number long, t_ms long, line string")
     got = maintenance.export_range(lines, {"log_path": "l", "start_line": 3, "end_line": 4, "area_line": 1})
     assert sorted(r.line_number for r in got.collect()) == [1, 3, 4, 5]
 
 
 def test_anonymous_names_keep_pets_and_places(spark):
-    lines = spark.createDataFrame([("l", 1, "[x] [@Hawt Sauce#689852070183169|(1,2)] [AreaEntered {8}: Republic Fleet {1}]"), ("l", 2, "[x] [@Owner#333/Deston {1}:2] [@Hawt Sauce#689852070183169]"), ("l", 3, "no names")], "log_path string, line_number long, line string")
-    one, two, three = [r.line for r in maintenance.anonymised(lines).orderBy("line_number").collect()]
-    assert one == "[x] [@Player1#00000001|(1,2)] [AreaEntered {8}: Republic Fleet {1}]"
-    assert two == "[x] [@Player2#00000002/Deston {1}:2] [@Player1#00000001]" and three == "no names"
+    rows = ["[x] [@Ilse Vane#55|(1,2)] [AreaEntered {8}: Old Quarry {1}]", "[x] [@Bo/Ro @2#7/Imp {1}:2] [@Ilse Vane#55]", "no names, no@numbers", "@A#1x@B#2|@A#1"]
+    lines = spark.createDataFrame([("l", i, x) for i, x in enumerate(rows)], "log_path string, line_number long, line string")
+    assert [r.line for r in maintenance.anonymised(lines).orderBy("line_number").collect()] == [
+        "[x] [@Player1#00000001|(1,2)] [AreaEntered {8}: Old Quarry {1}]",
+        "[x] [@Player2#00000002/Imp {1}:2] [@Player1#00000001]",
+        "no names, no@numbers",
+        "@Player3#00000003x@Player4#00000004|@Player3#00000003",
+    ]
