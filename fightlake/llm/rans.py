@@ -220,8 +220,8 @@ def _with_base(index: DataFrame) -> DataFrame:
     inside = files.withColumn("inside", F.sum("n").over(Window.partitionBy("g").orderBy("file_no")) - F.col("n"))
     # One row for each GROUP files, so the one task that sums these gets few.
     groups = files.groupBy("g").agg(F.sum("n").alias("m")).withColumn("outside", F.sum("m").over(Window.orderBy("g")) - F.col("m"))
-    bases = inside.join(groups, "g").select("file_no", (F.col("inside") + F.col("outside")).alias("base"))
-    return index.join(bases, "file_no")
+    bases = inside.join(groups.hint("merge"), "g").select("file_no", (F.col("inside") + F.col("outside")).alias("base"))
+    return index.join(bases.hint("merge"), "file_no")
 
 
 def read_ids(index: DataFrame, with_ids: bool = True) -> DataFrame:

@@ -436,7 +436,7 @@ def _offered(points: DataFrame, banned: DataFrame | None, prints: list[int], rad
     f = [f"f{s}" for s in prints]
     rows = points.select("node", "label", *f).mapInArrow(partial(_deal_points, radius, free, prints), OFFERS)
     if banned is not None:
-        ends = [points.select(F.col("node").alias(e), *(F.col(c).alias(f"{c}{e}") for c in f)).hint("merge") for e in "ab"]
+        ends = [points.select(F.col("node").alias(e), *(F.col(c).alias(f"{c}{e}") for c in f)) for e in "ab"]
         pairs = banned.select("a", "b").join(ends[0], "a").join(ends[1], "b")
         rows = rows.unionByName(pairs.select("a", "b", *(f"{c}{e}" for e in "ab" for c in f)).mapInArrow(partial(_deal_banned, radius, free, prints), OFFERS))
     return rows.repartition("shard").sortWithinPartitions("shard", "place", "node").mapInArrow(partial(_offer, radius, forests), "a long, b long").distinct()
@@ -451,15 +451,15 @@ def _shingle_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     ends = nodes.select("node", F.col("rep").alias("doc_id"), F.col("rep_th").alias("th"))
-    named = texts.join(ends.hint("merge"), ["doc_id", "th"]).select("node", "text")
-    nameless = texts.where("doc_id is null").dropDuplicates(["th"]).join(ends.where("doc_id is null").drop("doc_id").hint("merge"), "th").select("node", "text")
+    named = texts.join(ends, ["doc_id", "th"]).select("node", "text")
+    nameless = texts.where("doc_id is null").dropDuplicates(["th"]).join(ends.where("doc_id is null").drop("doc_id"), "th").select("node", "text")
     return named.unionByName(nameless).mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def _rooted(links: DataFrame, labels: DataFrame) -> DataFrame:
     """``links`` between nodes of different labels, with these as ra and rb."""
     for e in "ab":
-        links = links.join(labels.select(F.col("node").alias(e), F.col("label").alias(f"r{e}")).hint("merge"), e)
+        links = links.join(labels.select(F.col("node").alias(e), F.col("label").alias(f"r{e}")), e)
     return links.where("ra <> rb")
 
 
@@ -477,7 +477,7 @@ def _verified_classes(nodes: DataFrame, docs: DataFrame, size: int, radius: int,
         found, _ = written(_offered(nodes.withColumn("label", F.col("node")), None, [s], radius, free).withColumn("s", F.lit(s)), "candidates")
         waiting = found if waiting is None else waiting.unionByName(found)
     ends = waiting.select(F.col("a").alias("node")).unionByName(waiting.select(F.col("b").alias("node"))).distinct()
-    points, _ = written(nodes.join(ends.hint("merge"), "node"), "ends")
+    points, _ = written(nodes.join(ends, "node"), "ends")
     sets, _ = written(_shingle_sets(points, docs, size), "shingle-sets")
     labels = points.select("node", F.col("node").alias("label"))
     refused = None
@@ -486,25 +486,25 @@ def _verified_classes(nodes: DataFrame, docs: DataFrame, size: int, radius: int,
         """Take the links (a, b) that are similar into the labels; gives those refused."""
         nonlocal labels, refused
         links, path = written(_rooted(links, labels), "offers")
-        pairs = links.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b")
+        pairs = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         judged, _ = written(pairs.select("a", "b", "ra", "rb", _similar(similarity)("x", "y").alias("similar")), "judged")
         drop_dir(spark, path)
         root = connected_components(judged.where("similar").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        labels, _ = written(labels.join(root.toDF("label", "root").hint("merge"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        labels, _ = written(labels.join(root.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
         bad = judged.where("not similar").select("a", "b")
         refused = bad if refused is None else refused.unionByName(bad)
         return bad
 
     judge(waiting.where("s = 0").select("a", "b"))
-    judge(waiting.where("s > 0").select("a", "b").distinct().join(refused.hint("merge"), ["a", "b"], "left_anti"))
+    judge(waiting.where("s > 0").select("a", "b").distinct().join(refused, ["a", "b"], "left_anti"))
     forests, last = 1, refused
     while True:
         apart = _rooted(last, labels)
         open_, _ = written(apart.select(F.col("ra").alias("label")).unionByName(apart.select(F.col("rb").alias("label"))).distinct(), "open")
         if open_.isEmpty():
             return labels
-        forests *= 4
-        again, _ = written(points.join(labels.hint("merge"), "node").join(open_.hint("merge"), "label", "left_semi"), "again")
+        forests *= 16
+        again, _ = written(points.join(labels, "node").join(open_, "label", "left_semi"), "again")
         banned = _rooted(refused, labels)
         offers, _ = written(_offered(again, banned, prints, radius, free, forests), "candidates")
         last = judge(offers)

@@ -209,7 +209,7 @@ def test_one_number_in_several_notations_stays_linked(spark):
 
 
 def test_long_runs_and_domains_end(spark):
-    stay = ["g" * 1_000_000, "1-" * 400_000, "me@" + "b" * 500_000, "Q" * 1_000_000 + "@", "+1" * 300_000, "1.2." * 200_000, "(" * 1_000_000]
+    stay = ["g" * 1_000_000, "1-" * 400_000, "me@" + "w" * 500_000, "Q" * 1_000_000 + "@", "+1" * 300_000, "1.2." * 200_000, "(" * 1_000_000]
     stay += ["x@a" + ".a" * 400_000 + ".com z"]  # no domain has over 126 labels
     texts = ["x@a" + ".a" * 100 + ".com z", *(run * 100_000 for run in ("4", "0a")), *stay]
     got = run(spark, texts)

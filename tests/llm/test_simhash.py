@@ -130,7 +130,12 @@ def test_keep_one_judges_rows_of_one_doc_id_by_their_texts(spark):
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(8)
     links = [(i, i + 1) for i in range(0, 60)] + [(1000 + rng.randrange(1, 40), 1000) for _ in range(80)] + [(5, 5), (None, 3), (2000, 2001), (2001, 2000)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    for block in (1 << 20, 25):  # solved in one task, and by star steps over several
+        got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long"), block).collect()}
+        check_components(got)
+
+
+def check_components(got):
     assert all(got[i] == 0 for i in range(1, 61)) and got[2001] == 2000
     assert {v for k, v in got.items() if 1000 < k < 2000} == {1000} and 5 in got and 0 not in got
 
