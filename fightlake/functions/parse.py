@@ -160,6 +160,26 @@ def hp_percent(current: Column, most: Column) -> Column:
     return F.when(most > 0, F.least(F.greatest(100 * current / most, F.lit(0.0)), F.lit(100.0)))
 
 
+def half_even(x: Column | str, places: int = 0) -> Column:
+    """Rounded to so many places by the exact binary value, halves to the even side; a whole number where ``places`` is 0."""
+    x = F.col(x) if isinstance(x, str) else x
+    if not places:
+        return F.rint(x).cast("long")
+    unit = F.lit(10.0**places)
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        return high, v - high
+
+    # Only where the product shows a half exactly, its rounding error (Dekker's product) tells on which side the value lies.
+    product = x * unit
+    (a, b), (c, d) = halves(x), halves(unit)
+    error = ((a * c - product) + a * d + b * c) + b * d
+    low = F.floor(product).cast("double")
+    tie = product == low + 0.5
+    return F.when(tie & (error > 0), low + 1).when(tie & (error < 0), low).otherwise(F.rint(product)) / unit
+
+
 def alacrity_scaled(seconds: Column, percent: Column) -> Column:
     return F.when(percent > 0, seconds / (1 + percent / 100)).otherwise(seconds)
 

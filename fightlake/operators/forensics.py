@@ -61,14 +61,43 @@ def mass_deaths(events: DataFrame, least: int = 5, within_ms: int = 15_000) -> D
 
 
 def cooldown_uses(events: DataFrame, cooldowns: DataFrame, window_ms: int = WINDOW_MS, whole_pull: bool = False) -> DataFrame:
-    """For each player death and cooldown (label, keyword, cooldown_ms; a small table): the last use and whether it was free.
+    """For each player death and cooldown (label, keyword, cooldown_ms): the last use by that player and whether it was free.
 
-    The last use is that before the death; with ``whole_pull``, the last in the pull even after it.
+    A use is an activation whose name holds the keyword. The last use is that before the death; with ``whole_pull``, the last in the pull
+    even after it. Deaths and uses meet in one window by player and cooldown, not by a join of all with all; the cooldowns are a table written by
+    hand and are compiled into the projection.
     """
     c = F.col
-    uses = events.where("is_ability_activate and source is not null").join(F.broadcast(cooldowns), F.lower("ability") == F.lower("keyword")).select(*PULL, c("source").alias("target"), "label", "cooldown_ms", c("t_ms").alias("used_ms"))
-    deaths = events.where("is_death and target_is_player").select(*PULL, "target", c("line_number").alias("death_line"), c("t_ms").alias("death_ms"))
-    both = deaths.join(uses, [*PULL, "target"]).where(F.lit(True) if whole_pull else c("used_ms") <= c("death_ms"))
-    last = both.groupBy(*_DEATH, "death_ms", "label", "cooldown_ms").agg(F.max("used_ms").alias("used_ms"))
-    since = c("death_ms") - c("used_ms")
-    return last.withColumns({"since_ms": since, "available": since >= c("cooldown_ms"), "used_in_window": since <= window_ms})
+    table = cooldowns.limit(1001).collect()
+    if len(table) > 1000:
+        raise ValueError("more than 1000 cooldowns")
+    kinds = [F.struct(F.lit(r.label).alias("label"), F.lit(r.cooldown_ms).cast(cooldowns.schema["cooldown_ms"].dataType).alias("cooldown_ms"), F.lower(F.lit(r.keyword)).alias("keyword")) for r in table]
+    listed = F.array(*kinds)
+    used = F.filter(listed, lambda k: F.lower("ability").contains(k["keyword"]))
+    none = F.lit(None).cast("long")
+    uses = events.where("is_ability_activate and source is not null and ability is not null").withColumn("k", F.explode(used))
+    uses = uses.select(*PULL, c("source").alias("target"), c("k.label").alias("label"), c("k.cooldown_ms").alias("cooldown_ms"), c("t_ms").alias("at_ms"), c("t_ms").alias("used"), none.alias("death_line"))
+    deaths = events.where("is_death and target_is_player").withColumn("k", F.explode(listed))
+    deaths = deaths.select(*PULL, "target", c("k.label").alias("label"), c("k.cooldown_ms").alias("cooldown_ms"), c("t_ms").alias("at_ms"), none.alias("used"), c("line_number").cast("long").alias("death_line"))
+    w = Window.partitionBy(*PULL, "target", "label")
+    w = w if whole_pull else w.orderBy("at_ms").rangeBetween(Window.unboundedPreceding, 0)
+    last = uses.unionByName(deaths).withColumn("used_ms", F.max("used").over(w)).where("death_line is not null and used_ms is not null")
+    since = c("at_ms") - c("used_ms")
+    return last.select(*_DEATH, c("at_ms").alias("death_ms"), "label", "cooldown_ms", "used_ms", since.alias("since_ms"), (since >= c("cooldown_ms")).alias("available"), (since <= window_ms).alias("used_in_window"))
+
+
+def hp_samples(events: DataFrame, n: int = 60, window_ms: int = WINDOW_MS) -> DataFrame:
+    """The last ``n`` values of the victim's health before each player death, newest first."""
+    rows = death_windows(events, window_ms).where("hp_max > 0")
+    w = Window.partitionBy(*_DEATH).orderBy(F.desc("line_number"))
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(*_DEATH, "line_number", "t_ms", "hp_current", "hp_max", "rank")
+
+
+def victims(deaths: DataFrame) -> DataFrame:
+    """How often each player died, from rows of :func:`deaths_of`."""
+    return deaths.groupBy(F.col("target").alias("name")).agg(F.count("*").alias("deaths"))
+
+
+def deaths_of(events: DataFrame) -> DataFrame:
+    """(pull, target, death_line, death_ms) of each player death."""
+    return events.where("is_death and target_is_player and target is not null").select(*PULL, "target", F.col("line_number").alias("death_line"), F.col("t_ms").alias("death_ms"))

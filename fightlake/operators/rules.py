@@ -1,17 +1,22 @@
 """Declarative rules as tables: edge triggers, counters, conditions, keyword hits, timers and effects.
 
-Rule tables are curated by hand; they are joined with plain joins, which Spark broadcasts only below its limit.
+Rule tables are curated by hand. Conditions and keywords are compiled into one projection over the events, so there is no join by
+comparison; tables that meet events by name are joined plainly, which Spark broadcasts only below its limit.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.parse import hp_percent
+from . import conditions
 from .stats import PULL
 
+
 def in_order() -> WindowSpec:
     return Window.partitionBy(*PULL).orderBy("line_number")
 
@@ -35,6 +40,13 @@ def latest_hp(events: DataFrame, name: str) -> DataFrame:
     return events.withColumns({"boss_hp": F.last(hp, True).over(in_order()), "boss_target": F.last(chosen, True).over(in_order())})
 
 
+def combat_start_timers(events: DataFrame, matches: DataFrame, timers: DataFrame) -> DataFrame:
+    """Timers (boss_id, timer_id, duration_ms) that begin with combat, back-dated to the last entry into combat up to the boss's recognition."""
+    seen = matches.select(*PULL, "boss_id", "seen_line")
+    entry = events.where("is_combat_start").join(seen, PULL).where("line_number <= seen_line").groupBy(*PULL, "boss_id").agg(F.max_by("t_ms", "line_number").alias("start_ms"))
+    return entry.join(timers, "boss_id").select(*PULL, "boss_id", "timer_id", "start_ms", (F.col("start_ms") + F.col("duration_ms")).alias("end_ms"))
+
+
 def counters(events: DataFrame, up: Column, down: Column, reset: Column, initial: int = 0) -> DataFrame:
     """A counter after each row: +1, -1, or back to ``initial`` (which wins); ``changed`` where it moved."""
     reset = F.coalesce(reset, F.lit(False))
@@ -44,6 +56,11 @@ def counters(events: DataFrame, up: Column, down: Column, reset: Column, initial
     return rows.withColumn("changed", F.col("counter") != F.coalesce(F.lag("counter").over(in_order()), F.lit(initial))).drop("era", "delta")
 
 
+def counter_reaches(counted: DataFrame, least: int) -> DataFrame:
+    """First row of each pull after which its counter is at ``least`` or over, from the rows of :func:`counters`."""
+    return counted.where(F.col("counter") >= least).groupBy(*PULL).agg(F.min("line_number").alias("line_number"))
+
+
 def compared(op: Column, a: Column, b: Column) -> Column:
     return F.when(op == "eq", a == b).when(op == "ne", a != b).when(op == "gte", a >= b).when(op == "lte", a <= b).when(op == "gt", a > b).when(op == "lt", a < b).otherwise(False)
 
@@ -57,69 +74,91 @@ def in_scope(allowed: Column, value: Column) -> Column:
 MOST_CONDITIONS = 10_000
 
 
-def _leaf(kind: str, keyword: str | None) -> Column:
-    c, key = F.col, (keyword or "").lower()
-    hay = F.lower(F.coalesce("ability", F.lit("")))
-    if kind == "combat_start":
-        return c("is_combat_start")
-    if kind == "combat_end":
-        return c("is_combat_end")
-    if kind == "ability_cast":
-        return c("is_ability_activate") & hay.contains(key)
-    if kind in ("effect_applied", "effect_removed"):
-        return (c("effect_type") == ("ApplyEffect" if kind == "effect_applied" else "RemoveEffect")) & hay.contains(key)
-    if kind == "entity_death":
-        return c("is_death") & (c("target") == keyword)
-    return F.lit(False)
+def _bounded(table: DataFrame, most: int = MOST_CONDITIONS) -> list:
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return rows
 
 
 def composed(events: DataFrame, tree: DataFrame) -> DataFrame:
-    """(pull, line_number, cond_id) of every condition that holds; ``tree``: cond_id, parent_id, type (leaf types, any_of, all_of, not), keyword.
+    """(pull, line_number, cond_id) of every condition that holds; ``tree``: cond_id, parent_id, type, keyword[, selector, ability_ids].
 
-    The rule table is compiled into one projection: no join, one pass. An any_of or all_of without children never holds.
+    Types are those that look at a row alone (see :mod:`conditions`), any_of, all_of and not. Without a selector, ``entity_death`` takes the
+    keyword as the name. The rule table is compiled into one projection: no join, one pass. An any_of, all_of or not without children never holds.
     """
-    rows = {r.cond_id: r for r in tree.limit(MOST_CONDITIONS + 1).collect()}
-    if len(rows) > MOST_CONDITIONS:
-        raise ValueError(f"more than {MOST_CONDITIONS} conditions")
+    rows = {r.cond_id: r.asDict() for r in _bounded(tree)}
     below: dict = {}
     for r in rows.values():
-        below.setdefault(r.parent_id, []).append(r.cond_id)
-
-    def holds(i) -> Column:
-        r, parts = rows[i], [holds(k) for k in below.get(i, [])]
-        if r.type not in ("any_of", "all_of", "not"):
-            return F.coalesce(_leaf(r.type, r.keyword), F.lit(False))
-        if not parts:
-            return F.lit(False)
-        out = parts[0]
-        for p in parts[1:]:
-            out = (out & p) if r.type == "all_of" else (out | p)
-        return ~out if r.type == "not" else out
-
-    met = F.array_compact(F.array(*[F.when(holds(i), F.lit(i)) for i in rows]))
+        below.setdefault(r["parent_id"], []).append(r["cond_id"])
+
+    def condition(i) -> dict:
+        r, parts = rows[i], [condition(k) for k in below.get(i, [])]
+        selector = r.get("selector") or ([r["keyword"]] if r["type"] == "entity_death" and r["keyword"] else [])
+        return {**r, "selector": selector, "conditions": parts, "condition": parts[0] if parts else None}
+
+    met = F.array_compact(F.array(*[F.when(conditions.holds(condition(i)), F.lit(i)) for i in rows]))
     return events.select(*PULL, "line_number", F.explode(met).alias("cond_id"))
 
 
 def keyword_hits(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows whose ability and effect hold a rule's keyword (rule_id, label, keyword, when_applied, duration_ms, key_by)."""
+    """Rows whose ability and effect hold a rule's keyword, with the rule's columns.
+
+    ``rules``: rule_id, keyword, when_applied (true: neither removals, charges nor activations; false: removals; null: any) and what else the caller
+    wants to see. Gates, where the rule table has them: only_source, only_target; only_local_player and only_target_is_local_player (``events`` has
+    local_player; an unknown one passes); required_boss (boss_id) and required_phases (phase_id). The table is compiled into one projection.
+    """
     c = F.col
-    hay = F.lower(F.concat_ws(" ", "ability", "effect_name"))
-    removed = c("effect_type") == "RemoveEffect"
-    gate = F.when(c("when_applied"), ~removed & (c("effect_type") != "ModifyCharges") & ~c("is_ability_activate")).otherwise(removed)
-    return events.join(rules, hay.contains(F.lower("keyword")) & gate)
+    table = _bounded(rules)
+    hay = c("__hay")
+    removed = F.coalesce(c("is_effect_removed"), F.lit(False)) if "is_effect_removed" in events.columns else F.coalesce(c("effect_type") == "RemoveEffect", F.lit(False))
+    charges = F.coalesce(c("effect_type") == "ModifyCharges", F.lit(False))
+
+    def passes(r) -> Column:
+        rule = r.asDict()
+        gates = [hay.contains((rule["keyword"] or "").lower())]
+        if rule.get("when_applied") is not None:
+            gates.append(~removed & ~charges & ~c("is_ability_activate") if rule["when_applied"] else removed)
+        for side in ("source", "target"):
+            if rule.get(f"only_{side}"):
+                gates.append(c(side).eqNullSafe(F.lit(rule[f"only_{side}"])))
+        for name, side in (("only_local_player", "source"), ("only_target_is_local_player", "target")):
+            if rule.get(name) and "local_player" in events.columns:
+                gates.append(c("local_player").isNull() | c(side).eqNullSafe(c("local_player")))
+        if rule.get("required_boss"):
+            gates.append(c("boss_id").eqNullSafe(F.lit(rule["required_boss"])))
+            if rule.get("required_phases"):
+                gates.append(c("phase_id").isin(list(rule["required_phases"])))
+        return reduce(lambda a, b: a & b, gates)
+
+    made = [F.when(passes(r), F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in rules.schema])) for r in table]
+    none = F.array().cast(f"array<{rules.schema.simpleString()}>")
+    rows = events.withColumn("__hay", F.lower(F.concat_ws(" ", "ability", "effect_name")))
+    return rows.withColumn("__rule", F.explode(F.array_compact(F.array(*made)) if made else none)).select(*events.columns, "__rule.*")
+
+
+#: Categories whose countdown on a target starts anew with each hit, and those that end with the target's death.
+REFRESHED, MORTAL = ("dot", "hot", "cooldown"), ("dot", "hot")
 
 
 def timer_intervals(hits: DataFrame, events: DataFrame) -> DataFrame:
-    """Countdowns from rule hits: a new hit of the same rule and target, or the target's death, ends the one before."""
+    """Countdowns from rule hits: a new hit of the same rule and target, or the target's death, ends the one before.
+
+    With a ``category``, only those of ``REFRESHED`` start anew (others stack) and only those of ``MORTAL`` end with a death. The next death of a
+    target is found by one window over its hits and deaths together, not by a join of all with all.
+    """
+    c = F.col
     key = [*PULL, "rule_id", "target"]
-    w = Window.partitionBy(*key).orderBy("t_ms", "line_number")
-    deaths = events.where("is_death and target is not null").select(*PULL, "target", F.col("t_ms").alias("died_ms"))
-    rows = hits.select(*key, "line_number", "t_ms", "duration_ms", "warn_ms").withColumn("next_ms", F.lead("t_ms").over(w))
-    died = rows.join(deaths, [*PULL, "target"]).where("died_ms >= t_ms").groupBy(*key, "line_number").agg(F.min("died_ms").alias("died_ms"))
-    rows = rows.join(died, [*key, "line_number"], "left")
-    end = F.least(F.col("t_ms") + F.col("duration_ms"), "next_ms", "died_ms")
-    warn = F.col("t_ms") + F.col("duration_ms") - F.col("warn_ms")
-    return rows.select(*key, "line_number", F.col("t_ms").alias("start_ms"), end.alias("end_ms"), F.when(warn < end, warn).alias("warn_at_ms"))
+    category = c("category") if "category" in hits.columns else F.lit("dot")
+    rows = hits.select(*key, "line_number", "t_ms", "duration_ms", "warn_ms", category.alias("category"), F.lit(None).cast("long").alias("died"))
+    deaths = events.where("is_death and target is not null").select(*PULL, "target", "t_ms", c("t_ms").cast("long").alias("died"))
+    ahead = Window.partitionBy(*PULL, "target").orderBy("t_ms").rangeBetween(0, Window.unboundedFollowing)
+    rows = rows.unionByName(deaths, allowMissingColumns=True).withColumn("died_ms", F.first("died", True).over(ahead)).where("died is null")
+    next_ms = F.lead("t_ms").over(Window.partitionBy(*key).orderBy("t_ms", "line_number"))
+    rows = rows.withColumn("next_ms", F.when(c("category").isin(*REFRESHED), next_ms))
+    end = F.least(c("t_ms") + c("duration_ms"), "next_ms", F.when(c("category").isin(*MORTAL), c("died_ms")))
+    warn = c("t_ms") + c("duration_ms") - c("warn_ms")
+    return rows.select(*key, "line_number", c("t_ms").alias("start_ms"), end.alias("end_ms"), F.when(warn < end, warn).alias("warn_at_ms"))
 
 
 def repeats(rows: DataFrame, count: str, every_ms: str) -> DataFrame:
@@ -127,8 +166,20 @@ def repeats(rows: DataFrame, count: str, every_ms: str) -> DataFrame:
     return rows.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long")))).withColumn("fires_ms", F.col("start_ms") + F.col("nth") * F.col(every_ms))
 
 
-def chained(starts: DataFrame, chains: DataFrame, depth: int = 4) -> DataFrame:
-    """Timers started (pull, timer_id, at_ms) and all that they start in turn; ``chains``: timer_id, next_id, delay_ms."""
+def chained(starts: DataFrame, chains: DataFrame) -> DataFrame:
+    """Timers started (pull, timer_id, at_ms) and all that they start in turn; ``chains``: timer_id, next_id, delay_ms.
+
+    Chains may be of any length, one join for each step of the longest. A chain that leads back to itself would never end and raises an error;
+    :func:`conditions.boss_script` runs such chains up to a pull's end.
+    """
+    after: dict = {}
+    for r in _bounded(chains):
+        after.setdefault(r.timer_id, set()).add(r.next_id)
+    reached, depth = set(after), 0
+    while reached := {n for t in reached for n in after.get(t, ())}:
+        depth += 1
+        if depth > len(after):
+            raise ValueError("a chain of timers leads back to itself")
     out = level = starts.select(*PULL, "timer_id", "at_ms")
     for _ in range(depth):
         level = level.join(chains, "timer_id").select(*PULL, F.col("next_id").alias("timer_id"), (F.col("at_ms") + F.col("delay_ms")).alias("at_ms"))

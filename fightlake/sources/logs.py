@@ -48,13 +48,17 @@ def refreshed_index(files: DataFrame, index: DataFrame, fresh: DataFrame) -> Dat
 
 
 def read_definitions(spark: SparkSession, *folders: str) -> DataFrame:
-    """Boss definitions; a later folder's wins over the same id; documents that can't be read are skipped."""
-    cond = "struct<type: string, percent: double, keyword: string, target: string, timer_id: string, phase_id: string, counter_id: string, operator: string, value: double>"
+    """Boss definitions; a later folder's wins over the same id; documents that can't be read are skipped.
+
+    Conditions nest without a limit, so each stays JSON text; :func:`fightlake.operators.conditions.definitions_of` reads them.
+    """
     schema = (
-        "id string, name string, boss_names array<string>, boss_npc_ids array<string>, "
-        f"phases array<struct<id: string, name: string, difficulties: array<string>, start_trigger: {cond}, end_trigger: {cond}>>, "
-        f"counters array<struct<id: string, initial_value: bigint>>, "
-        f"timers array<struct<id: string, label: string, duration_seconds: double, warn_seconds_before: double, phases: array<string>, difficulties: array<string>, trigger: {cond}, cancel_trigger: {cond}>>"
+        "id string, name string, boss_names array<string>, boss_npc_ids array<string>, encounter_trigger string, "
+        "phases array<struct<id: string, name: string, difficulties: array<string>, start_trigger: string, conditions: array<string>, end_trigger: string>>, "
+        "counters array<struct<id: string, name: string, increment_on: string, decrement_on: string, reset_on: string, initial_value: double>>, "
+        "timers array<struct<id: string, label: string, duration_seconds: double, warn_seconds_before: double, trigger: string, conditions: array<string>, cancel_trigger: string, "
+        "phases: array<string>, difficulties: array<string>, group_sizes: array<int>, repeat_interval_seconds: double, repeat_count: int, is_alert: boolean, "
+        "announce_on_start: boolean, announce_target: boolean, voice_alert: boolean>>"
     )
     parts = [spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json").json(f).withColumns({"rank": F.lit(i), "file": F.col("_metadata.file_name")}) for i, f in enumerate(folders)]
     rows = parts[0]
@@ -75,7 +79,7 @@ def phase_table(definitions: DataFrame) -> DataFrame:
 
 
 def timer_table(definitions: DataFrame) -> DataFrame:
-    return definitions.select(F.col("id").alias("boss_id"), F.explode("timers").alias("t")).select("boss_id", F.col("t.id").alias("timer_id"), "t.label", "t.duration_seconds", "t.trigger", "t.cancel_trigger")
+    return definitions.select(F.col("id").alias("boss_id"), F.explode("timers").alias("t")).select("boss_id", F.col("t.id").alias("timer_id"), F.expr("t.* except (id)"))
 
 
 def append_history(pulls: DataFrame, folder: str) -> None:

@@ -148,3 +148,99 @@ def test_anonymous_names_keep_pets_and_places(spark):
         "no names, no@numbers",
         "@Player3#00000003x@Player4#00000004|@Player3#00000003",
     ]
+
+
+def test_rebuild_recomputes_from_its_own_lines(table):
+    from fightlake.operators import maintenance as M
+
+    rows = [event(1, 0, "start"), event(2, 1000, "damage", amount=40.0), event(3, 4000, "damage", amount=2.5), event(4, 5000, "end"), event(10, 9000, "heal", amount=9.0), event(11, 9500, "heal", amount=1.0)]
+    spark = table(rows).sparkSession
+    schema = "stored_id string, log_path string, start_line long, end_line long, data_version int, duration double, unverified boolean, damage_old int"
+    stored = [("a", "log", 1, 4, 1, 99.0, False, 1), ("b", "log", 10, 11, 1, 99.0, None, 2), ("c", "log", 500, 900, 1, 99.0, False, 3), ("d", "log", 1, 4, 2, 7.0, False, 4), ("e", "gone", 1, 4, 1, 99.0, False, 5), ("f", "log", 1, 4, 1, 99.0, True, 6)]
+    out = M.rebuilt(spark.createDataFrame(stored, schema), table(rows), 2)
+    got = {r.stored_id: (r.status, r.duration, r.damage, r.data_version, r.unverified) for r in out.collect()}
+    assert got == {
+        "a": ("rebuilt", 5.0, 42.5, 2, False), "b": ("dropped", 99.0, None, 1, False), "c": ("unverified", 99.0, None, 1, True),
+        "d": ("current", 7.0, None, 2, False), "e": ("unverified", 99.0, None, 1, True), "f": ("unverified", 99.0, None, 1, True),
+    }
+    assert {r.status: r["count"] for r in M.rebuild_report(out).collect()} == {"rebuilt": 1, "dropped": 1, "unverified": 3, "current": 1}
+
+
+def test_joins_by_buckets_of_lines(spark):
+    rng = random.Random(5)
+    maintenance_bucket = maintenance.BUCKET
+    ranges = lambda n: [(f"s{i}", f"l{rng.randrange(2)}", a := rng.randrange(30000), a + rng.choice([0, 5, 5000, 20000])) for i in range(n)]
+    stored, derived = ranges(40), ranges(30)
+    events = spark.range(0, 50000, 97).selectExpr("'l' || (id % 2) log_path", "id line_number")
+    pointers = spark.createDataFrame(stored, "stored_id string, log_path string, start_line long, end_line long")
+    got = sorted((r.stored_id, r.line_number) for r in maintenance.at_pointers(events, pointers).collect())
+    assert got == sorted((s, n) for s, log, a, b in stored for n in range(0, 50000, 97) if log == f"l{n % 2}" and a <= n <= b) and maintenance_bucket < 5000
+    found = spark.createDataFrame([(log, i, a, b, i * 10) for i, (_, log, a, b) in enumerate(derived)], "log_path string, pull_index long, start_line long, end_line long, start_ms long")
+    first = {r.stored_id: r.derived_index for r in maintenance.overlapping(pointers, found).collect()}
+    for s, log, a, b in stored:
+        hits = sorted((x, i) for i, (_, other, x, y) in enumerate(derived) if other == log and a <= y and b >= x)
+        assert first.get(s) in ([i for x, i in hits if x == hits[0][0]] if hits else [None])
+
+
+def test_keyword_rules_with_gates_and_countdowns(table):
+    from fightlake.operators import effects
+
+    spark = table([event(1, 0)]).sparkSession
+    hit = lambda line, t, name, **more: event(line, t, "none", **{"effect_type": "ApplyEffect", "effect_name": name, "ability": None, **more})
+    rows = [hit(1, 0, "Scorch"), hit(2, 5000, "Scorch"), hit(3, 6000, "Scorch", target="C"), event(4, 9000, "death", target="C"), hit(5, 10000, "Scorch", source="Q"), hit(6, 11000, "Deflection", effect_type="RemoveEffect"), hit(7, 12000, "Adrenaline Rush", effect_type="RemoveEffect"), event(8, 13000, "activate", ability="Scorch"), hit(9, 14000, "Lucky Break", source="Q"), hit(10, 15000, "Lucky Break", source="Q"), hit(11, 16000, "Scorch", effect_type="ModifyCharges")]
+    events = table(rows).withColumns({"pull_index": F.lit(0).cast("long"), "local_player": F.lit("P")})
+    table_ = effects.timer_rules(spark)
+    hits = rules.keyword_hits(events, table_)
+    assert sorted((r.line_number, r.label) for r in hits.collect()) == [(1, "Scorch"), (2, "Scorch"), (3, "Scorch"), (7, "Adrenaline Rush (cooldown)"), (9, "Combat Rez (cooldown)"), (10, "Combat Rez (cooldown)")]
+    spans = rules.timer_intervals(hits, events)
+    assert sorted((r.line_number, r.start_ms, r.end_ms) for r in spans.collect()) == [(1, 0, 5000), (2, 5000, 35000), (3, 6000, 9000), (7, 12000, 192000), (9, 14000, 15000), (10, 15000, 315000)]
+    stacked = rules.timer_intervals(hits.withColumn("category", F.lit("boss")), events)
+    assert sorted((r.line_number, r.end_ms) for r in stacked.where("line_number < 4").collect()) == [(1, 30000), (2, 35000), (3, 36000)]
+    gated = spark.createDataFrame([(1, "scorch", None, "P", "C", None, None), (2, "scorch", None, None, None, "b1", ["p2"])], "rule_id int, keyword string, when_applied boolean, only_source string, only_target string, required_boss string, required_phases array<string>")
+    found = rules.keyword_hits(events.withColumns({"boss_id": F.lit("b1"), "phase_id": F.when(F.col("line_number") < 3, "p2").otherwise("p1")}), gated)
+    assert sorted((r.rule_id, r.line_number) for r in found.collect()) == [(1, 3), (2, 1), (2, 2)]
+
+
+def test_tracked_effects_and_charges(table):
+    from fightlake.operators import effects
+
+    spark = table([event(1, 0)]).sparkSession
+    names = ["is_effect_removed", "is_charges_modified", "charges"]
+    rows, more = [], []
+
+    def add(t, name, ability=None, removed=False, charges=None, kind="none", **columns):
+        rows.append(event(len(rows) + 1, t, kind, **{"effect_type": "ModifyCharges" if charges is not None else "ApplyEffect", "effect_name": name, "ability": ability, "target": "T", **columns}))
+        more.append((len(rows), removed, charges is not None, charges))
+
+    add(0, "Kolto Shell", "Kolto Shell")
+    for left in (6, 5, 4, 3):
+        add(2000, "Kolto Shell", "Kolto Shell", charges=left)
+    add(3000, "Heal", "Kolto Pods")
+    add(4000, "Heal", "Kolto Pods")
+    add(6000, "Heal", "Kolto Pods")
+    add(7000, "Kolto Probe", "Kolto Probe")
+    add(8000, "Kolto Probe", "Kolto Probe", source="Q")
+    add(9000, "Heal", "Kolto Probe")
+    add(12000, "Kolto Probe", "Kolto Probe")
+    add(13000, "Kolto Probe", "Kolto Probe", kind="activate")
+    add(14000, "Death", None, kind="death")
+    add(15000, "Rejuvenate", None)
+    add(16000, "Rejuvenate", None, removed=True)
+    flags = spark.createDataFrame(more, "line_number long, is_effect_removed boolean, is_charges_modified boolean, charges int")
+    events = table(rows).join(flags, "line_number").withColumn("pull_index", F.lit(0).cast("long"))
+    got = effects.tracked_effects(effects.effect_rows(events, effects.effect_rules(spark, "hot"), 20.0)).collect()
+    assert sorted((r.source, r.effect, r.start_ms, r.end_ms, r.until_ms, r.refreshes, r.charges_lost) for r in got) == [
+        ("P", "Kolto Pods", 3000, 5500, 5500, 0, 0), ("P", "Kolto Pods", 6000, 8500, 8500, 0, 0), ("P", "Kolto Probe", 7000, 14000, 29500, 1, 0),
+        ("P", "Kolto Shell", 0, 14000, 180000, 0, 4), ("P", "Rejuvenate", 15000, 16000, 27500, 0, 0), ("Q", "Kolto Probe", 8000, 14000, 25500, 0, 0),
+    ]
+    shown = spark.range(1).select(rules.charges_left(F.lit(7), F.lit(3), F.lit(178000.0), F.lit(180000.0)).alias("x")).first().x
+    assert abs(shown - (178000 - 4 * 180000 / 7)) < 1e-6 and len(effects.effect_list()) == 46
+
+
+def test_chains_of_any_length(spark):
+    starts = spark.createDataFrame([("l", 0, "t0", 5)], "log_path string, pull_index long, timer_id string, at_ms long")
+    links = lambda pairs: spark.createDataFrame([(a, b, 10) for a, b in pairs], "timer_id string, next_id string, delay_ms int")
+    got = rules.chained(starts, links([(f"t{i}", f"t{i + 1}") for i in range(9)])).collect()
+    assert sorted((r.at_ms, r.timer_id) for r in got) == [(5 + 10 * i, f"t{i}") for i in range(10)]
+    with pytest.raises(ValueError):
+        rules.chained(starts, links([("t0", "t1"), ("t1", "t2"), ("t2", "t1")]))

@@ -118,3 +118,10 @@ def test_scalars_and_records(spark):
     rows = spark.createDataFrame([({"event": "Healing", "caster": "x", "value": "5"},), ({"type": "odd"},)], "raw map<string, string>")
     one, two = P.normalise_records(rows).collect()
     assert (one.kind, one.source, one.amount) == ("heal", "x", 5.0) and two.kind == "unknown"
+
+
+def test_rounding_goes_by_the_binary_value(spark):
+    rng = random.Random(8)
+    values = [2.675, 1.005, 0.5, 1.5, 2.5, -2.5, -0.125, 0.375, 1e6 + 0.05, 0.0, 2.5e-3] + [rng.uniform(-1e4, 1e4) for _ in range(500)] + [rng.randrange(-(10**6), 10**6) / 2**rng.randrange(12) for _ in range(500)] + [rng.randrange(10**6) / 1000 for _ in range(500)]
+    for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", P.half_even("v").alias("a"), P.half_even("v", 1).alias("b"), P.half_even("v", 2).alias("c")).collect():
+        assert (r.a, r.b, r.c) == (round(r.v), round(r.v, 1), round(r.v, 2))
