@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import conditions
 from .stats import PULL, exact_sum
 
 
-def first_match(events: DataFrame, bosses: DataFrame) -> DataFrame:
+def first_match(events: DataFrame, bosses: DataFrame, definitions: list[dict] | None = None) -> DataFrame:
     """The boss of each pull: the definition of its first event that matches by npc id (or, without ids, by name).
 
     ``bosses``: boss_id, boss_name, def_rank, npc_ids, names. They are a small, curated table; Spark sends
-    them whole only below its broadcast limit and joins by hash else.
+    them whole only below its broadcast limit and joins by hash else. ``definitions`` (see :mod:`conditions`) add their ``encounter_trigger``.
     """
     seen = events.select(*PULL, "line_number", F.explode(F.array(F.struct(F.col("source").alias("name"), F.col("source_npc_id").alias("npc")), F.struct(F.col("target").alias("name"), F.col("target_npc_id").alias("npc")))).alias("side")).select(*PULL, "line_number", "side.name", "side.npc")
     least = seen.groupBy(*PULL, "name", "npc").agg(F.min("line_number").alias("line_number"))
@@ -20,6 +21,11 @@ def first_match(events: DataFrame, bosses: DataFrame) -> DataFrame:
     by_name = bosses.where("size(npc_ids) = 0").select("boss_id", "boss_name", "def_rank", F.explode("names").alias("name"))
     cols = [*PULL, "line_number", "boss_id", "boss_name", "def_rank"]
     hits = least.join(by_id, "npc").select(*cols).unionByName(least.join(by_name, "name").select(*cols))
+    armed = [(i, d) for i, d in enumerate(definitions or []) if d.get("encounter_trigger")]
+    if armed:
+        marks = [F.when(conditions.holds(d["encounter_trigger"]), F.lit(d["id"])) for _, d in armed]
+        fired = events.select(*PULL, "line_number", F.explode(F.array_compact(F.array(*marks))).alias("boss_id"))
+        hits = hits.unionByName(fired.join(bosses.select("boss_id", "boss_name", "def_rank"), "boss_id").select(*cols))
     return hits.groupBy(*PULL).agg(F.min(F.struct("line_number", "def_rank", "boss_id", "boss_name")).alias("m")).select(*PULL, "m.boss_id", "m.boss_name", F.col("m.line_number").alias("seen_line"))
 
 
@@ -71,3 +77,45 @@ def compare(stats: DataFrame, a: tuple, b: tuple) -> DataFrame:
     side = lambda p, s: stats.where((F.col("log_path") == p[0]) & (F.col("pull_index") == p[1])).select("name", F.col("dps").alias(f"dps_{s}"), F.col("hps").alias(f"hps_{s}"))
     both = side(a, "a").join(side(b, "b"), "name", "full_outer").na.fill(0.0)
     return both.withColumns({"dps_delta": F.col("dps_b") - F.col("dps_a"), "hps_delta": F.col("hps_b") - F.col("hps_a")})
+
+
+def overview(index: DataFrame, stats: DataFrame) -> DataFrame:
+    """One row: sessions, encounters, those with a boss, bosses, first and last log, and players."""
+    players = stats.where("is_player").agg(F.countDistinct("name").alias("player_count"))
+    counts = index.agg(
+        F.countDistinct("log_path").alias("sessions"), F.count("*").alias("encounters"), F.count("boss_id").alias("boss_encounters"),
+        F.countDistinct("boss_id").alias("bosses"), F.min("log_path").alias("first_log"), F.max("log_path").alias("last_log"),
+    )
+    one = F.lit(1).alias("one")
+    return counts.select("*", one).join(players.select("*", one), "one").drop("one")
+
+
+def local_players(events: DataFrame) -> DataFrame:
+    """(log_path, area_line, local_player): who last entered an area, else the first player seen as source or target."""
+    c = F.col
+    area = F.when(c("is_area_entered") & c("source").isNotNull(), c("line_number"))
+    seen = F.when(c("source_is_player"), c("source")).when(c("target_is_player"), c("target"))
+    first = F.min_by(seen, F.when(seen.isNotNull(), c("line_number")))
+    return events.groupBy("log_path").agg(F.max(F.when(c("is_area_entered"), c("line_number"))).alias("area_line"), F.coalesce(F.max_by("source", area), first).alias("local_player"))
+
+
+def labelled_boss_damage(damage: DataFrame, history: DataFrame, bosses: DataFrame) -> DataFrame:
+    """Of each stored pull (log_path, pull_index, label, duration) and source: damage to the names of the definition that its label names, and its rate.
+
+    ``damage``: pull, name, key (target), total. The label is matched with ``boss_name``; of equal ones the first by ``def_rank`` counts.
+    """
+    first = bosses.groupBy("boss_name").agg(F.min(F.struct("def_rank", "names")).alias("d")).select(F.col("boss_name").alias("label"), F.explode("d.names").alias("key")).distinct()
+    owed = history.join(first, "label").select(*PULL, "label", "duration", "key")
+    sums = damage.join(owed, [*PULL, "key"]).groupBy(*PULL, "label", "name", "duration").agg(exact_sum(F.col("total")).alias("boss_damage"))
+    return sums.withColumn("boss_dps", F.when(F.col("duration") > 0, F.col("boss_damage") / F.col("duration")).otherwise(0.0)).drop("duration")
+
+
+def lookup(requests: DataFrame, index: DataFrame) -> DataFrame:
+    """Requests (request_id, file, start_line, end_line) with the log that the index (file, log_path) knows by that name, and whether they are refused."""
+    rows = requests.join(index.select("file", "log_path").dropDuplicates(["file"]), "file", "left")
+    return rows.withColumn("refused", F.col("log_path").isNull() | F.col("start_line").isNull() | F.col("end_line").isNull())
+
+
+def listed(rows: DataFrame, *order, name: str = "place") -> DataFrame:
+    """Rows with their place in an order, for a sorted view; one row for each pull, boss or player, not for each event."""
+    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))

@@ -33,10 +33,10 @@ def npc_appears(events: DataFrame) -> DataFrame:
     return sides[0].unionByName(sides[1]).groupBy(*PULL, "name").agg(F.min("line_number").alias("first_line"))
 
 
-def latest_hp(events: DataFrame, name: str) -> DataFrame:
-    """Percent of ``name`` and the target it last chose, as of each row."""
+def latest_hp(events: DataFrame, name: str, chooser: str | None = None) -> DataFrame:
+    """Percent of ``name`` and the target that it (or ``chooser``) last chose, as of each row, in one pass."""
     hp = F.when((F.col("target") == name) & (F.col("hp_max") > 0), hp_percent(F.col("hp_current"), F.col("hp_max")))
-    chosen = F.when(F.col("source") == name, F.col("target"))
+    chosen = F.when(F.col("source") == (chooser or name), F.col("target"))
     return events.withColumns({"boss_hp": F.last(hp, True).over(in_order()), "boss_target": F.last(chosen, True).over(in_order())})
 
 
@@ -70,6 +70,16 @@ def in_scope(allowed: Column, value: Column) -> Column:
     return (F.size(allowed) <= 0) | value.isNull() | F.array_contains(allowed, value)
 
 
+def scoped(events: DataFrame, rules: DataFrame, allowed: str, value: str) -> DataFrame:
+    """Rows with the columns of each rule whose list ``allowed`` admits the row's ``value``; the rule table is compiled, so there is no join."""
+    made = []
+    for r in _bounded(rules):
+        names = list(r[allowed] or [])
+        passes = F.col(value).isNull() | F.col(value).isin(names) if names else F.lit(True)
+        made.append(F.when(passes, F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in rules.schema if f.name != allowed])))
+    return events.withColumn("__rule", F.explode(F.array_compact(F.array(*made)))).select(*events.columns, "__rule.*")
+
+
 #: Conditions that one call compiles; they are written by hand, a table over this is not a rule table.
 MOST_CONDITIONS = 10_000
 

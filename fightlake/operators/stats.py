@@ -71,6 +71,27 @@ def breakdown(events: DataFrame, kind: str = "damage", by: str = "ability") -> D
     return rows.groupBy(*PULL, F.col("source").alias("name"), "key").agg(exact_sum(F.col("amount")).alias("total"), F.count("*").alias("hits"))
 
 
+def cast_breakdown(events: DataFrame) -> DataFrame:
+    """How often each source used each ability to take control (kind cc) or to help all (kind raid_buff)."""
+    live = _counted(events).where("live and source is not null")
+    kinds = F.array_compact(F.array(F.when(F.col("is_hard_cc"), "cc"), F.when(F.col("is_raid_buff_cast"), "raid_buff")))
+    rows = live.select(*PULL, F.col("source").alias("name"), F.explode(kinds).alias("kind"), F.coalesce("ability", "effect_name", F.lit("Unknown")).alias("key"))
+    return rows.groupBy(*PULL, "name", "kind", "key").agg(F.count("*").alias("n"))
+
+
+def with_boss_rate(damage: DataFrame, pulls: DataFrame) -> DataFrame:
+    """``damage`` of :func:`target_filtered` with its rate over the pull's duration; 0 where that is empty."""
+    rows = damage.join(pulls.select(*PULL, "duration"), PULL)
+    return rows.withColumn("boss_dps", F.when(F.col("duration") > 0, F.col("boss_damage") / F.col("duration")).otherwise(0.0)).drop("duration")
+
+
+def shown(pulls: DataFrame, stats: DataFrame) -> DataFrame:
+    """Of each log the last pull with damage or healing, null where it has none: what a display stays on between pulls."""
+    some = stats.groupBy(*PULL).agg((F.sum(F.col("damage_done") + F.col("healing_done")) > 0).alias("some"))
+    rows = pulls.join(some, PULL, "left")
+    return rows.groupBy("log_path").agg(F.max_by("pull_index", F.when(F.col("some"), F.col("start_ms"))).alias("pull_index"))
+
+
 def top(df: DataFrame, n: int, *groups: str, by: str = "total", tie: str = "key") -> DataFrame:
     w = Window.partitionBy(*groups).orderBy(F.desc(by), tie)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..operators import clock, corpus, forensics, maintenance, pulls, rules, stats, timeline
+from ..sources.shared import once
 from . import adapter
 from .adapter import DUCK_EV, TIMING
 
@@ -60,8 +61,13 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pulls.with_pulls(adapter.events(spark, sf_dir), TIMING)
 
 
+def split_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written, for queries that read it more than once."""
+    return once(split(spark, sf_dir), "split")
+
+
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = split(spark, sf_dir)
+    rows = split_once(spark, sf_dir)
     return stats.with_rates(stats.entity_stats(rows), pulls.pulls_of(rows))
 
 
@@ -107,15 +113,15 @@ _LINE = """'[' || lpad(cast((t_ms // 3600000) % 24 as {S}), 2, '0') || ':' || lp
     when 1 then 'ApplyEffect {{1}}: Heal {{2}}] (' || cast(k as {S}) || '.5* ~' || cast(k as {S}) || ')' when 2 then 'Event {{1}}: Death {{2}}]' when 3 then 'ApplyEffect {{1}}: Deathmark {{2}}]'
     when 4 then 'Event {{1}}: ModifyThreat {{2}}] <-' || cast(k as {S}) || '.25>' when 5 then 'ModifyCharges {{1}}: Shell {{2}}] (' || cast(k as {S}) || ' charges {{3}})'
     when 6 then 'ApplyEffect {{1}}: Damage {{2}}] (0 -dodge {{3}})' else 'AreaEntered {{1}}: Place {{2}} ' || cast(k as {S}) || ' Player Master {{3}}]' end"""
-_LOG = "select 'combat_log' log_path, event_id line_number, k, source, t_ms, {line} line from (select event_id, cast(regexp_extract(props, '[0-9]+', 0) as int) k, 'U' || cast(user_id as {S}) source, {MS} t_ms from events)"
+_LOG = "select 'combat_' || cast(user_id % 16 as {S}) log_path, event_id line_number, k, source, t_ms, {line} line from (select event_id, user_id, cast(regexp_extract(props, '[0-9]+', 0) as int) k, 'U' || cast(user_id as {S}) source, {MS} t_ms from events)"
 _DUCK_LINES = _LOG.format(line=_LINE.format(S="varchar"), S="varchar", MS="epoch_us(ts)//1000")
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines in the log's grammar, one an event, over several days in one file."""
+    """Lines in the log's grammar, one an event, in sixteen files over many days each."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = raw.selectExpr("event_id line_number", "cast(regexp_extract(props, '[0-9]+', 0) as int) k", "'U' || cast(user_id as string) source", "unix_millis(cast(ts as timestamp)) t_ms")
-    return rows.selectExpr("'combat_log' log_path", "line_number", "k", "source", "t_ms", _LINE.format(S="string").replace("//", " div ") + " line")
+    rows = raw.selectExpr("'combat_' || cast(user_id % 16 as string) log_path", "event_id line_number", "cast(regexp_extract(props, '[0-9]+', 0) as int) k", "'U' || cast(user_id as string) source", "unix_millis(cast(ts as timestamp)) t_ms")
+    return rows.selectExpr("log_path", "line_number", "k", "source", "t_ms", _LINE.format(S="string").replace("//", " div ") + " line")
 
 
 @query(f"""select line_number, regexp_extract(line, '[0-9][0-9]?:[0-9][0-9]:[0-9][0-9][.][0-9]+', 0) as "timestamp", source, true source_is_player,
@@ -135,10 +141,11 @@ def parse_kinds_and_amounts(spark, sf_dir):
     return rows.select("line_number", "is_damage", "is_heal", "is_death", "is_area_entered", "is_threat_modified", "is_charges_modified", "amount", "is_critical", "overheal", "shield_absorbed", "avoidance", "threat_delta", "group_size", "difficulty", "charges")
 
 
-@query("select event_id line_number, epoch_us(ts)//1000 - (select min(epoch_us(ts)//1000) from events) // 86400000 * 86400000 t_ms from events")
+@query(f"""with d as (select log_path, line_number, t_ms % 86400000 raw from ({_DUCK_LINES})), b as (select *, lag(raw) over (partition by log_path order by line_number) pr from d)
+select log_path, line_number, raw + sum(case when pr is null or raw >= pr then 0 when pr - raw > 43200000 then 86400000 else pr - raw end) over (partition by log_path order by line_number)::bigint t_ms from b""")
 def log_clock(spark, sf_dir):
     rows = parse.parse_events(log_lines(spark, sf_dir)).withColumn("raw_ms", clock.day_ms(F.col("timestamp")))
-    return clock.with_clock(rows).select("line_number", "t_ms")
+    return clock.with_clock(rows, chunk=1 << 18).select("log_path", "line_number", "t_ms")
 
 
 @query(f"with {DUCK_EV} select log_path, line_number, cast(substr(log_path, 8) as date) session_date, (cast(substr(log_path, 8) as timestamp) + t_ms % 86400000 * interval 1 millisecond) event_time from e")
@@ -202,7 +209,7 @@ su as (select log_path, pull_index, source as name, least(floor((t_ms - start_ms
   from p join g using (log_path, pull_index) where amount > 0 and ((is_damage and ability is not null) or is_heal) group by all)
 select log_path, pull_index, name, bucket, coalesce(d, 0)::double damage, coalesce(h, 0)::double healing from cells left join su using (log_path, pull_index, name, bucket)""")
 def pull_timeline(spark, sf_dir):
-    rows = split(spark, sf_dir)
+    rows = split_once(spark, sf_dir)
     return timeline.timeline(rows, pulls.pulls_of(rows), 75)
 
 
@@ -226,7 +233,7 @@ def bosses(spark: SparkSession) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = split(spark, sf_dir)
+    rows = split_once(spark, sf_dir)
     table = bosses(spark)
     return corpus.outcomes(pulls.pulls_of(rows), rows, corpus.first_match(rows, table), maintenance.kill_names(table), stats.entity_stats(rows))
 
@@ -236,14 +243,6 @@ def boss_recognition(spark, sf_dir):
     return corpus.first_match(split(spark, sf_dir), bosses(spark))
 
 
-@query("select * from (values ('b1', 'B2'), ('b1', 'U5'), ('b2', 'U1')) t(boss_id, name)")
-def kill_names(spark, sf_dir):
-    return maintenance.kill_names(bosses(spark))
-
-
-QUERIES.pop("kill_names"), ORACLE_SQL.pop("kill_names")  # a rule table alone, not data: a unit test holds it
-
-
 @query(f"{PULLS}, {_BOSS_SQL} select log_path, pull_index, boss_id, outcome, player_deaths, npc_deaths, npc_count, npc_damage from ix")
 def pull_outcomes(spark, sf_dir):
     return index(spark, sf_dir).select("log_path", "pull_index", "boss_id", "outcome", "player_deaths", "npc_deaths", "npc_count", "npc_damage")
@@ -261,22 +260,26 @@ def players_seen(spark, sf_dir):
     return corpus.players_seen(stats.entity_stats(split(spark, sf_dir)))
 
 
-@query(f"{PULLS}, {_BOSS_SQL} select count(distinct log_path) sessions, count(*) encounters, count(boss_id) boss_encounters, count(distinct boss_id) bosses, min(log_path) first_log, max(log_path) last_log from ix")
+@query(f"{PULLS}, {_BOSS_SQL} select count(distinct log_path) sessions, count(*) encounters, count(boss_id) boss_encounters, count(distinct boss_id) bosses, min(log_path) first_log, max(log_path) last_log, (select count(distinct name) from st where is_player) player_count from ix")
 def corpus_overview(spark, sf_dir):
-    return index(spark, sf_dir).agg(F.countDistinct("log_path").alias("sessions"), F.count("*").alias("encounters"), F.count("boss_id").alias("boss_encounters"), F.countDistinct("boss_id").alias("bosses"), F.min("log_path").alias("first_log"), F.max("log_path").alias("last_log"))
+    rows = split_once(spark, sf_dir)
+    table = bosses(spark)
+    entities = stats.entity_stats(rows)
+    found = corpus.outcomes(pulls.pulls_of(rows), rows, corpus.first_match(rows, table), maintenance.kill_names(table), entities)
+    return corpus.overview(found, entities)
 
 
-@query(f"{PULLS} select log_path, name, count(*) pulls, round(avg(dps), 6) mean, round(max(dps), 6) best, sum(deaths)::bigint deaths from ra where is_player group by 1, 2")
+@query(f"{PULLS} select log_path, name, count(*) pulls, round(avg(dps), 6) mean, round(max(dps), 6) best, round(avg(duration), 6) mean_duration, sum(deaths)::bigint deaths from ra where is_player group by 1, 2")
 def nightly_rollup(spark, sf_dir):
     rows = rated(spark, sf_dir).where("is_player").groupBy("log_path", "name")
-    return rounded(rows.agg(F.count("*").alias("pulls"), F.avg("dps").alias("mean"), F.max("dps").alias("best"), F.sum("deaths").alias("deaths")))
+    return rounded(rows.agg(F.count("*").alias("pulls"), F.avg("dps").alias("mean"), F.max("dps").alias("best"), F.avg("duration").alias("mean_duration"), F.sum("deaths").alias("deaths")))
 
 
 @query(f"""{PULLS}, o as (select *, (row_number() over (partition by name order by log_path, pull_index) - 1)::double i from ra where is_player), f as (select name, count(*) n, regr_slope(dps, i) slope, regr_intercept(dps, i) ic from o group by 1)
-select name, n, round(slope, 5) slope, round(ic, 5) intercept from f""")
+select name, n, round(slope, 5) slope, round(ic, 5) intercept, round(case when ic > 0 then 100 * slope * (n - 1) / ic end, 4) change_pct from f""")
 def player_trend_fit(spark, sf_dir):
     fit = corpus.trend(rated(spark, sf_dir).where("is_player"), "dps")
-    return fit.select("name", "n", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"))
+    return fit.select("name", "n", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"), F.round("change_pct", 4).alias("change_pct"))
 
 
 @query(f"{PULLS} select name, log_path, pull_index, round(dps, 6) dps, round(avg(dps) over (partition by name order by log_path, pull_index rows between 2 preceding and 4 following), 6) rolling from ra where is_player")
@@ -303,20 +306,23 @@ _SPAN = 21_600_000  # the adapter's events are minutes apart
 _DEATHS = f"""dw as (select h.*, d.line_number death_line, d.t_ms death_ms from p d join p h using (log_path, pull_index, target) where d.is_death and d.target_is_player and not h.is_death and h.t_ms between d.t_ms - {_SPAN} and d.t_ms and h.line_number < d.line_number)"""
 
 
-def _windows(spark: SparkSession, sf_dir: str, by_npc: bool = True) -> DataFrame:
-    """Death windows; the adapter's players hit NPCs, so damage on victims is that which their last target's kind dealt."""
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Death windows of the events as :func:`turned` gives them."""
     return forensics.death_windows(turned(split(spark, sf_dir)), _SPAN)
 
 
 def turned(rows: DataFrame) -> DataFrame:
-    """The adapter's events with source and target of damage swapped: NPCs hit players."""
-    hit = F.col("is_damage")
-    swap = {"source": "target", "target": "source", "source_is_player": "target_is_player", "target_is_player": "source_is_player"}
-    return rows.withColumns({a: F.when(hit, F.col(b)).otherwise(F.col(a)) for a, b in swap.items()})
+    """The adapter's players hit NPCs and seldom meet; here NPCs hit players, and six players stand for all that are hit or die."""
+    c, few = F.col, F.concat(F.lit("U"), F.col("k") % 6)
+    return rows.withColumns({
+        "source": F.when(c("is_damage"), c("target")).otherwise(c("source")), "source_is_player": c("source_is_player") & ~c("is_damage"),
+        "target": F.when(c("is_damage") | c("is_death"), few).otherwise(c("target")), "target_is_player": c("target_is_player") | c("is_damage"),
+    })
 
 
 _TURNED = PULLS.replace("\np as (select e.*, s.pull_index", "\np0 as (select e.*, s.pull_index").replace("\npl as (", """
-p as (select * replace (case when is_damage then target else source end as source, case when is_damage then source else target end as target, case when is_damage then target_is_player else source_is_player end as source_is_player, case when is_damage then source_is_player else target_is_player end as target_is_player) from p0),
+p as (select * replace (case when is_damage then target else source end as source, source_is_player and not is_damage as source_is_player,
+  case when is_damage or is_death then 'U' || (k % 6) else target end as target, target_is_player or is_damage as target_is_player) from p0),
 pl as (""")
 
 
@@ -367,12 +373,14 @@ _COOLDOWNS = [("Shield", "A3", 1_200_000), ("Cloak", "A13", 7_200_000), ("Guard"
 
 
 @query(f"""{PULLS}, cd(label, keyword, cooldown_ms) as (values ('Shield', 'A3', 1200000), ('Cloak', 'A13', 7200000), ('Guard', 'A7', 600000)),
-us as (select log_path, pull_index, source target, label, cooldown_ms, t_ms from p join cd on ability = keyword where is_ability_activate),
-de as (select log_path, pull_index, target, line_number death_line, t_ms death_ms from p where is_death and target_is_player)
+us as (select log_path, pull_index, 'U' || (k % 6) target, label, cooldown_ms, t_ms from p join cd on contains(lower(ability), lower(keyword)) where is_ability_activate),
+de as (select log_path, pull_index, 'U' || (k % 6) target, line_number death_line, t_ms death_ms from p where is_death and target_is_player)
 select log_path, pull_index, target, death_line, death_ms, label, cooldown_ms, max(t_ms) used_ms, death_ms - max(t_ms) since_ms, death_ms - max(t_ms) >= cooldown_ms available, death_ms - max(t_ms) <= 12000 used_in_window
 from de join us using (log_path, pull_index, target) where t_ms <= death_ms group by 1, 2, 3, 4, 5, 6, 7""")
 def cooldown_availability(spark, sf_dir):
-    return forensics.cooldown_uses(split(spark, sf_dir), spark.createDataFrame(_COOLDOWNS, "label string, keyword string, cooldown_ms int"))
+    few = F.concat(F.lit("U"), F.col("k") % 6)  # as players seldom meet in the adapter
+    rows = split(spark, sf_dir).withColumns({"source": few, "target": F.when(F.col("is_death"), few).otherwise(F.col("target"))})
+    return forensics.cooldown_uses(rows, spark.createDataFrame(_COOLDOWNS, "label string, keyword string, cooldown_ms int"))
 
 
 _SEGMENTS = """bo as (select distinct log_path, pull_index, t_ms begin_ms from p where contains(lower(concat_ws(' ', ability, effect_name)), 'a4')),
@@ -387,10 +395,12 @@ def rotation_segments(spark, sf_dir):
     return rounded(timeline.rotation(split(spark, sf_dir), "A4").drop("begin_ms", "end_ms"))
 
 
-@query(f"""{PULLS}, {_SEGMENTS.replace("'a4'", "'entercombat'")}, ac as (select *, t_ms - lag(t_ms) over (partition by log_path, pull_index, segment, source order by t_ms, line_number) gap_ms from ins where is_ability_activate)
-select log_path, pull_index, segment, source as name, t_ms - 1 at_ms, gap_ms from ac where gap_ms >= 1500""")
+@query(f"""{PULLS}, {_SEGMENTS.replace("'a4'", "'entercombat'")}, ac as (select *, t_ms - lag(t_ms) over (partition by log_path, pull_index, segment, k % 3 order by t_ms, line_number) gap_ms from ins where is_ability_activate)
+select log_path, pull_index, segment, 'U' || (k % 3) as name, t_ms - 1 at_ms, gap_ms from ac where gap_ms >= 1500""")
 def idle_gaps(spark, sf_dir):
-    return timeline.idle_gaps(split(spark, sf_dir), "EnterCombat")
+    """Three players stand for all, as the adapter's players seldom act twice in a segment."""
+    rows = split(spark, sf_dir).withColumn("source", F.concat(F.lit("U"), F.col("k") % 3))
+    return timeline.idle_gaps(rows, "EnterCombat")
 
 
 @query(f"""{PULLS}, g as (select log_path, pull_index, start_ms, duration, least(greatest(duration / 90, 75.0::double), 1500.0::double) width from pd),
@@ -398,7 +408,7 @@ su as (select log_path, pull_index, source as name, least(floor((t_ms - start_ms
 pn as (select distinct log_path, pull_index, name from (select log_path, pull_index, source as name from p union all select log_path, pull_index, target from p where target_is_player))
 select log_path, pull_index, name, coalesce(sum(d::decimal(18,2)), 0)::double damage, coalesce(sum(h::decimal(18,2)), 0)::double healing, coalesce(sum(d::decimal(18,2)), 0)::double / 600 dps, coalesce(sum(h::decimal(18,2)), 0)::double / 600 hps from pn left join (select * from su where bucket between 0 and 7) using (log_path, pull_index, name) group by 1, 2, 3""")
 def timeline_slice(spark, sf_dir):
-    rows = split(spark, sf_dir)
+    rows = split_once(spark, sf_dir)
     return timeline.slice_(timeline.timeline(rows, pulls.pulls_of(rows), 75), 0, 7, 600.0)
 
 
@@ -418,9 +428,7 @@ def npc_first_seen(spark, sf_dir):
 @query(f"""{PULLS} select log_path, pull_index, line_number, last_value(case when target = 'B2' then 100 * hp_current / hp_max end ignore nulls) over w boss_hp, last_value(case when source = 'U1' then target end ignore nulls) over w boss_target from p
 window w as (partition by log_path, pull_index order by line_number rows between unbounded preceding and current row)""")
 def boss_state_as_of(spark, sf_dir):
-    rows = split(spark, sf_dir)
-    hp = rules.latest_hp(rows, "B2").select("log_path", "pull_index", "line_number", "boss_hp")
-    return hp.join(rules.latest_hp(rows, "U1").select("log_path", "pull_index", "line_number", "boss_target"), ["log_path", "pull_index", "line_number"])
+    return rules.latest_hp(split(spark, sf_dir), "B2", "U1").select("log_path", "pull_index", "line_number", "boss_hp", "boss_target")
 
 
 @query(f"""{PULLS}, x as (select *, case when k % 13 = 0 then 0 when k % 3 = 0 then 1 when k % 7 = 0 then -1 else 0 end d, sum((k % 13 = 0)::int) over (partition by log_path, pull_index order by line_number) era from p),
@@ -431,25 +439,37 @@ def counters(spark, sf_dir):
     return rows.select("log_path", "pull_index", "line_number", "counter", "changed")
 
 
-_TREE = [(1, None, "any_of", None), (2, 1, "ability_cast", "a1"), (3, 1, "all_of", None), (4, 3, "effect_applied", "a2"), (5, 3, "not", None), (6, 5, "effect_applied", "a12"), (7, None, "entity_death", "U7"), (8, None, "combat_start", None)]
+_TREE = [
+    (1, None, "any_of", None), (2, 1, "ability_cast", "a1"), (3, 1, "all_of", None), (4, 3, "effect_applied", "WARD"), (5, 3, "not", None), (6, 5, "effect_removed", "ward"),
+    (7, None, "entity_death", "U7"), (8, None, "combat_start", None), (9, None, "effect_removed", "ard"), (10, None, "all_of", None),
+]
+
+
+_TREE_SQL = """lv as (select *, is_ability_activate and contains(lower(coalesce(ability, '')), 'a1') c2, not is_effect_removed and contains(lower(coalesce(effect_name, '')), 'ward') c4,
+  is_effect_removed and contains(lower(coalesce(effect_name, '')), 'ward') c6, is_effect_removed and contains(lower(coalesce(effect_name, '')), 'ard') c9 from p),
+cs as (select log_path, pull_index, line_number, unnest([case when c2 or (c4 and not c6) then 1 end, case when c2 then 2 end, case when c4 and not c6 then 3 end, case when c4 then 4 end,
+  case when not c6 then 5 end, case when c6 then 6 end, case when is_death and target = 'U7' then 7 end, case when is_combat_start then 8 end, case when c9 then 9 end]) cond_id from lv)"""
 
 
-@query(f"""{PULLS}, lv as (select *, is_ability_activate and contains(lower(coalesce(ability, '')), 'a1') c2, effect_type = 'ApplyEffect' and contains(lower(coalesce(ability, '')), 'a2') c4, effect_type = 'ApplyEffect' and contains(lower(coalesce(ability, '')), 'a12') c6 from p)
-select log_path, pull_index, line_number, cond_id from (select log_path, pull_index, line_number, unnest([case when c2 or (c4 and not c6) then 1 end, case when c2 then 2 end, case when c4 and not c6 then 3 end, case when c4 then 4 end, case when not c6 then 5 end, case when c6 then 6 end, case when is_death and target = 'U7' then 7 end, case when is_combat_start then 8 end]) cond_id from lv) where cond_id is not null""")
+@query(f"{PULLS}, {_TREE_SQL} select log_path, pull_index, line_number, cond_id from cs where cond_id is not null")
 def condition_tree(spark, sf_dir):
     return rules.composed(split(spark, sf_dir), spark.createDataFrame(_TREE, "cond_id int, parent_id int, type string, keyword string"))
 
 
-@query(f"""{PULLS}, sc(rule_id, difficulties) as (values (1, []::varchar[]), (2, ['A3', 'A5']), (3, ['A9']))
-select rule_id, count(*) n from p join sc on len(difficulties) = 0 or ability is null or list_contains(difficulties, ability) group by 1""")
+# The adapter has no difficulties; a log's day of the month stands for one, unknown on every fifth day.
+@query(f"""{PULLS}, dy as (select *, case when day(log_path[8:]::date) % 5 <> 0 then case day(log_path[8:]::date) % 3 when 0 then 'story' when 1 then 'veteran' else 'master' end end difficulty from p),
+sc(rule_id, difficulties) as (values (1, []::varchar[]), (2, ['veteran', 'master']), (3, ['story']))
+select rule_id, log_path, count(*) n from dy join sc on len(difficulties) = 0 or difficulty is null or list_contains(difficulties, difficulty) group by 1, 2""")
 def scope_gates(spark, sf_dir):
-    table = spark.createDataFrame([(1, []), (2, ["A3", "A5"]), (3, ["A9"])], "rule_id int, difficulties array<string>")
-    return split(spark, sf_dir).join(table, rules.in_scope(F.col("difficulties"), F.col("ability"))).groupBy("rule_id").agg(F.count("*").alias("n"))
+    day = F.dayofmonth(F.substr("log_path", F.lit(8)).cast("date"))
+    rows = split(spark, sf_dir).withColumn("difficulty", F.when(day % 5 != 0, F.element_at(F.array(F.lit("story"), F.lit("veteran"), F.lit("master")), day % 3 + 1)))
+    table = spark.createDataFrame([(1, []), (2, ["veteran", "master"]), (3, ["story"])], "rule_id int, difficulties array<string>")
+    return rules.scoped(rows, table, "difficulties", "difficulty").groupBy("rule_id", "log_path").agg(F.count("*").alias("n"))
 
 
 _RULES = [(1, "Poison", "a3", True, 1_800_000, 300_000), (2, "Mend", "heal", True, 3_600_000, 600_000)]
 _RULE_SQL = """kr(rule_id, keyword, duration_ms, warn_ms) as (values (1, 'a3', 1800000, 300000), (2, 'heal', 3600000, 600000)),
-kh as (select p.*, kr.* from p join kr on contains(lower(concat_ws(' ', ability, effect_name)), keyword) where not is_ability_activate),
+kh as (select p.*, kr.* from p join kr on contains(lower(concat_ws(' ', ability, effect_name)), keyword) where not is_ability_activate and effect_type not in ('RemoveEffect', 'ModifyCharges')),
 dd as (select log_path, pull_index, target, t_ms died from p where is_death),
 ti as (select log_path, pull_index, rule_id, target, line_number, t_ms start_ms, duration_ms, warn_ms, lead(t_ms) over (partition by log_path, pull_index, rule_id, target order by t_ms, line_number) nx from kh),
 tj as (select ti.log_path, ti.pull_index, rule_id, ti.target, line_number, start_ms, least(start_ms + any_value(duration_ms), coalesce(any_value(nx), 9e18::bigint), coalesce(min(died), 9e18::bigint)) end_ms, start_ms + any_value(duration_ms) - any_value(warn_ms) wm
@@ -458,7 +478,7 @@ tv as (select log_path, pull_index, rule_id, target, line_number, start_ms, end_
 
 
 def _intervals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = split(spark, sf_dir)
+    rows = split_once(spark, sf_dir)
     table = spark.createDataFrame(_RULES, "rule_id int, label string, keyword string, when_applied boolean, duration_ms long, warn_ms long")
     return rules.timer_intervals(rules.keyword_hits(rows, table), rows), rows
 
@@ -513,16 +533,14 @@ def taunt_results(spark, sf_dir):
     return rules.taunts(_taunt_rows(spark, sf_dir), None, 7_200_000, 3_600_000)
 
 
-@query()
-def effect_intervals(spark, sf_dir):
-    c = F.col
-    rows = split(spark, sf_dir).where("target is not null")
-    what = F.when(c("is_heal"), F.when(c("k") % 3 == 0, "tick").otherwise("apply")).when(c("is_death"), "end")
-    sparse = rows.withColumn("what", what).where("what is not null").select("log_path", "pull_index", "target", F.lit("Mend").alias("effect"), "line_number", "t_ms", "what", F.lit(3_600_000).alias("duration_ms"))
-    return rules.effect_intervals(sparse)
-
-
-@query()
+# The first phase needs nothing, the second the first: a pull enters p1 at its first row at 75 %, p2 at the first at 20 % no earlier.
+@query(f"""{PULLS}, ru(cond_id, name, percent) as (values (1, 'B2', 75.0), (2, 'B2', 20.0), (3, 'B5', 50.0)),
+hb as (select log_path, pull_index, cond_id, min(line_number) line_number from p join ru on target = name where hp_max > 0 and 100 * hp_current / hp_max <= percent group by 1, 2, 3),
+ht as (select hb.*, t_ms, row_number() over (partition by hb.log_path, hb.pull_index order by hb.line_number, cond_id) rn from hb join p using (log_path, pull_index, line_number)),
+hs as (select log_path, pull_index, rn, line_number, t_ms, case when cond_id <> 2 then 'p' || cond_id end phase, cond_id <> 2 moved from ht where rn = 1
+  union all select h.log_path, h.pull_index, h.rn, h.line_number, h.t_ms, case when h.cond_id <> 2 or s.phase = 'p1' then 'p' || h.cond_id else s.phase end, h.cond_id <> 2 or coalesce(s.phase = 'p1', false)
+  from hs s join ht h on h.log_path = s.log_path and h.pull_index = s.pull_index and h.rn = s.rn + 1)
+select log_path, pull_index, phase, line_number, t_ms from hs where moved""")
 def phase_changes(spark, sf_dir):
     found = hp_thresholds(spark, sf_dir)
     rows = split(spark, sf_dir).join(found, ["log_path", "pull_index", "line_number"])
@@ -538,12 +556,12 @@ def line_range_scan(spark, sf_dir):
     return maintenance.line_slice(adapter.events(spark, sf_dir), "combat_2024-01-05", 1400, 1500).select("line_number", "source", "target")
 
 
-_STORED = "sp as (select log_path || '/' || pull_index stored_id, log_path, start_line + 1 start_line, end_line + 2 end_line, pull_index, is_fight, duration, case when pull_index % 3 = 0 then 1 else 2 end data_version from pd where pull_index % 2 = 0)"
+_STORED = "sp as (select log_path || '/' || pull_index stored_id, log_path, start_line + 1 start_line, end_line + 2 end_line, pull_index, is_fight, duration, case when pull_index % 3 = 0 then 1 else 2 end data_version from pd)"
 
 
 def _stored(spark: SparkSession, sf_dir: str, shift: int = 1) -> tuple[DataFrame, DataFrame]:
-    found = pulls.pulls_of(split(spark, sf_dir))
-    stored = found.where("pull_index % 2 = 0").selectExpr("log_path || '/' || pull_index stored_id", "log_path", f"start_line + {shift} start_line", f"end_line + {2 * shift} end_line", "pull_index", "duration", "case when pull_index % 3 = 0 then 1 else 2 end data_version")
+    found = once(pulls.pulls_of(split(spark, sf_dir)), "pulls")
+    stored = found.selectExpr("log_path || '/' || pull_index stored_id", "log_path", f"start_line + {shift} start_line", f"end_line + {2 * shift} end_line", "pull_index", "duration", "case when pull_index % 3 = 0 then 1 else 2 end data_version")
     return stored, found
 
 
@@ -558,22 +576,28 @@ def overlap_backfill(spark, sf_dir):
     return maintenance.overlapping(*_stored(spark, sf_dir)).select("stored_id", "derived_index", "derived_start_ms")
 
 
-@query(f"{PULLS} select log_path, pull_index, case when pull_index % 2 = 0 then 'duplicate' when not is_fight then 'sliver' else 'imported' end status from pd")
+@query(f"{PULLS} select log_path, pull_index, case when line_sum % 2 = 0 then 'duplicate' when not is_fight then 'sliver' else 'imported' end status from (select *, start_line + end_line line_sum from pd)")
 def import_dedup(spark, sf_dir):
+    """History knows each pull; of every other one its file is another, so that it counts as new."""
     stored, found = _stored(spark, sf_dir, 0)
-    return maintenance.import_status(found, stored).select("log_path", "pull_index", "status")
+    known = stored.withColumn("log_path", F.when((F.col("start_line") + F.col("end_line")) % 2 == 0, F.col("log_path")).otherwise("elsewhere"))
+    return maintenance.import_status(found, known).select("log_path", "pull_index", "status")
 
 
-@query(f"{PULLS} select log_path || '/' || pull_index stored_id, case when pull_index % 3 <> 0 then 'current' when pull_index % 5 = 0 then 'unverified' when is_fight then 'rebuilt' else 'dropped' end status from pd where pull_index % 2 = 0")
+@query(f"""{PULLS}, fi as (select *, case when pull_index % 3 <> 0 then 'current' when pull_index % 4 = 3 or pull_index % 7 = 3 then 'unverified' when is_fight then 'rebuilt' else 'dropped' end status from pd),
+da as (select log_path, pull_index, sum(amount::decimal(18,2))::double damage from p where is_damage and ability is not null and amount > 0 group by 1, 2)
+select log_path || '/' || pull_index stored_id, status, case when status = 'rebuilt' then duration else -1 end duration, case when status in ('rebuilt', 'dropped') then damage end damage, case when status = 'rebuilt' then 2 when pull_index % 3 = 0 then 1 else 2 end data_version, status = 'unverified' unverified from fi left join da using (log_path, pull_index)""")
 def versioned_rebuild(spark, sf_dir):
-    stored, found = _stored(spark, sf_dir, 0)
-    return maintenance.rebuilt(stored.drop("pull_index"), found.where("pull_index % 5 <> 0"), 2).select("stored_id", "status")
+    """Every pull as history has it: a third of an old version, some whose log is gone and some found unverified before."""
+    stored, _ = _stored(spark, sf_dir, 0)
+    old = stored.withColumns({"log_path": F.when(F.col("pull_index") % 4 == 3, "gone").otherwise(F.col("log_path")), "duration": F.lit(-1.0), "unverified": (F.col("pull_index") % 7 == 3) & (F.col("data_version") == 1)})
+    return maintenance.rebuilt(old.drop("pull_index"), adapter.events(spark, sf_dir), 2).select("stored_id", "status", "duration", "damage", "data_version", "unverified")
 
 
-@query(f"with {DUCK_EV}, u as (select 0 file_rank, * from e union all select 1, * from e where k % 2 = 0), t as (select * from u qualify row_number() over (partition by t_ms // 60000, source, target, ability, effect_name, amount order by file_rank, line_number) = 1) select line_number, file_rank from t")
+@query(f"with {DUCK_EV}, u as (select 0 file_rank, * from e union all select 1, * replace (case when k % 2 = 0 then amount else amount + 1 end as amount) from e), t as (select * from u qualify row_number() over (partition by t_ms // 60000, source, target, ability, effect_name, amount order by file_rank, line_number) = 1) select line_number, file_rank from t")
 def merged_logs(spark, sf_dir):
     rows = adapter.events(spark, sf_dir).withColumn("timestamp", F.floor(F.col("t_ms") / 60000))
-    both = rows.withColumn("file_rank", F.lit(0)).unionByName(rows.where("k % 2 = 0").withColumn("file_rank", F.lit(1)))
+    both = rows.withColumn("file_rank", F.lit(0)).unionByName(rows.withColumns({"file_rank": F.lit(1), "amount": F.when(F.col("k") % 2 == 0, F.col("amount")).otherwise(F.col("amount") + 1)}))
     return maintenance.merged(both).select("line_number", "file_rank")
 
 
@@ -583,10 +607,9 @@ def anonymised_lines(spark, sf_dir):
     return maintenance.anonymised(rows)
 
 
-@query(f"with {DUCK_EV} select log_path, max(line_number) area_line, arg_max(source, line_number) local_player from e where is_area_entered group by 1")
+@query(f"with {DUCK_EV} select log_path, max(line_number) filter (is_area_entered) area_line, coalesce(arg_max(source, line_number) filter (is_area_entered), arg_min(source, line_number)) local_player from e group by 1")
 def local_players(spark, sf_dir):
-    rows = adapter.events(spark, sf_dir).where("is_area_entered").groupBy("log_path")
-    return rows.agg(F.max("line_number").alias("area_line"), F.max_by("source", "line_number").alias("local_player"))
+    return corpus.local_players(adapter.events(spark, sf_dir))
 
 
 @query(f"with {DUCK_EV} select distinct name from (select source as name from e union all select target from e where target_is_player)")
