@@ -42,8 +42,9 @@ from .components import connected_components
 SEED = 42
 #: Children of a node, and node pairs looked at in one step.
 FAN, STEP = 8, 1 << 19
-#: Independent fingerprints of a text where a similarity is asked for.
-PRINTS = 4
+#: Independent fingerprints of a text where a similarity is asked for, and the bits in which all of them together may differ (at
+#: a similarity of 0.8 the number of these is binomial, 38.8 of 256 in the mean, and 0.99 of it is below this).
+PRINTS, TOGETHER = 4, 52
 #: Rows of shards that are worked on together.
 ROWS = 1 << 17
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -197,13 +198,14 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def shard_links(
-    shard: np.ndarray, code: np.ndarray, radius: int, label: np.ndarray | None = None, banned: np.ndarray | None = None, name: np.ndarray | None = None, forests: int = 1
+    shard: np.ndarray, code: np.ndarray, radius: int, label: np.ndarray | None = None, banned: np.ndarray | None = None, name: np.ndarray | None = None, forests: int = 1, prints: list[np.ndarray] | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spanning forest (a, b, distance; a and b are row numbers) of the links inside shards of two rows or more; closer links first.
 
     ``label`` has the least row of the component that each row is in already, ``banned`` the links that are left out
     (ascending, the lesser row times the number of rows plus the greater), ``name`` what equally close links are ordered by.
-    ``forests`` over 1 adds links that more forests of the rest would have, as far as these are at hand.
+    ``forests`` over 1 adds links that more forests of the rest would have, as far as these are at hand. With ``prints``, only links count
+    whose ends' prints differ in ``TOGETHER`` bits or fewer in all.
     """
     n = len(code)
     name = code if name is None else name
@@ -287,6 +289,8 @@ def shard_links(
         if banned is not None and len(banned):
             key = x * n + y
             ok &= banned[np.minimum(np.searchsorted(banned, key), len(banned) - 1)] != key
+        if prints:
+            ok[ok] = sum(np.bitwise_count(f[x[ok]] ^ f[y[ok]]).astype(np.int64) for f in prints) <= TOGETHER
         held.append((x[ok], y[ok], d[ok]))
         holds += int(ok.sum())
         if holds > STEP:
@@ -374,35 +378,41 @@ def _tables_of(fp: pa.Array, radius: int, free: int, first: int) -> Iterator[tup
 
 
 OFFERS = "shard long, place long, node long, label long"
+ENDS = [f"f{s}{e}" for e in "ab" for s in range(PRINTS)]
 
 
-def _deal_points(radius: int, free: int, prints: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """OFFERS of (node, label, f...), where labels aren't negative."""
+def _deal_points(radius: int, free: int, prints: list[int], whole: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """OFFERS of (node, label, f0, f1, ...) in the tables of ``prints``, where labels aren't negative; with all prints if ``whole``."""
     count = comb(radius + free, free)
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             node, label, *fps = batch.slice(at, 4096).columns
-            for s, fp in zip(prints, fps, strict=True):
-                for shard, place in _tables_of(fp, radius, free, s * count):
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(place), node, label], names=["shard", "place", "node", "label"])
+            more = fps if whole else []
+            for s in prints:
+                for shard, place in _tables_of(fps[s], radius, free, s * count):
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(place), node, label, *more], names=["shard", "place", "node", "label", *(f"f{i}" for i in range(len(more)))])
 
 
-def _deal_banned(radius: int, free: int, prints: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """OFFERS of links (a, b, f... of a, f... of b) for each shard that holds both ends: label is -1 - b."""
+def _deal_banned(radius: int, free: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """OFFERS of links (a, b, ENDS) for each shard that holds both ends: label is -1 - b, and the prints stay empty."""
     count = comb(radius + free, free)
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             a, b, *fps = batch.slice(at, 4096).columns
             a, other = a.to_numpy(), -1 - b.to_numpy()
-            for s, x, y in zip(prints, fps[: len(prints)], fps[len(prints) :], strict=True):
+            for s, (x, y) in enumerate(zip(fps[:PRINTS], fps[PRINTS:], strict=True)):
                 for (shard, place), (shard_b, _) in zip(_tables_of(x, radius, free, s * count), _tables_of(y, radius, free, s * count), strict=True):
                     at_ = shard == shard_b
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at_]) for c in (shard, place, a, other)], names=["shard", "place", "node", "label"])
+                    none = [pa.array(np.zeros(int(at_.sum()), np.int64))] * PRINTS
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[at_]) for c in (shard, place, a, other)), *none], names=["shard", "place", "node", "label", *(f"f{i}" for i in range(PRINTS))])
 
 
 def _offer(radius: int, forests: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b: nodes) that connect what isn't banned and has different labels, in each shard of OFFERS."""
-    for shard, place, node, label in _shards(batches):
+    """Links (a, b: nodes) that connect what isn't banned and has different labels, in each shard of OFFERS.
+
+    Where OFFERS come with all prints, so do the links, with the labels (ra, rb) and prints of both ends, and the prints must agree.
+    """
+    for shard, place, node, label, *fps in _shards(batches):
         point = label >= 0
         links = ~point
         _, part = np.unique(shard, return_inverse=True)
@@ -421,25 +431,32 @@ def _offer(radius: int, forests: int, batches: Iterator[pa.RecordBatch]) -> Iter
                 ends.append(order[at])
             x, y = (e[known] for e in ends)
             banned = np.unique(np.minimum(x, y) * p + np.maximum(x, y))
-            shard, place, node, label, part = (c[point] for c in (shard, place, node, label, part))
+            shard, place, node, label, part, *fps = (c[point] for c in (shard, place, node, label, part, *fps))
         if not len(shard):
             continue
         _, group = np.unique(label, return_inverse=True)
         _, least, back = np.unique(part * len(group) + group, return_index=True, return_inverse=True)
-        a, b, _ = shard_links(shard, gray_code(place.view(np.uint64) ^ _SIGN), radius, least[back], banned, node, forests)
-        a, b = node[a], node[b]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        a, b, _ = shard_links(shard, gray_code(place.view(np.uint64) ^ _SIGN), radius, least[back], banned, node, forests, [f.view(np.uint64) for f in fps])
+        a, b = np.where(node[a] <= node[b], a, b), np.where(node[a] <= node[b], b, a)
+        names, columns = ["a", "b"], [node[a], node[b]]
+        if fps:
+            names, columns = [*names, "ra", "rb", *ENDS], [*columns, label[a], label[b], *(f[e] for e in (a, b) for f in fps)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
 def _offered(points: DataFrame, banned: DataFrame | None, prints: list[int], radius: int, free: int, forests: int = 1) -> DataFrame:
-    """Links (a, b) between ``points`` (node, label, f...) that, without those of ``banned`` (a, b), connect all labels within ``radius`` bits."""
-    f = [f"f{s}" for s in prints]
-    rows = points.select("node", "label", *f).mapInArrow(partial(_deal_points, radius, free, prints), OFFERS)
-    if banned is not None:
-        ends = [points.select(F.col("node").alias(e), *(F.col(c).alias(f"{c}{e}") for c in f)) for e in "ab"]
-        pairs = banned.select("a", "b").join(ends[0], "a").join(ends[1], "b")
-        rows = rows.unionByName(pairs.select("a", "b", *(f"{c}{e}" for e in "ab" for c in f)).mapInArrow(partial(_deal_banned, radius, free, prints), OFFERS))
-    return rows.repartition("shard").sortWithinPartitions("shard", "place", "node").mapInArrow(partial(_offer, radius, forests), "a long, b long").distinct()
+    """Links (a, b) between ``points`` (node, label, f...) that connect all labels within ``radius`` bits in one of ``prints``.
+
+    With ``banned`` (a, b, ENDS), without these, and as :func:`_offer` gives them where all prints are at hand.
+    """
+    whole = banned is not None
+    schema = OFFERS + "".join(f", f{s} long" for s in range(PRINTS)) * whole
+    rows = points.select("node", "label", *(f"f{s}" for s in range(PRINTS))).mapInArrow(partial(_deal_points, radius, free, prints, whole), schema)
+    if whole:
+        rows = rows.unionByName(banned.select("a", "b", *ENDS).mapInArrow(partial(_deal_banned, radius, free), schema))
+    out = ", ".join(f"{c} long" for c in (["a", "b", "ra", "rb", *ENDS] if whole else ["a", "b"]))
+    found = rows.repartition("shard").sortWithinPartitions("shard", "place", "node").mapInArrow(partial(_offer, radius, forests), out)
+    return found.dropDuplicates(["a", "b"])
 
 
 def _shingle_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -456,11 +473,11 @@ def _shingle_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return named.unionByName(nameless).mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def _rooted(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """``links`` between nodes of different labels, with these as ra and rb."""
-    for e in "ab":
-        links = links.join(labels.select(F.col("node").alias(e), F.col("label").alias(f"r{e}")), e)
-    return links.where("ra <> rb")
+def _renamed(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """Pairs of labels (ra, rb) with the roots that these have got, each pair of different ones once."""
+    for e in ("ra", "rb"):
+        pairs = pairs.join(root.toDF(e, "root"), e, "left").withColumn(e, F.coalesce("root", e)).drop("root")
+    return pairs.where("ra <> rb").distinct()
 
 
 def _verified_classes(nodes: DataFrame, docs: DataFrame, size: int, radius: int, similarity: float) -> DataFrame:
@@ -469,52 +486,41 @@ def _verified_classes(nodes: DataFrame, docs: DataFrame, size: int, radius: int,
     Each link counts only if its shingle sets have that similarity, so what a shard offers depends on what was found similar:
     links between components of verified links are offered until none is left that wasn't refused.
     """
-    spark = docs.sparkSession
     free = best_free(nodes.count(), radius)
-    prints = list(range(PRINTS))
     waiting = None
-    for s in prints:  # one after the other, as each has all the tables
-        found, _ = written(_offered(nodes.withColumn("label", F.col("node")), None, [s], radius, free).withColumn("s", F.lit(s)), "candidates")
+    for s in range(PRINTS):  # one after the other, as each has all the tables
+        found, _ = written(_offered(nodes.withColumn("label", F.col("node")), None, [s], radius, free), "candidates")
         waiting = found if waiting is None else waiting.unionByName(found)
-    ends = waiting.select(F.col("a").alias("node")).unionByName(waiting.select(F.col("b").alias("node"))).distinct()
+    waiting = waiting.distinct()
+    ends = waiting.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     points, _ = written(nodes.join(ends, "node"), "ends")
     sets, _ = written(_shingle_sets(points, docs, size), "shingle-sets")
     labels = points.select("node", F.col("node").alias("label"))
-    refused = None
-
-    def judge(links: DataFrame) -> DataFrame:
-        """Take the links (a, b) that are similar into the labels; gives those refused."""
-        nonlocal labels, refused
-        links, path = written(_rooted(links, labels), "offers")
-        pairs = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        judged, _ = written(pairs.select("a", "b", "ra", "rb", _similar(similarity)("x", "y").alias("similar")), "judged")
-        drop_dir(spark, path)
+    prints = [points.select(F.col("node").alias(e), *(F.col(f"f{s}").alias(f"f{s}{e}") for s in range(PRINTS))) for e in "ab"]
+    together = sum(F.bit_count(F.col(f"f{s}a").bitwiseXOR(F.col(f"f{s}b"))) for s in range(PRINTS))
+    offers = waiting.join(prints[0], "a").join(prints[1], "b").where(together <= TOGETHER).withColumns({"ra": F.col("a"), "rb": F.col("b")})
+    refused, forests = None, 1
+    while True:
+        pairs = offers.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        judged, _ = written(pairs.select("a", "b", "ra", "rb", *ENDS, _similar(similarity)("x", "y").alias("similar")), "judged")
         root = connected_components(judged.where("similar").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         labels, _ = written(labels.join(root.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
-        bad = judged.where("not similar").select("a", "b")
+        bad = judged.where("not similar")
         refused = bad if refused is None else refused.unionByName(bad)
-        return bad
-
-    judge(waiting.where("s = 0").select("a", "b"))
-    judge(waiting.where("s > 0").select("a", "b").distinct().join(refused, ["a", "b"], "left_anti"))
-    forests, last = 1, refused
-    while True:
-        apart = _rooted(last, labels)
-        open_, _ = written(apart.select(F.col("ra").alias("label")).unionByName(apart.select(F.col("rb").alias("label"))).distinct(), "open")
+        apart = _renamed(bad.select("ra", "rb").distinct(), root)
+        open_, _ = written(apart.select(F.explode(F.array("ra", "rb")).alias("label")).distinct(), "open")
         if open_.isEmpty():
             return labels
         forests *= 16
         again, _ = written(points.join(labels, "node").join(open_, "label", "left_semi"), "again")
-        banned = _rooted(refused, labels)
-        offers, _ = written(_offered(again, banned, prints, radius, free, forests), "candidates")
-        last = judge(offers)
+        offers, _ = written(_offered(again, refused, list(range(PRINTS)), radius, free, forests), "offers")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of each row; component_id is the smallest doc_id reachable over links.
 
     With ``similarity``, texts link by that Jaccard similarity of their shingle sets instead; looked at are pairs of which
-    one of ``PRINTS`` independent fingerprints is within ``radius`` bits.
+    one of ``PRINTS`` independent fingerprints is within ``radius`` bits and all of them together within ``TOGETHER``.
     """
     if similarity:
         return _similar_texts(docs, size, radius, similarity).drop("th")
