@@ -49,3 +49,12 @@ def with_session_date(df: DataFrame) -> DataFrame:
 def with_event_time(events: DataFrame) -> DataFrame:
     """``event_time``: midnight of the file's date plus the clock."""
     return with_session_date(events).withColumn("event_time", F.timestamp_millis(F.unix_millis(F.col("session_date").cast("timestamp")) + F.col("t_ms")))
+
+
+def with_capped_clock(events: DataFrame, wall: str = "wall_ms") -> DataFrame:
+    """``at_ms``: the time a line was seen at, which never runs ahead of the log's own clock, so lines that were written late keep their distances.
+
+    From line to line it advances by the lesser of the two gaps, which is the log's clock plus the least lead of ``wall`` so far.
+    """
+    w = Window.partitionBy("log_path").orderBy("line_number")
+    return events.withColumn("at_ms", F.col("t_ms") + F.min(F.col(wall) - F.col("t_ms")).over(w))

@@ -88,3 +88,89 @@ def live_effects(rows: DataFrame) -> DataFrame:
         yield pd.DataFrame(done, columns=[c.split()[0] for c in out.split(", ")])
 
     return rows.groupBy("log_path", "pull_index", "target", "effect").applyInPandasWithState(fold, out, "start_ms long, end_ms long", "append", GroupStateTimeout.NoTimeout)
+
+
+def _stateful(rows: DataFrame, key: list[str], out: str, state: str, step) -> DataFrame:
+    """Rows of each key in order of line, batch after batch, through ``step(state or None, row)``, which gives (state, what to emit)."""
+    names, kept = [c.split()[0] for c in out.split(", ")], len(state.split(", "))
+
+    def fold(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = held.get if held.exists else None
+        done: list[tuple] = []
+        for row in pd.concat(list(batches)).sort_values("line_number", kind="stable").itertuples(index=False):
+            now, found = step(now, row)
+            done += [(*k, *x) for x in found]
+        held.update(tuple(now) if now is not None else (None,) * kept)
+        yield pd.DataFrame(done, columns=names)
+
+    return rows.groupBy(*key).applyInPandasWithState(fold, out, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def live_clock(events: DataFrame) -> DataFrame:
+    """(log_path, line_number, at_ms) as :func:`fightlake.operators.clock.with_capped_clock` gives it, from a stream with t_ms and wall_ms."""
+
+    def step(now, row):
+        lead = row.wall_ms - row.t_ms if now is None or now[0] is None else min(now[0], row.wall_ms - row.t_ms)
+        return (int(lead),), [(row.line_number, row.t_ms + lead)]
+
+    return _stateful(events.select("log_path", "line_number", "t_ms", "wall_ms"), ["log_path"], "log_path string, line_number long, at_ms long", "lead long", step)
+
+
+def live_countdowns(rows: DataFrame) -> DataFrame:
+    """Countdowns ended so far, from a stream of (pull, rule_id, target, line_number, t_ms, what: hit or death, duration_ms).
+
+    A hit ends the one before, as does the target's death; a pull's countdowns are its own, so they end with its rows.
+    """
+
+    def step(now, row):
+        start, end = (None, None) if now is None else (None if pd.isna(x) else x for x in now)
+        done = []
+        if start is not None:
+            if row.t_ms >= end:
+                done, start = [(start, end)], None
+            else:
+                done, start = [(start, row.t_ms)], None
+        return ((int(row.t_ms), int(row.t_ms + row.duration_ms)) if row.what == "hit" else (None, None)), done
+
+    key = ["log_path", "pull_index", "rule_id", "target"]
+    out = "log_path string, pull_index long, rule_id int, target string, start_ms long, end_ms long"
+    return _stateful(rows.select(*key, "line_number", "t_ms", "what", "duration_ms"), key, out, "start_ms long, end_ms long", step)
+
+
+def live_taunts(events: DataFrame, match_ms: int = 1000, together_ms: int = 250, ability: str = "Taunt") -> DataFrame:
+    """Taunts resolved so far, as :func:`fightlake.operators.rules.taunts` tells them: a cast as its effect lands, or as a miss once a later row is too late;
+    effects without a cast once the next one is apart."""
+    c = F.col
+    cast = c("is_ability_activate") & (c("ability") == ability) & (c("target") == c("source"))
+    effect = (c("effect_type") == "ApplyEffect") & (c("effect_name") == ability) & c("target").isNotNull()
+    rows = events.where(c("source_is_player") & (cast | effect)).select("log_path", "pull_index", "source", "line_number", "t_ms", "target", cast.alias("is_cast"))
+
+    def step(now, row):
+        pending, last, targets = (None, None, "") if now is None else now
+        pending, last, done = (None if pd.isna(pending) else pending), (None if pd.isna(last) else last), []
+        if row.is_cast:
+            if pending is not None:
+                done.append((pending, "single", False, ""))
+            pending = row.t_ms
+        elif pending is not None and row.t_ms - pending <= match_ms:
+            done.append((row.t_ms, "single", True, row.target))
+            pending = None
+        else:
+            if pending is not None:
+                done.append((pending, "single", False, ""))
+                pending = None
+            if last is not None and row.t_ms - last >= together_ms:
+                done.append((last, "aoe", True, targets))
+                targets = ""
+            last, targets = row.t_ms, ",".join(sorted({*filter(None, (targets or "").split(",")), row.target}))
+        return (pending if pending is None else int(pending), last if last is None else int(last), targets), done
+
+    out = "log_path string, pull_index long, source string, at_ms long, kind string, hit boolean, targets string"
+    return _stateful(rows, ["log_path", "pull_index", "source"], out, "pending long, last long, targets string", step)
+
+
+def live_shown(pulls: DataFrame, totals: DataFrame) -> DataFrame:
+    """The pull that a display stays on, from what :func:`live_pulls` and running totals (pull, damage, healing) have given so far (batches, as in ``foreachBatch``)."""
+    some = totals.where("damage > 0 or healing > 0").select("log_path", "pull_index").distinct().withColumn("some", F.lit(True))
+    rows = pulls.join(some, ["log_path", "pull_index"], "left")
+    return rows.groupBy("log_path").agg(F.coalesce(F.max_by("pull_index", F.when(F.col("some"), F.col("start_ms"))), F.max_by("pull_index", "start_ms")).alias("pull_index"))

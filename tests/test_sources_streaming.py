@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fightlake.operators import pulls, rules
+from fightlake.operators import clock, pulls, rules
 from fightlake.sources import logs as L
 from fightlake.streaming import live
 from tests.test_operators import FIELDS, event
@@ -15,9 +15,9 @@ from tests.test_operators import FIELDS, event
 
 @pytest.fixture()
 def folder(tmp_path):
-    (tmp_path / "combat_2026-03-05_14_00_00_1.txt").write_bytes("[a] Ren\xe9\r\nsecond €\n\nfourth".encode("cp1252", "replace"))
-    (tmp_path / "combat_2026-03-06_14_00_00_1.txt.gz").write_bytes(gzip.compress(b"packed\nlines"))
-    (tmp_path / "combat_2026-03-05_14_00_00_1.txt.gz").write_bytes(gzip.compress(b"hidden by the plain file"))
+    (tmp_path / "combat_2019-07-21_08_15_00_1.txt").write_bytes("[a] Ren\xe9\r\nsecond €\n\nfourth".encode("cp1252", "replace"))
+    (tmp_path / "combat_2019-07-22_08_15_00_1.txt.gz").write_bytes(gzip.compress(b"packed\nlines"))
+    (tmp_path / "combat_2019-07-21_08_15_00_1.txt.gz").write_bytes(gzip.compress(b"hidden by the plain file"))
     (tmp_path / "small.txt").write_bytes(b"x")
     (tmp_path / "other.csv").write_bytes(b"y" * 100)
     return tmp_path
@@ -25,17 +25,17 @@ def folder(tmp_path):
 
 def test_logs_are_read_decoded_and_numbered(spark, folder):
     got = sorted(tuple(r) for r in L.read_logs(spark, str(folder), 10).collect())
-    name = "combat_2026-03-05_14_00_00_1"
-    assert got == [(name, 1, "[a] Ren\xe9"), (name, 2, "second €"), (name, 4, "fourth"), ("combat_2026-03-06_14_00_00_1", 1, "packed"), ("combat_2026-03-06_14_00_00_1", 2, "lines")]
+    name = "combat_2019-07-21_08_15_00_1"
+    assert got == [(name, 1, "[a] Ren\xe9"), (name, 2, "second €"), (name, 4, "fourth"), ("combat_2019-07-22_08_15_00_1", 1, "packed"), ("combat_2019-07-22_08_15_00_1", 2, "lines")]
 
 
 def test_only_changed_files_are_read_again(spark, folder):
     files = L.file_list(spark, str(folder), 10)
     index = files.select("name", "size", "modified").withColumn("summary", F.lit("old"))
     assert L.changed_files(files, index).count() == 0 and L.changed_files(files, index, force=True).count() == 2
-    stale = index.withColumn("size", F.when(F.col("name").contains("03-06"), F.lit(1)).otherwise(F.col("size")))
+    stale = index.withColumn("size", F.when(F.col("name").contains("07-22"), F.lit(1)).otherwise(F.col("size")))
     changed = L.changed_files(files, stale)
-    assert [r.name for r in changed.collect()] == ["combat_2026-03-06_14_00_00_1.txt"]
+    assert [r.name for r in changed.collect()] == ["combat_2019-07-22_08_15_00_1.txt"]
     assert L.read_logs(spark, str(folder), only=changed).count() == 2
     fresh = changed.select("name", "size", "modified").withColumn("summary", F.lit("new"))
     assert sorted(r.summary for r in L.refreshed_index(files, stale, fresh).collect()) == ["new", "old"]
@@ -101,3 +101,87 @@ def test_live_effects_equal_the_batch(spark, tmp_path):
     query = live.live_effects(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("append").foreachBatch(lambda df, _: found.extend((r.start_ms, r.end_ms) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     drained(query)
     assert sorted(found) == sorted((r.start_ms, r.end_ms) for r in rules.effect_intervals(frame).collect())
+
+
+def streamed(frame, tmp_path, live_form, mode="append"):
+    """What a stream gives that gets the rows in three files, in order of their lines."""
+    spark, cut = frame.sparkSession, sorted(r.line_number for r in frame.select("line_number").collect())
+    cut = [cut[len(cut) // 3], cut[2 * len(cut) // 3]]
+    part = (F.col("line_number") >= cut[0]).cast("int") + (F.col("line_number") >= cut[1]).cast("int")
+    for i in range(3):
+        frame.where(part == i).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    found = []
+    drained(live_form(stream).writeStream.outputMode(mode).foreachBatch(lambda df, _: found.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+    return found
+
+
+def test_live_clock_equals_the_batch(spark, tmp_path):
+    rng = random.Random(6)
+    rows = []
+    for log in range(2):
+        t = wall = 0
+        for i in range(60):
+            t += rng.choice([0, 100, 900])
+            wall = max(wall, t + rng.choice([50, 50, 4000]))
+            rows.append((f"l{log}", i, t, 1_000_000 + wall))
+    frame = spark.createDataFrame(rows, "log_path string, line_number long, t_ms long, wall_ms long")
+    got = {(r.log_path, r.line_number): r.at_ms for r in streamed(frame, tmp_path, live.live_clock)}
+    assert got == {(r.log_path, r.line_number): r.at_ms for r in clock.with_capped_clock(frame).collect()}
+    for log in range(2):  # the rule step by step
+        at = before = None
+        for _, i, t, wall in (r for r in rows if r[0] == f"l{log}"):
+            at = wall if at is None else at + min(wall - at, t - before)
+            before = t
+            assert got[f"l{log}", i] == at
+
+
+def test_live_countdowns_equal_the_batch(spark, tmp_path):
+    rng = random.Random(9)
+    times = sorted(rng.randrange(60000) for _ in range(80))
+    rows = [("log", 0, 1, rng.choice("TU"), i, t, rng.choice(["hit", "hit", "death"]), 2000, 0) for i, t in enumerate(times)] + [("log", 0, 1, x, 200, 99999, "death", 0, 0) for x in "TU"]
+    frame = spark.createDataFrame(rows, "log_path string, pull_index long, rule_id int, target string, line_number long, t_ms long, what string, duration_ms long, warn_ms long")
+    hits, deaths = frame.where("what = 'hit'"), frame.where("what = 'death'").withColumn("is_death", F.lit(True))
+    want = sorted((r.target, r.start_ms, r.end_ms) for r in rules.timer_intervals(hits, deaths).collect())
+    assert sorted((r.target, r.start_ms, r.end_ms) for r in streamed(frame, tmp_path, live.live_countdowns)) == want
+
+
+def test_live_taunts_equal_the_batch(spark, tmp_path):
+    rng = random.Random(10)
+    rows, t = [], 0
+    for i in range(90):
+        t += rng.choice([40, 200, 300, 900, 3000])
+        kind = rng.choice(["cast", "effect", "effect"])
+        rows.append(event(i, t, "activate", ability="Taunt", target="P", target_is_player=True) if kind == "cast" else event(i, t, "none", effect_type="ApplyEffect", effect_name="Taunt", target=rng.choice("XYZ")))
+    rows += [event(200, t + 9000, "activate", ability="Taunt", target="P", target_is_player=True), *(event(201 + i, t + 20000 + 9000 * i, "none", effect_type="ApplyEffect", effect_name="Taunt", target="X") for i in range(2))]
+    frame = spark.createDataFrame(rows, FIELDS).withColumn("pull_index", F.lit(0).cast("long"))
+    want = sorted((r.at_ms, r.kind, r.hit, r.targets) for r in rules.taunts(frame).collect())
+    assert sorted((r.at_ms, r.kind, r.hit, r.targets) for r in streamed(frame, tmp_path, live.live_taunts)) == want[:-1]  # the last is still open
+
+
+def test_growing_files_are_read_on(spark, tmp_path):
+    from fightlake.sources.growing import GrowingLogs
+
+    spark.dataSource.register(GrowingLogs)
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    found = []
+
+    def run():
+        stream = spark.readStream.format("growing_logs").load(str(folder))
+        drained(stream.writeStream.foreachBatch(lambda df, _: found.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start())
+
+    (folder / "a.txt").write_bytes("one\r\ntw\xf6\n\nhalf a li".encode("latin-1"))
+    run()
+    assert sorted(found) == [("a", 1, "one"), ("a", 6, "tw\xf6")]
+    with (folder / "a.txt").open("ab") as f:
+        f.write(b"ne\nthree\n")
+    (folder / "b.txt").write_bytes(b"x" * 200_000 + b"\ny")
+    run()
+    assert sorted(found)[1:] == [("a", 6, "tw\xf6"), ("a", 11, "half a line"), ("a", 23, "three"), ("b", 1, "x" * 200_000)]
+
+
+def test_what_a_display_stays_on(spark):
+    pulls_ = spark.createDataFrame([("l", 0, 10), ("l", 1, 20), ("l", 2, 30), ("m", 0, 5)], "log_path string, pull_index long, start_ms long")
+    totals = spark.createDataFrame([("l", 0, 5.0, 0.0), ("l", 1, 0.0, 3.0), ("l", 2, 0.0, 0.0)], "log_path string, pull_index long, damage double, healing double")
+    assert sorted(tuple(r) for r in live.live_shown(pulls_, totals).collect()) == [("l", 1), ("m", 0)]
