@@ -26,21 +26,31 @@ def file_list(spark: SparkSession, folder: str, min_bytes: int = MIN_FILE_BYTES)
 def read_logs(spark: SparkSession, folder: str, min_bytes: int = MIN_FILE_BYTES, only: DataFrame | None = None) -> DataFrame:
     """(log_path, line_number, line) of the logs in ``folder``, or of those in ``only`` (path).
 
-    Files are the unit of parallel reading, as line numbers are counted from a file's first line.
+    Files are the unit of parallel reading, as line numbers are counted from a file's first line. A file that can't be read
+    gives the lines before the damage, or none, and never fails the job; :func:`file_errors` names those without any.
     """
     chosen = file_list(spark, folder, min_bytes) if only is None else only
-    text = spark.read.option("pathGlobFilter", "*.{txt,txt.gz}").text(folder, wholetext=True)
+    text = spark.read.option("pathGlobFilter", "*.{txt,txt.gz}").option("ignoreCorruptFiles", True).text(folder, wholetext=True)
     whole = text.select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:///").alias("path"), F.col("value").cast("binary").alias("data"))
     kept = whole.join(chosen.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path")).distinct(), "path", "left_semi")
     lines = kept.select(F.regexp_extract("path", r"([^/]+?)(?:\.txt)?(?:\.gz)?$", 1).alias("log_path"), F.posexplode(F.split(decoded(F.col("data")), "\r\n|\n|\r", -1)).alias("n", "line"))
     return lines.where("line <> ''").select("log_path", (F.col("n") + 1).cast("long").alias("line_number"), "line")
 
 
-def changed_files(files: DataFrame, index: DataFrame, force: bool = False) -> DataFrame:
-    """Files that the stored index (name, size, modified) does not know as they are now."""
+def changed_files(files: DataFrame, index: DataFrame, force: bool = False, version: int | None = None) -> DataFrame:
+    """Files that the stored index (name, size, modified[, version]) does not know as they are now; another ``version`` of the index knows none."""
+    if version is not None:
+        index = index.where(F.col("version") == version) if "version" in index.columns else index.limit(0)
     return files if force else files.join(index.select("name", "size", "modified"), ["name", "size", "modified"], "left_anti")
 
 
+def file_errors(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """(name, size, modified, error) of files that gave no line: they are empty, or couldn't be read to the first one."""
+    log = F.regexp_extract("name", r"^(.*?)(?:\.txt)?$", 1)
+    rows = files.withColumn("log_path", log).join(lines.select("log_path").distinct(), "log_path", "left_anti")
+    return rows.select("name", "size", "modified", F.lit("no line could be read").alias("error"))
+
+
 def refreshed_index(files: DataFrame, index: DataFrame, fresh: DataFrame) -> DataFrame:
     """The index without rows of files that are gone or changed, plus the ``fresh`` ones."""
     kept = index.join(files.select("name", "size", "modified"), ["name", "size", "modified"], "left_semi")

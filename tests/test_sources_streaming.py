@@ -41,6 +41,16 @@ def test_only_changed_files_are_read_again(spark, folder):
     assert sorted(r.summary for r in L.refreshed_index(files, stale, fresh).collect()) == ["new", "old"]
 
 
+def test_a_bad_file_is_told_and_another_version_knows_nothing(spark, folder):
+    (folder / "bad.txt.gz").write_bytes(b"\x1f\x8b\x08\x00 this is no gzip")
+    files = L.file_list(spark, str(folder), 10)
+    lines = L.read_logs(spark, str(folder), 10)
+    assert lines.count() == 5 and [r.name for r in L.file_errors(files, lines).collect()] == ["bad.txt"]
+    index = files.select("name", "size", "modified", F.lit(3).alias("version"))
+    assert L.changed_files(files, index, version=3).count() == 0 and L.changed_files(files, index, version=4).count() == 3
+    assert L.changed_files(files, index.drop("version"), version=3).count() == 3
+
+
 def test_definitions_later_folder_wins(spark, tmp_path):
     a, b = tmp_path / "a", tmp_path / "b"
     a.mkdir(), b.mkdir()
