@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batched, rows_of
+from .common import batched, rows_of, written
 
 #: Edits for each word of an item (a similarity of 0.8).
 BUDGET = 0.2
@@ -173,8 +173,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block_ch
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` without the rows whose text holds an item; all columns stay, nothing is shuffled."""
-    for block in item_blocks(benchmark, block_chars):
+    """``docs`` without the rows whose text holds an item; all columns stay, nothing is shuffled.
+
+    What a block leaves is written before the next one, so that a task holds the automaton of one block only.
+    """
+    for i, block in enumerate(item_blocks(benchmark, block_chars)):
+        if i:
+            docs, _ = written(docs, "clean-so-far")
         shared = _Shared(docs.sparkSession, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
