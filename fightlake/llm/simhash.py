@@ -24,7 +24,7 @@ columns are ignored by :func:`near_duplicates` and kept by :func:`keep_one`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 from math import comb
@@ -198,14 +198,13 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def shard_links(
-    shard: np.ndarray, code: np.ndarray, radius: int, label: np.ndarray | None = None, banned: np.ndarray | None = None, name: np.ndarray | None = None, forests: int = 1, prints: list[np.ndarray] | None = None
+    shard: np.ndarray, code: np.ndarray, radius: int, label: np.ndarray | None = None, banned: np.ndarray | None = None, name: np.ndarray | None = None, forests: int = 1, accept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spanning forest (a, b, distance; a and b are row numbers) of the links inside shards of two rows or more; closer links first.
 
     ``label`` has the least row of the component that each row is in already, ``banned`` the links that are left out
     (ascending, the lesser row times the number of rows plus the greater), ``name`` what equally close links are ordered by.
-    ``forests`` over 1 adds links that more forests of the rest would have, as far as these are at hand. With ``prints``, only links count
-    whose ends' prints differ in ``TOGETHER`` bits or fewer in all.
+    ``forests`` over 1 adds links that more forests of the rest would have, as far as these are at hand. ``accept`` tells of pairs of rows which may be links.
     """
     n = len(code)
     name = code if name is None else name
@@ -289,8 +288,8 @@ def shard_links(
         if banned is not None and len(banned):
             key = x * n + y
             ok &= banned[np.minimum(np.searchsorted(banned, key), len(banned) - 1)] != key
-        if prints:
-            ok[ok] = sum(np.bitwise_count(f[x[ok]] ^ f[y[ok]]).astype(np.int64) for f in prints) <= TOGETHER
+        if accept:
+            ok[ok] = accept(x[ok], y[ok])
         held.append((x[ok], y[ok], d[ok]))
         holds += int(ok.sum())
         if holds > STEP:
@@ -407,10 +406,33 @@ def _deal_banned(radius: int, free: int, batches: Iterator[pa.RecordBatch]) -> I
                     yield pa.RecordBatch.from_arrays([*(pa.array(c[at_]) for c in (shard, place, a, other)), *none], names=["shard", "place", "node", "label", *(f"f{i}" for i in range(PRINTS))])
 
 
-def _offer(radius: int, forests: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _acceptance(radius: int, free: int, table: np.ndarray, prints: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether pairs of rows agree in all ``prints`` together and this ``table`` is the first that holds them: so each pair is looked at in one table only."""
+    n, combos = radius + free, list(combinations(range(radius + free), free))
+    edges = [64 * i // n for i in range(n + 1)]
+    masks = [np.uint64(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]) for i in range(n)]
+    # The first table of a pair has the lowest blocks that agree, so no other block below its last one may.
+    earlier = np.array([[i < c[-1] and i not in c for i in range(n)] for c in combos])
+
+    def accept(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        apart = [f[x] ^ f[y] for f in prints]
+        bits = [np.bitwise_count(d).astype(np.int64) for d in apart]
+        ok = sum(bits) <= TOGETHER
+        s, t = np.divmod(table[x], len(combos))
+        for i, (d, b) in enumerate(zip(apart, bits, strict=True)):
+            ok &= (s <= i) | (b > radius)  # an earlier print doesn't hold the pair
+            here = s == i
+            for k, mask in enumerate(masks):
+                ok &= ~(here & earlier[t, k] & ((d & mask) == 0))
+        return ok
+
+    return accept
+
+
+def _offer(radius: int, free: int, forests: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b: nodes) that connect what isn't banned and has different labels, in each shard of OFFERS.
 
-    Where OFFERS come with all prints, so do the links, with the labels (ra, rb) and prints of both ends, and the prints must agree.
+    Where OFFERS come with all prints, so do the links, with the labels (ra, rb) and prints of both ends, and :func:`_acceptance` holds.
     """
     for shard, place, node, label, *fps in _shards(batches):
         point = label >= 0
@@ -436,7 +458,8 @@ def _offer(radius: int, forests: int, batches: Iterator[pa.RecordBatch]) -> Iter
             continue
         _, group = np.unique(label, return_inverse=True)
         _, least, back = np.unique(part * len(group) + group, return_index=True, return_inverse=True)
-        a, b, _ = shard_links(shard, gray_code(place.view(np.uint64) ^ _SIGN), radius, least[back], banned, node, forests, [f.view(np.uint64) for f in fps])
+        accept = _acceptance(radius, free, shard >> 40, [f.view(np.uint64) for f in fps]) if fps else None
+        a, b, _ = shard_links(shard, gray_code(place.view(np.uint64) ^ _SIGN), radius, least[back], banned, node, forests, accept)
         a, b = np.where(node[a] <= node[b], a, b), np.where(node[a] <= node[b], b, a)
         names, columns = ["a", "b"], [node[a], node[b]]
         if fps:
@@ -455,7 +478,7 @@ def _offered(points: DataFrame, banned: DataFrame | None, prints: list[int], rad
     if whole:
         rows = rows.unionByName(banned.select("a", "b", *ENDS).mapInArrow(partial(_deal_banned, radius, free), schema))
     out = ", ".join(f"{c} long" for c in (["a", "b", "ra", "rb", *ENDS] if whole else ["a", "b"]))
-    found = rows.repartition("shard").sortWithinPartitions("shard", "place", "node").mapInArrow(partial(_offer, radius, forests), out)
+    found = rows.repartition("shard").sortWithinPartitions("shard", "place", "node").mapInArrow(partial(_offer, radius, free, forests), out)
     return found.dropDuplicates(["a", "b"])
 
 

@@ -212,3 +212,22 @@ def test_pairs_just_over_the_similarity_are_found(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in S.near_duplicates(docs, 5, 10, 0.8).collect()}
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.92 * len(pairs)
+
+
+def test_each_pair_is_accepted_in_one_table():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 4, np.uint64)
+    prints = [b ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (40, 5), np.uint64), axis=1) for b in base]
+    for radius, free in ((10, 2), (6, 3)):
+        tables = S.block_tables(radius, free)
+        held: dict = {}
+        for s, f in enumerate(prints):
+            for t, (order, width) in enumerate(tables):
+                key = S._permute(f, order) >> np.uint64(64 - width)
+                x, y = np.nonzero(np.triu(key[:, None] == key[None, :], 1) & (np.bitwise_count(f[:, None] ^ f[None, :]) <= radius))
+                ok = S._acceptance(radius, free, np.full(40, s * len(tables) + t), prints)(x, y)
+                for pair in zip(x[ok].tolist(), y[ok].tolist()):
+                    held[pair] = held.get(pair, 0) + 1
+        apart = [[[(int(f[i]) ^ int(f[j])).bit_count() for f in prints] for j in range(40)] for i in range(40)]
+        want = {(i, j) for i in range(40) for j in range(i + 1, 40) if min(apart[i][j]) <= radius and sum(apart[i][j]) <= S.TOGETHER}
+        assert set(held) == want and set(held.values()) == {1} and len(want) > 100
