@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, ordinal, packing, pii, rans, repetition, simhash, warc
+from . import chat, decontam, hard_negatives, line_dedup, ordinal, packing, pii, rans, repetition, secret_scan, simhash, spelling, warc
 from .common import shared_dir, table, written
 
 
@@ -61,6 +61,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    base = ("assign", "access", "hex")
+    counts = [F.size(secret_scan.of_kinds("spans", k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined("spans", *base), 256).alias("base_sha256"), secret_scan.joined("spans", *secret_scan.KINDS).alias("spans"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -72,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_certified_packing": op8_certified_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -123,3 +142,42 @@ with p as (select page_id, strlen(coalesce(html, '')) payload_bytes, sha1(coales
 b as (select *, max(page_id) over (partition by payload_digest) best from p)
 select page_id, payload_bytes, payload_digest, case when payload_bytes >= {warc.MIN_REVISIT} and page_id < best then 'revisit' else 'response' end record_type,
   case when payload_bytes >= {warc.MIN_REVISIT} and page_id < best then best end refers_to from b"""
+
+ORACLE_SQL["op12_hard_negatives"] = """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) q
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id aid, b.vec_id bid, a.l = b.l same, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint score
+  from r a, r b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select *, row_number() over (partition by aid order by score desc, bid) place from s where same qualify place <= 5),
+n as (
+  select p.aid, p.bid pid, p.score ps, s.bid nid, s.score ns, row_number() over (partition by p.aid, p.bid order by s.score desc, s.bid) k
+  from p join s on s.aid = p.aid and not s.same where 80 * p.score <= 100 * s.score and s.score <= p.score qualify k <= 5)
+select aid anchor_id, pid positive_id, k::int rank, nid negative_id, ps positive_score, ns negative_score from n"""
+
+# CRC-32 a byte at a time; letters up to U+00FF have at most two bytes.
+ORACLE_SQL["op13_spelling_variants"] = f"""
+with recursive
+t as (
+  select list(list_reduce(range(8), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, b) order by b) tab
+  from (select unnest(range(256)) b)),
+r as (
+  select doc_id, run, count(*) c
+  from (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{line_dedup.UPPER}', '{line_dedup.LOWER}'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) run from documents)
+  where length(run) >= 6 group by all),
+b as (
+  select *, flatten(list_transform(string_split(doc_id::varchar || ':' || run, ''), lambda x: case when ord(x) < 128 then [ord(x)::bigint] else [195, ord(x)::bigint - 64] end)) bytes
+  from r),
+h as (select run, c, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) h from b, t),
+w as (select case when h % 199 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end word, sum(c)::bigint n from h group by 1 having length(word) >= 6 and n >= 5),
+k as (select word, n, i, word[:i - 1] || word[i + 1:] cut from (select *, unnest(range(1, length(word) + 1)) i from w)),
+p as (
+  select a.word, b.word near, b.n near_n from k a join k b on a.i = b.i and a.cut = b.cut and a.word <> b.word and length(a.word) = length(b.word)
+  union select a.word, b.word, b.n from k a join w b on a.cut = b.word
+  union select b.word, a.word, a.n from k a join w b on a.cut = b.word),
+f as (select word, count(*) n_near, min(struct_pack(less := -near_n, near := near)) best from p group by 1),
+v as (select w.word, n, coalesce(n_near, 0) n_near, case when -best.less >= 5 * n then best.near end form, case when -best.less >= 5 * n then -best.less end form_n from w left join f using (word)),
+g as (select word, word last_word, form from v union all select g.word, g.form, v.form from g join v on v.word = g.form)
+select v.word, v.form, g.last_word root, n, n_near, form_n from v join g on g.word = v.word and g.form is null"""
