@@ -378,22 +378,23 @@ def _tables_of(fp: pa.Array, radius: int, free: int, first: int) -> Iterator[tup
 
 OFFERS = "shard long, place long, node long, label long"
 ENDS = [f"f{s}{e}" for e in "ab" for s in range(PRINTS)]
+#: What the ends of an offer are judged by beforehand: prints, and how many shingles there are, and are in another text too.
+FACTS = [*(f"f{s}" for s in range(PRINTS)), "size", "shared"]
 
 
 def _deal_points(radius: int, free: int, prints: list[int], whole: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """OFFERS of (node, label, f0, f1, ...) in the tables of ``prints``, where labels aren't negative; with all prints if ``whole``."""
+    """OFFERS of (node, label, f0, f1, ...) in the tables of ``prints``, where labels aren't negative; with FACTS if ``whole``."""
     count = comb(radius + free, free)
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
-            node, label, *fps = batch.slice(at, 4096).columns
-            more = fps if whole else []
+            node, label, *facts = batch.slice(at, 4096).columns
             for s in prints:
-                for shard, place in _tables_of(fps[s], radius, free, s * count):
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(place), node, label, *more], names=["shard", "place", "node", "label", *(f"f{i}" for i in range(len(more)))])
+                for shard, place in _tables_of(facts[s], radius, free, s * count):
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(place), node, label, *(facts if whole else [])], names=["shard", "place", "node", "label", *(FACTS if whole else [])])
 
 
 def _deal_banned(radius: int, free: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """OFFERS of links (a, b, ENDS) for each shard that holds both ends: label is -1 - b, and the prints stay empty."""
+    """OFFERS of links (a, b, ENDS) for each shard that holds both ends: label is -1 - b, and the FACTS stay empty."""
     count = comb(radius + free, free)
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
@@ -402,12 +403,22 @@ def _deal_banned(radius: int, free: int, batches: Iterator[pa.RecordBatch]) -> I
             for s, (x, y) in enumerate(zip(fps[:PRINTS], fps[PRINTS:], strict=True)):
                 for (shard, place), (shard_b, _) in zip(_tables_of(x, radius, free, s * count), _tables_of(y, radius, free, s * count), strict=True):
                     at_ = shard == shard_b
-                    none = [pa.array(np.zeros(int(at_.sum()), np.int64))] * PRINTS
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c[at_]) for c in (shard, place, a, other)), *none], names=["shard", "place", "node", "label", *(f"f{i}" for i in range(PRINTS))])
+                    none = [pa.array(np.zeros(int(at_.sum()), np.int64))] * len(FACTS)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[at_]) for c in (shard, place, a, other)), *none], names=["shard", "place", "node", "label", *FACTS])
 
 
-def _acceptance(radius: int, free: int, table: np.ndarray, prints: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Whether pairs of rows agree in all ``prints`` together and this ``table`` is the first that holds them: so each pair is looked at in one table only."""
+def may_be_similar(size_a, shared_a, size_b, shared_b, floor: float, least=np.minimum):
+    """Whether sets of those sizes, of which so many elements are in another set at all, can have a Jaccard similarity of ``floor``.
+
+    No more than the lesser number of shared elements can be in both, so what this refuses isn't similar.
+    """
+    most = least(shared_a, shared_b)
+    return most >= floor * (size_a + size_b - most)
+
+
+def _acceptance(radius: int, free: int, table: np.ndarray, prints: list[np.ndarray], size: np.ndarray, shared: np.ndarray, similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether pairs of rows agree in all ``prints`` together, have shingles enough that others have too, and this ``table`` is the first that holds
+    them: so each pair is looked at in one table only."""
     n, combos = radius + free, list(combinations(range(radius + free), free))
     edges = [64 * i // n for i in range(n + 1)]
     masks = [np.uint64(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]) for i in range(n)]
@@ -417,7 +428,7 @@ def _acceptance(radius: int, free: int, table: np.ndarray, prints: list[np.ndarr
     def accept(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         apart = [f[x] ^ f[y] for f in prints]
         bits = [np.bitwise_count(d).astype(np.int64) for d in apart]
-        ok = sum(bits) <= TOGETHER
+        ok = (sum(bits) <= TOGETHER) & may_be_similar(size[x], shared[x], size[y], shared[y], similarity)
         s, t = np.divmod(table[x], len(combos))
         for i, (d, b) in enumerate(zip(apart, bits, strict=True)):
             ok &= (s <= i) | (b > radius)  # an earlier print doesn't hold the pair
@@ -429,12 +440,12 @@ def _acceptance(radius: int, free: int, table: np.ndarray, prints: list[np.ndarr
     return accept
 
 
-def _offer(radius: int, free: int, forests: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _offer(radius: int, free: int, forests: int, similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b: nodes) that connect what isn't banned and has different labels, in each shard of OFFERS.
 
-    Where OFFERS come with all prints, so do the links, with the labels (ra, rb) and prints of both ends, and :func:`_acceptance` holds.
+    Where OFFERS come with FACTS, the links come with the labels (ra, rb) and prints of both ends, and :func:`_acceptance` holds.
     """
-    for shard, place, node, label, *fps in _shards(batches):
+    for shard, place, node, label, *facts in _shards(batches):
         point = label >= 0
         links = ~point
         _, part = np.unique(shard, return_inverse=True)
@@ -453,32 +464,33 @@ def _offer(radius: int, free: int, forests: int, batches: Iterator[pa.RecordBatc
                 ends.append(order[at])
             x, y = (e[known] for e in ends)
             banned = np.unique(np.minimum(x, y) * p + np.maximum(x, y))
-            shard, place, node, label, part, *fps = (c[point] for c in (shard, place, node, label, part, *fps))
+            shard, place, node, label, part, *facts = (c[point] for c in (shard, place, node, label, part, *facts))
         if not len(shard):
             continue
         _, group = np.unique(label, return_inverse=True)
         _, least, back = np.unique(part * len(group) + group, return_index=True, return_inverse=True)
-        accept = _acceptance(radius, free, shard >> 40, [f.view(np.uint64) for f in fps]) if fps else None
+        accept = _acceptance(radius, free, shard >> 40, [f.view(np.uint64) for f in facts[:PRINTS]], *facts[PRINTS:], similarity) if facts else None
         a, b, _ = shard_links(shard, gray_code(place.view(np.uint64) ^ _SIGN), radius, least[back], banned, node, forests, accept)
         a, b = np.where(node[a] <= node[b], a, b), np.where(node[a] <= node[b], b, a)
         names, columns = ["a", "b"], [node[a], node[b]]
-        if fps:
-            names, columns = [*names, "ra", "rb", *ENDS], [*columns, label[a], label[b], *(f[e] for e in (a, b) for f in fps)]
+        if facts:
+            names, columns = [*names, "ra", "rb", *ENDS], [*columns, label[a], label[b], *(f[e] for e in (a, b) for f in facts[:PRINTS])]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
-def _offered(points: DataFrame, banned: DataFrame | None, prints: list[int], radius: int, free: int, forests: int = 1) -> DataFrame:
+def _offered(points: DataFrame, banned: DataFrame | None, prints: list[int], radius: int, free: int, forests: int = 1, similarity: float = 0.0) -> DataFrame:
     """Links (a, b) between ``points`` (node, label, f...) that connect all labels within ``radius`` bits in one of ``prints``.
 
-    With ``banned`` (a, b, ENDS), without these, and as :func:`_offer` gives them where all prints are at hand.
+    With ``banned`` (a, b, ENDS), without these, and as :func:`_offer` gives them where FACTS are at hand.
     """
     whole = banned is not None
-    schema = OFFERS + "".join(f", f{s} long" for s in range(PRINTS)) * whole
-    rows = points.select("node", "label", *(f"f{s}" for s in range(PRINTS))).mapInArrow(partial(_deal_points, radius, free, prints, whole), schema)
+    facts = FACTS if whole else FACTS[:PRINTS]
+    schema = OFFERS + "".join(f", {c} long" for c in facts) * whole
+    rows = points.select("node", "label", *facts).mapInArrow(partial(_deal_points, radius, free, prints, whole), schema)
     if whole:
         rows = rows.unionByName(banned.select("a", "b", *ENDS).mapInArrow(partial(_deal_banned, radius, free), schema))
     out = ", ".join(f"{c} long" for c in (["a", "b", "ra", "rb", *ENDS] if whole else ["a", "b"]))
-    found = rows.repartition("shard").sortWithinPartitions("shard", "place", "node").mapInArrow(partial(_offer, radius, free, forests), out)
+    found = rows.repartition("shard").sortWithinPartitions("shard", "place", "node").mapInArrow(partial(_offer, radius, free, forests, similarity), out)
     return found.dropDuplicates(["a", "b"])
 
 
@@ -496,6 +508,24 @@ def _shingle_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return named.unionByName(nameless).mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
+def _with_shared(points: DataFrame, sets: DataFrame) -> DataFrame:
+    """``points`` with ``size``, the number of their shingles, and ``shared``, of those that another of ``sets`` (node, shingles) has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, shingles in rows_of(iter([batch]), "node", "shingles"):
+                each = np.frombuffer(shingles, np.int64)
+                for at in range(0, len(each), 1 << 16):
+                    part = each[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(part)], names=["node", "shingle"])
+
+    holders = sets.mapInArrow(run, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node"))
+    alone = holders.where("holders = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    sizes = sets.select("node", (F.length("shingles") / 8).cast("long").alias("size"))
+    facts = sizes.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    return points.join(facts, "node")
+
+
 def _renamed(pairs: DataFrame, root: DataFrame) -> DataFrame:
     """Pairs of labels (ra, rb) with the roots that these have got, each pair of different ones once."""
     for e in ("ra", "rb"):
@@ -507,7 +537,9 @@ def _verified_classes(nodes: DataFrame, docs: DataFrame, size: int, radius: int,
     """(node, label) of each of ``nodes`` (node, rep, rep_th, f...) that links to another; label is the component.
 
     Each link counts only if its shingle sets have that similarity, so what a shard offers depends on what was found similar:
-    links between components of verified links are offered until none is left that wasn't refused.
+    links between components of verified links are offered until none is left that wasn't refused. A pair is never offered if too few
+    shingles of one end are in any other text (:func:`may_be_similar`): in a dense group of texts that are alike, but not similar, it is
+    their own shingles that keep them apart, so nearly all pairs that would be refused aren't offered at all.
     """
     free = best_free(nodes.count(), radius)
     waiting = None
@@ -516,12 +548,15 @@ def _verified_classes(nodes: DataFrame, docs: DataFrame, size: int, radius: int,
         waiting = found if waiting is None else waiting.unionByName(found)
     waiting = waiting.distinct()
     ends = waiting.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    points, _ = written(nodes.join(ends, "node"), "ends")
-    sets, _ = written(_shingle_sets(points, docs, size), "shingle-sets")
+    ends, _ = written(nodes.join(ends, "node"), "ends")
+    sets, _ = written(_shingle_sets(ends, docs, size), "shingle-sets")
+    # What has too many shingles of its own is similar to none.
+    points, _ = written(_with_shared(ends, sets).where(F.col("shared") >= similarity * F.col("size")), "points")
     labels = points.select("node", F.col("node").alias("label"))
-    prints = [points.select(F.col("node").alias(e), *(F.col(f"f{s}").alias(f"f{s}{e}") for s in range(PRINTS))) for e in "ab"]
+    facts = [points.select(F.col("node").alias(e), *(F.col(c).alias(f"{c}{e}") for c in FACTS)) for e in "ab"]
     together = sum(F.bit_count(F.col(f"f{s}a").bitwiseXOR(F.col(f"f{s}b"))) for s in range(PRINTS))
-    offers = waiting.join(prints[0], "a").join(prints[1], "b").where(together <= TOGETHER).withColumns({"ra": F.col("a"), "rb": F.col("b")})
+    may = may_be_similar(F.col("sizea"), F.col("shareda"), F.col("sizeb"), F.col("sharedb"), similarity, F.least)
+    offers = waiting.join(facts[0], "a").join(facts[1], "b").where((together <= TOGETHER) & may).withColumns({"ra": F.col("a"), "rb": F.col("b")})
     refused, forests = None, 1
     while True:
         pairs = offers.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
@@ -530,13 +565,18 @@ def _verified_classes(nodes: DataFrame, docs: DataFrame, size: int, radius: int,
         labels, _ = written(labels.join(root.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
         bad = judged.where("not similar")
         refused = bad if refused is None else refused.unionByName(bad)
-        apart = _renamed(bad.select("ra", "rb").distinct(), root)
-        open_, _ = written(apart.select(F.explode(F.array("ra", "rb")).alias("label")).distinct(), "open")
+        if forests == 1:  # these were a forest of all links, of which some weren't looked at: what such a link held together is looked at anew
+            of = [labels.toDF(e, f"r{e}") for e in "ab"]
+            apart = waiting.join(of[0], "a", "left").join(of[1], "b", "left").where("ra is null or rb is null or ra <> rb")
+        else:
+            apart = _renamed(bad.select("ra", "rb").distinct(), root)
+        apart = apart.select(F.explode(F.array("ra", "rb")).alias("label")).where("label is not null").distinct()
+        open_, _ = written(apart, "open")
         if open_.isEmpty():
             return labels
         forests *= 16
         again, _ = written(points.join(labels, "node").join(open_, "label", "left_semi"), "again")
-        offers, _ = written(_offered(again, refused, list(range(PRINTS)), radius, free, forests), "offers")
+        offers, _ = written(_offered(again, refused, list(range(PRINTS)), radius, free, forests, similarity), "offers")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:

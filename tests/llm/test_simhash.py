@@ -225,9 +225,42 @@ def test_each_pair_is_accepted_in_one_table():
             for t, (order, width) in enumerate(tables):
                 key = S._permute(f, order) >> np.uint64(64 - width)
                 x, y = np.nonzero(np.triu(key[:, None] == key[None, :], 1) & (np.bitwise_count(f[:, None] ^ f[None, :]) <= radius))
-                ok = S._acceptance(radius, free, np.full(40, s * len(tables) + t), prints)(x, y)
+                ok = S._acceptance(radius, free, np.full(40, s * len(tables) + t), prints, *[np.full(40, 100)] * 2, 0.8)(x, y)
                 for pair in zip(x[ok].tolist(), y[ok].tolist()):
                     held[pair] = held.get(pair, 0) + 1
         apart = [[[(int(f[i]) ^ int(f[j])).bit_count() for f in prints] for j in range(40)] for i in range(40)]
         want = {(i, j) for i in range(40) for j in range(i + 1, 40) if min(apart[i][j]) <= radius and sum(apart[i][j]) <= S.TOGETHER}
         assert set(held) == want and set(held.values()) == {1} and len(want) > 100
+
+
+def test_pairs_that_are_not_offered_are_not_similar():
+    rng = random.Random(21)
+    common = list(range(60))
+    sets = [set(rng.sample(common, rng.randint(0, 60))) | {1000 * i + j for j in range(rng.randint(0, 12))} for i in range(120)]
+    holders: dict = {}
+    for x in sets:
+        for e in x:
+            holders[e] = holders.get(e, 0) + 1
+    size, shared = [len(x) for x in sets], [sum(holders[e] > 1 for e in x) for x in sets]
+    refused = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            similar = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            may = bool(S.may_be_similar(size[i], shared[i], size[j], shared[j], 0.8))
+            assert may or not similar
+            refused += not may
+    assert refused > 1000
+
+
+def test_dense_group_of_texts_with_shingles_of_their_own_against_brute_force(spark):
+    rng = random.Random(22)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(edited(rng, base, rng.randint(0, 6))) for _ in range(160)] + [" ".join(base[:20] * 3)]
+    sets = [shingle_set(t) for t in texts]
+    prints = [[S.fingerprint(S._mixed(np.array(sorted(x), np.uint64), s)) for x in sets] for s in range(S.PRINTS)]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if any((p[i] ^ p[j]).bit_count() <= 10 for p in prints) and sum((p[i] ^ p[j]).bit_count() for p in prints) <= S.TOGETHER]
+    links = [(i, j) for i, j in near if jaccard(sets[i], sets[j]) >= 0.8]
+    assert 100 < len(links) < len(near) / 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs, 5, 10, 0.8).collect()}
+    assert [got[i] for i in range(len(texts))] == roots(len(texts), links)
