@@ -8,11 +8,11 @@ A definition is a dictionary with ``id``, ``boss_names``, ``phases``, ``counters
 ``type``. :func:`definitions_of` reads them from the table of :func:`fightlake.sources.logs.read_definitions`.
 
 The replay's rules: counters move before phases, phases before timers. A phase begins by its own trigger; else the active phase must end
-by its end trigger, which ``phase_ended`` then tells of. ``hp_below``, ``counter_reaches`` and ``npc_appears`` (each name) count once a pull
-for each place they are written at, and only when the whole gate they stand in passes. A timer expires at its exact time on the log's
+by its end trigger, which ``phase_ended`` then tells of. ``hp_below`` and ``counter_reaches`` count once a pull for each place they are
+written at, ``npc_appears`` once a pull for each name, wherever that is seen first, and only when the whole gate they stand in passes. A timer expires at its exact time on the log's
 clock, and what it starts in turn begins then; ``cancel_trigger`` ends it early and starts nothing. Timers with the trigger
-``combat_start`` begin at the last entry into combat before the boss is recognised. An unknown difficulty or group size passes
-every scope.
+``combat_start`` begin at the last entry into combat before the boss is recognised. Difficulty and group size are those of the last area
+entered before a row, in whichever pull (:func:`fightlake.operators.pulls.with_pulls`); an unknown one passes every scope.
 
 Defined cases: pulls without a boss, and bosses without phases, give nothing; null names and abilities match no selector and the empty
 keyword only; an unknown condition never holds, nor does an ``any_of``, ``all_of`` or ``not`` without children; a chain of timers without length that
@@ -38,7 +38,7 @@ MOST_EXPIRED = 100_000
 LOCAL = "local_player"
 #: Types that look at a row alone.
 ROW_TYPES = ("combat_start", "combat_end", "hp_below", "ability_cast", "effect_applied", "effect_removed", "npc_appears", "entity_death")
-#: Types that count once for each place they are written at.
+#: Types that count once.
 ONCE = ("hp_below", "npc_appears", "counter_reaches")
 OPERATORS: dict[str, Callable[[float, float], bool]] = {
     "eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "gte": lambda a, b: a >= b, "lte": lambda a, b: a <= b, "gt": lambda a, b: a > b, "lt": lambda a, b: a < b,
@@ -114,7 +114,7 @@ def _leaves(value) -> list[dict]:
 
 
 def candidate_rows(events: DataFrame, matches: DataFrame, definitions: list[dict], local_player: DataFrame | None = None) -> DataFrame:
-    """Rows of recognised pulls, from the recognition on, with ``hits``: the numbers of their boss's leaves that hold; others are dropped."""
+    """Rows of recognised pulls, from the recognition on, with ``hits``: the numbers of their boss's leaves that hold; others are dropped, but those that enter an area."""
     rows = events.join(matches.select(*PULL, "boss_id", "seen_line"), PULL).where("line_number >= seen_line")
     me = None
     if local_player is not None:
@@ -124,15 +124,16 @@ def candidate_rows(events: DataFrame, matches: DataFrame, definitions: list[dict
         marks = [F.when(row_condition(leaf, d.get("boss_names"), me), F.lit(i)) for i, leaf in enumerate(_leaves(d))]
         if marks:
             hits = F.when(F.col("boss_id") == d["id"], F.array_compact(F.array(*marks))).otherwise(hits)
-    kept = rows.withColumn("hits", hits).where((F.size("hits") > 0) | (F.col("line_number") == F.col("seen_line")))
-    return kept.select(*PULL, "boss_id", "line_number", "t_ms", "source", "target", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))
+    scope = [F.col(f"scope_{n}") if f"scope_{n}" in events.columns else F.lit(None) for n in ("difficulty", "group_size")]
+    kept = rows.withColumn("hits", hits).where((F.size("hits") > 0) | (F.col("line_number") == F.col("seen_line")) | F.col("is_area_entered"))
+    return kept.select(*PULL, "boss_id", "line_number", "t_ms", "source", "target", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), scope[0].cast("string").alias("difficulty"), scope[1].cast("int").alias("group_size"))
 
 
 class _Replay:
     """Phases, counters and timers of one pull, row by row."""
 
-    def __init__(self, definition: dict, difficulty: str | None, group_size: int | None):
-        self.d, self.difficulty, self.group_size = definition, difficulty, group_size
+    def __init__(self, definition: dict):
+        self.d, self.difficulty, self.group_size = definition, None, None
         self.number = {id(leaf): i for i, leaf in enumerate(_leaves(definition))}
         self.start = {c["id"]: c.get("initial_value") or 0 for c in definition.get("counters") or []}
         self.counters = dict(self.start)
@@ -164,7 +165,7 @@ class _Replay:
         value, now = cond.get("value") or 0, self.counters.get(cond.get("counter_id"), 0)
         if kind in ONCE:
             there = now >= value if kind == "counter_reaches" else self.number[id(cond)] in self.hits
-            keys = [(id(cond), n) for n in (self.row.source, self.row.target) if n in (cond.get("selector") or [])] if kind == "npc_appears" and there else [(id(cond), None)]
+            keys = [("seen", n) for n in (self.row.source, self.row.target) if n in (cond.get("selector") or [])] if kind == "npc_appears" and there else [(id(cond), None)]
             fresh = [k for k in keys if k not in self.fired]
             used += fresh[:1]
             return there and bool(fresh)
@@ -291,9 +292,11 @@ class _Replay:
     def run(self, rows: list, entered_ms: int | None, end_ms: int) -> list[tuple]:
         for i, row in enumerate(rows):
             self.expire(row.t_ms)
+            self.difficulty, self.group_size = row.difficulty, row.group_size
             self._event(row, row.t_ms)
             if i:
-                self.settle()
+                if self.hits:
+                    self.settle()
                 continue
             self.enter(self.phases[0])
             self.count()
@@ -316,20 +319,20 @@ def boss_script(events: DataFrame, matches: DataFrame, definitions: list[dict],
     """What happens in each recognised pull, one row each: ``what`` is phase (entered), counter (changed, to ``value``) or timer (from ``start_ms`` to ``end_ms``).
 
     ``matches`` is the table of :func:`fightlake.operators.corpus.first_match`. A timer is ``ended`` by: expired, cancelled, refreshed, pull ended.
-    ``difficulty`` and ``group_size`` of the last area entered scope phases and timers, where ``events`` has these columns.
+    ``scope_difficulty`` and ``scope_group_size`` scope phases and timers as of each row, where ``events`` has these columns.
     """
     by_id = {d["id"]: d for d in definitions if d.get("phases")}
-    scopes = [F.lit(None).cast(t).alias(n) if n not in events.columns else F.max_by(n, F.when(F.col(n).isNotNull(), F.col("line_number"))).alias(n) for n, t in (("difficulty", "string"), ("group_size", "int"))]
     known = matches.where(F.col("boss_id").isin(list(by_id))).select(*PULL, "boss_id", "seen_line")
     entry = F.when(F.col("is_combat_start") & (F.col("line_number") <= F.col("seen_line")), F.col("line_number"))
-    frame = events.join(known, PULL).groupBy(*PULL).agg(F.max_by("t_ms", entry).alias("entered_ms"), F.max("t_ms").alias("last_ms"), *scopes)
+    frame = events.join(known, PULL).groupBy(*PULL).agg(F.max_by("t_ms", entry).alias("entered_ms"), F.max("t_ms").alias("last_ms"))
     rows = candidate_rows(events, known, list(by_id.values()), local_player).join(frame, PULL)
     columns = [c.split()[0] for c in SCRIPT.split(", ")]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("line_number").itertuples(index=False))
+        pdf = pdf.sort_values("line_number").astype({"difficulty": object, "group_size": object})
+        rows = list(pdf.where(pdf.notna(), None).itertuples(index=False))
         first, none = rows[0], lambda x: None if pd.isna(x) else x
-        found = _Replay(by_id[first.boss_id], none(first.difficulty), none(first.group_size)).run(rows, none(first.entered_ms), first.last_ms)
+        found = _Replay(by_id[first.boss_id]).run(rows, none(first.entered_ms), first.last_ms)
         whole = lambda x: None if x is None else int(x)
         out = [(first.log_path, first.pull_index, first.boss_id, what, i, label, target, whole(line), whole(a), whole(b), *more) for what, i, label, target, line, a, b, *more in found]
         return pd.DataFrame(out, columns=columns, dtype=object)

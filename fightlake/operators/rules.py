@@ -61,10 +61,6 @@ def counter_reaches(counted: DataFrame, least: int) -> DataFrame:
     return counted.where(F.col("counter") >= least).groupBy(*PULL).agg(F.min("line_number").alias("line_number"))
 
 
-def compared(op: Column, a: Column, b: Column) -> Column:
-    return F.when(op == "eq", a == b).when(op == "ne", a != b).when(op == "gte", a >= b).when(op == "lte", a <= b).when(op == "gt", a > b).when(op == "lt", a < b).otherwise(False)
-
-
 def in_scope(allowed: Column, value: Column) -> Column:
     """An empty list or an unknown value passes."""
     return (F.size(allowed) <= 0) | value.isNull() | F.array_contains(allowed, value)

@@ -9,7 +9,7 @@ from fightlake.operators import conditions as C
 from fightlake.sources import logs as L
 from tests.test_operators import FIELDS, event
 
-MORE = ["ability_id", "is_effect_removed", "difficulty", "group_size"]
+MORE = ["ability_id", "is_effect_removed", "scope_difficulty", "scope_group_size"]
 
 
 @pytest.fixture(scope="module")
@@ -19,8 +19,8 @@ def script(spark):
         data = []
         for i, (t, kind, more) in enumerate(rows, 1):
             own = {k: more.pop(k) for k in MORE if k in more}
-            data.append((*event(i, t, kind, **more), 0, own.get("ability_id"), own.get("is_effect_removed", False), scope.get("difficulty"), scope.get("group_size")))
-        events = spark.createDataFrame(data, f"{FIELDS}, pull_index long, ability_id string, is_effect_removed boolean, difficulty string, group_size int")
+            data.append((*event(i, t, kind, **more), 0, own.get("ability_id"), own.get("is_effect_removed", False), own.get("scope_difficulty", scope.get("difficulty")), own.get("scope_group_size", scope.get("group_size"))))
+        events = spark.createDataFrame(data, f"{FIELDS}, pull_index long, ability_id string, is_effect_removed boolean, scope_difficulty string, scope_group_size int")
         matches = spark.createDataFrame([("log", 0, "b", seen_line)], "log_path string, pull_index long, boss_id string, seen_line long")
         player = spark.createDataFrame([("log", me)], "log_path string, local_player string") if me else None
         found = C.boss_script(events, matches, [{"id": "b", "boss_names": ["B"], **definition}], player).collect()
@@ -111,3 +111,28 @@ def test_phase_times(spark):
     rows = [("log", 0, "b", "phase", p, None, None, i, t, None, None, None) for i, (p, t) in enumerate([("p1", 1000), ("p2", 3000), ("p1", 5000), ("p3", 5000)])]
     got = C.phase_times(spark.createDataFrame(rows, C.SCRIPT), spark.createDataFrame([("log", 0, 500)], "log_path string, pull_index long, start_ms long"))
     assert [(r.nth, r.phase, r.offset, r.entries) for r in got.orderBy("nth").collect()] == [(0, "p1", 0.5, 2), (1, "p2", 2.5, 1), (2, "p3", 4.5, 1)]
+
+
+def test_scopes_are_those_as_of_a_row(script):
+    timers = [timer("m", casts("go"), difficulties=["master"]), timer("c", {"type": "timer_expires", "timer_id": "m"}, difficulties=["master"]), timer("s", casts("go"), difficulties=["story"], group_sizes=[8])]
+    at = lambda name, size=8: {"scope_difficulty": name, "scope_group_size": size}
+    rows = [hp(0, 100, **at("story")), cast(1000, "Go", **at("story")), (2000, "area", at("master")), cast(3000, "Go", **at("master")), (4000, "area", at("story", 16)), cast(6000, "Go", **at("story", 16)), hp(9000, 90, **at(None))]
+    assert script({"phases": PHASES, "timers": timers}, rows)["timer"] == [("m", 3000, 5000, "expired"), ("s", 1000, 3000, "expired")]
+
+
+def test_a_name_appears_once_for_all_conditions(script):
+    new = lambda *names: {"type": "npc_appears", "selector": list(names)}
+    timers = [timer("a", new("Rat"), conditions=[casts("never")]), timer("b", new("Rat", "Crow")), timer("c", new("Rat")), timer("d", new("Crow"))]
+    rows = [hp(0, 100), cast(1000, "Peck", "Rat"), cast(2000, "Peck", "Rat"), cast(3000, "Peck", "Crow"), cast(4000, "Peck", "Crow"), hp(9000, 50)]
+    assert script({"phases": PHASES, "timers": timers}, rows)["timer"] == [("b", 1000, 3000, "expired"), ("b", 3000, 5000, "expired")]
+
+
+def test_a_difficulty_entered_in_an_earlier_pull_holds_on(spark):
+    from fightlake.operators import pulls
+
+    kinds = [(0, "area", "story"), (1000, "damage", None), (2000, "end", None), (60_000, "damage", None), (61_000, "cast", None), (62_000, "area", "master"), (63_000, "cast", None), (64_000, "damage", None)]
+    rows = [(*event(i, t, "activate" if kind == "cast" else kind, ability="Go" if kind == "cast" else "a", source="B" if kind == "cast" else "P"), None, False, d, None) for i, (t, kind, d) in enumerate(kinds, 1)]
+    split = pulls.with_pulls(spark.createDataFrame(rows, f"{FIELDS}, ability_id string, is_effect_removed boolean, difficulty string, group_size int"), block=3)
+    matches = spark.createDataFrame([("log", 1, "b", 4)], "log_path string, pull_index long, boss_id string, seen_line long")
+    found = C.boss_script(split, matches, [{"id": "b", "boss_names": ["B"], "phases": PHASES, "timers": [timer("m", casts("go"), 60, difficulties=["master"]), timer("s", casts("go"), 60, difficulties=["story"])]}])
+    assert sorted((r.id, r.start_ms) for r in found.where("what = 'timer'").collect()) == [("m", 63_000), ("s", 61_000)]

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,10 +53,50 @@ def test_pulls_are_those_of_a_row_by_row_reading(table):
             rows.append(event(line, t, kind, log_path=f"log{log:02}", **who))
             seen.append((t, kind == "start", kind == "end", int(not who)))
         want[f"log{log:02}"] = by_hand(seen, timing)
-    got = {}
-    for r in pulls.with_pulls(table(rows), timing).orderBy("log_path", "line_number").collect():
-        got.setdefault(r.log_path, []).append(r.pull_index)
-    assert got == want
+    for block in (pulls.BLOCK, 7):
+        got = {}
+        for r in pulls.with_pulls(table(rows), timing, block).orderBy("log_path", "line_number").collect():
+            got.setdefault(r.log_path, []).append(r.pull_index)
+        assert got == want
+
+
+def in_blocks(seen, timing, size):
+    """The pull index of each (t, start, end, known) row, by blocks that are worked out apart and then put together."""
+    marks, last, entered = [], None, None
+    none = dict.fromkeys(("t_ms", "is_combat_start", "is_combat_end", "touch", "enter_ms", "areas", "area_line", "difficulty", "group_size"))
+    for at in range(0, len(seen), size):
+        marks.append(none | {"log_path": "log", "block": at // size, "line_number": None, "t_ms": last, "enter_ms": entered})
+        for i, (t, start, end, touch) in enumerate(seen[at : at + size], at):
+            marks.append(none | {"log_path": "log", "block": at // size, "line_number": i, "t_ms": t, "is_combat_start": start, "is_combat_end": end, "touch": bool(touch)})
+            last, entered = t, t if start else entered
+    kinds = [("log_path", "string"), *((n, "int64") for n in ("block", "line_number", "t_ms", "enter_ms", "area_line", "group_size")), *((n, "bool") for n in ("is_combat_start", "is_combat_end", "touch")), ("difficulty", "string"), ("areas", pa.list_(pa.int64()))]
+    batch = pa.RecordBatch.from_pylist(marks, pa.schema(kinds))
+    cut = len(marks) // 3
+    found = pulls._composed(timing, pulls._block_entries(timing, iter([batch.slice(0, cut), batch.slice(cut)])))
+    starts = [x for b in found for row in b.column("starts").to_pylist() for x in row]
+    return [sum(x <= i for x in starts) for i in range(len(seen))]
+
+
+def test_blocks_put_together_are_a_row_by_row_reading():
+    timing, rng = pulls.Timing(), random.Random(17)
+    for _ in range(5000):
+        p, t, seen = rng.random(), 0, []
+        for _ in range(rng.randint(1, 24)):
+            t += rng.choice([0, 200, 1500, 3000, 4000, 4001, 8000, 8001, 31000])
+            kind = rng.choice(["start", "end", "none", "none"])
+            seen.append((t, kind == "start", kind == "end", int(rng.random() < p)))
+        want = by_hand(seen, timing)
+        for size in (1, 4, 9):
+            assert in_blocks(seen, timing, size) == want, (seen, size)
+
+
+def test_areas_and_difficulties_hold_on_over_blocks_and_pulls(spark, table):
+    rows = [event(1, 0, "area"), event(2, 100, "damage"), event(3, 200, "area"), event(4, 300, "damage"), event(5, 90_000, "damage"), event(9, 90_100, "area"), event(10, 90_200, "damage")]
+    named = {1: ("story", 8), 3: (None, 4), 9: ("master", 16)}
+    scopes = spark.createDataFrame([(i, *v) for i, v in named.items()], "line_number long, difficulty string, group_size int")
+    got = pulls.with_pulls(table(rows).join(scopes, "line_number", "left"), block=3).orderBy("line_number").collect()
+    assert [(r.pull_index, r.area_line, r.scope_difficulty, r.scope_group_size) for r in got] == [(0, 1, "story", 8), (0, 1, "story", 8), (0, 3, "story", 8), (0, 3, "story", 8), (1, 3, "story", 8), (1, 9, "master", 16), (1, 9, "master", 16)]
+    assert pulls.with_pulls(table(rows[:0])).count() == 0
 
 
 def test_clock(spark):
