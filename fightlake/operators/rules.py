@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.parse import hp_percent
 from . import conditions
+from .folds import folded, keywords_in
 from .stats import PULL
 
 
@@ -112,35 +113,32 @@ def keyword_hits(events: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``rules``: rule_id, keyword, when_applied (true: neither removals, charges nor activations; false: removals; null: any) and what else the caller
     wants to see. Gates, where the rule table has them: only_source, only_target; only_local_player and only_target_is_local_player (``events`` has
-    local_player; an unknown one passes); required_boss (boss_id) and required_phases (phase_id). The table is compiled into one projection.
+    local_player; an unknown one passes); required_boss (boss_id) and required_phases (phase_id). Keywords are looked for once a text, all at a time; a
+    row meets the rules that it holds the keywords of by their numbers, and gates compare its columns with the rule's, so the plan is the same for any number of rules.
     """
     c = F.col
     table = _bounded(rules)
-    hay = c("__hay")
+    fields = rules.columns
+    numbered = rules.sparkSession.createDataFrame([(i, tuple(r)) for i, r in enumerate(table)], T.StructType([T.StructField("__n", T.IntegerType()), T.StructField("__rule", rules.schema)]))
+    rule = lambda name: c(f"__rule.{name}")
     removed = F.coalesce(c("is_effect_removed"), F.lit(False)) if "is_effect_removed" in events.columns else F.coalesce(c("effect_type") == "RemoveEffect", F.lit(False))
     charges = F.coalesce(c("effect_type") == "ModifyCharges", F.lit(False))
-
-    def passes(r) -> Column:
-        rule = r.asDict()
-        gates = [hay.contains((rule["keyword"] or "").lower())]
-        if rule.get("when_applied") is not None:
-            gates.append(~removed & ~charges & ~c("is_ability_activate") if rule["when_applied"] else removed)
-        for side in ("source", "target"):
-            if rule.get(f"only_{side}"):
-                gates.append(c(side).eqNullSafe(F.lit(rule[f"only_{side}"])))
-        for name, side in (("only_local_player", "source"), ("only_target_is_local_player", "target")):
-            if rule.get(name) and "local_player" in events.columns:
-                gates.append(c("local_player").isNull() | c(side).eqNullSafe(c("local_player")))
-        if rule.get("required_boss"):
-            gates.append(c("boss_id").eqNullSafe(F.lit(rule["required_boss"])))
-            if rule.get("required_phases"):
-                gates.append(c("phase_id").isin(list(rule["required_phases"])))
-        return reduce(lambda a, b: a & b, gates)
-
-    made = [F.when(passes(r), F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in rules.schema])) for r in table]
-    none = F.array().cast(f"array<{rules.schema.simpleString()}>")
-    rows = events.withColumn("__hay", F.lower(F.concat_ws(" ", "ability", "effect_name")))
-    return rows.withColumn("__rule", F.explode(F.array_compact(F.array(*made)) if made else none)).select(*events.columns, "__rule.*")
+    gates = [F.when(rule("when_applied").isNull(), True).when(rule("when_applied"), ~removed & ~charges & ~c("is_ability_activate")).otherwise(removed)] if "when_applied" in fields else []
+    for side in ("source", "target"):
+        if f"only_{side}" in fields:
+            gates.append(F.coalesce(rule(f"only_{side}") == "", F.lit(True)) | c(side).eqNullSafe(rule(f"only_{side}")))
+    for name, side in (("only_local_player", "source"), ("only_target_is_local_player", "target")):
+        if name in fields and "local_player" in events.columns:
+            gates.append(~F.coalesce(rule(name), F.lit(False)) | c("local_player").isNull() | c(side).eqNullSafe(c("local_player")))
+    if "required_boss" in fields and any(r.required_boss for r in table):
+        free = F.coalesce(rule("required_boss") == "", F.lit(True))
+        here = c("boss_id").eqNullSafe(rule("required_boss"))
+        if "required_phases" in fields and any(r.required_phases for r in table):
+            here &= F.coalesce(F.size(rule("required_phases")) <= 0, F.lit(True)) | F.coalesce(F.array_contains(rule("required_phases"), c("phase_id")), F.lit(False))
+        gates.append(free | here)
+    rows = events.withColumn("__n", F.explode(keywords_in(F.concat_ws(" ", "ability", "effect_name"), [r["keyword"] or "" for r in table])))
+    rows = rows.join(numbered, "__n").where(reduce(lambda a, b: a & b, gates, F.lit(True)))
+    return rows.select(*events.columns, "__rule.*")
 
 
 #: Categories whose countdown on a target starts anew with each hit, and those that end with the target's death.
@@ -228,25 +226,29 @@ def taunts(events: DataFrame, player: str | None = None, match_ms: int = 1000, t
 _EFFECTS = "log_path string, pull_index long, target string, effect string, start_ms long, end_ms long, refreshes long"
 
 
-def _effect_fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Intervals of one effect on one target, in the order of its rows."""
-    rows = rows.sort_values("line_number")
-    out, start, end, again = [], None, None, 0
-    for t, what, duration in zip(rows["t_ms"], rows["what"], rows["duration_ms"], strict=True):
-        if start is not None and t >= end:
-            out.append((start, end, again))
-            start = None
+class _Intervals:
+    """Intervals of the effects on one target, in the order of its rows."""
+
+    def __init__(self, key: tuple):
+        self.on: dict = {}  # of each effect: start, end, refreshes
+
+    def row(self, effect, line_number, t_ms, what, duration_ms) -> list[tuple]:
+        out, now = [], self.on.get(effect)
+        if now and t_ms >= now[1]:
+            out.append((effect, *now))
+            now = None
         if what == "apply":
-            start, end, again = (t, t + duration, 0) if start is None else (start, t + duration, again + 1)
-        elif what == "tick" and start is None:
-            start, end, again = t, t + duration, 0
-        elif what == "end" and start is not None:
-            out.append((start, t, again))
-            start = None
-    if start is not None:
-        out.append((start, end, again))
-    first = rows.iloc[0]
-    return pd.DataFrame([(first["log_path"], first["pull_index"], first["target"], first["effect"], *x) for x in out], columns=[c.split()[0] for c in _EFFECTS.split(", ")], dtype=object)
+            now = (t_ms, t_ms + duration_ms, 0) if now is None else (now[0], t_ms + duration_ms, now[2] + 1)
+        elif what == "tick" and now is None:
+            now = (t_ms, t_ms + duration_ms, 0)
+        elif what == "end" and now:
+            out.append((effect, now[0], t_ms, now[2]))
+            now = None
+        self.on[effect] = now
+        return out
+
+    def end(self) -> list[tuple]:
+        return [(effect, *now) for effect, now in self.on.items() if now]
 
 
 def effect_intervals(rows: DataFrame) -> DataFrame:
@@ -254,26 +256,29 @@ def effect_intervals(rows: DataFrame) -> DataFrame:
 
     ``what``: apply (starts or refreshes), tick (starts only what is not on), end (removal or the target's death).
     """
-    return rows.groupBy(*PULL, "target", "effect").applyInPandas(_effect_fold, _EFFECTS)
+    return folded(rows.select(*PULL, "target", "effect", "line_number", "t_ms", "what", "duration_ms"), [*PULL, "target"], ["line_number"], _EFFECTS, _Intervals)
 
 
 _PHASES = "log_path string, pull_index long, phase string, line_number long, t_ms long"
 
 
-def _phase_fold(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["line_number", "ord"])
-    out, now = [], None
-    for line, t, phase, after in zip(rows["line_number"], rows["t_ms"], rows["phase"], rows["after"], strict=True):
-        if phase != now and (after is None or after == "" or after == now):
-            now = phase
-            out.append((line, t, phase))
-    first = rows.iloc[0]
-    return pd.DataFrame([(first["log_path"], first["pull_index"], p, line, t) for line, t, p in out], columns=[c.split()[0] for c in _PHASES.split(", ")], dtype=object)
+class _Phases:
+    def __init__(self, key: tuple):
+        self.now = None
+
+    def row(self, line_number, ord_, t_ms, phase, after) -> list[tuple]:
+        if phase == self.now or (after and after != self.now):
+            return []
+        self.now = phase
+        return [(phase, line_number, t_ms)]
+
+    def end(self) -> list[tuple]:
+        return []
 
 
 def phase_changes(triggers: DataFrame) -> DataFrame:
     """Phases entered, from sparse ``triggers`` (pull, line_number, t_ms, ord, phase, after): ``after`` names the phase that must be on."""
-    return triggers.groupBy(*PULL).applyInPandas(_phase_fold, _PHASES)
+    return folded(triggers.select(*PULL, "line_number", "ord", "t_ms", "phase", "after"), list(PULL), ["line_number", "ord"], _PHASES, _Phases)
 
 
 def expiring(intervals: DataFrame, at_ms: int, within_ms: int | None = None) -> DataFrame:

@@ -133,21 +133,47 @@ def effect_intervals(spark, sf_dir):
     return rules.effect_intervals(sparse)
 
 
-_LABELS = ["Scorch", "Kolto Probe", "Discharge", "Kolto Pods", "Plasmatize"]
-_MS = [30000, 21000, 18000, 2500, 30000]
-
-
-@query(f"""{PULLS}, lb as (select *, ['{"', '".join(_LABELS)}'][k % 5 + 1] label, [{", ".join(map(str, _MS))}][k % 5 + 1] * 300 ms from p),
-eh as (select log_path, pull_index, 'U' || (k % 4) source, target, label effect, line_number, t_ms, 1 o, ms, case when is_effect_removed then 'end' when effect_name = 'Ward' then 'apply' else 'tick' end what from lb where (effect_name = 'Ward' or is_heal) and target is not null),
-{_fold_sql("log_path", "pull_index", "source", "target", "effect")} select log_path, pull_index, source, target, effect, start_ms, end_ms, refreshes::bigint refreshes from el""")
+_LABELS = ["Scorch", "Kolto Probe", "Discharge", "Kolto Pods", "Plasmatize", "Kolto Shell"]
+_MS = [30000, 21000, 18000, 2500, 30000, 180000]
+
+
+# Row by row: a target's death ends all on it; charges tell how many are lost since the last application.
+_TRACKED = f"""{PULLS},
+lb as (select *, ['{"', '".join(_LABELS)}'][k % 6 + 1] label, [{", ".join(map(str, _MS))}][k % 6 + 1] * 300 ms, k % 6 = 5 shell from p where target is not null),
+rw as (
+  select log_path, pull_index, target, 'U' || (k % 4) source, label effect, line_number, t_ms, ms, case when shell then greatest(7 - charges, 0) end lost,
+    case when is_effect_removed then 'end' when shell and is_charges_modified then 'charges' when effect_name = 'Ward' then 'apply' else 'tick' end what
+  from lb where (effect_name = 'Ward' or is_heal) and not is_death),
+ks as (select distinct log_path, pull_index, target, source, effect from rw),
+eh as (
+  select * from rw
+  union all select log_path, pull_index, target, source, effect, line_number, t_ms, 0, null, 'end' from ks join (select log_path, pull_index, target, line_number, t_ms from lb where is_death) using (log_path, pull_index, target)),
+ef as (select *, row_number() over (partition by log_path, pull_index, target, source, effect order by line_number) rn from eh),
+eg as (
+  select log_path, pull_index, target, source, effect, rn, null::bigint cs, null::bigint ce, null::bigint cu, 0 ca, 0 cl,
+    case when what in ('apply', 'tick') then t_ms end s, case when what in ('apply', 'tick') then t_ms + ms end e, 0 a, 0 l
+  from ef where rn = 1
+  union all
+  select f.log_path, f.pull_index, f.target, f.source, f.effect, f.rn, case when late or f.what = 'end' then g.s end, case when late then g.e when f.what = 'end' then f.t_ms end, g.e, g.a, g.l,
+    case when f.what = 'end' or (f.what = 'charges' and late) then null when f.what = 'charges' then g.s when late or g.s is null then f.t_ms else g.s end,
+    case when f.what = 'end' or (f.what = 'charges' and late) then null when f.what = 'charges' then g.e when late or g.s is null or f.what = 'apply' then f.t_ms + f.ms else g.e end,
+    case when late or g.s is null then 0 when f.what = 'apply' then g.a + 1 else g.a end,
+    case when late or g.s is null or f.what = 'apply' then 0 when f.what = 'charges' then coalesce(f.lost, g.l) else g.l end
+  from (select *, null from eg) g join ef f on g.log_path = f.log_path and g.pull_index = f.pull_index and g.target = f.target and g.source = f.source and g.effect = f.effect and f.rn = g.rn + 1,
+    lateral (select coalesce(f.t_ms >= g.e, false) late) o),
+fin as (select *, row_number() over (partition by log_path, pull_index, target, source, effect order by rn desc) back from eg)
+select log_path, pull_index, source, target, effect, cs start_ms, ce end_ms, cu until_ms, ca::bigint refreshes, cl::bigint charges_lost from eg where cs is not null
+union all select log_path, pull_index, source, target, effect, s, e, e, a::bigint, l::bigint from fin where back = 1 and s is not null"""
+
+
+@query(_TRACKED)
 def standing_effects(spark, sf_dir):
     """Wards carry names of standing effects, healing the ability's; times are three hundredfold, as the adapter's events are minutes apart."""
-    label = F.element_at(F.array(*map(F.lit, _LABELS)), F.col("k") % 5 + 1)
+    label = F.element_at(F.array(*map(F.lit, _LABELS)), F.col("k") % 6 + 1)
     ward = F.col("effect_name") == "Ward"
     rows = split(spark, sf_dir).withColumns({"source": F.concat(F.lit("U"), F.col("k") % 4), "effect_name": F.when(ward, label).otherwise(F.col("effect_name")), "ability": F.when(ward | F.col("is_heal"), label)})
     table = effects.effect_rules(spark).withColumn("duration_ms", F.col("duration_ms") * 300)
-    sparse = effects.effect_rows(rows.where("not is_death"), table)
-    return effects.tracked_effects(sparse).select(*PULL, "source", "target", "effect", "start_ms", "end_ms", "refreshes")
+    return effects.tracked_effects(effects.effect_rows(rows, table)).select(*PULL, "source", "target", "effect", "start_ms", "end_ms", "until_ms", "refreshes", "charges_lost")
 
 
 @query(f"""{PULLS}, lb as (select *, ['Saber Ward', 'Scorch', 'Lucky Break', 'Mental Alacrity'][k % 4 + 1] label from p where effect_name = 'Ward'),
