@@ -1,7 +1,7 @@
 """Declarative rules as tables: edge triggers, counters, conditions, keyword hits, timers and effects.
 
-Rule tables are curated by hand. Conditions and keywords are compiled into one projection over the events, so there is no join by
-comparison; tables that meet events by name are joined plainly, which Spark broadcasts only below its limit.
+Rule tables are curated by hand. Conditions are compiled into one projection over the events, keywords are met by number; there is no join by
+comparison. Tables that meet events by name are joined plainly, which Spark broadcasts only below its limit.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.parse import hp_percent
+from ..sources.shared import once
 from . import conditions
 from .folds import folded, keywords_in
 from .stats import PULL
@@ -146,23 +147,61 @@ REFRESHED, MORTAL = ("dot", "hot", "cooldown"), ("dot", "hot")
 
 
 def timer_intervals(hits: DataFrame, events: DataFrame) -> DataFrame:
-    """Countdowns from rule hits: a new hit of the same rule and target, or the target's death, ends the one before.
+    """Countdowns from rule hits: a new hit with the same label, category and target, of whichever rule, or the target's death ends the one before.
 
-    With a ``category``, only those of ``REFRESHED`` start anew (others stack) and only those of ``MORTAL`` end with a death. The next death of a
-    target is found by one window over its hits and deaths together, not by a join of all with all.
+    Only those of the categories in ``REFRESHED`` start anew (others stack) and only those of ``MORTAL`` end with a death; without a ``category``, all
+    do both. Without a ``label``, each rule is its own. The next death of a target is found by one window over its hits and deaths together, not by a
+    join of all with all. A countdown with ``repeat_interval_ms`` and ``repeat_count`` goes on as often. ``ended`` is expired, refreshed or died.
     """
     c = F.col
-    key = [*PULL, "rule_id", "target"]
-    category = c("category") if "category" in hits.columns else F.lit("dot")
-    rows = hits.select(*key, "line_number", "t_ms", "duration_ms", "warn_ms", category.alias("category"), F.lit(None).cast("long").alias("died"))
+    has = lambda name, otherwise: c(name) if name in hits.columns else otherwise
+    every = has("repeat_interval_ms", F.lit(None)).cast("long")
+    rows = hits.select(
+        *PULL, "rule_id", has("label", c("rule_id").cast("string")).alias("label"), has("category", F.lit("dot")).alias("category"), "target", "line_number", "t_ms", "duration_ms", "warn_ms",
+        F.coalesce(has("announce_on_start", F.lit(True)), F.lit(True)).alias("announce_on_start"), every.alias("repeat_interval_ms"),
+        F.when(every.isNotNull(), F.coalesce(has("repeat_count", F.lit(0)), F.lit(0))).otherwise(0).cast("long").alias("repeat_count"), F.lit(None).cast("long").alias("died"),
+    )
     deaths = events.where("is_death and target is not null").select(*PULL, "target", "t_ms", c("t_ms").cast("long").alias("died"))
     ahead = Window.partitionBy(*PULL, "target").orderBy("t_ms").rangeBetween(0, Window.unboundedFollowing)
     rows = rows.unionByName(deaths, allowMissingColumns=True).withColumn("died_ms", F.first("died", True).over(ahead)).where("died is null")
-    next_ms = F.lead("t_ms").over(Window.partitionBy(*key).orderBy("t_ms", "line_number"))
-    rows = rows.withColumn("next_ms", F.when(c("category").isin(*REFRESHED), next_ms))
-    end = F.least(c("t_ms") + c("duration_ms"), "next_ms", F.when(c("category").isin(*MORTAL), c("died_ms")))
+    next_ms = F.lead("t_ms").over(Window.partitionBy(*PULL, "label", "category", "target").orderBy("t_ms", "line_number", "rule_id"))
+    rows = rows.withColumns({
+        "next_ms": F.when(c("category").isin(*REFRESHED), next_ms), "died_ms": F.when(c("category").isin(*MORTAL), c("died_ms")),
+        "due_ms": c("t_ms") + c("duration_ms") + F.coalesce(c("repeat_interval_ms") * c("repeat_count"), F.lit(0)),
+    }).withColumn("end_ms", F.least("due_ms", "next_ms", "died_ms"))
     warn = c("t_ms") + c("duration_ms") - c("warn_ms")
-    return rows.select(*key, "line_number", c("t_ms").alias("start_ms"), end.alias("end_ms"), F.when(warn < end, warn).alias("warn_at_ms"))
+    ended = F.when(c("died_ms") == c("end_ms"), "died").when((c("next_ms") < c("due_ms")) & (c("next_ms") == c("end_ms")), "refreshed").otherwise("expired")
+    return rows.select(
+        *PULL, "rule_id", "label", "category", "target", "line_number", c("t_ms").alias("start_ms"), "end_ms", F.when(warn < c("end_ms"), warn).alias("warn_at_ms"), ended.alias("ended"),
+        "due_ms", "duration_ms", "warn_ms", "announce_on_start", "repeat_interval_ms", "repeat_count",
+    )
+
+
+def announcements(intervals: DataFrame) -> DataFrame:
+    """What is called out for countdowns of :func:`timer_intervals` and when: ``what`` is start, repeat, warning or zero, with its text.
+
+    A countdown that names a thing to come isn't called out at its start (``announce_on_start`` is false) but at zero, if it gets there. Each repeat is
+    called out as it begins. A warning comes ``warn_ms`` before the end of each round, at once if the round is shorter, and never after the countdown ended.
+    """
+    c = F.col
+    rounds = intervals.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), "repeat_count")))
+    first = c("round") == 0
+    length = F.when(first, c("duration_ms")).otherwise(c("repeat_interval_ms"))
+    began = c("start_ms") + F.when(first, 0).otherwise(c("duration_ms") + (c("round") - 1) * c("repeat_interval_ms"))
+    rounds = rounds.withColumns({"length": length, "began": began})
+    warned = F.greatest(c("began") + c("length") - c("warn_ms"), c("began"))
+    reached = (c("began") < c("end_ms")) | ((c("began") == c("end_ms")) & (c("ended") == "expired"))
+
+    def call(when: Column, what: str, at: Column, text: Column) -> Column:
+        return F.when(when, F.struct(F.lit(what).alias("what"), at.alias("at_ms"), text.alias("text")))
+
+    calls = F.array(
+        call(first & c("announce_on_start"), "start", c("began"), c("label")),
+        call(~first & reached, "repeat", c("began"), c("label")),
+        call((c("warn_ms") > 0) & (warned < c("end_ms")), "warning", warned, F.concat("label", F.when(c("announce_on_start"), " ending").otherwise(" soon"))),
+        call((c("round") == c("repeat_count")) & ~c("announce_on_start") & (c("ended") == "expired"), "zero", c("end_ms"), c("label")),
+    )
+    return rounds.withColumn("call", F.explode(F.array_compact(calls))).select(*PULL, "rule_id", "category", "target", "line_number", "call.what", "call.at_ms", "call.text")
 
 
 def repeats(rows: DataFrame, count: str, every_ms: str) -> DataFrame:
@@ -173,22 +212,27 @@ def repeats(rows: DataFrame, count: str, every_ms: str) -> DataFrame:
 def chained(starts: DataFrame, chains: DataFrame) -> DataFrame:
     """Timers started (pull, timer_id, at_ms) and all that they start in turn; ``chains``: timer_id, next_id, delay_ms.
 
-    Chains may be of any length, one join for each step of the longest. A chain that leads back to itself would never end and raises an error;
-    :func:`conditions.boss_script` runs such chains up to a pull's end.
+    Chains may be of any length. They are followed to their ends in the rule table, so the starts are read once and meet it in one join by timer. A
+    chain that leads back to itself would never end and raises an error; :func:`conditions.boss_script` runs such chains up to a pull's end.
     """
     after: dict = {}
     for r in _bounded(chains):
-        after.setdefault(r.timer_id, set()).add(r.next_id)
-    reached, depth = set(after), 0
-    while reached := {n for t in reached for n in after.get(t, ())}:
-        depth += 1
-        if depth > len(after):
-            raise ValueError("a chain of timers leads back to itself")
-    out = level = starts.select(*PULL, "timer_id", "at_ms")
-    for _ in range(depth):
-        level = level.join(chains, "timer_id").select(*PULL, F.col("next_id").alias("timer_id"), (F.col("at_ms") + F.col("delay_ms")).alias("at_ms"))
-        out = out.unionByName(level)
-    return out
+        after.setdefault(r.timer_id, []).append((r.next_id, r.delay_ms))
+    paths: list[tuple] = []
+    level = [(t, n, d) for t, more in after.items() for n, d in more]
+    for _ in range(len(after) + 1):
+        paths += level
+        if len(paths) > MOST_CONDITIONS:
+            raise ValueError(f"more than {MOST_CONDITIONS} ways along the chains")
+        level = [(t, m, d + e) for t, n, d in level for m, e in after.get(n, ())]
+        if not level:
+            break
+    else:
+        raise ValueError("a chain of timers leads back to itself")
+    # Written, as a timer that is a constant of the plan would leave a join without a key.
+    starts = once(starts.select(*PULL, "timer_id", "at_ms"), "starts")
+    table = starts.sparkSession.createDataFrame(paths, "timer_id string, next_id string, delay_ms long")
+    return starts.unionByName(starts.join(table, "timer_id").select(*PULL, F.col("next_id").alias("timer_id"), (F.col("at_ms") + F.col("delay_ms")).alias("at_ms")))
 
 
 def uptime(intervals: DataFrame, pulls: DataFrame) -> DataFrame:

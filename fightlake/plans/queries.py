@@ -395,12 +395,12 @@ def rotation_segments(spark, sf_dir):
     return rounded(timeline.rotation(split(spark, sf_dir), "A4").drop("begin_ms", "end_ms"))
 
 
-@query(f"""{PULLS}, {_SEGMENTS.replace("'a4'", "'entercombat'")}, ac as (select *, t_ms - lag(t_ms) over (partition by log_path, pull_index, segment, k % 3 order by t_ms, line_number) gap_ms from ins where is_ability_activate)
+@query(f"""{PULLS}, {_SEGMENTS.replace("'a4'", "'a1'")}, ac as (select *, t_ms - lag(t_ms) over (partition by log_path, pull_index, segment, k % 3 order by t_ms, line_number) gap_ms from ins where is_ability_activate)
 select log_path, pull_index, segment, 'U' || (k % 3) as name, t_ms - 1 at_ms, gap_ms from ac where gap_ms >= 1500""")
 def idle_gaps(spark, sf_dir):
     """Three players stand for all, as the adapter's players seldom act twice in a segment."""
     rows = split(spark, sf_dir).withColumn("source", F.concat(F.lit("U"), F.col("k") % 3))
-    return timeline.idle_gaps(rows, "EnterCombat")
+    return timeline.idle_gaps(rows, "A1")
 
 
 @query(f"""{PULLS}, g as (select log_path, pull_index, start_ms, duration, least(greatest(duration / 90, 75.0::double), 1500.0::double) width from pd),
@@ -491,7 +491,7 @@ def keyword_rule_hits(spark, sf_dir):
 
 @query(f"{PULLS}, {_RULE_SQL} select * from tv")
 def countdown_intervals(spark, sf_dir):
-    return _intervals(spark, sf_dir)[0]
+    return _intervals(spark, sf_dir)[0].select("log_path", "pull_index", "rule_id", "target", "line_number", "start_ms", "end_ms", "warn_at_ms")
 
 
 @query(f"{PULLS}, {_RULE_SQL} select log_path, pull_index, rule_id, target, line_number, n nth, start_ms + n * 60000 fires_ms from tv, unnest(range(0, 3)) u(n)")
