@@ -394,17 +394,23 @@ def _deal_points(radius: int, free: int, prints: list[int], whole: bool, batches
 
 
 def _deal_banned(radius: int, free: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """OFFERS of links (a, b, ENDS) for each shard that holds both ends: label is -1 - b, and the FACTS stay empty."""
+    """OFFERS of links (a, b, ENDS) for the one shard in which :func:`_acceptance` looks at them: label is -1 - b, and the FACTS stay empty."""
     count = comb(radius + free, free)
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             a, b, *fps = batch.slice(at, 4096).columns
             a, other = a.to_numpy(), -1 - b.to_numpy()
+            ends = [f.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for f in fps]
+            todo = np.ones(len(a), bool)
             for s, (x, y) in enumerate(zip(fps[:PRINTS], fps[PRINTS:], strict=True)):
+                here = todo & (np.bitwise_count(ends[s] ^ ends[PRINTS + s]) <= radius)
+                todo &= ~here
                 for (shard, place), (shard_b, _) in zip(_tables_of(x, radius, free, s * count), _tables_of(y, radius, free, s * count), strict=True):
-                    at_ = shard == shard_b
-                    none = [pa.array(np.zeros(int(at_.sum()), np.int64))] * len(FACTS)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c[at_]) for c in (shard, place, a, other)), *none], names=["shard", "place", "node", "label", *FACTS])
+                    at_ = here & (shard == shard_b)
+                    here &= ~at_
+                    if at_.any():
+                        none = [pa.array(np.zeros(int(at_.sum()), np.int64))] * len(FACTS)
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c[at_]) for c in (shard, place, a, other)), *none], names=["shard", "place", "node", "label", *FACTS])
 
 
 def may_be_similar(size_a, shared_a, size_b, shared_b, floor: float, least=np.minimum):
