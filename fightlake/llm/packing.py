@@ -49,6 +49,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None
             while start < len(ids):
                 yield doc_id, piece, start, end - start, zlib.crc32(ids[start:end].tobytes())
                 start, end, piece = end, end + capacity, piece + 1
+        encoder.rest()
 
     return docs.select("doc_id", "text").mapInArrow(lambda batches: batched(rows(batches), _PIECE_ARROW, 8192), PIECE)
 
