@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import once
 from . import conditions
 from .stats import PULL, exact_sum
 
@@ -117,5 +120,16 @@ def lookup(requests: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def listed(rows: DataFrame, *order, name: str = "place") -> DataFrame:
-    """Rows with their place in an order, for a sorted view; one row for each pull, boss or player, not for each event."""
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """Rows with their place in an order, for a sorted view.
+
+    Rows are dealt out by ranges of the order and numbered in their own range, and each range begins after the rows of those before it; only a count for
+    each range is looked at together. Ties in ``order`` get different places in no certain order.
+    """
+    number = F.monotonically_increasing_id()  # the range in the upper bits, the row's number in it below
+    ranged = once(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", number), "listed")
+    sizes = ranged.groupBy(F.shiftright("__at", 33).alias("part")).count().orderBy("part").collect()  # a row for each range
+    before = dict(zip((r["part"] for r in sizes), accumulate((r["count"] for r in sizes), initial=0), strict=False))
+    starts = rows.sparkSession.createDataFrame([(part, n) for part, n in before.items()], "__part long, __before long")
+    placed = ranged.withColumn("__part", F.shiftright("__at", 33)).join(starts, "__part", "left")
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.select(*rows.columns, place.cast("int" if sum(r["count"] for r in sizes) < 1 << 31 else "long").alias(name))

@@ -15,19 +15,26 @@ def exact_sum(x: Column) -> Column:
 def _counted(events: DataFrame) -> DataFrame:
     """Rows that may add something, with what they add: not a pull's first exit, and a death adds nothing else."""
     first_exit = F.min(F.when(F.col("is_combat_end"), F.col("line_number"))).over(Window.partitionBy(*PULL))
-    rows = events.withColumn("leaves", F.col("is_combat_end") & (F.col("line_number") == first_exit))
+    return _with_live(events.withColumn("leaves", F.col("is_combat_end") & (F.col("line_number") == first_exit)))
+
+
+def _with_live(rows: DataFrame) -> DataFrame:
     live = ~F.col("leaves") & ~(F.col("is_death") & F.col("target").isNotNull())
     return rows.withColumns({"live": live, "attack": live & F.col("is_damage") & F.col("ability").isNotNull(), "heals": live & F.col("is_heal")})
 
 
-def entity_stats(events: DataFrame) -> DataFrame:
-    """Totals of each entity in each pull, from its rows as source and as target, in one aggregation."""
+#: What is summed for an entity, and what is counted.
+FIELDS = ["damage_done", "damage_taken", "damage_absorbed", "healing_done", "healing_overheal", "threat"]
+COUNTS = ["damage_attempts", "damage_avoided", "damage_crits", "heal_casts", "heal_crits", "ability_casts", "times_interrupted", "cc_casts", "raid_buff_casts", "deaths"]
+
+
+def entity_roles() -> Column:
+    """What a row of :func:`_counted` adds to its source and to its target: (name, is_player, makes, FIELDS, COUNTS)."""
     if_ = lambda flag, x: F.when(flag, x)
     c = F.col
     none, zero = F.lit(None).cast("double"), F.lit(0)
     one = lambda flag: F.when(flag, 1).otherwise(0)
-    fields = ["damage_done", "damage_taken", "damage_absorbed", "healing_done", "healing_overheal", "threat"]
-    counts = ["damage_attempts", "damage_avoided", "damage_crits", "heal_casts", "heal_crits", "ability_casts", "times_interrupted", "cc_casts", "raid_buff_casts", "deaths"]
+    fields, counts = FIELDS, COUNTS
     live = c("live")
     avoided = c("attack") & c("avoidance").isNotNull()
     by_source = [if_(c("attack"), c("amount")), none, none, if_(c("heals"), c("amount")), if_(c("heals") & (c("amount") != 0), c("overheal")), if_(live & c("is_threat_modified"), c("threat_delta"))]
@@ -41,10 +48,21 @@ def entity_stats(events: DataFrame) -> DataFrame:
 
     acts = c("attack") | c("heals") | (live & (c("is_threat_modified") | c("is_ability_activate") | c("is_interrupted") | c("is_hard_cc") | c("is_raid_buff_cast")))
     suffers = (c("attack") & ((c("amount") != 0) | (c("shield_absorbed") != 0))) | (c("is_death") & ~c("leaves"))
-    roles = F.array(role("source", "source_is_player", by_source, acts | c("source_is_player")), role("target", "target_is_player", by_target, suffers | c("target_is_player")))
-    rows = _counted(events).select(*PULL, F.explode(roles).alias("r")).select(*PULL, "r.*").where("name is not null and makes")
+    return F.array(role("source", "source_is_player", by_source, acts | c("source_is_player")), role("target", "target_is_player", by_target, suffers | c("target_is_player")))
+
+
+def entity_changes(events: DataFrame) -> DataFrame:
+    """(log_path, line_number, name, is_player, FIELDS in hundredths, COUNTS) of each role, as if no row were a pull's first exit; for streams, which learn that by themselves."""
+    rows = _with_live(events.withColumn("leaves", F.lit(False))).select("log_path", "line_number", F.explode(entity_roles()).alias("r")).where("r.name is not null and r.makes")
+    whole = lambda n: F.coalesce((F.col(f"r.{n}").cast("decimal(18,2)") * 100).cast("long"), F.lit(0)).alias(n)
+    return rows.select("log_path", "line_number", "r.name", F.coalesce("r.is_player", F.lit(False)).alias("is_player"), *[whole(n) for n in FIELDS], *[F.coalesce(f"r.{n}", F.lit(0)).alias(n) for n in COUNTS])
+
+
+def entity_stats(events: DataFrame) -> DataFrame:
+    """Totals of each entity in each pull, from its rows as source and as target, in one aggregation."""
+    rows = _counted(events).select(*PULL, F.explode(entity_roles()).alias("r")).select(*PULL, "r.*").where("name is not null and makes")
     return rows.groupBy(*PULL, "name").agg(
-        F.max("is_player").alias("is_player"), *[exact_sum(c(n)).alias(n) for n in fields], *[F.coalesce(F.sum(n), zero).cast("long").alias(n) for n in counts]
+        F.max("is_player").alias("is_player"), *[exact_sum(F.col(n)).alias(n) for n in FIELDS], *[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in COUNTS]
     )
 
 

@@ -92,9 +92,28 @@ def timer_table(definitions: DataFrame) -> DataFrame:
     return definitions.select(F.col("id").alias("boss_id"), F.explode("timers").alias("t")).select("boss_id", F.col("t.id").alias("timer_id"), F.expr("t.* except (id)"))
 
 
-def append_history(pulls: DataFrame, folder: str) -> None:
-    pulls.write.mode("append").parquet(folder)
+def append_history(pulls: DataFrame, folder: str, batch: int | None = None) -> None:
+    """Add pulls to the history. With the number of a ``batch``, what is there of that batch is replaced, so a batch that is told twice is stored once."""
+    if batch is None:
+        pulls.write.mode("append").parquet(f"{folder}/batch=-1")
+    else:
+        pulls.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+
+def history_sink(folder: str):
+    """For ``foreachBatch``: closed pulls of each batch go to the history once, however often the batch is run."""
+
+    def put(pulls: DataFrame, batch: int) -> None:
+        append_history(pulls.where("closed") if "closed" in pulls.columns else pulls, folder, batch)
+
+    return put
 
 
 def read_history(spark: SparkSession, folder: str, newest: int = 200) -> DataFrame:
-    return spark.read.parquet(folder).orderBy(F.desc("log_path"), F.desc("start_ms")).limit(newest)
+    """The newest pulls of the history; a pull that several batches told of, as a stream that began anew does, counts once, as the last one told it."""
+    rows = spark.read.option("mergeSchema", True).parquet(folder)
+    key = [c for c in ("log_path", "pull_index", "start_ms") if c in rows.columns]
+    if "pull_index" in key:
+        last = Window.partitionBy(*key).orderBy(F.desc("batch"))
+        rows = rows.withColumn("__n", F.row_number().over(last)).where("__n = 1 or batch = -1").drop("__n")
+    return rows.drop("batch").orderBy(F.desc("log_path"), F.desc("start_ms")).limit(newest)

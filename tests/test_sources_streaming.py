@@ -7,10 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fightlake.operators import clock, pulls, rules
+from fightlake.operators import clock, effects, pulls, rules, stats
 from fightlake.sources import logs as L
 from fightlake.streaming import live
-from tests.test_operators import FIELDS, event
+from tests.test_operators import FIELDS, NAMES, event
 
 
 @pytest.fixture()
@@ -74,56 +74,149 @@ def test_history_keeps_the_newest(spark, tmp_path):
 
 
 def drained(query):
-    query.awaitTermination(180)
+    query.awaitTermination(300)
     assert query.exception() is None
 
 
-def test_live_pulls_and_meter_equal_the_batch(spark, tmp_path):
-    rng = random.Random(3)
+def streamed(frame, tmp_path, live_form, mode="update", parts=3, once=True):
+    """What a stream gives that gets the rows in files, in order of their lines: one list for each batch. With ``once``, the query starts anew for each."""
+    live.use_state_store(frame.sparkSession)
+    spark, lines = frame.sparkSession, sorted({r.line_number for r in frame.select("line_number").collect()})
+    cuts = [lines[i * len(lines) // parts] for i in range(1, parts)]
+    part = sum(((F.col("line_number") >= c).cast("int") for c in cuts), F.lit(0))
+    found = {}
+
+    def run(trigger):
+        stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        query = live_form(stream).writeStream.outputMode(mode).foreachBatch(lambda df, n: found.__setitem__(n, df.collect())).option("checkpointLocation", str(tmp_path / "c"))
+        drained(query.trigger(**trigger).start())
+
+    for i in range(parts):
+        frame.where(part == i).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+        if once:
+            run({"once": True})
+    if not once:
+        run({"availableNow": True})
+    return [found[n] for n in sorted(found)]
+
+
+def fighting(seed, logs=2, lines=60):
+    rng = random.Random(seed)
     rows = []
-    for log in range(3):
+    for log in range(logs):
         t = 0
-        for line in range(90):
+        for line in range(lines):
             t += rng.choice([200, 1500, 3000, 4001, 9000])
-            rows.append(event(line, t, rng.choice(["damage", "damage", "end", "start", "heal"]), log_path=f"log{log}", amount=float(rng.randint(1, 90))))
-    table = spark.createDataFrame(rows, FIELDS)
-    for part in range(3):  # landed in order, a file at a time
-        table.where((F.col("line_number") >= 30 * part) & (F.col("line_number") < 30 * part + 30)).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
-    stream = lambda: spark.readStream.schema(FIELDS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    found = []
-    query = live.live_pulls(stream()).writeStream.outputMode("update").foreachBatch(lambda df, _: found.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    drained(query)
-    last = {(r[0], r[1]): r for r in found}
+            kind = rng.choice(["damage", "damage", "end", "start", "heal", "activate", "death", "none"])
+            who = {"source": rng.choice("PQ"), "target": rng.choice("BC"), "target_is_player": rng.random() < 0.2, "avoidance": rng.choice([None, None, "dodge"]), "is_critical": rng.random() < 0.3}
+            rows.append(event(line, t, kind, log_path=f"log{log}", amount=float(rng.randint(0, 90)), overheal=5.25, threat_delta=1.5, **who))
+    return rows
+
+
+def test_live_pulls_equal_the_batch(spark, tmp_path):
+    table = spark.createDataFrame(fighting(3), FIELDS)
+    found = [r for batch in streamed(table, tmp_path, live.live_pulls) for r in batch]
+    last = {(r.log_path, r.pull_index): r for r in found}
     want = {(r.log_path, r.pull_index): (r.start_line, r.end_line, r.start_ms, r.end_ms, r.n_events) for r in pulls.pulls_of(pulls.with_pulls(table)).collect()}
     assert {k: tuple(map(int, r[2:7])) for k, r in last.items()} == want
-    query = live.live_meter(stream()).writeStream.outputMode("complete").format("memory").queryName("meter").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    drained(query)
-    assert sorted(spark.table("meter").collect()) == sorted(live.live_meter(table).collect())
+    open_ = {r.log_path: max(k[1] for k in want if k[0] == r.log_path) for r in found}
+    assert all(r.closed == (k[1] != open_[k[0]]) for k, r in last.items()) and len(want) > 10
 
 
-def test_live_effects_equal_the_batch(spark, tmp_path):
-    rng = random.Random(5)
-    rows = sorted((i, rng.randrange(40000)) for i in range(60))
-    times = sorted(t for _, t in rows)
-    frame = spark.createDataFrame([("log", 0, "T", "E", i, t, rng.choice(["apply", "tick", "end"]), 1000) for i, t in enumerate(times)] + [("log", 0, "T", "E", 99, 99999, "end", 1000)], "log_path string, pull_index long, target string, effect string, line_number long, t_ms long, what string, duration_ms long")
-    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+def test_live_meter_is_that_of_the_open_pull_after_each_batch(spark, tmp_path):
+    rows = fighting(5)
+    table = spark.createDataFrame(rows, FIELDS)
+    batches = streamed(table, tmp_path, live.live_meter)
+    names = ["log_path", "pull_index", "name", "is_player", *stats.FIELDS, *stats.COUNTS]
+    told = {}
+    for i, batch in enumerate(batches):
+        upto = table.where(F.col("line_number") < 60 * (i + 1) // 3)
+        want = {tuple(r[c] for c in names) for r in stats.entity_stats(pulls.with_pulls(upto)).collect()}
+        newest = {}
+        for r in want:
+            newest[r[0]] = max(newest.get(r[0], 0), r[1])
+        assert {tuple(r[c] for c in names) for r in batch if not r.closed} == {r for r in want if r[1] == newest[r[0]]}
+        told |= {(r.log_path, r.pull_index, r.name): tuple(r[c] for c in names) for r in batch}
+    assert set(told.values()) == want and len({r[1] for r in want}) > 5
+    # What is left in the state store belongs to the open pulls.
+    state = spark.read.format("statestore").option("stateVarName", "totals").load(str(tmp_path / "c"))
+    assert state.count() == sum(1 for r in want if r[1] == newest[r[0]])
+
+
+def test_a_log_without_rows_is_told_as_ended_and_forgotten(spark, tmp_path):
+    live.use_state_store(spark)
+    early = [event(i, 1000 * i, "damage", log_path="old", amount=5.0) for i in range(3)]
+    spark.createDataFrame(early, FIELDS).coalesce(1).write.parquet(str(tmp_path / "in" / "p0"))
     found = []
-    query = live.live_effects(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("append").foreachBatch(lambda df, _: found.extend((r.start_ms, r.end_ms) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    drained(query)
-    assert sorted(found) == sorted((r.start_ms, r.end_ms) for r in rules.effect_intervals(frame).collect())
 
+    def run():
+        stream = spark.readStream.schema(FIELDS).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        drained(live.live_meter(stream, idle_ms=1).writeStream.outputMode("update").foreachBatch(lambda df, _: found.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start())
+
+    run()
+    spark.createDataFrame([event(0, 0, "damage", log_path="new", amount=5.0)], FIELDS).coalesce(1).write.parquet(str(tmp_path / "in" / "p1"))
+    run()
+    assert sorted((r.name, r.damage_done, r.damage_taken) for r in found if r.log_path == "old" and r.closed) == [("B", 0.0, 15.0), ("P", 15.0, 0.0)]
+    state = spark.read.format("statestore").option("stateVarName", "pull").load(str(tmp_path / "c"))
+    assert state.selectExpr("key.log_path").distinct().count() <= 1
 
-def streamed(frame, tmp_path, live_form, mode="append"):
-    """What a stream gives that gets the rows in three files, in order of their lines."""
-    spark, cut = frame.sparkSession, sorted(r.line_number for r in frame.select("line_number").collect())
-    cut = [cut[len(cut) // 3], cut[2 * len(cut) // 3]]
-    part = (F.col("line_number") >= cut[0]).cast("int") + (F.col("line_number") >= cut[1]).cast("int")
-    for i in range(3):
-        frame.where(part == i).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
-    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    found = []
-    drained(live_form(stream).writeStream.outputMode(mode).foreachBatch(lambda df, _: found.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
-    return found
+
+def effect_events(seed, spark):
+    rng = random.Random(seed)
+    more = "effect_name string, ability string, is_effect_removed boolean, is_charges_modified boolean, charges int"
+    rows = []
+    for row, t in zip(fighting(seed, 1, 150), range(0, 10**6, 700), strict=False):
+        row = dict(zip(NAMES, row, strict=True))
+        row |= {"t_ms": t + rng.randrange(500) + (20_000 if row["line_number"] >= 100 else 0), "is_combat_end": False, "is_combat_start": False}
+        label = rng.choice(["Scorch", "Kolto Probe", "Kolto Shell", "Discharge"])
+        removed, charged = rng.random() < 0.15, rng.random() < 0.2
+        rows.append((*(row[n] for n in NAMES if n not in ("effect_name", "ability")), label if rng.random() < 0.6 else "Heal", label if rng.random() < 0.5 else None, removed, charged and not removed, rng.randint(0, 7)))
+    schema = ", ".join(f for f in FIELDS.split(", ") if f.split()[0] not in ("effect_name", "ability"))
+    return spark.createDataFrame(rows, f"{schema}, {more}")
+
+
+def test_live_effects_equal_the_batch(spark, tmp_path):
+    table = effect_events(11, spark)
+    rules_ = effects.effect_rules(spark)
+    batches = streamed(table, tmp_path, lambda s: live.live_effects(s, rules_))
+    want = {tuple(r[c.split()[0]] for c in effects.TRACKED.split(", ")) for r in effects.tracked_effects(effects.effect_rows(pulls.with_pulls(table), rules_)).collect()}
+    names = [c.split()[0] for c in effects.TRACKED.split(", ")]
+    got = {tuple(r[c] for c in names) for batch in batches for r in batch if r.closed} | {tuple(r[c] for c in names) for r in batches[-1] if not r.closed}
+    assert got == want and len({r[1] for r in want}) > 1 and any(r[9] for r in want) and any(r[8] for r in want)
+    state = spark.read.format("statestore").option("stateVarName", "on").load(str(tmp_path / "c"))
+    assert state.count() == sum(not r.closed for r in batches[-1])
+
+
+def test_live_countdowns_equal_the_batch(spark, tmp_path):
+    table = effect_events(12, spark).withColumn("is_death", F.col("line_number") % 11 == 0).withColumn("is_ability_activate", F.lit(False)).withColumn("effect_type", F.lit("ApplyEffect"))
+    kept = [(1, "Burn", "scorch", "dot", 3000, 0), (2, "Burn", "discharge", "dot", 1500, 0), (3, "Probe", "kolto probe", "custom", 2500, 0), (4, "Shell", "shell", "cooldown", 4000, 0)]
+    rules_ = spark.createDataFrame([(*r[:4], True, *r[4:]) for r in kept], "rule_id int, label string, keyword string, category string, when_applied boolean, duration_ms long, warn_ms long")
+    batches = streamed(table, tmp_path, lambda s: live.live_countdowns(s, rules_))
+    split = pulls.with_pulls(table)
+    names = ["pull_index", "rule_id", "label", "category", "target", "line_number", "start_ms", "end_ms", "ended"]
+    want = {tuple(r[c] for c in names) for r in rules.timer_intervals(rules.keyword_hits(split, rules_), split).collect()}
+    last = max(r["t_ms"] for r in table.select("t_ms").collect())
+    got = {tuple(r[c] for c in names) for batch in batches for r in batch if r.closed}
+    assert {r for r in want if r[7] < last} <= got <= want and {r[8] for r in want} == {"expired", "refreshed", "died"} and len({r[0] for r in want}) > 1
+    assert {(r.label, r.end_ms) for r in batches[-1] if not r.closed} == {(r[2], r[7]) for r in want - got}
+
+
+def test_live_taunts_equal_the_batch_and_the_last_ones_are_remembered(spark, tmp_path):
+    rng = random.Random(10)
+    rows, t = [], 0
+    for i in range(120):
+        t += rng.choice([40, 200, 300, 900, 3000]) + (30_000 if i == 70 else 0)
+        kind = rng.choice(["cast", "effect", "effect", "other"])
+        if kind == "cast":
+            rows.append(event(i, t, "activate", ability="Taunt", target="P", target_is_player=True))
+        else:
+            rows.append(event(i, t, "none", effect_type="ApplyEffect", effect_name="Taunt" if kind == "effect" else "x", target=rng.choice("XYZ")))
+    rows += [event(200 + i, t + 100_000 * i + 60_000, "damage") for i in range(2)]
+    frame = spark.createDataFrame(rows, FIELDS)
+    found = [r for batch in streamed(frame, tmp_path, live.live_taunts) for r in batch]
+    want = sorted((r.pull_index, r.at_ms, r.kind, r.hit, r.targets) for r in rules.taunts(pulls.with_pulls(frame)).collect())
+    assert sorted((r.pull_index, r.at_ms, r.kind, r.hit, r.targets) for r in found) == want and len({r[0] for r in want}) > 1
+    assert json.loads(found[-1].recent) == [[r.at_ms, r.kind, r.hit, r.targets] for r in found[-6:]]
 
 
 def test_live_clock_equals_the_batch(spark, tmp_path):
@@ -136,7 +229,7 @@ def test_live_clock_equals_the_batch(spark, tmp_path):
             wall = max(wall, t + rng.choice([50, 50, 4000]))
             rows.append((f"l{log}", i, t, 1_000_000 + wall))
     frame = spark.createDataFrame(rows, "log_path string, line_number long, t_ms long, wall_ms long")
-    got = {(r.log_path, r.line_number): r.at_ms for r in streamed(frame, tmp_path, live.live_clock)}
+    got = {(r.log_path, r.line_number): r.at_ms for batch in streamed(frame, tmp_path, live.live_clock, "append") for r in batch}
     assert got == {(r.log_path, r.line_number): r.at_ms for r in clock.with_capped_clock(frame).collect()}
     for log in range(2):  # the rule step by step
         at = before = None
@@ -146,30 +239,25 @@ def test_live_clock_equals_the_batch(spark, tmp_path):
             assert got[f"l{log}", i] == at
 
 
-def test_live_countdowns_equal_the_batch(spark, tmp_path):
-    rng = random.Random(9)
-    times = sorted(rng.randrange(60000) for _ in range(80))
-    rows = [("log", 0, 1, rng.choice("TU"), i, t, rng.choice(["hit", "hit", "death"]), 2000, 0) for i, t in enumerate(times)] + [("log", 0, 1, x, 200, 99999, "death", 0, 0) for x in "TU"]
-    frame = spark.createDataFrame(rows, "log_path string, pull_index long, rule_id int, target string, line_number long, t_ms long, what string, duration_ms long, warn_ms long")
-    hits, deaths = frame.where("what = 'hit'"), frame.where("what = 'death'").withColumn("is_death", F.lit(True))
-    want = sorted((r.target, r.start_ms, r.end_ms) for r in rules.timer_intervals(hits, deaths).collect())
-    assert sorted((r.target, r.start_ms, r.end_ms) for r in streamed(frame, tmp_path, live.live_countdowns)) == want
-
-
-def test_live_taunts_equal_the_batch(spark, tmp_path):
-    rng = random.Random(10)
-    rows, t = [], 0
-    for i in range(90):
-        t += rng.choice([40, 200, 300, 900, 3000])
-        kind = rng.choice(["cast", "effect", "effect"])
-        rows.append(event(i, t, "activate", ability="Taunt", target="P", target_is_player=True) if kind == "cast" else event(i, t, "none", effect_type="ApplyEffect", effect_name="Taunt", target=rng.choice("XYZ")))
-    rows += [event(200, t + 9000, "activate", ability="Taunt", target="P", target_is_player=True), *(event(201 + i, t + 20000 + 9000 * i, "none", effect_type="ApplyEffect", effect_name="Taunt", target="X") for i in range(2))]
-    frame = spark.createDataFrame(rows, FIELDS).withColumn("pull_index", F.lit(0).cast("long"))
-    want = sorted((r.at_ms, r.kind, r.hit, r.targets) for r in rules.taunts(frame).collect())
-    assert sorted((r.at_ms, r.kind, r.hit, r.targets) for r in streamed(frame, tmp_path, live.live_taunts)) == want[:-1]  # the last is still open
-
-
-def test_growing_files_are_read_on(spark, tmp_path):
+def test_live_sessions_take_late_rows_in_any_order(spark, tmp_path):
+    rng = random.Random(14)
+    rows, lines = [], 0
+    for user in "uv":
+        t = 0
+        for _ in range(80):
+            t += rng.choice([100, 400, 1000, 1001, 2500])
+            rows.append([user, t])
+    rows.sort(key=lambda r: r[1] + rng.randrange(3000))  # up to three seconds out of order
+    rows = [(u, t, i) for i, (u, t) in enumerate(rows)] + [("z", 10**6, 900), ("u", 50, 901), ("z", 2 * 10**6, 902)]  # 901 is far too late
+    frame = spark.createDataFrame(rows, "user string, t_ms long, line_number long").withColumn("at", F.timestamp_millis("t_ms"))
+    batches = streamed(frame, tmp_path, lambda s: live.live_sessions(s, "user", "at", 1000, "4 seconds"), "append", parts=8, once=False)
+    got = sorted((r.user, r.start, r.end, r.n) for batch in batches for r in batch if r.user != "z")
+    split = pulls.gap_sessions(frame.where("user <> 'z' and line_number <> 901"), "user", "t_ms", 1000)
+    want = sorted((r.user, r.start, r.end, r.n) for r in split.groupBy("user", "session_index").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.count("*").alias("n")).collect())
+    assert got == want and len(want) > 20
+
+
+def test_growing_files_are_read_on_with_true_line_numbers(spark, tmp_path):
     from fightlake.sources.growing import GrowingLogs
 
     spark.dataSource.register(GrowingLogs)
@@ -183,15 +271,53 @@ def test_growing_files_are_read_on(spark, tmp_path):
 
     (folder / "a.txt").write_bytes("one\r\ntw\xf6\n\nhalf a li".encode("latin-1"))
     run()
-    assert sorted(found) == [("a", 1, "one"), ("a", 6, "tw\xf6")]
+    assert sorted(found) == [("a", 1, "one"), ("a", 2, "tw\xf6")]
     with (folder / "a.txt").open("ab") as f:
-        f.write(b"ne\nthree\n")
+        f.write(b"ne\nthree\rfour\r\n")
     (folder / "b.txt").write_bytes(b"x" * 200_000 + b"\ny")
     run()
-    assert sorted(found)[1:] == [("a", 6, "tw\xf6"), ("a", 11, "half a line"), ("a", 23, "three"), ("b", 1, "x" * 200_000)]
+    assert sorted(found)[2:] == [("a", 4, "half a line"), ("a", 5, "three"), ("a", 6, "four"), ("b", 1, "x" * 200_000)]
+    (folder / "b.txt").write_bytes(b"anew\n")  # another file of that name
+    run()
+    assert sorted(found)[5:] == [("b", 1, "anew"), ("b", 1, "x" * 200_000)]
+    # The same lines as those of the finished file, read as a batch.
+    whole = sorted(tuple(r) for r in L.read_logs(spark, str(folder), 0).where("log_path = 'a'").collect())
+    assert whole == sorted(r for r in found if r[0] == "a")
+
+
+def test_pieces_and_steps_of_growing_files_cover_all_lines(tmp_path, monkeypatch):
+    from fightlake.sources import growing
+
+    monkeypatch.setattr(growing, "PIECE", 700)
+    monkeypatch.setattr(growing, "CHUNK", 64)
+    rng = random.Random(3)
+    text = {n: "".join("x" * rng.choice([0, 5, 40, 900]) + rng.choice(["\n", "\r\n", "\n\n", "\r"]) for _ in range(150)) + "\nlast" for n in "ab"}
+    for n, t in text.items():
+        (tmp_path / f"{n}.txt").write_bytes(t.encode())
+    reader = growing._Reader({"path": str(tmp_path), "maxBytesPerTrigger": "1500"})
+    reader.begun = True
+    at, got, steps = {}, [], 0
+    while (end := reader.latestOffset()) != at:
+        steps += 1
+        for piece in reader.partitions(at, end):
+            got += [tuple(r.values()) for b in reader.read(piece) for r in b.to_pylist()]
+        at = end
+    import re
+
+    want = [(n, i, x) for n, t in text.items() for i, x in enumerate(re.split("\r\n|\n|\r", t)[:-1], 1) if x]
+    assert sorted(got) == sorted(want) and steps > 10
+
+
+def test_a_batch_told_twice_is_stored_once(spark, tmp_path):
+    rows = spark.createDataFrame([("log", 0, 10, True), ("log", 1, 20, True), ("log", 2, 30, False)], "log_path string, pull_index long, start_ms long, closed boolean")
+    sink = L.history_sink(str(tmp_path / "h"))
+    for batch, upto in ((0, 1), (0, 1), (1, 2), (1, 2)):
+        sink(rows.where(F.col("pull_index") == upto - 1).unionByName(rows.where("not closed")), batch)
+    L.append_history(rows.where("pull_index = 1"), str(tmp_path / "h"), 2)  # told again by a stream that began anew
+    assert [(r.pull_index, r.start_ms) for r in L.read_history(spark, str(tmp_path / "h")).collect()] == [(1, 20), (0, 10)]
 
 
 def test_what_a_display_stays_on(spark):
     pulls_ = spark.createDataFrame([("l", 0, 10), ("l", 1, 20), ("l", 2, 30), ("m", 0, 5)], "log_path string, pull_index long, start_ms long")
-    totals = spark.createDataFrame([("l", 0, 5.0, 0.0), ("l", 1, 0.0, 3.0), ("l", 2, 0.0, 0.0)], "log_path string, pull_index long, damage double, healing double")
+    totals = spark.createDataFrame([("l", 0, 5.0, 0.0), ("l", 1, 0.0, 3.0), ("l", 2, 0.0, 0.0)], "log_path string, pull_index long, damage_done double, healing_done double")
     assert sorted(tuple(r) for r in live.live_shown(pulls_, totals).collect()) == [("l", 1), ("m", 0)]
