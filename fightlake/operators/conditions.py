@@ -1,8 +1,8 @@
 """Boss definitions at work: conditions, counters, phases and timers of each recognised pull.
 
-Spark does the bulk: the leaves of all conditions (``ability_cast``, ``hp_below``, ...) are compiled into one projection, in which a row
-meets the leaves of its own pull's boss only, and rows without a leaf that holds are dropped. What is left of a pull, a few rows, is
-replayed in order by one fold (``applyInPandas``), as phases, counters and timers depend on each other.
+The leaves of all conditions (``ability_cast``, ``hp_below``, ...) are data, not plan: batches of rows meet the leaves of their own pull's boss only
+(:class:`LeafMatcher`), and rows without a leaf that holds are dropped. What is left of a pull, a few rows, is replayed in order, pull after pull in one
+stream a task, as phases, counters and timers depend on each other.
 
 A definition is a dictionary with ``id``, ``boss_names``, ``phases``, ``counters`` and ``timers``; a condition is a dictionary with
 ``type``. :func:`definitions_of` reads them from the table of :func:`fightlake.sources.logs.read_definitions`.
@@ -22,13 +22,17 @@ leads back to itself raises an error.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections import namedtuple
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import folded
 from .stats import PULL
 
 #: Definitions that one call compiles; they are written by hand, so a table over this isn't one of definitions.
@@ -75,7 +79,7 @@ def row_condition(cond: dict, boss_names: list[str] | None = None, local_player:
     if kind in ("combat_start", "combat_end"):
         out = c(f"is_{kind}")
     elif kind == "hp_below":
-        out = _in(c("target"), own) & (c("hp_max") != 0) & (c("hp_current") / c("hp_max") * 100 <= float(cond.get("percent") or 0))
+        out = _in(c("target"), own) & (F.try_divide("hp_current", "hp_max") * 100 <= float(cond.get("percent") or 0))
     elif kind == "ability_cast":
         ids = [str(i) for i in cond.get("ability_ids") or []]
         out = c("is_ability_activate") & (_in(c("source"), own) if own else anyone) & (_in(c("ability_id"), ids) if ids else has_key("ability"))
@@ -113,20 +117,86 @@ def _leaves(value) -> list[dict]:
     return own + [x for v in value.values() for x in _leaves(v)]
 
 
+#: What conditions that look at a row alone look at.
+_LOOKED_AT = ["source", "target", "hp_current", "hp_max", "ability", "ability_id", "effect_name", "is_combat_start", "is_combat_end", "is_ability_activate", "is_effect_removed", "is_death", "local_player"]
+
+
+class LeafMatcher:
+    """Which leaves of one definition each row of a batch meets; the same rules as :func:`row_condition`, for many definitions without a plan that grows with them."""
+
+    def __init__(self, definition: dict):
+        self.leaves, self.boss_names = _leaves(definition), list(definition.get("boss_names") or [])
+
+    def __call__(self, rows: pd.DataFrame) -> list[list[int]]:
+        """The numbers of the leaves that hold, ascending, for each row of ``_LOOKED_AT``."""
+        texts = {c: pd.factorize(rows[c].fillna("").astype(str).str.lower()) for c in ("ability", "effect_name")}
+        flag = {c: rows[c].eq(True).to_numpy(bool) for c in rows.columns if c.startswith("is_")}
+        names = {c: rows[c].to_numpy(object) for c in ("source", "target", "ability_id", "local_player")}
+        hp, most = (pd.to_numeric(rows[c]).to_numpy(float, na_value=float("nan")) for c in ("hp_current", "hp_max"))
+
+        def among(column: str, wanted: list) -> np.ndarray:
+            wanted = set(wanted)
+            return np.fromiter((x in wanted for x in names[column]), bool, len(rows)) if wanted else np.zeros(len(rows), bool)
+
+        def holds_key(column: str, key: str) -> np.ndarray:
+            codes, known = texts[column]
+            return np.fromiter((key in t for t in known), bool, len(known))[codes] if len(known) else np.zeros(len(rows), bool)
+
+        found: list[list[int]] = [[] for _ in range(len(rows))]
+        for i, cond in enumerate(self.leaves):
+            kind, chosen, key = cond.get("type"), cond.get("selector") or [], (cond.get("keyword") or "").lower()
+            own = chosen or self.boss_names
+            if kind in ("combat_start", "combat_end"):
+                met = flag[f"is_{kind}"]
+            elif kind == "hp_below":
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    met = among("target", own) & (most != 0) & (hp / most * 100 <= float(cond.get("percent") or 0))
+            elif kind == "ability_cast":
+                ids = [str(x) for x in cond.get("ability_ids") or []]
+                met = flag["is_ability_activate"] & (among("source", own) if own else True) & (among("ability_id", ids) if ids else holds_key("ability", key))
+            elif kind in ("effect_applied", "effect_removed"):
+                gone = flag["is_effect_removed"]
+                met = (gone if kind == "effect_removed" else ~gone) & (among("source", chosen) if chosen else True) & holds_key("effect_name", key)
+            elif kind == "npc_appears":
+                met = among("source", chosen) | among("target", chosen)
+            else:
+                met = flag["is_death"] & among("target", chosen)
+            if cond.get("target") == LOCAL:
+                met = met & np.fromiter((a is not None and a == b for a, b in zip(names["target"], names["local_player"], strict=True)), bool, len(rows))
+            for at in np.flatnonzero(met):
+                found[at].append(i)
+        return found
+
+
+_CANDIDATES = "log_path string, pull_index long, boss_id string, line_number long, t_ms long, source string, target string, hits array<int>, difficulty string, group_size int"
+
+
 def candidate_rows(events: DataFrame, matches: DataFrame, definitions: list[dict], local_player: DataFrame | None = None) -> DataFrame:
     """Rows of recognised pulls, from the recognition on, with ``hits``: the numbers of their boss's leaves that hold; others are dropped, but those that enter an area."""
     rows = events.join(matches.select(*PULL, "boss_id", "seen_line"), PULL).where("line_number >= seen_line")
-    me = None
-    if local_player is not None:
-        rows, me = rows.join(local_player.select("log_path", F.col("local_player")), "log_path", "left"), F.col("local_player")
-    hits = F.lit(None).cast("array<int>")
-    for d in reversed(definitions):
-        marks = [F.when(row_condition(leaf, d.get("boss_names"), me), F.lit(i)) for i, leaf in enumerate(_leaves(d))]
-        if marks:
-            hits = F.when(F.col("boss_id") == d["id"], F.array_compact(F.array(*marks))).otherwise(hits)
+    rows = rows.join(local_player.select("log_path", "local_player"), "log_path", "left") if local_player is not None else rows.withColumn("local_player", F.lit(None).cast("string"))
+    missing = {c: F.lit(None).cast("boolean" if c.startswith("is_") else "string") for c in _LOOKED_AT if c not in rows.columns}
     scope = [F.col(f"scope_{n}") if f"scope_{n}" in events.columns else F.lit(None) for n in ("difficulty", "group_size")]
-    kept = rows.withColumn("hits", hits).where((F.size("hits") > 0) | (F.col("line_number") == F.col("seen_line")) | F.col("is_area_entered"))
-    return kept.select(*PULL, "boss_id", "line_number", "t_ms", "source", "target", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), scope[0].cast("string").alias("difficulty"), scope[1].cast("int").alias("group_size"))
+    always = (F.col("line_number") == F.col("seen_line")) | F.coalesce("is_area_entered", F.lit(False))
+    kept = rows.withColumns(missing).select(*PULL, "boss_id", "line_number", "t_ms", *_LOOKED_AT, scope[0].cast("string").alias("difficulty"), scope[1].cast("int").alias("group_size"), always.alias("always"))
+    by_id = {d["id"]: d for d in definitions}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers: dict[str, LeafMatcher] = {}
+        for batch in batches:
+            looked = batch.select(_LOOKED_AT).to_pandas()
+            hits: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            for boss, at in pd.Series(np.arange(batch.num_rows)).groupby(batch.column("boss_id").to_pandas(), sort=False):
+                if boss in by_id:
+                    if boss not in matchers:
+                        matchers[boss] = LeafMatcher(by_id[boss])
+                    for i, found in zip(at, matchers[boss](looked.iloc[at.to_numpy()]), strict=True):
+                        hits[i] = found
+            mask = np.fromiter(map(bool, hits), bool, len(hits)) | batch.column("always").to_numpy(zero_copy_only=False).astype(bool)
+            out = batch.select([*PULL, "boss_id", "line_number", "t_ms", "source", "target"]).columns + [pa.array(hits, pa.list_(pa.int32()))] + batch.select(["difficulty", "group_size"]).columns
+            yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in _CANDIDATES.split(", ")]).filter(pa.array(mask))
+
+    return kept.mapInArrow(run, _CANDIDATES)
 
 
 class _Replay:
@@ -326,18 +396,25 @@ def boss_script(events: DataFrame, matches: DataFrame, definitions: list[dict],
     entry = F.when(F.col("is_combat_start") & (F.col("line_number") <= F.col("seen_line")), F.col("line_number"))
     frame = events.join(known, PULL).groupBy(*PULL).agg(F.max_by("t_ms", entry).alias("entered_ms"), F.max("t_ms").alias("last_ms"))
     rows = candidate_rows(events, known, list(by_id.values()), local_player).join(frame, PULL)
-    columns = [c.split()[0] for c in SCRIPT.split(", ")]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_number").astype({"difficulty": object, "group_size": object})
-        rows = list(pdf.where(pdf.notna(), None).itertuples(index=False))
-        first, none = rows[0], lambda x: None if pd.isna(x) else x
-        found = _Replay(by_id[first.boss_id]).run(rows, none(first.entered_ms), first.last_ms)
-        whole = lambda x: None if x is None else int(x)
-        out = [(first.log_path, first.pull_index, first.boss_id, what, i, label, target, whole(line), whole(a), whole(b), *more) for what, i, label, target, line, a, b, *more in found]
-        return pd.DataFrame(out, columns=columns, dtype=object)
-
-    return rows.groupBy(*PULL).applyInPandas(fold, SCRIPT)
+    fields = ["boss_id", "line_number", "t_ms", "source", "target", "hits", "difficulty", "group_size", "entered_ms", "last_ms"]
+    one = namedtuple("one", fields)
+
+    class Played:
+        """The few rows of one pull, replayed when all are there."""
+
+        def __init__(self, key: tuple):
+            self.rows: list = []
+
+        def row(self, *values) -> list[tuple]:
+            self.rows.append(one(*values))
+            return []
+
+        def end(self) -> list[tuple]:
+            first = self.rows[0]
+            found = _Replay(by_id[first.boss_id]).run(self.rows, first.entered_ms, first.last_ms)
+            return [(first.boss_id, *x) for x in found]
+
+    return folded(rows.select(*PULL, *fields), PULL, ["line_number"], SCRIPT, Played)
 
 
 def phase_times(script: DataFrame, pulls: DataFrame) -> DataFrame:

@@ -136,3 +136,53 @@ def test_a_difficulty_entered_in_an_earlier_pull_holds_on(spark):
     matches = spark.createDataFrame([("log", 1, "b", 4)], "log_path string, pull_index long, boss_id string, seen_line long")
     found = C.boss_script(split, matches, [{"id": "b", "boss_names": ["B"], "phases": PHASES, "timers": [timer("m", casts("go"), 60, difficulties=["master"]), timer("s", casts("go"), 60, difficulties=["story"])]}])
     assert sorted((r.id, r.start_ms) for r in found.where("what = 'timer'").collect()) == [("m", 63_000), ("s", 61_000)]
+
+
+def test_leaves_by_batches_are_those_of_the_row_conditions(spark):
+    import random
+
+    rng = random.Random(4)
+    pick = lambda *xs: rng.choice(xs)
+    rows = []
+    for i in range(400):
+        rows.append((i, pick("B", "Rat", "P", None), pick("B", "Rat", "P", None), pick(None, 10.0, 500.0), pick(None, 0.0, 1000.0), pick(None, "Big Leap", "roar"), pick(None, "77", "78"), pick(None, "Ward", "slime"), *(pick(True, False, None) for _ in range(5)), pick("P", None)))
+    table = spark.createDataFrame(rows, "i int, source string, target string, hp_current double, hp_max double, ability string, ability_id string, effect_name string, is_combat_start boolean, is_combat_end boolean, is_ability_activate boolean, is_effect_removed boolean, is_death boolean, local_player string")
+    leaves = [{"type": t} for t in ("combat_start", "combat_end", "effect_applied", "effect_removed", "ability_cast", "npc_appears", "entity_death")]
+    leaves += [below(50), below(50, selector=["Rat"]), casts("LEAP"), casts("leap", selector=["Rat"]), casts(None, ability_ids=[77]), {"type": "effect_applied", "keyword": "WAR", "selector": ["B"]}, {"type": "effect_removed", "keyword": "slime"}]
+    leaves += [{"type": "npc_appears", "selector": ["Rat", "P"]}, {"type": "entity_death", "selector": ["Rat"]}, {**casts("roar", selector=["B", "Rat"]), "target": "local_player"}]
+    for names in (["B"], []):
+        met = table.select("i", *[C.row_condition(x, names, F.col("local_player")).alias(f"c{n}") for n, x in enumerate(leaves)]).orderBy("i").collect()
+        want = [[n for n in range(len(leaves)) if r[f"c{n}"]] for r in met]
+        got = C.LeafMatcher({"boss_names": names, "timers": [{"trigger": x} for x in leaves]})(table.orderBy("i").toPandas()[C._LOOKED_AT])
+        assert got == want and sum(map(len, got)) > 500
+
+
+def test_hundreds_of_definitions_are_planned_at_once(spark):
+    import time
+
+    definitions = []
+    for n in range(300):
+        timers = [timer(f"t{i}", casts(f"skill {n} {i}"), cancel_trigger={"type": "entity_death", "selector": [f"X{i}"]}) for i in range(10)]
+        definitions.append({"id": f"b{n}", "boss_names": [f"B{n}"], "phases": PHASES, "timers": timers})
+    rows = [(*event(i, 1000 * i, "activate", ability=f"Skill {n} {i % 10}", source=f"B{n}", log_path=f"log{n}"), 0, None, False) for n in range(0, 300, 30) for i in range(1, 6)]
+    events = spark.createDataFrame(rows, f"{FIELDS}, pull_index long, ability_id string, is_effect_removed boolean")
+    matches = spark.createDataFrame([(f"log{n}", 0, f"b{n}", 1) for n in range(0, 300, 30)], "log_path string, pull_index long, boss_id string, seen_line long")
+    began = time.time()
+    found = C.boss_script(events, matches, definitions)
+    found.explain("simple")
+    assert time.time() - began < 5
+    assert found.where("what = 'timer'").count() == 50
+
+
+def test_thousands_of_keyword_rules_in_one_pass(spark):
+    import time
+
+    from fightlake.operators import rules
+
+    table = spark.createDataFrame([(i, f"L{i}", f"word{i} ", True, "Boss" if i % 2 else "") for i in range(2000)], "rule_id int, label string, keyword string, when_applied boolean, only_source string")
+    rows = [(*event(i, 1000 * i, "none", effect_type="ApplyEffect", effect_name=f"some WORD{i} here", source="Boss" if i % 3 else "Other"), 0) for i in range(0, 2000, 7)]
+    began = time.time()
+    hits = rules.keyword_hits(spark.createDataFrame(rows, f"{FIELDS}, pull_index long"), table)
+    hits.explain("simple")
+    assert time.time() - began < 5
+    assert sorted((r.line_number, r.rule_id) for r in hits.collect()) == [(i, i) for i in range(0, 2000, 7) if i % 2 == 0 or i % 3]
