@@ -3,8 +3,7 @@
 A block of at most ``BLOCK`` links is contracted in one task: its links become stars around the least node of each of the block's own
 components, so there are never more links than nodes and long chains shrink at once. What one block can't see is joined by star steps: a
 join and a map-side combined minimum over the current links, so no component is ever gathered in one task. If there is one block
-only, its stars are the result. Each round is a written table in the shared folder. Spark sends a side of a join whole only below its
-broadcast limit, and splits a node of very many links at run time.
+only, its stars are the result. Each round is a written table in the shared folder. A node of very many links is split at run time.
 """
 
 from __future__ import annotations
@@ -63,13 +62,15 @@ def connected_components(links: DataFrame, block: int = BLOCK) -> DataFrame:
         if blocks == 1:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Minima are written, so that on either side only a sort stands between exchange and join: then a node of very many links is split at run time.
+        least, least_path = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large, large_path = written(large, "large-stars")
+        least, small_path = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after, new_path = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        drop_dir(spark, path)
+        drop_dir(spark, path, least_path, large_path, small_path)
         edges, path = after, new_path
         if state == before or state[0] == 0:
             break

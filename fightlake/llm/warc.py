@@ -43,14 +43,20 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, payload
 _RECORDS_ARROW = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in RECORDS.split(", ")])
 
 
+def later_pages(keys: DataFrame) -> DataFrame:
+    """(page_id, digest, best) of the ``keys`` (page_id, digest; each once) whose digest a page of larger number has."""
+    best = keys.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1 and best is not null").select("digest", "best")
+    # Written, so that on either side only a sort stands between exchange and join: then a digest that very many pages have is split at run time.
+    best, _ = written(best, "responses")
+    return keys.join(best.hint("merge"), "digest").where("page_id is null or page_id < best")
+
+
 def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """(page_id, url, html, refers_to) with the response's page_id where the page is a revisit."""
     html = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("digest"))
     keys = pages.where(F.octet_length("html") >= min_bytes).select("page_id", "digest").distinct()
-    best = keys.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1 and best is not null").select("digest", "best")
-    # Nothing is grouped after this join, so that adaptive execution may split a digest that very many pages have.
-    later = keys.join(best.hint("merge"), "digest").where("page_id is null or page_id < best")
+    later = later_pages(keys)
     revisits, _ = written(later.select(F.col("page_id").alias("of"), F.col("digest").alias("its_digest"), F.col("best").alias("refers_to")), "revisits")
     match = F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("its_digest"))
     return pages.join(revisits.hint("merge"), match, "left").select("page_id", "url", "html", "refers_to")

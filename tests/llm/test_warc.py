@@ -62,3 +62,22 @@ def test_streams_of_any_chunking_members_and_damage():
         list(W.inflated(lambda _: next(it)))
     with pytest.raises(ValueError):
         list(W.records(iter([whole[:-200]])))
+
+
+def test_a_digest_of_very_many_pages_is_split_at_run_time(spark):
+    from pyspark.sql import functions as F
+
+    from fightlake.llm.warc import later_pages
+
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        keys = spark.range(0, 40_000, 1, 8).select(F.col("id").alias("page_id"), F.when(F.col("id") % 10 < 8, F.sha1(F.lit("hot"))).otherwise(F.sha1(F.floor(F.col("id") / 10).cast("string"))).alias("digest")).distinct()
+        later = later_pages(keys)
+        assert len(later.collect()) == 31_999 + 4_000
+        assert "skew=true" in later._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
