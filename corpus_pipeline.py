@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination and packing, a table after each stage."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination and packing, a table after each stage.
+
+Defined cases, the same for all stages: an empty table gives an empty table; columns beyond those of documents, whatever their names, pass through all
+stages but packing; a null text counts as empty, so the quality rules drop it; rows that repeat a doc_id are each judged by their own text; a row without a
+doc_id is kept or dropped by quality rules and decontamination like any other, loses no lines and is never dropped as a near-duplicate.
+"""
 
 from __future__ import annotations
 
@@ -15,9 +20,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a smaller doc_id holds; n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs)
+    own = {c: f"__own_{c}" for c in ("n_lines", "n_dropped") if c in docs.columns}  # names that the operator gives its counts
+    kept = line_dedup.dedup_lines(docs.withColumnsRenamed(own) if own else docs)
     size = "case when n_dropped > 0 then length(text) else n_chars end as n_chars"
-    return kept.selectExpr(*[size if c == "n_chars" else f"`{c}`" for c in docs.columns])
+    return kept.selectExpr(*[size if c == "n_chars" else f"`{own.get(c, c)}` as `{c}`" for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

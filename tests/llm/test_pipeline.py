@@ -53,3 +53,24 @@ def test_every_stage_and_its_decisions(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path))
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, whole.collect())) == sorted(map(key, packed))
+
+
+def test_odd_rows_and_columns_pass_through_every_stage(spark, tmp_path):
+    docs, item, shared = planted()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, n_dropped string, label long, hash string, fp string"
+    row = lambda i, t, tag: (i, t, None, None, None if t is None else len(t), tag, "mine", 7, "h", None)
+    rows = [row(i, docs[i], "a") for i in (0, 1, 2)] + [row(None, docs[4], "none"), row(1, docs[1], "again"), row(1, docs[5], "other text"), row(50, None, "null"), row(51, "", "empty")]
+    rows += [row(60, shared + "\n" + docs[6], "first"), row(61, shared + "\n" + docs[7], "second"), row(70, docs[8] + " " + item, "leak"), row(80, (docs[9] + " ") * 3 + " ".join(f"w{i}" for i in range(30_000)), "long")]
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = spark.createDataFrame(rows, schema)
+    got, nothing = table, table.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, _ = written(stage(spark, got, str(tmp_path)), name)
+        nothing, _ = written(stage(spark, nothing, str(tmp_path)), name)
+        assert got.columns == table.columns and nothing.columns == table.columns and nothing.count() == 0
+    left = got.collect()
+    assert sorted(r.n_lines for r in left) == ["a", "a", "a", "again", "first", "long", "none", "other text", "second"]
+    assert {(r.n_dropped, r.label, r.hash) for r in left} == {("mine", 7, "h")}
+    assert {r.n_lines: r.text for r in left}["second"] == docs[7] and {r.n_lines: r.text for r in left}["none"] == docs[4]
+    packed = corpus_pipeline.STAGES[-1][1](spark, got, str(tmp_path))
+    assert packed.where("piece = 0").count() == len(left) and corpus_pipeline.STAGES[-1][1](spark, nothing, str(tmp_path)).count() == 0
