@@ -548,10 +548,13 @@ def _verified_classes(nodes: DataFrame, docs: DataFrame, size: int, radius: int,
     their own shingles that keep them apart, so nearly all pairs that would be refused aren't offered at all.
     """
     free = best_free(nodes.count(), radius)
-    waiting = None
-    for s in range(PRINTS):  # one after the other, as each has all the tables
-        found, _ = written(_offered(nodes.withColumn("label", F.col("node")), None, [s], radius, free), "candidates")
+    waiting, labelled = None, nodes.withColumn("label", F.col("node"))
+    for s in range(PRINTS):  # one after the other, as each has all the tables; what earlier prints have joined needs no further links
+        found, _ = written(_offered(labelled, None, [s], radius, free), "candidates")
         waiting = found if waiting is None else waiting.unionByName(found)
+        if s + 1 < PRINTS:
+            joined = connected_components(waiting).toDF("node", "root")
+            labelled, _ = written(nodes.join(joined, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "joined")
     waiting = waiting.distinct()
     ends = waiting.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ends, _ = written(nodes.join(ends, "node"), "ends")
