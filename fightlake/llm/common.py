@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import shared_dir
+
 #: Rows taken out of an Arrow batch at a time, so that long texts don't pile up as Python objects.
 SLICE = 256
 
@@ -18,25 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder path that the driver and all executors see.
-
-    It lies under the session's ``spark.checkpoint.dir``. Only where that is unset (a local
-    session, as in tests) a temporary folder is made and set for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base and base.startswith("/"):
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def drop_dir(spark: SparkSession, *paths: str) -> None:
-    """Delete folders made by :func:`shared_dir` that no later plan reads."""
+    """Delete folders made by :func:`fightlake.sources.shared.shared_dir` that no later plan reads."""
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
