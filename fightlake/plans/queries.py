@@ -240,7 +240,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{PULLS}, {_BOSS_SQL} select log_path, pull_index, boss_id, boss_name, seen_line from ma")
 def boss_recognition(spark, sf_dir):
-    return corpus.first_match(split(spark, sf_dir), bosses(spark))
+    return corpus.first_match(split_once(spark, sf_dir), bosses(spark))
 
 
 @query(f"{PULLS}, {_BOSS_SQL} select log_path, pull_index, boss_id, outcome, player_deaths, npc_deaths, npc_count, npc_damage from ix")
@@ -308,7 +308,7 @@ _DEATHS = f"""dw as (select h.*, d.line_number death_line, d.t_ms death_ms from
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Death windows of the events as :func:`turned` gives them."""
-    return forensics.death_windows(turned(split(spark, sf_dir)), _SPAN)
+    return forensics.death_windows(turned(split_once(spark, sf_dir)), _SPAN)
 
 
 def turned(rows: DataFrame) -> DataFrame:
@@ -379,7 +379,7 @@ select log_path, pull_index, target, death_line, death_ms, label, cooldown_ms, m
 from de join us using (log_path, pull_index, target) where t_ms <= death_ms group by 1, 2, 3, 4, 5, 6, 7""")
 def cooldown_availability(spark, sf_dir):
     few = F.concat(F.lit("U"), F.col("k") % 6)  # as players seldom meet in the adapter
-    rows = split(spark, sf_dir).withColumns({"source": few, "target": F.when(F.col("is_death"), few).otherwise(F.col("target"))})
+    rows = split_once(spark, sf_dir).withColumns({"source": few, "target": F.when(F.col("is_death"), few).otherwise(F.col("target"))})
     return forensics.cooldown_uses(rows, spark.createDataFrame(_COOLDOWNS, "label string, keyword string, cooldown_ms int"))
 
 
@@ -392,14 +392,14 @@ ins as (select p.*, sg.begin_ms, sg.end_ms, sg.segment from p join sg on p.log_p
   count(*) filter (is_damage and ability is not null) attacks, count(*) filter (is_damage and ability is not null and is_critical) crits, coalesce(string_agg(ability, ',' order by t_ms, line_number) filter (is_ability_activate), '') casts from ins group by all)
 select log_path, pull_index, segment, name, damage, healing, attacks, crits, casts, round(damage / ((end_ms - begin_ms) / 1000.0::double), 6) dps, round(healing / ((end_ms - begin_ms) / 1000.0::double), 6) ehps, round(case when attacks > 0 then 100.0::double * crits / attacks else 0 end, 6) crit_pct from su""")
 def rotation_segments(spark, sf_dir):
-    return rounded(timeline.rotation(split(spark, sf_dir), "A4").drop("begin_ms", "end_ms"))
+    return rounded(timeline.rotation(split_once(spark, sf_dir), "A4").drop("begin_ms", "end_ms"))
 
 
 @query(f"""{PULLS}, {_SEGMENTS.replace("'a4'", "'a1'")}, ac as (select *, t_ms - lag(t_ms) over (partition by log_path, pull_index, segment, k % 3 order by t_ms, line_number) gap_ms from ins where is_ability_activate)
 select log_path, pull_index, segment, 'U' || (k % 3) as name, t_ms - 1 at_ms, gap_ms from ac where gap_ms >= 1500""")
 def idle_gaps(spark, sf_dir):
     """Three players stand for all, as the adapter's players seldom act twice in a segment."""
-    rows = split(spark, sf_dir).withColumn("source", F.concat(F.lit("U"), F.col("k") % 3))
+    rows = split_once(spark, sf_dir).withColumn("source", F.concat(F.lit("U"), F.col("k") % 3))
     return timeline.idle_gaps(rows, "A1")
 
 
@@ -415,9 +415,13 @@ def timeline_slice(spark, sf_dir):
 # ---- Rules -----------------------------------------------------------------------------------------------------------
 
 
+def _thresholds(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, "B2", 75.0), (2, "B2", 20.0), (3, "B5", 50.0)], "cond_id int, name string, percent double")
+
+
 @query(f"{PULLS}, ru(cond_id, name, percent) as (values (1, 'B2', 75.0), (2, 'B2', 20.0), (3, 'B5', 50.0)) select log_path, pull_index, cond_id, min(line_number) line_number from p join ru on target = name where hp_max > 0 and 100 * hp_current / hp_max <= percent group by 1, 2, 3")
 def hp_thresholds(spark, sf_dir):
-    return rules.hp_below(split(spark, sf_dir), spark.createDataFrame([(1, "B2", 75.0), (2, "B2", 20.0), (3, "B5", 50.0)], "cond_id int, name string, percent double"))
+    return rules.hp_below(split(spark, sf_dir), _thresholds(spark))
 
 
 @query(f"{PULLS} select log_path, pull_index, target as name, min(line_number) first_line from p where not target_is_player group by 1, 2, 3")
@@ -518,7 +522,7 @@ def chained_timers(spark, sf_dir):
 
 def _taunt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The adapter's casts of A1 as taunts on oneself and its healing as their effects."""
-    rows = split(spark, sf_dir)
+    rows = split_once(spark, sf_dir)
     cast = F.col("is_ability_activate") & (F.col("k") % 3 == 1)
     return rows.withColumns({"ability": F.when(cast, F.lit("Taunt")).otherwise(F.col("ability")), "target": F.when(cast, F.col("source")).otherwise(F.col("target")), "effect_name": F.when(F.col("is_heal"), F.lit("Taunt")).otherwise(F.col("effect_name"))})
 
@@ -542,8 +546,8 @@ hs as (select log_path, pull_index, rn, line_number, t_ms, case when cond_id <>
   from hs s join ht h on h.log_path = s.log_path and h.pull_index = s.pull_index and h.rn = s.rn + 1)
 select log_path, pull_index, phase, line_number, t_ms from hs where moved""")
 def phase_changes(spark, sf_dir):
-    found = hp_thresholds(spark, sf_dir)
-    rows = split(spark, sf_dir).join(found, ["log_path", "pull_index", "line_number"])
+    rows = split_once(spark, sf_dir)
+    rows = rows.join(rules.hp_below(rows, _thresholds(spark)), ["log_path", "pull_index", "line_number"])
     triggers = rows.select("log_path", "pull_index", "line_number", "t_ms", F.col("cond_id").alias("ord"), F.concat(F.lit("p"), F.col("cond_id")).alias("phase"), F.when(F.col("cond_id") == 2, "p1").alias("after"))
     return rules.phase_changes(triggers)
 

@@ -101,7 +101,7 @@ def triggered_recognition(spark, sf_dir):
     """A boss without names of its own is told by its encounter trigger."""
     trigger = {"type": "any_of", "conditions": [{"type": "entity_death", "selector": ["U3", "U33", "U133"]}, {"type": "combat_start"}]}
     table = spark.createDataFrame([("b1", "Alpha", 0, [], []), _BOSSES[1]], "boss_id string, boss_name string, def_rank int, npc_ids array<string>, names array<string>")
-    return corpus.first_match(split(spark, sf_dir), table, [{"id": "b1", "encounter_trigger": trigger}]).select(*PULL, "boss_id", "seen_line")
+    return corpus.first_match(split_once(spark, sf_dir), table, [{"id": "b1", "encounter_trigger": trigger}]).select(*PULL, "boss_id", "seen_line")
 
 
 # ---- Effects ---------------------------------------------------------------------------------------------------------------
@@ -210,7 +210,7 @@ def death_victims(spark, sf_dir):
   where d.is_death and d.target_is_player and not h.is_death and h.t_ms between d.t_ms - {_SPAN} and d.t_ms and h.line_number < d.line_number)
 select *, row_number() over (partition by log_path, pull_index, target, death_line order by line_number desc)::int rank from hw qualify rank <= 60""")
 def hp_before_death(spark, sf_dir):
-    rows = turned(split(spark, sf_dir)).withColumns({"hp_current": F.col("k").cast("double"), "hp_max": F.lit(100.0)})
+    rows = turned(split_once(spark, sf_dir)).withColumns({"hp_current": F.col("k").cast("double"), "hp_max": F.lit(100.0)})
     return forensics.hp_samples(rows, 60, _SPAN).select(*PULL, "target", "death_line", "line_number", "hp_current", "hp_max", "rank")
 
 
