@@ -4,9 +4,9 @@ Template: each turn is ``### <role>: <text> </turn>\n``. In roles and texts a ba
 backslash, ``###`` and ``</turn>`` (and before ``:`` in roles), so a control string in a text is never one of the template and
 the text can be read back exactly.
 
-Conversations are streamed: rows are dealt out by conversation, sorted by turn, and a task holds
-one stretch of one conversation at a time (whole turns, up to ``STRETCH`` characters unless a turn is longer). A stretch is
-rendered, encoded once with offsets, and the sorted spans of the assistant's texts are intersected with the token spans by
+A conversation is cut into stretches of whole turns by a running sum of its characters: a stretch ends with the turn that
+reaches the next multiple of ``STRETCH``. Rows are dealt out by conversation and stretch, so that the stretches of a very long
+conversation are encoded in many tasks, and a task holds one of them at a time. A stretch is rendered, encoded once with offsets, and the sorted spans of the assistant's texts are intersected with the token spans by
 binary search. The loss mask has a token where its span meets a text's span, and the characters
 where they meet; a token that reaches over the edge of a text counts with its part inside only. As a stretch begins
 after a line end and the pre-tokeniser never joins text across ``\n#``, tokens are those of the whole conversation.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batched, rows_of
@@ -31,7 +31,7 @@ from .tokens import default_path
 
 OPEN, CLOSE, COLON = "### ", " </turn>\n", ": "
 LEARNT = "assistant"
-#: Characters of a conversation that are rendered and encoded at a time.
+#: Characters of a conversation that are rendered and encoded at a time; its last turn may go beyond.
 STRETCH = 1 << 20
 _CONTROL = re.compile(r"\\|###|</turn>")
 _ROLE_CONTROL = re.compile(r"\\|###|</turn>|:")
@@ -110,8 +110,16 @@ _ARROW = pa.schema(
 )
 
 
-def format_chats(conversations: DataFrame, path: str | None = None) -> DataFrame:
-    """(conv_id, part, formatted, ids, loss, pieces) of each stretch, in order within each conversation.
+def with_parts(conversations: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(conv_id, part, turn, role, text): ``part`` is the stretch of its conversation that a turn is in; it ascends with turns but may skip numbers."""
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length(F.coalesce("role", F.lit(""))) + F.length(F.coalesce("text", F.lit("")))
+    part = F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / stretch).cast("int")
+    return conversations.select("conv_id", "turn", "role", "text").select("conv_id", part.alias("part"), "turn", "role", "text")
+
+
+def format_chats(conversations: DataFrame, path: str | None = None, stretch_chars: int = STRETCH) -> DataFrame:
+    """(conv_id, part, formatted, ids, loss, pieces) of each stretch; ``part`` gives their order within each conversation.
 
     ``loss`` has a mark for each token id, ``pieces`` the character spans of ``formatted`` under the mask.
     """
@@ -130,19 +138,17 @@ def format_chats(conversations: DataFrame, path: str | None = None) -> DataFrame
             return conv, part, text, coded.ids, mask.tolist(), [list(p) for p in pieces]
 
         held: list[tuple[str, str]] = []
-        conv, part, size, begun = None, 0, 0, False
-        for conv_id, role, text in rows_of(batches, "conv_id", "role", "text"):
-            role, text = role or "", text or ""
-            if begun and (conv_id != conv or size + len(text) > STRETCH and held):
-                yield stretch(conv, part, held)
-                part, held, size = (part + 1 if conv_id == conv else 0), [], 0
-            conv, begun = conv_id, True
-            held.append((role, text))
-            size += len(text) + len(role)
+        at = None
+        for conv_id, part, role, text in rows_of(batches, "conv_id", "part", "role", "text"):
+            if held and (conv_id, part) != at:
+                yield stretch(*at, held)
+                held = []
+            at = conv_id, part
+            held.append((role or "", text or ""))
         if held:
-            yield stretch(conv, part, held)
+            yield stretch(*at, held)
 
-    turns = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    turns = with_parts(conversations, stretch_chars).repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role", "text")
     return turns.mapInArrow(lambda batches: batched(rows(batches), _ARROW, 64), STRETCHES)
 
 

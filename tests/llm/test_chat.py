@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fightlake.llm import chat as C
@@ -58,3 +59,19 @@ def test_digests_against_the_rows(spark):
         assert r.n_tokens == len(tokenizer.encode(whole, add_special_tokens=False).ids)
     assert max(r.part for r in stretches.select("part").collect()) > 0
     assert C.digests(C.format_chats(turns.limit(0))).count() == 0
+
+
+def test_stretches_of_one_conversation_are_encoded_apart(spark):
+    rows = [(1, turn, ("user", "assistant")[turn % 2], f"turn {turn} " * 50) for turn in range(4000)] + [(2, 0, "assistant", "short")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole, apart = (C.format_chats(turns, stretch_chars=n) for n in (C.STRETCH * 8, 20_000))
+    sizes = [len(r.formatted) for r in apart.select("formatted").collect()]
+    assert len(sizes) > 80 and max(sizes) < 22_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few bytes would be put together
+    try:
+        assert apart.where("conv_id = 1").groupBy(F.spark_partition_id()).count().count() == 4  # tasks that have some of it
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(C.digests(apart).collect()) == sorted(C.digests(whole).collect())
+    joined = [i for r in sorted(apart.where("conv_id = 1").collect(), key=lambda r: r.part) for i in r.ids]
+    assert joined == whole.where("conv_id = 1").first().ids
