@@ -165,7 +165,7 @@ def digests(stretches: DataFrame) -> DataFrame:
         def row() -> tuple:
             return conv, n, turns.hexdigest(), chars, loss.hexdigest(), size, tokens, learnt
 
-        for conv_id, formatted, ids, mask, pieces in rows_of(batches, "conv_id", "formatted", "ids", "loss", "pieces"):
+        for conv_id, formatted, pieces, n_ids, n_learnt in rows_of(batches, "conv_id", "formatted", "pieces", "n_ids", "n_learnt"):
             if not begun or conv_id != conv:
                 if begun:
                     yield row()
@@ -178,10 +178,11 @@ def digests(stretches: DataFrame) -> DataFrame:
             loss.update(under.encode())
             chars += len(under)
             size += len(formatted)
-            tokens += len(ids)
-            learnt += sum(mask)
+            tokens += n_ids
+            learnt += n_learnt
         if begun:
             yield row()
 
-    ordered = stretches.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    counts = [F.size("ids").alias("n_ids"), F.size(F.filter("loss", lambda x: x)).alias("n_learnt")]  # ids and marks aren't shuffled
+    ordered = stretches.select("conv_id", "part", "formatted", "pieces", *counts).repartition("conv_id").sortWithinPartitions("conv_id", "part")
     return ordered.mapInArrow(lambda batches: batched(rows(batches), _DIGESTS_ARROW), DIGESTS)
