@@ -41,8 +41,10 @@ def touches() -> Column:
 BLOCK = 1 << 15
 
 _CUTS = "log_path string, block long, pull_index long, starts array<long>, areas array<struct<line: long, difficulty: string, group_size: int>>, area_line long, difficulty string, group_size int"
-_ENDS = "known: boolean, left_ms: long, kept: boolean, starts: array<long>"
-_BLOCKS = _CUTS.replace("pull_index long, starts array<long>", f"entries array<struct<known_before: boolean, until_ms: long, {_ENDS}>>")
+_ENDS = "known: boolean, left_ms: long, kept: boolean, start: int"
+_BLOCKS = _CUTS.replace("pull_index long, starts array<long>", f"entries array<struct<known_before: boolean, until_ms: long, {_ENDS}>>, lines array<long>, following array<int>")
+#: Blocks whose pulls are put together before they are handed on.
+HANDED = 64
 
 
 class _Block:
@@ -61,7 +63,7 @@ class _Block:
         last = np.concatenate([[t[0] if last_ms is None else last_ms], t[:-1]]) if self.n else t
         self.touches, self.exits = np.flatnonzero(touch), np.flatnonzero(ends)
         self.enters, self.gaps = np.flatnonzero(enters & known_entry & (t - entry >= timing.enter)), np.flatnonzero(t - last > timing.gap)
-        self.memory: dict[int, tuple] = {}
+        self.memory: dict[int, tuple[int, bool, int | None]] = {}
 
     def _first(self, places: np.ndarray, least: int) -> int:
         i = int(np.searchsorted(places, least))
@@ -70,22 +72,21 @@ class _Block:
     def _overdue(self, left: int) -> int:
         return int(np.searchsorted(self.t, left + self.trailing, "right"))
 
-    def after(self, start: int) -> tuple[list[int], bool, int | None]:
-        """What follows if a pull begins at row ``start``: the lines that begin pulls, whether the last has entities, and when it was left."""
-        if start >= self.n:
-            return [], False, None
-        chain = []
+    def after(self, start: int) -> tuple[bool, int | None]:
+        """What follows if a pull begins at row ``start``: whether the block's last pull has entities, and when it was left.
+
+        ``memory`` keeps each row that begins a pull once, with the row that begins the next one, as ways that meet go on together.
+        """
+        ends, chain = (False, None), []
         while start < self.n and start not in self.memory:
             known, left = self._first(self.touches, start), self._first(self.exits, start)
-            chain.append((start, known, left))
-            start = min(self._next(known, left, None), self.n)
-        rest = self.memory.get(start)
-        for at, known, left in reversed(chain):
-            if rest is None:
-                rest = ([], known < self.n, int(self.t[left]) if left < self.n else None)
-            rest = ([int(self.lines[at]), *rest[0]], *rest[1:])
-            self.memory[at] = rest
-        return rest
+            ends = known < self.n, int(self.t[left]) if left < self.n else None
+            chain.append((start, min(self._next(known, left, None), self.n)))
+            start = chain[-1][1]
+        if start < self.n:
+            ends = self.memory[start][1:]
+        self.memory.update((at, (following, *ends)) for at, following in chain)
+        return ends
 
     def _next(self, known: int, exit_: int, left: int | None) -> int:
         """The row that begins the next pull, where rows after ``known`` can and the pull is left at row ``exit_``, or was at ``left``."""
@@ -101,7 +102,8 @@ class _Block:
 
     def entries(self) -> list[dict]:
         """What this block does for each state before it: whether the pull has entities; and if it was left so long ago that ``left + trailing`` is
-        before ``until_ms`` but not before that of the entry above (null: whenever), or, in the first entry, if it wasn't left (-1)."""
+        before ``until_ms`` but not before that of the entry above (null: whenever), or, in the first entry, if it wasn't left (-1). ``start`` is the place
+        of the first pull's row in :meth:`chains`, or -1."""
         out = []
         for known_before in (False, True):
             known = -1 if known_before else self._first(self.touches, 0)
@@ -113,11 +115,18 @@ class _Block:
             steps += [(int(self.t[r]), min(soonest, max(r, known + 1))) for r in rises if r < self.n]
             steps.append((None, min(soonest, self.n)))
             for until_ms, start in steps:
-                starts, has, left = self.after(min(start, self.n))
-                if not starts:
+                has, left = self.after(start)
+                if start >= self.n:
                     has, left = known < self.n, int(self.t[exit_]) if until_ms == -1 and exit_ < self.n else None
-                out.append({"known_before": known_before, "until_ms": until_ms, "known": bool(has), "left_ms": left, "kept": not starts and until_ms != -1, "starts": starts})
-        return out
+                out.append({"known_before": known_before, "until_ms": until_ms, "known": bool(has), "left_ms": left, "kept": start >= self.n and until_ms != -1, "start": start})
+        places = {at: i for i, at in enumerate(sorted(self.memory))}
+        return [e | {"start": places.get(e["start"], -1)} for e in out]
+
+    def chains(self) -> tuple[np.ndarray, np.ndarray]:
+        """After :meth:`entries`: the lines that begin a pull for any of these, ascending, and for each the place of the next one's, or -1."""
+        rows = np.array(sorted(self.memory), np.int64)
+        following = np.array([self.memory[r][0] for r in rows.tolist()], np.int64)
+        return self.lines[rows], np.where(following < self.n, np.searchsorted(rows, following), -1).astype(np.int32)
 
 
 def _split_at_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -138,28 +147,40 @@ def _split_at_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _block_entries(timing: Timing, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("known_before", pa.bool_()), ("until_ms", pa.int64()), ("known", pa.bool_()), ("left_ms", pa.int64()), ("kept", pa.bool_()), ("starts", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([("known_before", pa.bool_()), ("until_ms", pa.int64()), ("known", pa.bool_()), ("left_ms", pa.int64()), ("kept", pa.bool_()), ("start", pa.int32())]))
     for table in _split_at_marks(batches):
         head, rows = table.slice(0, 1).combine_chunks().to_batches()[0], table.slice(1)
         lines, t, enters, ends, touch = (rows.column(c).to_numpy() for c in ("line_number", "t_ms", "is_combat_start", "is_combat_end", "touch"))
         block = _Block(lines, t, enters.astype(bool), ends.astype(bool), touch.astype(bool), head.column("t_ms")[0].as_py(), head.column("enter_ms")[0].as_py(), timing)
         carried = [head.column(c) for c in ("areas", "area_line", "difficulty", "group_size")]
-        yield pa.RecordBatch.from_arrays([head.column("log_path"), head.column("block"), pa.array([block.entries()], kind), *carried], names=["log_path", "block", "entries", "areas", "area_line", "difficulty", "group_size"])
+        entries = pa.array([block.entries()], kind)
+        begins, following = block.chains()
+        chains = [pa.array([begins], pa.list_(pa.int64())), pa.array([following], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([head.column("log_path"), head.column("block"), entries, *chains, *carried], names=["log_path", "block", "entries", "lines", "following", "areas", "area_line", "difficulty", "group_size"])
+
+
+def _begun(start: int, lines: pa.Scalar, following: pa.Scalar) -> np.ndarray:
+    """The lines that begin pulls from the place ``start`` on."""
+    out, lines, following = [], lines.as_py(), following.as_py()
+    while start >= 0:
+        out.append(lines[start])
+        start = following[start]
+    return np.array(out, np.int64)
 
 
 def _composed(timing: Timing, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks in order of their logs, each taken as the state before it says; only that state is held."""
+    """Blocks in order of their logs, each taken as the state before it says; only that state is held, and one block's entries at a time."""
     log, known, left, index, new = None, False, None, 0, True
-    for batch in batches:
+    for batch in (b.slice(at, HANDED) for b in batches for at in range(0, b.num_rows, HANDED)):
         first, starts = [], []
-        for path, entries in zip(batch.column("log_path").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+        for path, *chains, entries in zip(batch.column("log_path").to_pylist(), *(batch.column(c) for c in ("lines", "following", "entries")), strict=True):
             if new or path != log:
                 log, known, left, index, new = path, False, None, 0, False
-            own = [e for e in entries if e["known_before"] == known and (e["until_ms"] == -1) == (left is None)]
+            own = [e for e in entries.as_py() if e["known_before"] == known and (e["until_ms"] == -1) == (left is None)]
             entry = own[0] if left is None else next(e for e in own if e["until_ms"] is None or left + timing.trailing < e["until_ms"])
             first.append(index)
-            starts.append(entry["starts"])
-            known, left, index = entry["known"], left if entry["kept"] else entry["left_ms"], index + len(entry["starts"])
+            starts.append(_begun(entry["start"], *chains))
+            known, left, index = entry["known"], left if entry["kept"] else entry["left_ms"], index + len(starts[-1])
         more = [batch.column(c) for c in ("areas", "area_line", "difficulty", "group_size")]
         yield pa.RecordBatch.from_arrays([batch.column("log_path"), batch.column("block"), pa.array(first, pa.int64()), pa.array(starts, pa.list_(pa.int64())), *more], names=["log_path", "block", "pull_index", "starts", "areas", "area_line", "difficulty", "group_size"])
 

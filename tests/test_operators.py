@@ -285,3 +285,29 @@ def test_chains_of_any_length(spark):
     assert sorted((r.at_ms, r.timer_id) for r in got) == [(5 + 10 * i, f"t{i}") for i in range(10)]
     with pytest.raises(ValueError):
         rules.chained(starts, links([("t0", "t1"), ("t1", "t2"), ("t2", "t1")]))
+
+
+def test_what_a_block_hands_on_grows_with_its_rows_alone():
+    def handed(n):
+        rows = [("log", 0, None, None, None, None, None)] + [("log", 0, i, i * 2 if i < n // 2 else i * 9000, False, i == 0, True) for i in range(n)]
+        names = ("log_path", "block", "line_number", "t_ms", "is_combat_start", "is_combat_end", "touch")
+        none = dict.fromkeys(("enter_ms", "areas", "area_line", "difficulty", "group_size"))
+        kinds = [("log_path", pa.string()), *((c, pa.int64()) for c in names[1:4]), *((c, pa.bool_()) for c in names[4:]), *((c, pa.int64()) for c in none)]
+        batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) | none for r in rows], pa.schema(kinds))
+        (block,) = pulls._block_entries(pulls.Timing(), iter([batch]))
+        return block
+
+    assert handed(2000).nbytes < 6 * handed(500).nbytes
+
+
+def test_blocks_of_a_batch_are_put_together_a_few_at_a_time():
+    seen = [(i * 9000, False, False, 1) for i in range(1000)]
+    assert in_blocks(seen, pulls.Timing(), 1) == list(range(1000))
+    kinds = pa.list_(pa.struct([("known_before", pa.bool_()), ("until_ms", pa.int64()), ("known", pa.bool_()), ("left_ms", pa.int64()), ("kept", pa.bool_()), ("start", pa.int32())]))
+    entry = [{"known_before": k, "until_ms": u, "known": True, "left_ms": None, "kept": False, "start": 0} for k in (False, True) for u in (-1, None)]
+    n = 1000
+    none = [pa.nulls(n, k) for k in (pa.list_(pa.int64()), pa.int64(), pa.string(), pa.int64())]
+    columns = [pa.array(["log"] * n), pa.array(range(n)), pa.array([entry] * n, kinds), pa.array([[i] for i in range(n)]), pa.array([[-1]] * n, pa.list_(pa.int32())), *none]
+    batch = pa.RecordBatch.from_arrays(columns, names=["log_path", "block", "entries", "lines", "following", "areas", "area_line", "difficulty", "group_size"])
+    found = list(pulls._composed(pulls.Timing(), iter([batch])))
+    assert max(b.num_rows for b in found) <= pulls.HANDED and [x for b in found for x in b.column("pull_index").to_pylist()] == list(range(n))
