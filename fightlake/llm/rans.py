@@ -39,6 +39,8 @@ LANES = 4096
 BITS, BLOCK, SEGMENT = 18, 1 << 19, 1 << 22
 #: Files whose ids are summed in one task.
 GROUP = 1024
+#: Pieces that an encoder remembers in each of two generations, about 150 bytes each; a task has no other large table.
+PIECES = 1 << 19
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _BITS = np.uint64(BITS)
@@ -180,7 +182,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, segment: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        encoder = text_encoder(path)
+        encoder = text_encoder(path, PIECES)
         context = TaskContext.get()
         name = f"{folder}/ids-{context.partitionId():06d}-{context.taskAttemptId()}.rans"
 

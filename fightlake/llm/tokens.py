@@ -18,9 +18,20 @@ END_ID = 0
 #: All letters and numbers below U+0250, and marks beyond (dashes, quotes, signs of money and trade).
 _LETTER, _NUMBER, _MARK = "a-zA-ZªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "‐-‧‰-⁞€™"
 #: Fixed value: the byte-level pre-tokeniser's pattern, for texts that :data:`_ODD` isn't found in.
-_PIECE = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
+_PIECE = re.compile(rf" ?[{_LETTER}]++|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]++| ?[^\s{_LETTER}{_NUMBER}]++|\s+(?!\S)|\s++")
 #: What isn't ASCII, Latin or a known mark, and what only some definitions count as white space.
 _ODD = re.compile(f"[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ{_MARK}]")
+#: Fixed value: what it finds among the first 256 characters.
+_ODD_LATIN = "\x1c\x1d\x1e\x1f\x85\xa0"
+
+
+def _odd(text: str) -> bool:
+    """Whether :data:`_ODD` is found in ``text``; texts of the first 256 characters aren't searched by it, as most are such."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(_ODD.search(text))
+    return any(c in text for c in _ODD_LATIN)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,7 +63,7 @@ class _Memory(dict):
 class TextEncoder:
     """Encodes texts with the tokenizers library, without special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = PIECES):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -61,10 +72,11 @@ class TextEncoder:
         self._tokenize, self._letters = tokenizer.model.tokenize, _byte_letters()
         self._spelt = {n: n.to_bytes(4, "little") for n in range(tokenizer.get_vocab_size())}.__getitem__
         tokenizer.model._resize_cache(0)  # pieces are remembered here
-        self._memory = _Memory(self._piece)
+        self._memory = _Memory(self._piece, pieces)
 
     def _piece(self, piece: str) -> bytes:
-        spelt = piece.encode().decode("latin-1").translate(self._letters)
+        plain = piece.isascii() and piece.isprintable()  # then all but the space is written as itself
+        spelt = piece.replace(" ", self._letters[0x20]) if plain else piece.encode().decode("latin-1").translate(self._letters)
         return b"".join([self._spelt(t.id) for t in self._tokenize(spelt)])
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -74,7 +86,7 @@ class TextEncoder:
     def _encoded(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text) or any(s in text for s in self._special):
+        if _odd(text) or any(s in text for s in self._special):
             return self._plain(text)
         return b"".join(map(self._memory.__getitem__, _PIECE.findall(text)))
 
@@ -88,9 +100,9 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=2)
-def text_encoder(path: str) -> TextEncoder:
-    """One encoder a worker and vocabulary."""
-    return TextEncoder(path)
+def text_encoder(path: str, pieces: int = PIECES) -> TextEncoder:
+    """One encoder a worker, vocabulary and size of memory."""
+    return TextEncoder(path, pieces)
 
 
 def default_path() -> str:

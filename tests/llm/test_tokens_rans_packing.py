@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from fightlake.llm import packing, rans
+from fightlake.llm import packing, rans, tokens
 from fightlake.llm.common import shared_dir
 from fightlake.llm.tokens import default_path, text_encoder
 
@@ -105,3 +105,25 @@ def test_bounds_are_bounds_and_fits_are_best():
         assert packing.lower_bound(lengths, 100) <= n
         assert (np.bincount(bins, lengths) <= 100).all()
     assert packing.lower_bound(np.array([51] * 7), 100) == 7 and packing.lower_bound(np.array([34] * 6), 100) == 3
+
+
+def test_half_a_million_pieces_are_encoded_once():
+    memory = tokens.text_encoder(tokens.default_path(), rans.PIECES)._memory
+    made = []
+    memory.make = lambda piece: made.append(piece) or b""
+    for _ in range(2):
+        for i in range(500_000):
+            memory[f" {i}"]
+    assert len(made) == 500_000
+    tokens.text_encoder.cache_clear()
+
+
+def test_short_cuts_are_the_patterns_they_stand_for():
+    for i in range(0x3000):
+        for text in (chr(i), f"a{chr(i)}", f"{chr(i)}\u2019"):
+            assert tokens._odd(text) == bool(tokens._ODD.search(text)), ascii(text)
+    encoder = tokens.TextEncoder(tokens.default_path())
+    for i in range(0x250):
+        piece = f" {chr(i)}a"
+        spelt = piece.encode().decode("latin-1").translate(encoder._letters)
+        assert encoder._piece(piece) == b"".join(encoder._spelt(t.id) for t in encoder._tokenize(spelt)), ascii(piece)
